@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackmill.llm import bpe_codec, simhash_dedup, token_counts
+from trackmill.llm import bpe_codec, decontam, simhash_dedup, token_counts, warc
 from trackmill.llm.common import table
 
 
@@ -24,18 +24,28 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.codec_table(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_table(table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
     return counts.withColumnRenamed("key", "doc_id")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op3_bpe": op3_bpe,
+        "op4_warc": op4_warc,
         "op6_token_counts": op6_token_counts,
+        "op7_decontamination": op7_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": warc.ORACLE, "op7_decontamination": decontam.ORACLE}
