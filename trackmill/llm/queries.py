@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackmill.llm import bpe_codec, decontam, simhash_dedup, token_counts, warc
+from trackmill.llm import bpe_codec, decontam, secret_scan, simhash_dedup, token_counts, warc
 from trackmill.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_table(table(spark, sf_dir, "pages"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets_table(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
     return counts.withColumnRenamed("key", "doc_id")
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op3_bpe": op3_bpe,
         "op4_warc": op4_warc,
+        "op5_secrets": op5_secrets,
         "op6_token_counts": op6_token_counts,
         "op7_decontamination": op7_decontamination,
     }
