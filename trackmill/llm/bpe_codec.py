@@ -8,6 +8,11 @@ comes before or after, and no special token holds a space. What lies between two
 once per task and kept, within ``CACHE_BYTES``, for all documents that share it. The ids are exactly
 those of the whole text.
 
+The library that the file belongs to encodes slowly, so segments of common scripts go to an encoder by
+merge ranks once it is proved equal at start-up: every merge must make the next id, so the order of
+merges is the order of ids, and probes of every code point below ``PROVED`` must give the library's
+ids. Where the proof fails, and for later code points and special tokens, the library encodes.
+
 Defined results: null text counts as empty and has no ids; a text of any length is one row, its chunks
 are encoded one by one; repeated rows give repeated results; an empty table gives an empty one.
 """
@@ -16,7 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +35,10 @@ from trackmill.llm.common import text_buffer
 #: The low bits of the rolling hash that are zero at a cut: one byte in 256 on average.
 CUT_BITS = 8
 CACHE_BYTES = 48 << 20
+#: Code points below this are probed; in UTF-8 all bytes of their texts are below PROVED_BYTE.
+PROVED, PROVED_BYTE = 0x3000, 0xE3
+#: Fixed value: the published pre-tokenizer pattern of byte-level BPE files.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,11 +72,21 @@ def segment_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = int(offsets[-1])
     cuts = np.flatnonzero((rolling_hash(data) >> np.uint32(32 - CUT_BITS)) == 0) + 1 if n else offsets[:0]
     letter = ((data | 32) >= 97) & ((data | 32) <= 122)
-    safe = np.flatnonzero(letter[:-1] & (data[1:] == 32)) + 1
-    safe = np.union1d(safe, offsets)
-    left = safe[np.searchsorted(safe, cuts, "right") - 1]
-    right = safe[np.searchsorted(safe, cuts, "left")]
-    return np.unique(np.concatenate([left, right, offsets]))
+    agreed = np.zeros(n + 1, bool)
+    agreed[1:n] = letter[:-1] & (data[1:] == 32)
+    agreed[offsets] = True
+    safe = np.flatnonzero(agreed)
+    chosen = np.zeros(n + 1, bool)
+    chosen[safe[np.searchsorted(safe, cuts, "right") - 1]] = True
+    chosen[safe[np.searchsorted(safe, cuts, "left")]] = True
+    chosen[offsets] = True
+    return np.flatnonzero(chosen)
+
+
+@lru_cache(2)
+def codec(path: str) -> ChunkCodec:
+    """A worker's codec, kept for its later tasks."""
+    return ChunkCodec(path)
 
 
 class ChunkCodec:
@@ -80,11 +101,32 @@ class ChunkCodec:
         self.tokenizer.no_padding()
         letters = byte_letters()
         added = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.specials = list(added.values())
         size = self.tokenizer.get_vocab_size(True)
         self.pieces = [added.get(i) or bytes(letters[c] for c in self.tokenizer.id_to_token(i)) for i in range(size)]
+        self.ranked = self._ranked(path)
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
         self.held = 0
 
+    def _ranked(self, path: str):
+        """An encoder by merge ranks that is proved equal for code points below PROVED, or None."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        first = len(vocab) - len(merges)
+        if any(vocab.get("".join(m)) != first + i for i, m in enumerate(merges)):
+            return None
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items()}
+        ranked = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        probes = [f"a{c} {c}1{c}.{c}{c} \n{c}\n " for c in map(chr, range(PROVED))]
+        for probe, whole in zip(probes, self.tokenizer.encode_batch_fast(probes, add_special_tokens=False), strict=True):
+            if ranked.encode_ordinary(probe) != whole.ids:
+                return None
+        return ranked.encode_ordinary
+
     def encode_batch(self, raw: bytes, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids as little-endian uint32 and its decoded bytes."""
         offsets = offsets.astype(np.int64)
@@ -93,36 +135,49 @@ class ChunkCodec:
         bounds = segment_bounds(np.frombuffer(raw, np.uint8), offsets)
         edges = bounds.tolist()
         segments = [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        self._learn(segments)
+        plain = np.zeros(len(segments), bool)
+        if self.ranked and segments:
+            lengths = np.diff(bounds)
+            plain[lengths > 0] = np.maximum.reduceat(np.frombuffer(raw, np.uint8), bounds[:-1][lengths > 0]) < PROVED_BYTE
+            for special in self.specials:
+                if special in raw:
+                    plain &= np.array([special not in s for s in segments])
+        self._learn(segments, plain.tolist())
         known = self.known
         at = np.searchsorted(bounds, offsets).tolist()
         for a, b in zip(at, at[1:], strict=False):
             parts = [known[s] for s in segments[a:b]]
             yield b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
 
-    def _learn(self, segments: list[bytes]) -> None:
+    def _learn(self, segments: list[bytes], plain: list[bool]) -> None:
         if self.held > CACHE_BYTES:
             self.known, self.held = {}, 0
-        new = [s for s in dict.fromkeys(segments) if s not in self.known]
-        pieces = self.pieces
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        new = {s: p for s, p in zip(segments, plain, strict=True) if s not in self.known}
+        for s, p in new.items():
+            if p:
+                self._keep(s, self.ranked(s.decode()))
+        rest = [s for s, p in new.items() if not p]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
             found = self.tokenizer.encode_batch_fast([s.decode() for s in part], add_special_tokens=False)
             for s, e in zip(part, found, strict=True):
-                ids = e.ids
-                self.known[s] = (np.array(ids, "<u4").tobytes(), b"".join([pieces[i] for i in ids]))
-                self.held += 6 * len(s) + 200
+                self._keep(s, e.ids)
+
+    def _keep(self, segment: bytes, ids: list[int]) -> None:
+        pieces = self.pieces
+        self.known[segment] = (np.array(ids, "<u4").tobytes(), b"".join([pieces[i] for i in ids]))
+        self.held += 6 * len(segment) + 200
 
 
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", outputs: bool = True) -> DataFrame:
     """Per document: key, n_tokens, ids_sha256, decoded_sha256 and, with ``outputs``, ids and decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ChunkCodec(path)
+        own = codec(path)
         for batch in batches:
             ids, decoded = [], []
             counts, sums, backs = [], [], []
-            for i, d in codec.encode_batch(*text_buffer(batch.column(1))):
+            for i, d in own.encode_batch(*text_buffer(batch.column(1))):
                 counts.append(len(i) // 4)
                 sums.append(hashlib.sha256(i).hexdigest())
                 d = d.decode("utf-8", "replace").encode() if not outputs else d.decode("utf-8", "replace")
