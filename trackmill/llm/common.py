@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bounds of one Arrow batch handed to a Python worker; a longer text makes a batch of its own.
 BATCH_ROWS = 2000
@@ -85,6 +86,30 @@ def text_buffer(column: pa.Array) -> tuple[bytes, np.ndarray]:
     return raw, offsets
 
 
-def code_point_offset(raw: bytes, at: int) -> int:
-    """The number of code points in the first ``at`` bytes of valid UTF-8."""
-    return len(raw[:at].decode("utf-8"))
+def code_points(raw: bytes, positions: list[int]) -> list[int]:
+    """Code point offsets of byte positions in valid UTF-8."""
+    if not positions or raw.isascii():
+        return positions
+    starts = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+    return np.r_[0, np.cumsum(starts)][positions].tolist()
+
+
+def fold(key: str, parts: int):
+    """crc32 of the id as text, modulo parts; an id that is null counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows: int, chars: int, columns: tuple[str, ...] = ()) -> list:
+    """At most ``rows`` labelled documents of at most ``chars`` characters, as (doc_id, label, text,
+    *columns), for fitting a model on the driver.
+
+    The rows are those with the smallest hashes of their ids, so the sample does not depend on how the
+    tables lie; of several labels of one id the largest counts. Only the ids, whose number is bounded,
+    are broadcast.
+    """
+    marked = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).filter(usable)
+    marked = marked.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *columns).filter(F.char_length("text") <= chars)
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", *columns)
+    return sorted(found.limit(2 * rows).collect(), key=lambda r: (r[0], r[2]))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackmill.llm import bpe_codec, decontam, secret_scan, simhash_dedup, token_counts, warc
+from trackmill.llm import bpe_codec, decontam, pii_crf, quality_fm, secret_scan, simhash_dedup, token_counts, toxicity_gbt, warc
 from trackmill.llm.common import table
 
 
@@ -41,6 +41,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.pii_table(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_gbt.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -49,6 +61,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secrets": op5_secrets,
         "op6_token_counts": op6_token_counts,
         "op7_decontamination": op7_decontamination,
+        "op8_quality": op8_quality,
+        "op9_pii": op9_pii,
+        "op10_toxicity": op10_toxicity,
     }
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.llm.common import text_slices
+from trackmill.llm.common import code_points, text_slices
 
 KINDS = ("assign", "access", "hex", "novel")
 LEAST = {"assign": 6, "access": 20}
@@ -108,14 +108,6 @@ class Scanner:
         return out
 
 
-def code_points(raw: bytes, positions: list[int]) -> list[int]:
-    """Code point offsets of byte positions in valid UTF-8."""
-    if not positions or raw.isascii():
-        return positions
-    starts = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
-    return np.r_[0, np.cumsum(starts)][positions].tolist()
-
-
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", novelty: float = NOVELTY) -> DataFrame:
     """Per document: key, n_assign, n_access, n_hex, n_novel, base_sha256, spans (kind:start:end by
     start, then kind, comma-joined; code points), redacted (the text without the values)."""
