@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackmill.llm import bpe_codec, decontam, pii_crf, quality_fm, secret_scan, simhash_dedup, token_counts, toxicity_gbt, warc
+from trackmill.llm import bpe_codec, decontam, feature_digest, pii_crf, quality_fm, secret_scan, simhash_dedup, token_counts, toxicity_gbt, warc
 from trackmill.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.dedup_table(table(spark, sf_dir, "documents"))
 
 
+def op2_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feature_digest.digest_table(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.codec_table(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -56,6 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_digest": op2_digest,
         "op3_bpe": op3_bpe,
         "op4_warc": op4_warc,
         "op5_secrets": op5_secrets,
