@@ -141,9 +141,28 @@ def shard_starts(videos: DataFrame, n: int, start: str = "start", total: str = "
     return videos.crossJoin(F.broadcast(shards)).groupBy("shard").agg(F.min_by(start, F.struct(gap, F.col(start))).alias(start))
 
 
+def global_rank(df: DataFrame, order: str, name: str = "rank", block: int = 1 << 20) -> DataFrame:
+    """The 0-based place of each row by a whole-number order column, the row count beside it.
+
+    Rows are ranked inside blocks of the order's range; only the blocks' counts are summed up in one
+    place, so no task sees all rows.
+    """
+    marked = df.withColumn("_block", F.floor(F.col(order) / block))
+    counts = marked.groupBy("_block").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = counts.select("_block", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"), F.sum("_c").over(all_).alias("_all"))
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy(order)) - 1
+    return marked.join(counts, "_block").withColumn(name, F.col("_base") + inside).withColumn("n_rows", F.col("_all")).drop("_block", "_base", "_all")
+
+
 def even_parts(df: DataFrame, x: int, order: str) -> DataFrame:
-    """Parts 0 .. x-1 of almost equal size in order; the first ones are larger."""
-    return df.withColumn("part", F.ntile(x).over(Window.orderBy(order)) - 1)
+    """Parts 0 .. x-1 of almost equal size in order; the first ones are larger by one row."""
+    ranked = global_rank(df, order, "_rank")
+    size, more = F.floor(F.col("n_rows") / x), F.col("n_rows") % x
+    head = more * (size + 1)
+    part = F.when(F.col("_rank") < head, F.floor(F.col("_rank") / (size + 1))).otherwise(more + F.floor((F.col("_rank") - head) / F.greatest(size, F.lit(1))))
+    return ranked.withColumn("part", part).drop("_rank", "n_rows")
 
 
 def repeated(df: DataFrame, times: int) -> DataFrame:

@@ -121,8 +121,8 @@ def frame_window(df: DataFrame, scope: int, key: str = "video_id", order: str =
     """(key, frame, ref): the frames up to ``scope`` positions around each, but itself."""
     frames = df.select(key, order).distinct()
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-scope, scope)
-    near = F.array_except(F.collect_list(order).over(w), F.array(F.col(order)))
-    return frames.select(key, F.col(order), F.explode(near).alias("ref"))
+    near = frames.withColumn("_near", F.collect_list(order).over(w))
+    return near.select(key, order, F.explode("_near").alias("ref")).filter(F.col("ref") != F.col(order))
 
 
 def best_matches(gt: DataFrame, detections: DataFrame, frame: list[str], least: float = 0.5) -> DataFrame:

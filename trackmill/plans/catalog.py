@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackmill.plans import geometry_queries  # noqa: F401
+from trackmill.plans import geometry_queries, relational_queries  # noqa: F401
 from trackmill.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
