@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackmill.sources.scratch import kept
+
 SECTIONS = ("videos", "images", "annotations", "tracks", "categories")
 RECORD = """section string, ord long, n long, id string, id_ok boolean, name string, synset string, frequency string, video string, file_name string,
 width double, height double, length double, video_id string, image_id string, track_id string, category_id string,
@@ -132,12 +134,8 @@ class Dataset:
 
     @staticmethod
     def read(spark: SparkSession, path: str, table: str | None = None) -> Dataset:
-        """Read documents; with ``table`` their rows are kept there as Parquet, by section."""
-        rows = read_document(spark, path)
-        if table:
-            rows.write.mode("overwrite").partitionBy("section").parquet(table)
-            rows = spark.read.schema(rows.schema).parquet(table)
-        return Dataset(rows)
+        """Read documents once: their rows are kept as Parquet by section, in ``table`` or a scratch folder."""
+        return Dataset(kept(read_document(spark, path), "annotations", table, "section"))
 
     @staticmethod
     def of(spark: SparkSession, **tables: DataFrame) -> Dataset:
