@@ -44,7 +44,8 @@ def track_stream(detections: DataFrame, config: dict) -> DataFrame:
                 kept.append(part)
         state.update((pickle.dumps(tracker), pickle.dumps(kept), last))
         names = [c.split()[0] for c in RESULT.split(", ")]
-        yield pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+        if out:
+            yield pd.concat(out)[names]
 
     needed = detections.select(*COLUMNS, "complete")
     return needed.groupBy("video_id").applyInPandasWithState(update, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
@@ -62,7 +63,8 @@ def screen_stream(events: DataFrame, gap_seconds: float, key: str = "user_id", t
                 rows.append((k[0], before, now, (now - before).total_seconds()))
             before = now if before is None else max(before, now)
         state.update((before.to_pydatetime(),))
-        yield pd.DataFrame(rows, columns=["key", "previous", "ts", "gap"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["key", "previous", "ts", "gap"])
 
     schema = f"key {events.schema[key].dataType.simpleString()}, previous timestamp, ts timestamp, gap double"
     return events.select(key, time).groupBy(key).applyInPandasWithState(update, schema, "last timestamp", "append", GroupStateTimeout.NoTimeout)
