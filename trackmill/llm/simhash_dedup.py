@@ -291,7 +291,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     star = materialize(star, "groups")
     linked = reps.join(star.withColumnRenamed("node", "fp"), "fp", "left")
     linked = materialize(linked.select("fp", "rep", F.coalesce("root", "fp").alias("root")), "classes")
-    least = linked.groupBy("root").agg(F.min("rep").alias("component"))
+    # written, so that the join below has plain exchanges on both sides and a huge group can be split
+    least = materialize(linked.groupBy("root").agg(F.min("rep").alias("component")), "components")
     named = linked.join(least, "root").select("fp", "component")
     return prints.join(named, "fp").select("key", "fp", "component")
 
