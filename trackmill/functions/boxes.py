@@ -21,7 +21,9 @@ class Box:
 
     @staticmethod
     def corners(prefix: str = "") -> Box:
-        return Box(*(F.col(prefix + c) for c in ("x1", "y1", "x2", "y2")))
+        """The box of the columns x1 .. y2 with a prefix; columns are made when they are used, so that a
+        box can be named before there is a session."""
+        return _Corners(prefix)
 
     @staticmethod
     def xywh(x, y, w, h) -> Box:
@@ -52,6 +54,16 @@ class Box:
         return [self.x1, self.y1, self.w, self.h]
 
 
+class _Corners(Box):
+    def __init__(self, prefix: str):
+        object.__setattr__(self, "prefix", prefix)
+
+    x1 = property(lambda self: F.col(self.prefix + "x1"))
+    y1 = property(lambda self: F.col(self.prefix + "y1"))
+    x2 = property(lambda self: F.col(self.prefix + "x2"))
+    y2 = property(lambda self: F.col(self.prefix + "y2"))
+
+
 def _hull(a: Box, b: Box) -> Box:
     return Box(F.least(a.x1, b.x1), F.least(a.y1, b.y1), F.greatest(a.x2, b.x2), F.greatest(a.y2, b.y2))
 

@@ -177,3 +177,24 @@ def balance_factors(annotations: DataFrame, threshold: float, image: str = "imag
     share = seen.groupBy(category).agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(total))
     factor = share.select(category, F.greatest(F.lit(1.0), F.sqrt(threshold / (F.col("_n") / F.col("_total")))).alias("_f"))
     return seen.join(factor, category).groupBy(image).agg(F.ceil(F.max("_f")).alias("factor"))
+
+
+def original_frames(frames: DataFrame, ratio: float, seed: int = 42, key: str = "video_id", frame: str = "frame_id") -> DataFrame:
+    """(key, frame): a video's original frames (is_ori) and int(n * ratio) of its others, drawn without
+    replacement by the standard generator with the same seed for every video; all if there are fewer.
+
+    A group is one video's frame numbers, which fit in a task however many videos there are.
+    """
+    import random
+
+    import pandas as pd
+
+    def draw(part: pd.DataFrame) -> pd.DataFrame:
+        chosen = part.loc[part["is_ori"], frame].tolist()
+        others = list(set(part[frame].tolist()) - set(chosen))
+        n = int(len(chosen) * ratio)
+        extra = others if len(others) < n else random.Random(seed).sample(others, n)
+        return pd.DataFrame({key: part[key].iloc[0], frame: sorted(chosen + extra)})
+
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
+    return frames.groupBy(key).applyInPandas(draw, f"{key} {kinds[key]}, {frame} {kinds[frame]}")

@@ -155,33 +155,32 @@ on_boxes("GEO-19", _geo_19, {"wx1": "1.5 * x1 + 0.25 * y1 + 3", "wy1": "-0.25 *
 
 # --- vectors ------------------------------------------------------------------------------------
 
-va, vb = F.col("a"), F.col("b")
 DOT, NA, NB = "list_dot_product(a, b)", "sqrt(list_dot_product(a, a))", "sqrt(list_dot_product(b, b))"
 COS = f"({DOT} / (greatest({NA}, 1e-12) * greatest({NB}, 1e-12)))"
 
 on_pairs(
     "VEC-1",
-    lambda: {"dot": r6(V.similarity(va, vb)), "cosine": r6(V.similarity(va, vb, "cosine")), "warm_cosine": r6(V.similarity(va, vb, "cosine", 0.5)), "warm_dot": r6(V.similarity(va, vb, temperature=2.0))},
+    lambda: {"dot": r6(V.similarity(F.col("a"), F.col("b"))), "cosine": r6(V.similarity(F.col("a"), F.col("b"), "cosine")), "warm_cosine": r6(V.similarity(F.col("a"), F.col("b"), "cosine", 0.5)), "warm_dot": r6(V.similarity(F.col("a"), F.col("b"), temperature=2.0))},
     {"dot": f"round({DOT}, 6)", "cosine": f"round({COS}, 6)", "warm_cosine": f"round({COS} / 0.5, 6)", "warm_dot": f"round({DOT} * 2, 6)"},
 )
-on_pairs("VEC-2", lambda: {"distance": r6(V.cosine_distance(va, vb))}, {"distance": f"round(greatest(0.0, 1 - {COS}), 6)"})
-on_pairs("VEC-3", lambda: {"distance": r6(V.euclidean(va, vb))}, {"distance": "round(list_distance(a, b), 6)"})
-on_pairs("VEC-4", lambda: {"likeness": r6(V.unit_cosine(va, vb))}, {"likeness": f"round((1 + {COS}) / 2, 6)"})
+on_pairs("VEC-2", lambda: {"distance": r6(V.cosine_distance(F.col("a"), F.col("b")))}, {"distance": f"round(greatest(0.0, 1 - {COS}), 6)"})
+on_pairs("VEC-3", lambda: {"distance": r6(V.euclidean(F.col("a"), F.col("b")))}, {"distance": "round(list_distance(a, b), 6)"})
+on_pairs("VEC-4", lambda: {"likeness": r6(V.unit_cosine(F.col("a"), F.col("b")))}, {"likeness": f"round((1 + {COS}) / 2, 6)"})
 
 
 @query("VEC-5", oracle(f"SELECT frame_id, i, j, round((e / (sum(e) OVER (PARTITION BY frame_id, i) + 1e-6) + e / (sum(e) OVER (PARTITION BY frame_id, j) + 1e-6)) / 2, 6) AS score FROM (SELECT *, exp({DOT}) AS e FROM pairs)"))
 def vec_5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = vector_pairs(spark, sf_dir).select("frame_id", "i", "j", V.dot(va, vb).alias("s"))
+    p = vector_pairs(spark, sf_dir).select("frame_id", "i", "j", V.dot(F.col("a"), F.col("b")).alias("s"))
     return p.select("frame_id", "i", "j", r6(V.bi_softmax(p, "s", ["frame_id"], "i", "j")).alias("score"))
 
 
 @query("VEC-6", oracle(f"SELECT frame_id, i, j, round((e / (sum(e) OVER (PARTITION BY frame_id, i) + 1e-6) + e / (sum(e) OVER (PARTITION BY frame_id, j) + 1e-6)) / 2, 6) AS score FROM (SELECT *, CASE WHEN label_i = label_j THEN exp({DOT}) ELSE 0.0 END AS e FROM pairs)"))
 def vec_6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = vector_pairs(spark, sf_dir).select("frame_id", "i", "j", "label_i", "label_j", V.dot(va, vb).alias("s"))
+    p = vector_pairs(spark, sf_dir).select("frame_id", "i", "j", "label_i", "label_j", V.dot(F.col("a"), F.col("b")).alias("s"))
     return p.select("frame_id", "i", "j", r6(V.bi_softmax(p, "s", ["frame_id"], "i", "j", F.col("label_i") == F.col("label_j"))).alias("score"))
 
 
-on_pairs("VEC-7", lambda: {"score": r6(V.gated(V.cosine(va, vb), V.dot(va, vb), 0.1))}, {"score": f"CASE WHEN {DOT} > 0.1 THEN round({COS}, 6) ELSE 0.0 END"})
+on_pairs("VEC-7", lambda: {"score": r6(V.gated(V.cosine(F.col("a"), F.col("b")), V.dot(F.col("a"), F.col("b")), 0.1))}, {"score": f"CASE WHEN {DOT} > 0.1 THEN round({COS}, 6) ELSE 0.0 END"})
 
 
 @query(
@@ -196,7 +195,7 @@ on_pairs("VEC-7", lambda: {"score": r6(V.gated(V.cosine(va, vb), V.dot(va, vb),
     ),
 )
 def vec_8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = vector_pairs(spark, sf_dir).select("frame_id", "i", "j", V.dot(va, vb).alias("s"))
+    p = vector_pairs(spark, sf_dir).select("frame_id", "i", "j", V.dot(F.col("a"), F.col("b")).alias("s"))
     return V.cycle_consistency(p, "s", ["frame_id"], "i", "j").select("frame_id", "i", r6(F.col("consistency")).alias("consistency"))
 
 
@@ -221,7 +220,7 @@ on_steps(
 
 @query("VEC-12", oracle(f"SELECT frame_id, i, j, round(exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY frame_id, i), 6) AS p FROM (SELECT *, max(s) OVER (PARTITION BY frame_id, i) AS m FROM (SELECT frame_id, i, j, {COS} / 0.07 AS s FROM pairs))"))
 def vec_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = vector_pairs(spark, sf_dir).select("frame_id", "i", "j", (V.cosine(va, vb) / 0.07).alias("s"))
+    p = vector_pairs(spark, sf_dir).select("frame_id", "i", "j", (V.cosine(F.col("a"), F.col("b")) / 0.07).alias("s"))
     return p.select("frame_id", "i", "j", r6(V.softmax_over(F.col("s"), Window.partitionBy("frame_id", "i"))).alias("p"))
 
 
@@ -251,7 +250,7 @@ FROM (SELECT *, max(s) OVER (PARTITION BY frame_id, i) AS m FROM (SELECT frame_i
 )
 def mth_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Losses as measures over pairs: supervised contrastive (log-sum-exp less the mean of positives) and L2."""
-    p = vector_pairs(spark, sf_dir).select("frame_id", "i", "label_i", "label_j", V.cosine(va, vb).alias("s"))
+    p = vector_pairs(spark, sf_dir).select("frame_id", "i", "label_i", "label_j", V.cosine(F.col("a"), F.col("b")).alias("s"))
     p = p.withColumn("lse", V.log_sum_exp(F.col("s"), Window.partitionBy("frame_id", "i")))
     same = F.col("label_i") == F.col("label_j")
     target = F.when(same, 1.0).otherwise(0.0)

@@ -14,7 +14,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(text, r"[ \t]+\n", "\n")), "\n")
+    return F.split(F.regexp_replace(F.regexp_replace(text, r"[ \t]+(?=\n)", ""), r"^\s+|\s+$", ""), "\n")
 
 
 def _tokens(line: Column) -> Column:
