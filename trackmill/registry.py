@@ -38,6 +38,8 @@ def operator(name: str) -> Callable[[Callable], Callable]:
 
 def build(config: dict):
     """The operator that ``config['type']`` names, made with the other entries."""
+    from trackmill.operators import tracking  # noqa: F401  registers the library's own
+
     options = dict(config)
     name = options.pop("type")
     if name not in OPERATORS:
