@@ -134,11 +134,27 @@ def chunked(df: DataFrame, size: int, min_length: int = 0, key: str = "video_id"
     return out.drop("_n", "_all")
 
 
-def shard_starts(videos: DataFrame, n: int, start: str = "start", total: str = "total") -> DataFrame:
-    """(shard, start): for each shard the video start nearest to its even share, the first of several."""
-    shards = videos.sparkSession.range(n).select(F.col("id").alias("shard"))
+def shard_starts(videos: DataFrame, n: int, start: str = "start", size: str = "size", total: str = "total") -> DataFrame:
+    """(shard, start): for each shard the video start nearest to its even share, the first of several.
+
+    A shard's share falls into one video, whose start and end are the only candidates.
+    """
+    per = F.col(total) / n
+    low, high = F.ceil(F.col(start) / per), F.least(F.floor((F.col(start) + F.col(size)) / per), F.lit(n - 1))
+    inside = videos.filter(low <= high).select(start, size, total, F.explode(F.sequence(low, high)).alias("shard"))
+    ends = F.array(F.col(start), F.when(F.col(start) + F.col(size) < F.col(total), F.col(start) + F.col(size)))
+    near = inside.select("shard", total, F.explode(F.array_compact(ends)).alias(start))
     gap = F.abs(F.col(start) - F.col("shard") * F.col(total) / n)
-    return videos.crossJoin(F.broadcast(shards)).groupBy("shard").agg(F.min_by(start, F.struct(gap, F.col(start))).alias(start))
+    return near.groupBy("shard").agg(F.min_by(start, F.struct(gap, F.col(start))).alias(start))
+
+
+def trident(df: DataFrame, scope: int, key: str = "video_id", frame: str = "frame_id", track: str = "track_id") -> DataFrame:
+    """(key, frame, before, after): for each frame the farthest one within ``scope`` on either side that
+    shares a track with it, or the frame itself where there is none."""
+    seen = df.select(key, frame, track).distinct()
+    w = Window.partitionBy(key, track).orderBy(frame)
+    near = seen.withColumn("before", F.min(frame).over(w.rangeBetween(-scope, -1))).withColumn("after", F.max(frame).over(w.rangeBetween(1, scope)))
+    return near.groupBy(key, frame).agg(F.coalesce(F.min("before"), F.col(frame)).alias("before"), F.coalesce(F.max("after"), F.col(frame)).alias("after"))
 
 
 def global_rank(df: DataFrame, order: str, name: str = "rank", block: int = 1 << 20) -> DataFrame:

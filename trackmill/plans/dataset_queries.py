@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +17,7 @@ from trackmill.sources import files as S
 from trackmill.sources import sinks as K
 from trackmill.sources.adapters import boxes, oracle
 from trackmill.sources.annotations import Dataset, category_split, known_filtered, nonfinite, still_image_name
+from trackmill.sources.scratch import scratch_dir
 
 FRAME = ["video_id", "frame_id"]
 
@@ -286,6 +288,17 @@ def src_19b(spark, sf_dir):
     return A.balance_factors(e, 0.9).withColumnRenamed("image_id", "user_id")
 
 
+@query("SRC-13", oracle("SELECT corrupt, count(*) AS n FROM (SELECT n_regionkey = 1 AS corrupt FROM nation) GROUP BY corrupt"))
+def src_13(spark, sf_dir):
+    """Detection files, some of which cannot be parsed: kept and marked."""
+    path = f"{scratch_dir(spark)}/detections-{uuid.uuid4().hex}"
+    good = F.to_json(F.struct(F.col("n_name").alias("file_name")))
+    n = read(spark, sf_dir, "nation").select(F.when(F.col("n_regionkey") == 1, "{broken").otherwise(good))
+    n.repartition(25, F.rand(1)).write.text(path)
+    rows = spark.read.text(path).select(F.from_json("value", "file_name string, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    return rows.groupBy(F.col("r._corrupt").isNotNull().alias("corrupt")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- sinks --------------------------------------------------------------------------------------
 
 
@@ -294,6 +307,32 @@ def _predictions(spark, sf_dir) -> DataFrame:
     return b.withColumn("track_id", F.when(F.col("ord") % 6 == 0, -1).otherwise(F.col("track_id") % 50)).withColumn("label", F.col("category_id"))
 
 
+@query("SNK-1", oracle("SELECT 'FAIL' AS status, count(*) AS annotations FROM boxes"))
+def snk_1(spark, sf_dir):
+    """The report of the checks, as JSON text."""
+    report = Checks(dataset(spark, sf_dir)).report()
+    text = spark.createDataFrame([(json.dumps(report, sort_keys=True, allow_nan=False),)], "r string")
+    return text.select(F.get_json_object("r", "$.status").alias("status"), F.get_json_object("r", "$.counts.annotations").cast("long").alias("annotations"))
+
+
+@query("SNK-2", oracle("SELECT 'low_iou' AS flag_type, '0.9' AS threshold, count(*) AS n FROM steps WHERE " + f"{_I} / ({_A} + {_B} - {_I}) < 0.9"))
+def snk_2(spark, sf_dir):
+    """Temporal flags written as CSV and read back."""
+    path = f"{scratch_dir(spark)}/flags-{uuid.uuid4().hex}"
+    o = boxes(spark, sf_dir).select("video_id", "track_id", F.col("frame_id").alias("image_id"), "ord", F.col("frame_id").alias("frame"), F.array("x1", "y1", "w", "h").alias("bbox"), F.lit(None).cast("double").alias("visibility"))
+    K.write_flags(temporal_screens(o, _T).filter("flag_type = 'low_iou'"), path)
+    return spark.read.option("header", True).csv(path).groupBy("flag_type", "threshold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SNK-10", oracle("SELECT n_nationkey, 2 AS n FROM nation"))
+def snk_10(spark, sf_dir):
+    """A log table that two writers append to."""
+    path = f"{scratch_dir(spark)}/log-{uuid.uuid4().hex}"
+    for _ in range(2):
+        K.append_log(read(spark, sf_dir, "nation"), path)
+    return spark.read.parquet(path).groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SNK-3", oracle("SELECT video_id * 50 + frame_id AS image_id, [x1, y1, w, h] AS bbox, score, category_id + 1 AS category_id FROM boxes"))
 def snk_3(spark, sf_dir):
     labels = spark.range(5).select(F.col("id").alias("label"), (F.col("id") + 1).alias("category_id"))
@@ -436,7 +475,7 @@ def evl_9(spark, sf_dir):
 @query("EVL-10", oracle("SELECT s AS score_limit, m AS max_boxes, count(*) AS n FROM (SELECT s, m, row_number() OVER (PARTITION BY s, m, video_id, frame_id ORDER BY score DESC, ord) AS r FROM boxes, (SELECT unnest([0.37, 0.5]::DOUBLE[]) AS s), (SELECT unnest([5, 20]) AS m) WHERE score > s) WHERE r <= m GROUP BY ALL"))
 def evl_10(spark, sf_dir):
     """A grid of score limits and box limits, one row of results per run."""
-    grid = spark.createDataFrame([(s, m) for s in (0.37, 0.5) for m in (5, 20)], "score_limit double, max_boxes int")
-    runs = boxes(spark, sf_dir).crossJoin(F.broadcast(grid)).filter("score > score_limit")  # a few rows of parameters
+    grid = F.array(*[F.struct(F.lit(s).alias("score_limit"), F.lit(m).alias("max_boxes")) for s in (0.37, 0.5) for m in (5, 20)])
+    runs = boxes(spark, sf_dir).withColumn("run", F.explode(grid)).select("*", "run.*").filter("score > score_limit")
     w = Window.partitionBy("score_limit", "max_boxes", *FRAME).orderBy(F.col("score").desc(), "ord")
     return runs.withColumn("r", F.row_number().over(w)).filter("r <= max_boxes").groupBy("score_limit", "max_boxes").agg(F.count(F.lit(1)).alias("n"))

@@ -513,6 +513,12 @@ def top_2(spark, sf_dir):
     return A.top_per_frame(A.top_per_frame(boxes(spark, sf_dir), 4, [*FRAME, "category_id"]), 10, FRAME).select("ord")
 
 
+@query("TOP-3", oracle("SELECT ord FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id ORDER BY score DESC, ord) AS n FROM boxes WHERE score > 0.05) WHERE n <= 20"))
+def top_3(spark, sf_dir):
+    """The best of each frame over a score limit."""
+    return A.top_per_frame(boxes(spark, sf_dir).filter("score > 0.05"), 20, FRAME).select("ord")
+
+
 @query("TOP-4", oracle("SELECT ord FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id ORDER BY score DESC, ord) AS n FROM boxes) WHERE n <= 6"))
 def top_4(spark, sf_dir):
     return A.top_per_frame(boxes(spark, sf_dir), 6, FRAME).select("ord")
@@ -571,6 +577,12 @@ def smp_5(spark, sf_dir):
     return A.contiguous_crop(boxes(spark, sf_dir), 20, F.col("video_id") * 7).select("ord")
 
 
+@query("SMP-6", oracle("SELECT video_id, frame_id, greatest(frame_id - 3, 0) AS before, least(frame_id + 3, m) AS after FROM (SELECT DISTINCT video_id, frame_id, max(frame_id) OVER (PARTITION BY video_id) AS m FROM boxes)"))
+def smp_6(spark, sf_dir):
+    """Each frame with one before and one after it that share a track."""
+    return A.trident(boxes(spark, sf_dir), 3)
+
+
 @query("SMP-8", oracle("SELECT ord FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, ord) AS n, count(*) FILTER (score < 0.2) OVER (PARTITION BY track_id) AS positives FROM boxes) WHERE n <= least(positives * 2, 8)"))
 def smp_8(spark, sf_dir):
     """Hard negatives by cost, no more than twice the positives and eight."""
@@ -589,7 +601,7 @@ def smp_9(spark, sf_dir):
 def smp_10(spark, sf_dir):
     """Contiguous shards that start where a video starts, nearest to even shares."""
     o = A.global_rank(read(spark, sf_dir, "orders").select("o_custkey", (F.col("o_custkey") * 4294967296 + F.col("o_orderkey")).alias("k")), "k", "rank", block=1 << 42)
-    videos = o.groupBy("o_custkey").agg(F.min("rank").alias("start"), F.max("n_rows").alias("total"))
+    videos = o.groupBy("o_custkey").agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("size"), F.max("n_rows").alias("total"))
     return A.shard_starts(videos, 4)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trackmill.functions.boxes import ASSOCIATIONS, Box
 from trackmill.operators import kernels as K
-from trackmill.operators.aggregates import majority_category
+from trackmill.operators.aggregates import majority_category, split_means
 from trackmill.operators.suppression import greedy_nms, remove_distractors
 from trackmill.operators.tracking import track
 from trackmill.plans import metrics as M
@@ -156,6 +156,27 @@ def kal_2(spark, sf_dir):
     return _tracks(boxes(spark, sf_dir), ["ord", *BOX, "score"], fold, "ord long, x1 double, y1 double, x2 double, y2 double, score double")
 
 
+@query("KAL-3")
+def kal_3(spark, sf_dir):
+    """Smoothed positions along x: the filter's states corrected by those after them. A group is one
+    track of one video."""
+    f, q, h = np.array([[1.0, 1.0], [0.0, 1.0]]), np.eye(2) * 0.1, np.array([[1.0, 0.0]])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("frame_id")
+        x, p, means, covs = np.array([part["x1"].iloc[0], 0.0]), np.eye(2) * 100, [], []
+        for z in part["x1"]:
+            gain = p @ h.T / (h @ p @ h.T + 1)
+            x, p = x + gain @ (z - h @ x), p - gain @ h @ p
+            means.append(x)
+            covs.append(p)
+            x, p = f @ x, f @ p @ f.T + q
+        smooth, _ = K.smooth(f, q, np.array(means), np.array(covs))
+        return pd.DataFrame({"ord": part["ord"], "x": smooth[:, 0], "speed": smooth[:, 1]})
+
+    return boxes(spark, sf_dir).select("track_id", "frame_id", "ord", "x1").groupBy("track_id").applyInPandas(run, "ord long, x double, speed double")
+
+
 @query("WIN-6", oracle("SELECT ord, coalesce(lag(x1, 3) OVER w, lag(x1, 2) OVER w, lag(x1, 1) OVER w, x1) AS x1 FROM boxes WINDOW w AS (PARTITION BY track_id ORDER BY frame_id)"))
 def win_6(spark, sf_dir):
     """The observation three steps back, else the oldest within reach, else the newest."""
@@ -191,6 +212,28 @@ def sta_1(spark, sf_dir):
     return out.filter("track_id > -1").groupBy("video_id").agg(F.count_distinct("track_id").alias("ids"))
 
 
+@query("STA-2")
+def sta_2(spark, sf_dir):
+    """Tracks that die while tentative: ids of at most two boxes, when each object is seen on two frames of three."""
+    seen = detections(spark, sf_dir).filter("frame_id % 3 <> 2")
+    out = track(seen, {"type": "sort"}).filter("track_id > -1").groupBy("video_id", "track_id").agg(F.count(F.lit(1)).alias("n"))
+    return out.groupBy("video_id").agg(F.count_if(F.col("n") <= 2).alias("tentative"), F.count(F.lit(1)).alias("tracks"))
+
+
+@query("STA-3")
+def sta_3(spark, sf_dir):
+    """New ids are consecutive from 0 in each video: their number is the largest plus one."""
+    out = track(detections(spark, sf_dir), {"type": "memo"}).filter("track_id > -1")
+    return out.groupBy("video_id").agg(F.count_distinct("track_id").alias("ids"), (F.max("track_id") + 1).alias("next_id"))
+
+
+@query("STA-4")
+def sta_4(spark, sf_dir):
+    """Ids start anew with each video."""
+    out = track(detections(spark, sf_dir), {"type": "memo"}).filter("track_id > -1")
+    return out.groupBy("video_id").agg(F.min("track_id").alias("first_id"))
+
+
 @query("CLU-1")
 def clu_1(spark, sf_dir):
     """k-means with ten clusters: cluster sizes."""
@@ -208,13 +251,19 @@ def clu_2(spark, sf_dir):
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("ord")
-        label = K.dbscan(part[["x1", "y1"]].to_numpy() / 640.0)
+        label = K.dbscan(part[["x1", "y1"]].to_numpy() / 640.0, 0.12)
         best = np.bincount(label[label >= 0]).argmax() if (label >= 0).any() else -1
         return pd.DataFrame({"ord": part["ord"], "cluster": label, "largest": (label == best) & (label >= 0)})
 
     return boxes(spark, sf_dir).select(*FRAME, "ord", "x1", "y1").groupBy(*FRAME).applyInPandas(run, "ord long, cluster long, largest boolean")
 
 
+@query("CLU-3")
+def clu_3(spark, sf_dir):
+    """The members of each frame's largest cluster."""
+    return clu_2(spark, sf_dir).filter("largest").select("ord")
+
+
 @query("UDX-2", oracle("SELECT 'ciou, diou, giou, height_modulated_iou, iou' AS measures, count(*) AS n FROM steps"))
 def udx_2(spark, sf_dir):
     """All association measures by name over neighbouring boxes."""
@@ -255,6 +304,44 @@ def evl_2b(spark, sf_dir):
     return M.mot_metrics(M.mot_counts(M.clear_events(gt, gt), [])).select("IDF1", "MOTA", "MOTP", "FP", "FN", "IDSw", "MT")
 
 
+@query("EVL-3")
+def evl_3(spark, sf_dir):
+    """The summary as text lines, one per class and two over all."""
+    r = evl_2(spark, sf_dir)
+    cells = F.concat_ws(" ", *[F.format_string("%-8.3f", F.col(c).cast("double")) for c in r.columns[1:]])
+    return r.select(F.format_string("%-10s %s", "category_id", cells).alias("line"))
+
+
+@query("EVL-4")
+def evl_4(spark, sf_dir):
+    """Evaluation per video."""
+    return M.mot_metrics(M.mot_counts(_events(spark, sf_dir), ["video_id"]))
+
+
+@query("EVL-6")
+def evl_6(spark, sf_dir):
+    """Evaluation with classes by name."""
+    names = spark.createDataFrame([(0, "even"), (1, "odd")], "category_id long, category string")
+    return M.mot_metrics(M.mot_counts(_events(spark, sf_dir), ["category_id"])).join(F.broadcast(names), "category_id").drop("category_id")
+
+
+@query("EVL-7", oracle("SELECT split, 1.0::DOUBLE AS \"MOTA\" FROM (VALUES ('base'), ('combined'), ('novel')) v(split)"))
+def evl_7(spark, sf_dir):
+    """Means of a metric over base, novel and all classes, of a result equal to the truth."""
+    gt = boxes(spark, sf_dir).withColumn("category_id", F.col("track_id") % 4)
+    per = M.mot_metrics(M.mot_counts(M.clear_events(gt, gt), ["category_id"]))
+    return split_means(per.withColumn("split", F.when(F.col("category_id") > 2, "novel").otherwise("base")), ["MOTA"])
+
+
+@query("EVL-8")
+def evl_8(spark, sf_dir):
+    """Two result sets evaluated in one job: runs are told apart by the video number."""
+    gt = boxes(spark, sf_dir).withColumn("category_id", F.lit(0).cast("long")).withColumn("run", F.explode(F.array(F.lit(0), F.lit(1))))
+    gt = gt.withColumn("video_id", F.col("video_id") * 2 + F.col("run"))
+    events = M.clear_events(gt, gt.filter("run = 0 OR ord % 10 <> 0"))
+    return M.mot_metrics(M.mot_counts(events, ["video_id"])).groupBy((F.col("video_id") % 2).alias("run")).agg(F.avg("Rcll").alias("recall"), F.sum("FN").alias("missed"))
+
+
 @query("EVL-5", oracle("SELECT " + ", ".join(f'1.0::DOUBLE AS "{m}"' for m in M.TETA)))
 def evl_5(spark, sf_dir):
     """The ten numbers of a result equal to the truth."""

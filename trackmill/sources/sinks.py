@@ -16,7 +16,7 @@ def bbox_record(extra: list[str] = ()) -> list[Column]:
 
 def detection_records(detections: DataFrame, labels: DataFrame) -> DataFrame:
     """Detections by label, as records of their category; labels: (label, category_id)."""
-    return detections.drop("category_id").join(F.broadcast(labels), "label").select(*bbox_record())
+    return detections.drop("category_id").join(labels, "label").select(*bbox_record())
 
 
 def track_records(tracks: DataFrame, majority: bool = True) -> DataFrame:
@@ -32,7 +32,7 @@ def image_labels(images: DataFrame, predictions: DataFrame, categories: DataFram
     """
     b = Box.corners()
     label = F.struct(F.col("ord"), F.col("track_id").cast("string").alias("id"), "score", "category", F.struct(b.x1.alias("x1"), b.y1.alias("y1"), b.x2.alias("x2"), b.y2.alias("y2")).alias("box2d"))
-    grouped = predictions.drop("category").join(F.broadcast(categories), "category_id").groupBy("image_id").agg(F.array_sort(F.collect_list(label)).alias("l"))
+    grouped = predictions.drop("category").join(categories, "category_id").groupBy("image_id").agg(F.array_sort(F.collect_list(label)).alias("l"))
     fields = lambda s: F.struct(s["id"].alias("id"), s["score"].alias("score"), s["category"].alias("category"), s["box2d"].alias("box2d"))
     joined = images.join(grouped, "image_id", "left")
     labels = F.coalesce(F.transform("l", fields), F.array())
@@ -44,7 +44,7 @@ def export_detections(predictions: DataFrame, categories: DataFrame) -> DataFram
     from trackmill.operators.aggregates import global_rank
 
     ranked = global_rank(predictions, "ord", "_rank").withColumn("id", F.col("_rank") + 1)
-    return ranked.drop("category").join(F.broadcast(categories), "category_id").select("image_id", F.col("id").cast("string").alias("id"), "category", "score", *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    return ranked.drop("category").join(categories, "category_id").select("image_id", F.col("id").cast("string").alias("id"), "category", "score", *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 def mask_order(predictions: DataFrame) -> DataFrame:
