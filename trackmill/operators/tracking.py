@@ -268,9 +268,10 @@ class _Observed:
 
     @classmethod
     def directions(cls, a, b) -> np.ndarray:
-        """Unit vectors (dy, dx) of the four corners from a to b."""
-        out = np.array([(b[y] - a[y], b[x] - a[x]) for x, y in cls.CORNERS])
-        return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-6)
+        """Unit vectors (dy, dx) of the four corners from a to b, or to each row of b."""
+        b = np.asarray(b)
+        out = np.stack([np.stack([b[..., y] - a[y], b[..., x] - a[x]], -1) for x, y in cls.CORNERS], -2)
+        return out / (np.linalg.norm(out, axis=-1, keepdims=True) + 1e-6)
 
 
 @operator("hybrid_sort")
@@ -302,9 +303,8 @@ class HybridTracker(Tracker):
             ref = t.reference()
             if ref is None:
                 continue
-            for i, b in enumerate(boxes):
-                cos = np.clip((_Observed.directions(ref, b) * t.velocity).sum(1), -1, 1)
-                out[i, j] = ((np.pi / 2 - np.abs(np.arccos(cos))) / np.pi).sum() * self.inertia * scores[i]
+            cos = np.clip((_Observed.directions(ref, boxes) * t.velocity).sum(-1), -1, 1)
+            out[:, j] = ((np.pi / 2 - np.abs(np.arccos(cos))) / np.pi).sum(-1) * self.inertia * scores
         return out
 
     def step(self, f: Frame) -> np.ndarray:
@@ -392,6 +392,18 @@ def tracked(rows: pd.DataFrame, tracker: Tracker) -> pd.DataFrame:
     return rows.assign(track_id=ids)[["video_id", "frame_id", "ord", "track_id", "category_id", "x1", "y1", "x2", "y2", "score"]]
 
 
+def frames_of(batch: pd.DataFrame, keys: list[str]) -> list[pd.DataFrame]:
+    """The consecutive pieces of a sorted batch with equal keys, as views."""
+    if not len(batch):
+        return []
+    new = np.zeros(len(batch) - 1, bool)
+    for k in keys:
+        v = batch[k].to_numpy()
+        new |= v[1:] != v[:-1]
+    cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(batch)]
+    return [batch.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def track(detections: DataFrame, config: dict) -> DataFrame:
     """All detections with track ids, a tracker per video; -1 where none was given."""
 
@@ -399,7 +411,7 @@ def track(detections: DataFrame, config: dict) -> DataFrame:
         tracker, video, held = None, None, None
         for batch in batches:
             batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            frames = [rows for _, rows in batch.groupby(["video_id", "frame_id"], sort=False)]
+            frames = frames_of(batch, ["video_id", "frame_id"])
             held = frames.pop() if frames else None  # the last frame may go on in the next batch
             out = []
             for rows in frames:

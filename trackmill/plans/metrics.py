@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.operators import kernels as K
+from trackmill.operators.tracking import frames_of
+from trackmill.sources.scratch import kept
 
 SCOPE = ["video_id", "category_id"]
 EVENT = "video_id long, category_id long, frame_id long, kind string, gt long, pred long, distance double"
@@ -36,14 +39,17 @@ class ClearMatcher:
         out = [("RAW", int(gt_ids[i]), int(pred_ids[j]), float(d[i, j])) for i, j in np.argwhere(np.isfinite(d))]
         place = {int(p): j for j, p in enumerate(pred_ids)}
         pairs: dict[int, int] = {}
+        taken: set[int] = set()
         for i, g in enumerate(gt_ids.tolist()):
             j = place.get(self.now.get(g, -(1 << 62)))
-            if j is not None and np.isfinite(d[i, j]) and j not in pairs.values():
+            if j is not None and np.isfinite(d[i, j]) and j not in taken:
                 pairs[i] = j
+                taken.add(j)
         rows = np.array([i for i in range(len(gt_ids)) if i not in pairs], int)
-        columns = np.array([j for j in range(len(pred_ids)) if j not in pairs.values()], int)
+        columns = np.array([j for j in range(len(pred_ids)) if j not in taken], int)
         for i, j in K.assign(d[np.ix_(rows, columns)]):
             pairs[int(rows[i])] = int(columns[j])
+            taken.add(int(columns[j]))
         self.now = {}
         for i, g in enumerate(gt_ids.tolist()):
             if i not in pairs:
@@ -53,7 +59,7 @@ class ClearMatcher:
             kind = "SWITCH" if g in self.last and self.last[g] != p else "MATCH"
             out.append((kind, g, p, float(d[i, pairs[i]])))
             self.now[g] = self.last[g] = p
-        out += [("FP", None, int(p), None) for j, p in enumerate(pred_ids.tolist()) if j not in pairs.values()]
+        out += [("FP", None, int(p), None) for j, p in enumerate(pred_ids.tolist()) if j not in taken]
         return out
 
 
@@ -65,32 +71,26 @@ def clear_events(gt: DataFrame, predictions: DataFrame, ignore: DataFrame | None
     if ignore is not None:
         rows = rows.unionByName(side(ignore, "ignore"))
 
-    def frame(part: pd.DataFrame, matcher: ClearMatcher) -> pd.DataFrame:
-        pick = lambda s: part[part["side"] == s]
-        g, p, i = pick("gt"), pick("pred"), pick("ignore")
-        found = matcher.step(g["track_id"].to_numpy(), g[BOX].to_numpy(float), p["track_id"].to_numpy(), p[BOX].to_numpy(float), i[BOX].to_numpy(float))
-        out = pd.DataFrame(found, columns=["kind", "gt", "pred", "distance"]).astype({"gt": "Int64", "pred": "Int64", "distance": "float64"})
-        for c in (*SCOPE, "frame_id"):
-            out[c] = part[c].iloc[0]
-        return out[["video_id", "category_id", "frame_id", "kind", "gt", "pred", "distance"]]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher, scope, held = None, None, None
-        for batch in (*batches, None):
+        for batch in chain(batches, [None]):
             if batch is not None:
                 batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-                frames = [part for _, part in batch.groupby([*SCOPE, "frame_id"], sort=False)]
-                held = frames.pop() if frames else None
+                frames = frames_of(batch, [*SCOPE, "frame_id"])
+                held = frames.pop() if frames else None  # the last frame may go on in the next batch
             else:
                 frames = [held] if held is not None and len(held) else []
-            out = []
+            out: list[tuple] = []
             for part in frames:
-                here = tuple(part[c].iloc[0] for c in SCOPE)
+                here = (int(part["video_id"].iloc[0]), int(part["category_id"].iloc[0]))
                 if here != scope:
                     matcher, scope = ClearMatcher(limit), here
-                out.append(frame(part, matcher))
+                sides, ids, corners, at = part["side"].to_numpy(), part["track_id"].to_numpy(), part[BOX].to_numpy(float), int(part["frame_id"].iloc[0])
+                g, p = sides == "gt", sides == "pred"
+                out += [(*here, at, *e) for e in matcher.step(ids[g], corners[g], ids[p], corners[p], corners[sides == "ignore"])]
             if out:
-                yield pd.concat(out)
+                table = pd.DataFrame(out, columns=["video_id", "category_id", "frame_id", "kind", "gt", "pred", "distance"])
+                yield table.astype({"gt": "Int64", "pred": "Int64", "distance": "float64"})
 
     return rows.repartition(*SCOPE).sortWithinPartitions(*SCOPE, "frame_id", "side", "track_id").mapInPandas(run, EVENT)
 
@@ -143,6 +143,7 @@ def mot_metrics(counts: DataFrame) -> DataFrame:
 
 def mot_report(events: DataFrame) -> DataFrame:
     """Per class, OVERALL (metrics of the summed counts) and AVERAGE (sums of counts, means of ratios)."""
+    events = kept(events, "events")  # the matching is not done again for each of the aggregates
     per = mot_metrics(mot_counts(events, ["category_id"])).withColumn("category_id", F.col("category_id").cast("string"))
     overall = mot_metrics(mot_counts(events, [])).withColumn("category_id", F.lit("OVERALL"))
     whole = {"FP", "FN", "IDSw", "MT", "PT", "ML", "FM"}

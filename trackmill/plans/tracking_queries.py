@@ -17,6 +17,7 @@ from trackmill.operators.tracking import track
 from trackmill.plans import metrics as M
 from trackmill.registry import OPERATORS, query
 from trackmill.sources.adapters import boxes, oracle, steps, vectors
+from trackmill.sources.scratch import kept
 
 FRAME = ["video_id", "frame_id"]
 BOX = ["x1", "y1", "x2", "y2"]
@@ -283,7 +284,7 @@ def _events(spark, sf_dir) -> DataFrame:
     gt = boxes(spark, sf_dir).withColumn("category_id", F.col("track_id") % 2)
     ids = track(detections(spark, sf_dir), {"type": "memo"}).filter("track_id > -1").select("ord", F.col("track_id").alias("found"))
     pred = gt.join(ids, "ord").withColumn("track_id", F.col("found"))
-    return M.clear_events(gt, pred, ignore=gt.filter("ord % 211 = 0"))
+    return kept(M.clear_events(gt, pred, ignore=gt.filter("ord % 211 = 0")), "events")
 
 
 @query("EVL-1")
