@@ -172,7 +172,7 @@ def src_2(spark, sf_dir):
     return Dataset(text.mapInArrow(_rows, RECORD)).issues().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SRC-3", oracle("SELECT n_nationkey * 10 AS image, n_regionkey + 1 AS n FROM nation"))
+@query("SRC-3", oracle("SELECT CAST(n_nationkey * 10 AS BIGINT) AS image, CAST(n_regionkey + 1 AS BIGINT) AS n FROM nation"))
 def src_3(spark, sf_dir):
     """The image-to-annotations index, as a join of the last row of each id."""
     d = Dataset(_parsed(spark, sf_dir))
@@ -324,7 +324,7 @@ def snk_2(spark, sf_dir):
     return spark.read.option("header", True).csv(path).groupBy("flag_type", "threshold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SNK-10", oracle("SELECT n_nationkey, 2 AS n FROM nation"))
+@query("SNK-10", oracle("SELECT n_nationkey, CAST(2 AS BIGINT) AS n FROM nation"))
 def snk_10(spark, sf_dir):
     """A log table that two writers append to."""
     path = f"{scratch_dir(spark)}/log-{uuid.uuid4().hex}"

@@ -218,7 +218,7 @@ def jon_9(spark, sf_dir):
     return J.remapped(read(spark, sf_dir, "customer"), "c_nationkey", mapping).select("c_custkey", "c_nationkey")
 
 
-@query("JON-9b", oracle("SELECT c_custkey, list_transform(list_filter([c_nationkey, (c_nationkey + 1) % 25, 99], lambda x: x < 25 AND x % 4 <> 0), lambda x: x % 5) AS mapped FROM customer"))
+@query("JON-9b", oracle("SELECT c_custkey, list_transform(list_filter([c_nationkey, (c_nationkey + 1) % 25, 99], lambda x: x < 25 AND x % 4 <> 0), lambda x: CAST(x % 5 AS BIGINT)) AS mapped FROM customer"))
 def jon_9b(spark, sf_dir):
     """The same for arrays, by a map of the small table's rows."""
     pairs = read(spark, sf_dir, "nation").filter("n_nationkey % 4 <> 0").select(F.struct("n_nationkey", (F.col("n_nationkey") % 5)).alias("p"))

@@ -298,7 +298,7 @@ def evl_2(spark, sf_dir):
     return M.mot_report(_events(spark, sf_dir))
 
 
-@query("EVL-2b", oracle("SELECT 1.0::DOUBLE AS \"IDF1\", 1.0::DOUBLE AS \"MOTA\", 1.0::DOUBLE AS \"MOTP\", 0 AS \"FP\", 0 AS \"FN\", 0 AS \"IDSw\", count(DISTINCT track_id) AS \"MT\" FROM boxes"))
+@query("EVL-2b", oracle("SELECT 1.0::DOUBLE AS \"IDF1\", 1.0::DOUBLE AS \"MOTA\", 1.0::DOUBLE AS \"MOTP\", 0::BIGINT AS \"FP\", 0::BIGINT AS \"FN\", 0::BIGINT AS \"IDSw\", count(DISTINCT track_id) AS \"MT\" FROM boxes"))
 def evl_2b(spark, sf_dir):
     """Metrics of a result equal to the truth."""
     gt = boxes(spark, sf_dir).withColumn("category_id", F.col("track_id") % 2)
