@@ -121,7 +121,7 @@ def scene(frames=12, hidden=range(0)):
     return pd.DataFrame(rows, columns=[*COLUMNS, "object"])
 
 
-ALL = ["memo", "sort", "ovsort", "hybrid_sort", "hybrid_sort_public"]
+ALL = ["memo", "sort", "blend", "hybrid_sort", "hybrid_sort_public"]
 
 
 def run(rows, config):

@@ -182,7 +182,7 @@ class SortTracker(Tracker):
         return ids
 
 
-@operator("ovsort")
+@operator("blend")
 class BlendTracker(MemoTracker):
     """Appearance and predicted overlap blended into one distance, solved for the least total."""
 

@@ -200,7 +200,7 @@ _tracked("TRK-1b", {"type": "memo", "method": "intra"}, "The same within classes
 _tracked("TRK-2", {"type": "memo", "fusion": 2.0, "match_score": 0.37, "memo_frames": 50, "momentum": 0.4}, "Appearance weighed by cycle consistency.")
 _tracked("TRK-3", {"type": "memo", "motion_weight": 0.3, "match_score": 0.3}, "Appearance and predicted overlap, matched greedily.")
 _tracked("TRK-4", {"type": "sort"}, "Motion gate, appearance, overlap; tentative tracks.")
-_tracked("TRK-5", {"type": "ovsort"}, "Appearance and predicted overlap, solved for the least total.")
+_tracked("TRK-5", {"type": "blend"}, "Appearance and predicted overlap, solved for the least total.")
 _tracked("TRK-6", {"type": "hybrid_sort"}, "Three rounds with corner directions and scores.")
 _tracked("TRK-7", {"type": "hybrid_sort_public"}, "The same, within classes.")
 
@@ -273,7 +273,7 @@ def udx_2(spark, sf_dir):
     return all_.agg(F.lit(", ".join(sorted(ASSOCIATIONS))).alias("measures"), F.count(F.lit(1)).alias("n"))
 
 
-@query("UDX-1", oracle("SELECT unnest(['hybrid_sort', 'hybrid_sort_public', 'memo', 'ovsort', 'sort']) AS name"))
+@query("UDX-1", oracle("SELECT unnest(['blend', 'hybrid_sort', 'hybrid_sort_public', 'memo', 'sort']) AS name"))
 def udx_1(spark, sf_dir):
     """The registered trackers."""
     return spark.createDataFrame([(n,) for n in sorted(OPERATORS)], "name string")
