@@ -91,6 +91,18 @@ class Features:
         )
         self.n = n
 
+    @staticmethod
+    def gathered(texts: list[bytes], declared: np.ndarray, part: int = 250) -> Features:
+        """The features of many texts, worked out part by part, since the words' arrays are large."""
+        parts = [Features(texts[at : at + part], declared[at : at + part]) for at in range(0, max(1, len(texts)), part)]
+        out = object.__new__(Features)
+        shift = np.cumsum([0, *(p.n for p in parts)])
+        out.row = np.concatenate([p.row + s for p, s in zip(parts, shift, strict=False)]).astype(np.int32)
+        out.column = np.concatenate([p.column for p in parts]).astype(np.int32)
+        out.weight = np.concatenate([p.weight for p in parts]).astype(np.float32)
+        out.statistics, out.n = np.concatenate([p.statistics for p in parts]), len(texts)
+        return out
+
     def take(self, rows: np.ndarray) -> Features:
         out = object.__new__(Features)
         place = np.full(self.n, -1)
@@ -174,7 +186,8 @@ class FactorisationMachine:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> FactorisationMachine:
     sample = labelled_sample(docs, labels, "quality", fold("doc_id", FOLDS) != HELD_OUT, rows, chars, ("n_chars",))
     declared = np.array([np.nan if r.n_chars is None else r.n_chars for r in sample], float)
-    return FactorisationMachine(Features([r.text.encode() for r in sample], declared), np.array([int(r.label > 0) for r in sample], float))
+    label = np.array([int(r.label > 0) for r in sample], float)
+    return FactorisationMachine(Features.gathered([r.text.encode() for r in sample], declared), label)
 
 
 def scored(docs: DataFrame, model: FactorisationMachine, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
