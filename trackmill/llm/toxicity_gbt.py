@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,29 +69,48 @@ def terms_of(raw: bytes) -> set[str]:
     return {w for w in words if len(w) > 1} | {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n}
 
 
-class Terms:
-    """The terms of the sample's texts, as numbers."""
+def _number(term: str) -> int:
+    return zlib.crc32(term.encode())
 
-    def __init__(self, texts: list[bytes]):
-        number: dict[str, int] = {}
-        self.of = [np.array([number.setdefault(t, len(number)) for t in terms_of(raw)], np.int32) for raw in texts]
-        self.names = list(number)
 
-    def texts_with(self, rows: np.ndarray) -> np.ndarray:
-        """The number of the given texts that hold each term."""
-        none = np.zeros(0, np.int32)
-        return np.bincount(np.concatenate([none, *(self.of[i] for i in rows)]), minlength=len(self.names))
+class Terms:
+    """The terms of the sample's texts as 32-bit hashes; names are kept for those of several toxic texts."""
+
+    def __init__(self, texts: list[bytes], label: np.ndarray):
+        self.of: list[np.ndarray] = []
+        self.names: dict[int, str] = {}
+        once = np.zeros(1 << 24, bool)
+        for raw, toxic in zip(texts, label, strict=True):
+            terms = list(terms_of(raw))
+            numbers = np.fromiter(map(_number, terms), np.uint32, len(terms))
+            self.of.append(np.unique(numbers))
+            if toxic:
+                place = numbers & np.uint32((1 << 24) - 1)
+                self.names.update((int(numbers[i]), terms[i]) for i in np.flatnonzero(once[place]))
+                once[place] = True
+
+    def texts_with(self, rows: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """The number of the given texts that hold each of the terms, which are sorted."""
+        out = np.zeros(len(numbers), np.int64)
+        for i in rows:
+            own = self.of[i]
+            at = np.minimum(np.searchsorted(numbers, own), len(numbers) - 1)
+            out[at[numbers[at] == own]] += 1
+        return out
 
 
 def learn_lexicon(terms: Terms, label: np.ndarray, rows: np.ndarray) -> dict[str, float]:
     """Log-odds of the terms that tell toxic texts among ``rows`` apart, besides the fixed list."""
-    toxic, other = terms.texts_with(rows[label[rows] > 0]), terms.texts_with(rows[label[rows] == 0])
-    n1, n0 = int((label[rows] > 0).sum()) + 1, int((label[rows] == 0).sum()) + 1
-    odds = np.log((toxic + 0.5) / n1) - np.log((other + 0.5) / n0)
-    telling = np.flatnonzero((toxic >= TERM_TEXTS) & (odds >= TERM_ODDS))
-    best = sorted(telling.tolist(), key=lambda i: (-odds[i] * math.sqrt(toxic[i]), terms.names[i]))[:TERMS]
-    common = {terms.names[i] for i in np.flatnonzero((toxic + other >= TERM_TEXTS) & (odds <= 0))}
-    return {w: TERM_ODDS for w in INSULTS if w not in common} | {terms.names[i]: float(min(odds[i], 6.0)) for i in best}
+    bad, good = rows[label[rows] > 0], rows[label[rows] == 0]
+    seen, count = np.unique(np.concatenate([terms.of[i] for i in bad]), return_counts=True)
+    numbers = np.union1d(seen[count >= TERM_TEXTS], np.array([_number(w) for w in INSULTS], np.uint32))
+    toxic, other = terms.texts_with(bad, numbers), terms.texts_with(good, numbers)
+    odds = np.log((toxic + 0.5) / (len(bad) + 1)) - np.log((other + 0.5) / (len(good) + 1))
+    name = {i: terms.names.get(int(n)) for i, n in enumerate(numbers)}
+    telling = [i for i in np.flatnonzero((toxic >= TERM_TEXTS) & (odds >= TERM_ODDS)).tolist() if name[i]]
+    best = sorted(telling, key=lambda i: (-odds[i] * math.sqrt(toxic[i]), name[i]))[:TERMS]
+    common = set(numbers[(toxic + other >= TERM_TEXTS) & (odds <= 0)].tolist())
+    return {w: TERM_ODDS for w in INSULTS if _number(w) not in common} | {name[i]: float(min(odds[i], 6.0)) for i in best}
 
 
 class Featurizer:
@@ -247,15 +267,19 @@ class ToxicityModel:
     def __init__(self, texts: list[bytes], label: np.ndarray, parts: int = 3):
         self.constant = float(label.mean()) if len(label) else 0.0
         self.trees = None
-        if len(label) < 30 or not 0 < label.sum() < len(label):
+        if len(label) < 30 or not parts <= label.sum() < len(label):
             return
-        terms = Terms(texts)
-        part = np.arange(len(texts)) % parts
+        terms = Terms(texts, label)
+        part = np.empty(len(texts), int)
+        for y in (0, 1):  # each fold has its share of either class
+            own = np.flatnonzero(label == y)
+            part[own] = np.arange(len(own)) % parts
         x = np.zeros((len(texts), len(FEATURES)))
         for k in range(parts):
             rest, own = np.flatnonzero(part != k), np.flatnonzero(part == k)
             seen = Featurizer(learn_lexicon(terms, label, rest))
-            x[own] = seen.batch([texts[i] for i in own])
+            for at in range(0, len(own), 200):
+                x[own[at : at + 200]] = seen.batch([texts[i] for i in own[at : at + 200]])
         unseen = np.zeros(len(texts))
         for k in range(parts):
             unseen[part == k] = Trees().fit(x[part != k], label[part != k]).raw(x[part == k])
