@@ -1,9 +1,11 @@
 """Secret scanning: fixed patterns, and strings in sensitive places that do not compress.
 
-Three patterns give the base spans. Beyond them, a long string that follows a sensitive word on its
-line is measured: a zstandard compressor primed with a dictionary of identifiers compresses the text
-around it with and without the string, and the marginal bytes per byte of the string say how new it is
-to both. Names and words are mostly known to one of them; keys are not, and are reported as ``novel``.
+Three patterns give the base spans. Beyond them, every long string near a sensitive word, before or
+after it and on whatever line, is measured: a zstandard compressor primed with a dictionary of
+identifiers compresses the text around it with and without the string, and the marginal bytes per byte
+of the string say how new it is to both. Names and words are mostly known to one of them; keys are not,
+and are reported as ``novel``. A reported string makes the place after it sensitive as well, so that a
+key of many lines is found whole.
 
 Defined results: null text counts as empty and has no spans; texts are scanned whole whatever their
 length, in time linear in it; repeated rows give repeated results; an empty table gives an empty one.
@@ -13,9 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +34,11 @@ HEX = re.compile(rb"(?<![0-9a-f])[0-9a-f]{24,}")
 
 SENSITIVE = re.compile(rb"auth|bearer|credential|passphrase|pwd|private.?key|session.?id|signature|passw|secret|token|api.?key|access.?key")
 VALUE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
-#: A candidate starts within so many bytes of the sensitive word, on the same line.
+#: One side of an equals sign in a run; signs at the end are padding.
+PART = re.compile(rb"=*[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_-]))?")
+#: Between the lines of a wrapped string, which is measured as one first.
+WRAP = re.compile(rb"\x20*\r?\n[\x20\t]*")
+#: A run is measured within so many bytes before or after a sensitive word or after a reported value.
 REACH = 64
 CONTEXT_BYTES = 512
 #: Marginal compressed bytes per byte from which a candidate is reported.
@@ -74,9 +81,9 @@ class Scanner:
         self.compressor = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
         self.novelty = novelty
 
-    def marginal(self, raw: bytes, start: int, end: int) -> float:
+    def marginal(self, raw: bytes, start: int, end: int, after: int = CONTEXT_BYTES // 2) -> float:
         """Compressed bytes that raw[start:end] adds to its surroundings, per byte."""
-        around = raw[end : end + CONTEXT_BYTES // 2] + b"\n" + raw[max(0, start - CONTEXT_BYTES) : start]
+        around = raw[end : end + after] + b"\n" + raw[max(0, start - CONTEXT_BYTES) : start]
         size = lambda x: len(self.compressor.compress(x))
         return (size(around + raw[start:end]) - size(around)) / (end - start)
 
@@ -90,23 +97,58 @@ class Scanner:
         return sorted(out + self._novel(raw, lowered, out)) if SENSITIVE.search(lowered) else out
 
     def _novel(self, raw: bytes, lowered: bytes, base: list) -> list[tuple[int, int, int, int, int]]:
-        taken = np.zeros(len(raw) + 1, np.int8)
+        masked = bytearray(raw)
         for s, _, e, *_ in base:
-            taken[s:e] = 1
-        out, done = [], 0
-        for m in SENSITIVE.finditer(lowered):
-            line = raw.find(b"\n", m.end(), m.end() + REACH)
-            found = VALUE.search(raw, max(m.end(), done), line if line >= 0 else min(len(raw), m.end() + REACH + 15))
-            if not found or found.start() < done:
+            masked[s:e] = b"\0" * (e - s)
+        words = [m.span() for m in SENSITIVE.finditer(lowered)]
+        ends = [e for _, e in words]
+        blocks: list[list[tuple[int, int]]] = []
+        for run in VALUE.finditer(masked):
+            if blocks and WRAP.fullmatch(masked, blocks[-1][-1][1], run.start()):
+                blocks[-1].append(run.span())
+            else:
+                blocks.append([run.span()])
+        out, last, seen = [], -REACH - 1, set()
+        for block in blocks:
+            start, end = block[0][0], block[-1][1]
+            first = bisect_left(ends, start - REACH)
+            if start > last + REACH and (first == len(words) or words[first][0] > end + REACH):
                 continue
-            found = VALUE.match(raw, found.start())
-            value = found[0]
-            done = found.end()
-            mixed = any(48 <= c <= 57 for c in value) and any(c >= 65 and c not in b"_" for c in value)
-            if mixed and not taken[found.start() : done].any() and self.marginal(raw, found.start(), done) >= self.novelty:
-                out.append((found.start(), 3, done, found.start(), done))
+            whole = len(block) > 1 and self._new(raw, start, end, seen)
+            for a, b in block:
+                inside = words[bisect_left(ends, a) : bisect_left(ends, b + 1)]
+                for s, e in [(a, b)] if whole else self._values(raw, a, b, sorted({x for w in inside for x in w}), seen):
+                    s += len(raw[s:e]) - len(raw[s:e].lstrip(b"="))
+                    seen.add(raw[s:e])
+                    out.append((s, 3, e, s, e))
+                    last = e
         return out
 
+    def _new(self, raw: bytes, start: int, end: int, seen: set[bytes]) -> bool:
+        """Whether a string is new to the text on both sides, or to that before it, or was reported before.
+
+        What follows is left out in a second look, as a compressor may first find it worth coding with
+        the string, which makes the string look cheap.
+        """
+        if end - start < 16:
+            return False
+        if raw[start:end].lstrip(b"=") in seen or self.marginal(raw, start, end) >= self.novelty:
+            return True
+        return self.marginal(raw, start, end, after=0) >= self.novelty
+
+    def _values(self, raw: bytes, start: int, end: int, words: list[int], seen: set[bytes]) -> list[tuple[int, int]]:
+        """The novel parts of a run: its sides of equals signs, else what lies between sensitive words
+        (``words`` holds their bounds), else the run as one."""
+        out = []
+        for part in PART.finditer(raw, start, end):
+            a, b = part.span()
+            cuts = [a, *words[bisect_right(words, a) : bisect_left(words, b)], b]
+            if self._new(raw, a, b, seen):
+                out.append((a, b))
+            elif len(cuts) > 2:
+                out += [(x, y) for x, y in pairwise(cuts) if self._new(raw, x, y, seen)]
+        return out or ([(start, end)] if self._new(raw, start, end, seen) else [])
+
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", novelty: float = NOVELTY) -> DataFrame:
     """Per document: key, n_assign, n_access, n_hex, n_novel, base_sha256, spans (kind:start:end by
