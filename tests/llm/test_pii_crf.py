@@ -95,3 +95,33 @@ def test_learned_spans(spark):
     ]
     got = {r.doc_id: r.spans for r in P.pii_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "contact:16:39", 2: "ident:7:18", 3: "contact:5:19", 4: "", 5: ""}
+
+
+def test_long_sentences_are_decoded_whole():
+    rng = np.random.default_rng(6)
+    model = P.CRF({f"s{i}": i + 2 for i in range(4)})
+    model.emit = rng.normal(size=model.emit.shape)
+    model.move = model.move + rng.normal(size=(5, 5)) * 3 * ~P.FORBIDDEN
+    sizes = [1, 300, 64, 65, 2, 129, 128, 700]
+    seq = np.repeat(np.arange(len(sizes)), sizes)
+    cls = rng.integers(1, 6, len(seq))
+    label = model.decode(cls, seq)
+    e = model.scores(cls, seq)
+    for s in range(len(sizes)):
+        rows, got = e[seq == s], label[seq == s]
+        best = model.start + rows[0]
+        for r in rows[1:]:
+            best = (best[:, None] + model.move).max(0) + r
+        score = model.start[got[0]] + rows[np.arange(len(got)), got].sum() + model.move[got[:-1], got[1:]].sum()
+        assert abs(score - best.max()) < 1e-2
+
+
+def test_spans_across_the_64th_word_and_after_abbreviations():
+    found = lambda t: [t.encode()[a:b].decode() for k, a, b in P.Finder(P.default_model()).spans([t.encode()])[0] if k > 3]
+    for n in range(55, 66):
+        assert found("alpha " * n + "write to jane at example dot com today") == ["jane at example dot com"], n
+        assert found("alpha " * n + "Konto Nr 12345678 beta") == ["12345678"], n
+    assert found("Tel. 030 1234567 bitte") == ["030 1234567"]
+    assert found("Konto Nr. 12345678") == ["12345678"]
+    assert found("Passport No. C1234567 is here") == ["C1234567"]
+    assert found("He said no. 12345678 people came.") == []

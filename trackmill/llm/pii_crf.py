@@ -4,7 +4,8 @@ The patterns give the base spans. The CRF labels every word of every sentence fr
 the words around it; it is trained by gradient ascent on a small labelled table of this module and
 decoded by Viterbi over numpy batches of sentences. It adds ``contact`` spans (spelled-out addresses,
 telephone numbers without a plus sign) and ``ident`` spans (numbers of passports, accounts and the
-like). A sentence ends at a line's end, at a full stop, or after ``SENTENCE_WORDS`` words.
+like). A sentence ends at a line's end or at a full stop, unless that belongs to a cue's abbreviation, and
+is decoded whole.
 
 Defined results: null text counts as empty and has no spans; texts are searched whole in time linear in
 their length; repeated rows give repeated results; an empty table gives an empty one.
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from trackmill.llm.common import code_points, text_slices
 
 KINDS = ("email", "ip", "card", "phone", "contact", "ident")
-SENTENCE_WORDS = 64
+#: Words that Viterbi goes through in one piece; results don't depend on it.
+PIECE_WORDS = 64
 MEMORY_WORDS = 400_000
 
 _LOCAL_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -87,6 +89,8 @@ CUES = {
     "no": "no nr num number numero número numéro nummer id is ist es est".split(),
     "tld": "com org net edu io".split(),
 }
+#: Cues that are written with a full stop, which then ends no sentence.
+ABBREVIATIONS = frozenset(b"tel fax no nr num id ssn iban dni".split())
 _CUE = {w.encode(): name for name, words in CUES.items() for w in words}
 _RUNS = re.compile(r"[0-9]+|[A-Z]+|[a-z]+|[^\x00-\x7f]+|.", re.S)
 
@@ -109,6 +113,8 @@ def shape(word: bytes) -> str:
 
 
 def _ends(word: bytes) -> bool:
+    if word.endswith(b".") and word.strip(b".,;:!?\"'").lower() in ABBREVIATIONS:
+        return False
     return word.endswith((b".", b"!", b"?")) and not word[:-1].endswith(b".")
 
 
@@ -236,19 +242,31 @@ class CRF:
         return self
 
     def decode(self, cls: np.ndarray, seq: np.ndarray) -> np.ndarray:
-        """Viterbi: the best labels of all words; seq ascends by one from sentence to sentence."""
+        """Viterbi: the best labels of all words; seq ascends by one from sentence to sentence.
+
+        Sentences are worked out in pieces of ``PIECE_WORDS`` words side by side: a piece that is not its
+        sentence's first has one row for each label before it, and the rows are joined afterwards.
+        """
         n = len(cls)
         if not n:
             return np.zeros(0, np.int8)
         e = self.scores(cls, seq).astype(np.float32)
-        first = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
-        size = np.diff(np.r_[first, n])
+        move = self.move.astype(np.float32)
+        head = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
+        pieces = -(-np.diff(np.r_[head, n]) // PIECE_WORDS)
+        place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)  # in its sentence
+        first = np.repeat(head, pieces) + place * PIECE_WORDS
+        copies = np.where(place > 0, 5, 1)
+        row = np.cumsum(copies) - copies  # the first row of each piece
+        begin, size = np.repeat(first, copies), np.repeat(np.diff(np.r_[first, n]), copies)
+        before = np.arange(len(begin)) - np.repeat(row, copies)
+        best = np.where(np.repeat(place > 0, copies)[:, None], move[before], self.start.astype(np.float32)) + e[begin]
         order = np.argsort(-size, kind="stable")
-        first, size = first[order], size[order]
+        best, begin, size = best[order], begin[order], size[order]
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
         longest = int(size[0])
-        live = np.searchsorted(-size, -np.arange(longest), "left")  # sentences longer than t
-        best = self.start.astype(np.float32) + e[first]
-        move = self.move.astype(np.float32)
+        live = np.searchsorted(-size, -np.arange(longest), "left")  # rows longer than t
         back = []
         for t in range(1, longest):
             m = live[t]
@@ -259,17 +277,45 @@ class CRF:
                 over = other > top
                 top = np.where(over, other, top)
                 arg[over] = s
-            best[:m] = top + e[first[:m] + t]
+            best[:m] = top + e[begin[:m] + t]
             back.append(arg)
+        chosen, last = self._joined(best[rank], row, pieces)
+        chosen = rank[chosen]
+        by_size = np.argsort(chosen)
+        chosen, at = chosen[by_size], last[by_size]
         out = np.zeros(n, np.int8)
-        at = best.argmax(1)
         for t in range(longest - 1, 0, -1):
-            m = live[t]
-            out[first[:m] + t] = at[:m]
-            at[:m] = back[t - 1][np.arange(m), at[:m]]
-        out[first] = at
+            m = int(np.searchsorted(chosen, live[t]))
+            out[begin[chosen[:m]] + t] = at[:m]
+            at[:m] = back[t - 1][chosen[:m], at[:m]]
+        out[begin[chosen]] = at
         return out
 
+    @staticmethod
+    def _joined(best: np.ndarray, row: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row and the last label of each piece on its sentence's best path."""
+        offset = np.cumsum(pieces) - pieces
+        order = np.argsort(-pieces, kind="stable")
+        offset, pieces = offset[order], pieces[order]
+        total = best[row[offset]].astype(np.float64)
+        came = []
+        for k in range(1, int(pieces[0])):
+            m = int(np.searchsorted(-pieces, -k, "left"))  # sentences of more than k pieces
+            paths = total[:m, :, None] + best[row[offset[:m] + k][:, None] + np.arange(5)]
+            came.append(paths.argmax(1).astype(np.int8))
+            total[:m] = paths.max(1)
+        last = np.zeros(len(row), np.int8)
+        chosen = row.copy()
+        at = total.argmax(1).astype(np.int8)
+        for k in range(int(pieces[0]) - 1, 0, -1):
+            m = len(came[k - 1])
+            piece = offset[:m] + k
+            last[piece] = at[:m]
+            at[:m] = came[k - 1][np.arange(m), at[:m]]
+            chosen[piece] += at[:m]
+        last[offset] = at
+        return chosen, last
+
 
 def trained(seed: int = 7) -> CRF:
     table = labelled_table(seed)
@@ -315,9 +361,6 @@ class Finder:
         cls, stop = coded >> 1, (coded & 1).astype(bool)
         lines = np.searchsorted(np.flatnonzero(data == 10), starts)
         new = np.r_[True, (lines[1:] != lines[:-1]) | stop[:-1]]
-        at = np.arange(len(cls))
-        since = at - np.maximum.accumulate(np.where(new, at, 0))
-        new |= since % SENTENCE_WORDS == 0
         label = self.model.decode(cls, np.cumsum(new) - 1)
         hit = np.flatnonzero(label)
         if len(hit):
