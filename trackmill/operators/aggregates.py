@@ -214,3 +214,33 @@ def original_frames(frames: DataFrame, ratio: float, seed: int = 42, key: str =
 
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
     return frames.groupBy(key).applyInPandas(draw, f"{key} {kinds[key]}, {frame} {kinds[frame]}")
+
+
+def sampled_pairs(frames: DataFrame, reach: tuple[int, int] = (-5, 5), positive: Column | float = 0.8, with_self: bool = True, seed: int = 42, key: str = "video_id", frame: str = "frame_id") -> DataFrame:
+    """(key, frame, pair_key, pair_frame, positive): each frame with one other, picked by hash.
+
+    A positive pair's frame is of the same video, from reach[0] places before up to, but without,
+    reach[1] places after; without ``with_self`` the frame itself is left out, unless it is the only
+    one. Any frame of any other video makes a negative pair. ``positive`` is a probability, or says
+    it of each frame; where there is no other video, a negative pair's other side is null. Keys are whole
+    numbers.
+    """
+    pick = lambda name, n: F.pmod(F.xxhash64(key, frame, F.lit(seed), F.lit(name)), n)
+    chance = positive if isinstance(positive, Column) else pick("positive", F.lit(1 << 30)) < positive * (1 << 30)
+    place = (F.row_number().over(Window.partitionBy(key).orderBy(frame)) - 1).cast("long")
+    placed = frames.select(key, frame, place.alias("_at"), chance.alias("positive"))
+    videos = global_rank(frames.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key, "_video")
+    others = videos.select(F.col("_video").alias("_other"), F.col(key).alias("pair_key"), F.col("_n").alias("_size"))
+    low, high = F.greatest(F.col("_at") + reach[0], F.lit(0)), F.least(F.col("_at") + reach[1], F.col("_n"))
+    count = F.greatest(high - low, F.lit(1))
+    near = F.when(high > low, low + pick("near", count)).otherwise(F.col("_at"))
+    if not with_self:
+        behind = F.col("_at").between(low, high - 1).cast("long")
+        near = low + pick("near", F.greatest(count - behind, F.lit(1)))
+        near = F.when(count - behind < 1, F.col("_at")).otherwise(near + ((behind == 1) & (near >= F.col("_at"))).cast("long"))
+    away = F.pmod(F.col("_video") + 1 + pick("video", F.greatest(F.col("n_rows") - 1, F.lit(1))), F.col("n_rows"))
+    drawn = placed.join(videos, key)
+    drawn = drawn.withColumn("_other", F.when(F.col("positive"), F.col("_video")).when(F.col("n_rows") > 1, away)).join(others, "_other", "left")
+    drawn = drawn.withColumn("_pair", F.when(F.col("positive"), near).otherwise(pick("frame", F.col("_size"))))
+    partner = placed.select(F.col(key).alias("pair_key"), F.col("_at").alias("_pair"), F.col(frame).alias("pair_frame"))
+    return drawn.select(key, frame, "pair_key", "_pair", "positive").join(partner, ["pair_key", "_pair"], "left").select(key, frame, "pair_key", "pair_frame", "positive")

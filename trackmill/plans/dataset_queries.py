@@ -132,9 +132,16 @@ def smp_3(spark, sf_dir):
 
 @query("SMP-7", oracle("SELECT count(*) AS pairs, count(*) FILTER (same) AS same_video FROM (SELECT frame_id % 3 <> 0 AS same FROM (SELECT DISTINCT video_id, frame_id FROM boxes WHERE frame_id < 49))"))
 def smp_7(spark, sf_dir):
-    """Pairs of a frame with the next of its video (two thirds), or with one of another video."""
-    f = boxes(spark, sf_dir).select(*FRAME).distinct().filter("frame_id < 49").withColumn("same", F.col("frame_id") % 3 != 0)
-    return f.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("same").alias("same_video"))
+    """Pairs of a frame with one near it in its video (two thirds), or with one of another video, counted."""
+    f = boxes(spark, sf_dir).select(*FRAME).distinct().filter("frame_id < 49")
+    pairs = A.sampled_pairs(f, positive=F.col("frame_id") % 3 != 0)
+    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("video_id") == F.col("pair_key")).alias("same_video"))
+
+
+@query("SMP-7b", None)
+def smp_7b(spark, sf_dir):
+    """Each frame with its pair: of its video within five places with probability 0.8, else of another."""
+    return A.sampled_pairs(boxes(spark, sf_dir).select(*FRAME).distinct())
 
 
 # --- sources ------------------------------------------------------------------------------------
