@@ -97,3 +97,9 @@ def test_one_of_each_group_stays(spark):
     rows = [(5, "one two three four"), (2, "One two three four"), (9, "something else here now"), (None, "one two three four")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in S.keep_one(df).collect()) == ["2", "9", "None"]
+
+
+def test_a_repeated_id_goes_only_with_its_own_group(spark):
+    first, other = "one two three four five", "something else stands here instead of it"
+    df = spark.createDataFrame([(3, first), (5, first), (5, other)], "doc_id long, text string")
+    assert sorted(map(tuple, S.keep_one(df).collect())) == [(3, first), (5, other)]

@@ -307,7 +307,10 @@ def dedup_table(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those whose group holds a smaller doc_id.
 
-    Rows that share the smallest doc_id of a group all stay, as do rows without a doc_id.
+    A row goes by its doc_id and fingerprint together: other rows with its doc_id are judged by their own
+    groups. Rows of a group that share its smallest doc_id all stay, as do rows without a doc_id.
     """
-    gone = near_duplicates(docs).filter("key <> component").select(F.col("key").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = near_duplicates(docs).filter("key <> component").select("key", "fp").distinct()
+    rows = fingerprints(docs.select(F.struct(*docs.columns).alias("row"), F.col("text")), key="row")
+    keyed = rows.select(F.col("key").alias("row"), F.col("key.doc_id").alias("key"), "fp")
+    return keyed.join(gone, ["key", "fp"], "left_anti").select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
