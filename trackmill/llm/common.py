@@ -5,16 +5,19 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bounds of one Arrow batch handed to a Python worker; a longer text makes a batch of its own.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
+#: Bound of the text that a model is fitted on.
+SAMPLE_BYTES = 64 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -28,14 +31,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    return [column(c) for c in docs.columns]
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each row as one struct, ``row``, so that a Python step can hand it on whole."""
+    return docs.select(F.struct(*columns(docs)).alias("row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, name: str = "row") -> list[Column]:
+    """The columns of ``docs`` out of the struct ``name`` of ``rows``."""
+    return [F.col(name).getField(c).alias(c) for c in docs.columns]
+
+
+def text_input(docs: DataFrame, key: str, text: str | None) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
+    """What a Python step over texts reads, and where a batch's texts are: beside the key, or with
+    ``text`` None in the key itself, a struct of a whole row, which then is sent once."""
+    if text is None:
+        return docs.select(column(key).alias("key")), lambda batch: batch.column(0).field("text")
+    return docs.select(column(key).alias("key"), column(text).alias("text")), lambda batch: batch.column(1)
+
+
+def keyed_schema(narrow: DataFrame, rest: str) -> StructType:
+    """The first column of ``narrow`` with its own type, then the columns of ``rest``."""
+    first = narrow.schema[0]
+    return StructType([StructField(first.name, first.dataType), *StructType.fromDDL(rest)])
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared scratch folder; one of this machine only where the master is local (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     context = spark.sparkContext._jsc.sc()
     current = context.getCheckpointDir()
     if current.isEmpty():
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="trackmill-"))
         current = context.getCheckpointDir()
     return current.get().rstrip("/")
@@ -57,6 +96,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def opened(uri: str):
+    """Arrow's file system of a scratch path (local, hdfs, s3, gs), and the path in it."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back, which cuts its lineage."""
     path = scratch_path(df.sparkSession, name)
@@ -99,17 +147,26 @@ def fold(key: str, parts: int):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows: int, chars: int, columns: tuple[str, ...] = ()) -> list:
-    """At most ``rows`` labelled documents of at most ``chars`` characters, as (doc_id, label, text,
-    *columns), for fitting a model on the driver.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, usable, rows: int, chars: int, extra: tuple[str, ...] = (), most: int = SAMPLE_BYTES
+) -> list:
+    """At most ``rows`` labelled documents of at most ``chars`` characters, of ``most`` bytes together, as
+    (doc_id, label, text, *extra), for fitting a model on the driver.
 
     The rows are those with the smallest hashes of their ids, so the sample does not depend on how the
-    tables lie; of several labels of one id the largest counts. Only the ids, whose number is bounded,
-    are broadcast.
+    tables lie; of several labels of one id the largest counts, of several texts of one id the one with
+    the smallest hash. Only the ids, whose number is bounded, are broadcast.
     """
-    marked = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).filter(usable)
-    marked = marked.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    marked = labels.filter(F.col("doc_id").isNotNull() & column(label).isNotNull()).filter(usable)
+    marked = marked.groupBy("doc_id").agg(F.max(column(label)).cast("int").alias("label"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *columns).filter(F.char_length("text") <= chars)
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", *columns)
-    return sorted(found.limit(2 * rows).collect(), key=lambda r: (r[0], r[2]))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *map(column, extra)).filter(F.char_length("text") <= chars)
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label", *map(column, extra))).alias("r"))
+    one = materialize(one.select("doc_id", F.xxhash64("doc_id").alias("place"), "r.label", "r.text", *[F.col("r").getField(c).alias(c) for c in extra]), "sample")
+    sizes = sorted(one.select("place", "doc_id", F.octet_length("text").alias("size")).collect())  # at most ``rows`` rows
+    within = int(np.searchsorted(np.cumsum([r.size for r in sizes]), most, "right"))
+    if within < len(sizes):
+        last = sizes[within]
+        one = one.filter((F.col("place") < last.place) | (F.col("place") == last.place) & (F.col("doc_id") < last.doc_id))
+    return sorted(one.select("doc_id", "label", "text", *map(column, extra)).collect(), key=lambda r: (r[0], r[2]))

@@ -8,7 +8,8 @@ Language, source, id and labels are never features.
 
 Defined results: null text counts as empty and is scored like any other; a null n_chars is a bin of
 its own; texts are read whole; repeated rows give repeated scores; without usable labels of both
-classes every score is the share of label 1 among them, or 0.5 if there are none.
+classes every score is the share of label 1 among them, or 0.5 if there are none; an empty table gives
+an empty result; ids keep their type, and other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.llm.common import fold, labelled_sample, text_slices
+from trackmill.llm.common import column, fold, keyed_schema, labelled_sample, text_slices
 
 #: Bounds of the sample that the model is fitted on.
 SAMPLE_ROWS = 6000
@@ -199,9 +200,8 @@ def scored(docs: DataFrame, model: FactorisationMachine, key: str = "doc_id", te
             score = model.score(list(text_slices(batch.column(1))), declared)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["key", "score"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(n_chars).cast("double").alias("declared"))
-    return narrow.mapInArrow(run, f"key {kind}, score double")
+    narrow = docs.select(column(key).alias("key"), column(text).alias("text"), column(n_chars).cast("double").alias("declared"))
+    return narrow.mapInArrow(run, keyed_schema(narrow, "score double"))
 
 
 def quality_table(docs: DataFrame, labels: DataFrame) -> DataFrame:

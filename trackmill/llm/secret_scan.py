@@ -8,7 +8,8 @@ and are reported as ``novel``. A reported string makes the place after it sensit
 key of many lines is found whole.
 
 Defined results: null text counts as empty and has no spans; texts are scanned whole whatever their
-length, in time linear in it; repeated rows give repeated results; an empty table gives an empty one.
+length, in time linear in it; repeated rows give repeated results; an empty table gives an empty one;
+ids keep their type; other columns, whatever their names, are not read, or are handed on unchanged.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.llm.common import code_points, text_slices
+from trackmill.llm.common import code_points, keyed_schema, text_input, text_slices, unpacked, whole_rows
 
 KINDS = ("assign", "access", "hex", "novel")
 LEAST = {"assign": 6, "access": 20}
@@ -150,15 +151,16 @@ class Scanner:
         return out or ([(start, end)] if self._new(raw, start, end, seen) else [])
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", novelty: float = NOVELTY) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str | None = "text", novelty: float = NOVELTY) -> DataFrame:
     """Per document: key, n_assign, n_access, n_hex, n_novel, base_sha256, spans (kind:start:end by
     start, then kind, comma-joined; code points), redacted (the text without the values)."""
+    narrow, texts_of = text_input(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(novelty)
         for batch in batches:
             counts, shas, joined, cleaned = [[], [], [], []], [], [], []
-            for raw in text_slices(batch.column(1)):
+            for raw in text_slices(texts_of(batch)):
                 spans = scanner.spans(raw)
                 points = code_points(raw, [x for s, _, e, *_ in spans for x in (s, e)])
                 names = [(k, f"{KINDS[k]}:{a}:{b}") for (_, k, *_), a, b in zip(spans, points[::2], points[1::2], strict=True)]
@@ -170,9 +172,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", novelty: floa
             arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), *(pa.array(x, pa.string()) for x in (shas, joined, cleaned))]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans", "redacted"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string, redacted string"
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    schema = keyed_schema(narrow, "n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string, redacted string")
+    return narrow.mapInArrow(run, schema)
 
 
 def redact(raw: bytes, values: list[tuple[int, int]], mark: bytes = b"[SECRET]") -> bytes:
@@ -186,17 +187,16 @@ def redact(raw: bytes, values: list[tuple[int, int]], mark: bytes = b"[SECRET]")
 
 
 def secrets_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
-    return scan(docs).select(F.col("key").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel of every document."""
+    return scan(docs).select(F.col("key").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The same rows with the values of all spans replaced; n_chars follows a changed text."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    found = scan(packed, key="row")
-    columns = {c: F.col(f"key.{c}") for c in docs.columns}
-    columns["text"] = F.coalesce("redacted", "key.text")
+    found = scan(whole_rows(docs), key="row", text=None)
+    columns = dict(zip(docs.columns, unpacked(found, docs, "key"), strict=True))
+    columns["text"] = F.coalesce("redacted", "key.text").alias("text")
     if "n_chars" in columns:
         size = F.char_length("redacted").cast(docs.schema["n_chars"].dataType)
-        columns["n_chars"] = F.when(F.col("redacted").isNotNull(), size).otherwise(F.col("key.n_chars"))
-    return found.select(*[c.alias(n) for n, c in columns.items()])
+        columns["n_chars"] = F.when(F.col("redacted").isNotNull(), size).otherwise(F.col("key.n_chars")).alias("n_chars")
+    return found.select(*columns.values())

@@ -14,7 +14,8 @@ rather than its square.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero, which links
 like any other; repeated rows and equal texts share a fingerprint; a null ``doc_id`` keeps its row
-and never names a component; an empty table gives an empty result.
+and never names a component; texts are read whole, in pieces; an empty table gives an empty result; ids
+keep their type; other columns, whatever their names, are not read, or are handed on unchanged.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.llm.common import materialize, text_slices
+from trackmill.llm.common import keyed_schema, materialize, text_input, text_slices, unpacked, whole_rows
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -60,16 +61,16 @@ def simhash(raw: bytes) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str | None = "text") -> DataFrame:
     """One row (key, fp) per document; fp holds the unsigned fingerprint's bits as a long."""
+    narrow, texts_of = text_input(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter(map(simhash, text_slices(batch.column(1))), np.uint64, batch.num_rows)
+            fps = np.fromiter(map(simhash, text_slices(texts_of(batch))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["key", "fp"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long")
+    return narrow.mapInArrow(run, keyed_schema(narrow, "fp long"))
 
 
 def _spans(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -311,6 +312,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     groups. Rows of a group that share its smallest doc_id all stay, as do rows without a doc_id.
     """
     gone = near_duplicates(docs).filter("key <> component").select("key", "fp").distinct()
-    rows = fingerprints(docs.select(F.struct(*docs.columns).alias("row"), F.col("text")), key="row")
+    rows = fingerprints(whole_rows(docs), key="row", text=None)
     keyed = rows.select(F.col("key").alias("row"), F.col("key.doc_id").alias("key"), "fp")
-    return keyed.join(gone, ["key", "fp"], "left_anti").select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
+    kept = keyed.join(gone, ["key", "fp"], "left_anti")
+    return kept.select(*unpacked(kept, docs))

@@ -7,7 +7,8 @@ encoding them; words equal to one of them count 1 without any merge. Other words
 library, once per task while the bounded memory of words lasts.
 
 Defined results: null text counts as empty, with no bytes and no tokens; a text of any length is
-counted whole; repeated rows give repeated results; an empty table gives an empty one.
+counted whole; repeated rows give repeated results; an empty table gives an empty one; ids keep their type,
+and other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -17,9 +18,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from trackmill.llm.common import text_slices
+from trackmill.llm.common import keyed_schema, text_input, text_slices
 
 LIMIT = 4096
 #: Words remembered by a task besides the vocabulary's own; all are forgotten when it is full.
@@ -78,13 +78,14 @@ class PieceCounter:
 
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """Per document: key, n_bytes, n_tokens, over_limit."""
+    narrow, texts_of = text_input(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(path)
         for batch in batches:
             sizes, counts = [], []
             held, size = [], 0
-            for raw in text_slices(batch.column(1)):
+            for raw in text_slices(texts_of(batch)):
                 sizes.append(len(raw))
                 held.append(raw.decode())
                 size += len(raw)
@@ -95,6 +96,4 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "n_bytes", "n_tokens", "over_limit"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_bytes long, n_tokens long, over_limit boolean"
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return narrow.mapInArrow(run, keyed_schema(narrow, "n_bytes long, n_tokens long, over_limit boolean"))

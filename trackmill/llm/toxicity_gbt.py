@@ -8,7 +8,8 @@ the calibration is fitted on.
 
 Defined results: null text counts as empty and is scored like any other; texts are read whole; repeated
 rows give repeated scores; without usable labels of both classes every score is the share of label 1
-among them, or 0 if there are none.
+among them, or 0 if there are none; an empty table gives an empty result; ids keep their type; other
+columns, whatever their names, are not read, or are handed on unchanged.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.llm.common import fold, labelled_sample, text_slices
+from trackmill.llm.common import fold, keyed_schema, labelled_sample, text_input, text_slices, unpacked, whole_rows
 
 #: Bounds of the sample that the model is fitted on.
 SAMPLE_ROWS = 8000
@@ -144,7 +145,7 @@ class Featurizer:
         mangled = hidden = 0.0
         if inner and not inner.isalpha() and any(c.isalpha() for c in inner):
             mangled = 1.0
-        if not odds and len(word) < 40:
+        if not odds:
             hidden = self.lexicon.get(revealed(word), 0.0) if (mangled or re.search(r"(.)\1\1", core)) else 0.0
         shout = float(len(core) > 1 and inner.isupper())
         return (odds or hidden, float(core in self.second), shout, mangled, float(hidden > 0))
@@ -302,17 +303,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
     return ToxicityModel([r.text.encode() for r in sample], np.array([int(r.label > 0) for r in sample], float))
 
 
-def scored(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str | None = "text") -> DataFrame:
     """(key, score) of every document."""
+    narrow, texts_of = text_input(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurizer = model.featurizer()
         for batch in batches:
-            score = model.score(featurizer, list(text_slices(batch.column(1))))
+            score = model.score(featurizer, list(text_slices(texts_of(batch))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["key", "score"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score double")
+    return narrow.mapInArrow(run, keyed_schema(narrow, "score double"))
 
 
 def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -323,6 +324,9 @@ def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, whole."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    return scored(packed, fit(docs, labels), key="row").filter("score < 0.5").select("key.*")
+    """The documents that are not predicted toxic, whole; all of them without usable labels."""
+    model = fit(docs, labels)
+    if not model.trees:
+        return docs
+    kept = scored(whole_rows(docs), model, key="row", text=None).filter("score < 0.5")
+    return kept.select(*unpacked(kept, docs, "key"))
