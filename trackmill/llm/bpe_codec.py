@@ -1,20 +1,23 @@
 """Byte-level BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over the last 32 bytes cuts a text into chunks, so a passage shared by documents gives
-the same chunks wherever it stands. Tokens can cross a cut; a join is repaired by encoding a window
-around it, grown outwards to the nearest positions where the encodings of both sides and of the whole
-text must agree: before a space that follows an ASCII letter the pre-tokenizer always breaks, whatever
-comes before or after, and no special token holds a space. What lies between two windows is encoded
-once per task and kept, within ``CACHE_BYTES``, for all documents that share it. The ids are exactly
-those of the whole text.
-
-The library that the file belongs to encodes slowly, so segments of common scripts go to an encoder by
+the same chunks wherever it stands. A chunk is encoded once per task and kept, within ``CACHE_BYTES``,
+for all documents that share it. Tokens can cross a cut, so every join of two chunks is repaired: a
+window around the cut is encoded anew, from a place in the left chunk to one in the right, and is
+spliced in where its first and last tokens are those of the chunks. Windows begin and end where the
+pre-tokenizer always breaks, before white space that follows another sign; one that finds no such place
+in a chunk grows over it into the next, and a text in which a window does not agree is encoded whole.
+The ids are exactly those of the whole text.
+
+The library that the file belongs to encodes slowly, so texts of common scripts go to an encoder by
 merge ranks once it is proved equal at start-up: every merge must make the next id, so the order of
 merges is the order of ids, and probes of every code point below ``PROVED`` must give the library's
 ids. Where the proof fails, and for later code points and special tokens, the library encodes.
 
 Defined results: null text counts as empty and has no ids; a text of any length is one row, its chunks
-are encoded one by one; repeated rows give repeated results; an empty table gives an empty one.
+are encoded one by one, and one without white space as a whole; repeated rows give repeated results; an
+empty table gives an empty one; ids keep their type, and other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -24,13 +27,13 @@ import os
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from trackmill.llm.common import text_buffer
+from trackmill.llm.common import keyed_schema, text_buffer, text_input
 
 #: The low bits of the rolling hash that are zero at a cut: one byte in 256 on average.
 CUT_BITS = 8
@@ -67,20 +70,66 @@ def rolling_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def segment_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Ascending positions that part all texts in ``data`` into repair windows and what is between."""
+def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Ascending positions that part all texts into chunks: their own bounds, and the first code point
+    at or after each cut of the rolling hash."""
     n = int(offsets[-1])
-    cuts = np.flatnonzero((rolling_hash(data) >> np.uint32(32 - CUT_BITS)) == 0) + 1 if n else offsets[:0]
-    letter = ((data | 32) >= 97) & ((data | 32) <= 122)
-    agreed = np.zeros(n + 1, bool)
-    agreed[1:n] = letter[:-1] & (data[1:] == 32)
-    agreed[offsets] = True
-    safe = np.flatnonzero(agreed)
-    chosen = np.zeros(n + 1, bool)
-    chosen[safe[np.searchsorted(safe, cuts, "right") - 1]] = True
-    chosen[safe[np.searchsorted(safe, cuts, "left")]] = True
-    chosen[offsets] = True
-    return np.flatnonzero(chosen)
+    if not n:
+        return np.zeros(1, np.int64)
+    cuts = np.flatnonzero((rolling_hash(data) >> np.uint32(32 - CUT_BITS)) == 0) + 1
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    starts = np.append(starts, n)
+    return np.union1d(starts[np.searchsorted(starts, cuts)], offsets)
+
+
+def breaks(data: np.ndarray) -> np.ndarray:
+    """Positions before which the pre-tokenizer always breaks: ASCII white space after another sign.
+
+    The sign is one of ASCII, or has a first byte that no white space in Unicode has."""
+    n = len(data)
+    if n < 2:
+        return np.zeros(0, np.int64)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    at = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    last = data[at - 1]
+    lead = lambda k: np.where(at >= k, data[np.maximum(at - k, 0)], 0)
+    two, three, four = lead(2), lead(3), lead(4)
+    sure = (last > 32) & (last < 127) | (last >= 128) & (last < 192) & (
+        (two >= 0xC3) & (two <= 0xDF) | (two < 192) & (two >= 128) & ((three >= 0xE4) & (three <= 0xED) | (three < 192) & (three >= 128) & (four >= 0xF0))
+    )
+    return at[sure]
+
+
+class Chunk:
+    """A chunk's own encoding between its first and its last break, and the text that a repair needs.
+
+    ``head`` reaches to the second break, ``tail`` from the last but one; ``first`` and ``last`` are the
+    ids between those breaks, on which a window must agree."""
+
+    __slots__ = ("head", "first", "ids", "back", "tail", "last")
+
+    def __init__(self, raw: bytes, ids: list[int], at: tuple[int, int, int, int], codec: ChunkCodec):
+        a, b, c, d = at  # the first two breaks and the last two: all are ends of tokens
+        sizes, n = codec.sizes, len(ids)
+        end = i = 0
+        while end < a:
+            end += sizes[ids[i]]
+            i += 1
+        j = i
+        while end < b:
+            end += sizes[ids[j]]
+            j += 1
+        end, m = len(raw), n
+        while end > d:
+            m -= 1
+            end -= sizes[ids[m]]
+        k = m
+        while end > c:
+            k -= 1
+            end -= sizes[ids[k]]
+        self.head, self.tail = raw[:b], raw[c:]
+        self.first, self.last = tuple(ids[i:j]), tuple(ids[k:m])
+        self.ids, self.back = codec.result(ids[i:m])
 
 
 @lru_cache(2)
@@ -104,9 +153,13 @@ class ChunkCodec:
         self.specials = list(added.values())
         size = self.tokenizer.get_vocab_size(True)
         self.pieces = [added.get(i) or bytes(letters[c] for c in self.tokenizer.id_to_token(i)) for i in range(size)]
+        self.sizes = list(map(len, self.pieces))
         self.ranked = self._ranked(path)
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.chunks: dict[bytes, Chunk | None] = {}
+        self.windows: dict[tuple, tuple[bytes, bytes] | None] = {}
         self.held = 0
+        #: What became of chunks and joins so far.
+        self.counts = {"chunks": 0, "encoded": 0, "joins": 0, "repaired": 0, "whole": 0}
 
     def _ranked(self, path: str):
         """An encoder by merge ranks that is proved equal for code points below PROVED, or None."""
@@ -132,52 +185,111 @@ class ChunkCodec:
         offsets = offsets.astype(np.int64)
         base = int(offsets[0])
         raw, offsets = raw[base : int(offsets[-1])], offsets - base
-        bounds = segment_bounds(np.frombuffer(raw, np.uint8), offsets)
+        data = np.frombuffer(raw, np.uint8)
+        bounds = chunk_bounds(data, offsets)
         edges = bounds.tolist()
-        segments = [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        plain = np.zeros(len(segments), bool)
-        if self.ranked and segments:
-            lengths = np.diff(bounds)
-            plain[lengths > 0] = np.maximum.reduceat(np.frombuffer(raw, np.uint8), bounds[:-1][lengths > 0]) < PROVED_BYTE
-            for special in self.specials:
-                if special in raw:
-                    plain &= np.array([special not in s for s in segments])
-        self._learn(segments, plain.tolist())
-        known = self.known
-        at = np.searchsorted(bounds, offsets).tolist()
-        for a, b in zip(at, at[1:], strict=False):
-            parts = [known[s] for s in segments[a:b]]
-            yield b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
-
-    def _learn(self, segments: list[bytes], plain: list[bool]) -> None:
+        pieces = [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
         if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
-        new = {s: p for s, p in zip(segments, plain, strict=True) if s not in self.known}
-        for s, p in new.items():
-            if p:
-                self._keep(s, self.ranked(s.decode()))
-        rest = [s for s, p in new.items() if not p]
+            self.chunks, self.windows, self.held = {}, {}, 0
+        self._learn_chunks(pieces, bounds, breaks(data))
+        at = np.searchsorted(bounds, offsets).tolist()
+        plans = [self._plan(pieces[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        self._learn_windows({w for plan in plans for w in plan if type(w) is tuple})
+        for plan, start, end in zip(plans, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            yield self._joined(plan, raw[start:end])
+
+    def _learn_chunks(self, pieces: list[bytes], bounds: np.ndarray, safe: np.ndarray) -> None:
+        low, high = np.searchsorted(safe, bounds[:-1], "right"), np.searchsorted(safe, bounds[1:], "left")
+        own = np.flatnonzero(high - low >= 4)
+        at: list[tuple | None] = [None] * len(pieces)
+        if len(own):
+            four = np.stack([safe[low[own]], safe[low[own] + 1], safe[high[own] - 2], safe[high[own] - 1]], axis=1) - bounds[own][:, None]
+            for i, x in zip(own.tolist(), map(tuple, four.tolist()), strict=True):
+                at[i] = x
+        self.counts["chunks"] += len(pieces)
+        known = self.chunks
+        new = {p: x for p, x in zip(pieces, at, strict=True) if p not in known}
+        closed = [p for p, x in new.items() if x]
+        self.counts["encoded"] += len(closed)
+        for piece, ids in zip(closed, self._encode(closed), strict=True):
+            known[piece] = Chunk(piece, ids, new[piece], self)
+            self.held += 7 * len(piece) + 600
+        for piece in new:
+            known.setdefault(piece, None)  # too few breaks: a window will grow over it
+            self.held += len(piece) + 100
+
+    def _plan(self, pieces: list[bytes]) -> list:
+        """A text as chunks and, between them, windows: (text, ids to agree on at its start, at its end)."""
+        plan: list = []
+        open_, agreed = [], ()
+        for piece in pieces:
+            chunk = self.chunks[piece]
+            if chunk is None:
+                open_.append(piece)
+                continue
+            plan += [(b"".join([*open_, chunk.head]), agreed, chunk.first), chunk]
+            open_, agreed = [chunk.tail], chunk.last
+        if open_:
+            plan.append((b"".join(open_), agreed, ()))
+        return plan
+
+    def _learn_windows(self, windows: set[tuple]) -> None:
+        new = [w for w in windows if w not in self.windows]
+        for window, ids in zip(new, self._encode([w[0] for w in new]), strict=True):
+            _, left, right = window
+            a, b = len(left), len(ids) - len(right)
+            agrees = a <= b and tuple(ids[:a]) == left and tuple(ids[b:]) == right
+            self.windows[window] = self.result(ids[a:b]) if agrees else None
+            self.held += 8 * len(window[0]) + 400
+
+    def _joined(self, plan: list, raw: bytes) -> tuple[bytes, bytes]:
+        parts = [self.windows[w] if type(w) is tuple else (w.ids, w.back) for w in plan]
+        self.counts["joins"] += len(plan) // 2
+        if None in parts:
+            self.counts["whole"] += 1
+            return self.result(self._encode([raw])[0])
+        self.counts["repaired"] += len(plan) // 2
+        return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+
+    def result(self, ids: list[int]) -> tuple[bytes, bytes]:
+        """Ids as little-endian uint32, and their decoded bytes."""
+        return pack(f"<{len(ids)}I", *ids), b"".join(map(self.pieces.__getitem__, ids))
+
+    def _encode(self, texts: list[bytes]) -> list[list[int]]:
+        """The ids of each text, by the ranks where they are proved, else by the library in batches."""
+        out: list[list[int] | None] = [None] * len(texts)
+        if self.ranked and texts:
+            joined = b"".join(texts)
+            size = np.array([len(t) for t in texts], np.int64)
+            plain = size == 0
+            some = np.flatnonzero(size)
+            starts = (np.cumsum(size) - size)[some]
+            if len(some):
+                plain[some] = np.maximum.reduceat(np.frombuffer(joined, np.uint8), starts) < PROVED_BYTE
+            for special in self.specials:
+                if special in joined:
+                    plain &= np.array([special not in t for t in texts])
+            for i in np.flatnonzero(plain).tolist():
+                out[i] = self.ranked(texts[i].decode())
+        rest = [i for i, ids in enumerate(out) if ids is None]
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([s.decode() for s in part], add_special_tokens=False)
-            for s, e in zip(part, found, strict=True):
-                self._keep(s, e.ids)
-
-    def _keep(self, segment: bytes, ids: list[int]) -> None:
-        pieces = self.pieces
-        self.known[segment] = (np.array(ids, "<u4").tobytes(), b"".join([pieces[i] for i in ids]))
-        self.held += 6 * len(segment) + 200
+            found = self.tokenizer.encode_batch_fast([texts[i].decode() for i in part], add_special_tokens=False)
+            for i, e in zip(part, found, strict=True):
+                out[i] = e.ids
+        return out
 
 
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", outputs: bool = True) -> DataFrame:
     """Per document: key, n_tokens, ids_sha256, decoded_sha256 and, with ``outputs``, ids and decoded."""
+    narrow, texts_of = text_input(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
             ids, decoded = [], []
             counts, sums, backs = [], [], []
-            for i, d in own.encode_batch(*text_buffer(batch.column(1))):
+            for i, d in own.encode_batch(*text_buffer(texts_of(batch))):
                 counts.append(len(i) // 4)
                 sums.append(hashlib.sha256(i).hexdigest())
                 d = d.decode("utf-8", "replace").encode() if not outputs else d.decode("utf-8", "replace")
@@ -192,10 +304,8 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    schema += ", ids array<int>, decoded string" if outputs else ""
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    rest = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return narrow.mapInArrow(run, keyed_schema(narrow, rest + (", ids array<int>, decoded string" if outputs else "")))
 
 
 def codec_table(docs: DataFrame, path: str) -> DataFrame:
