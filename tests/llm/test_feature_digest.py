@@ -3,6 +3,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import xxhash
 
 from trackmill.llm import feature_digest as D
 
@@ -34,8 +35,13 @@ def brute_features(raw, rank):
     return [j for j in sorted(votes) if votes[j] >= D.POPULAR]
 
 
+def signed(text):
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute_rows(rows):
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
     out = []
     for (d, t), (_, f) in zip(order, order[1:] + order[:1], strict=True):
         t, f = t or "", f or ""
@@ -79,10 +85,12 @@ def test_features_follow_the_definition(real_docs):
     texts = [r.text.encode() for r in real_docs.limit(12).collect()]
     offsets = np.cumsum([0, *map(len, texts)])
     for raw, got in zip(texts, digester.features(b"".join(texts), offsets), strict=True):
-        places = brute_features(raw, rank)
+        places = [(p, 64) for p in brute_features(raw, rank)]
+        if 8 <= len(raw) < 256:
+            places += [(p, 8) for p in range(len(raw) - 7)]
         if places:
-            windows = np.stack([np.frombuffer(raw, np.uint8)[p : p + 64] for p in places])
-            assert got.tolist() == D._distinct(D._mixed(np.ascontiguousarray(windows).view(np.uint64))).tolist()
+            hashes = [D._mixed(np.frombuffer(raw[p : p + n], np.uint64)[None])[0] for p, n in places]
+            assert got.tolist() == list(dict.fromkeys(map(int, hashes)))
 
 
 def test_histogram_counts_all_windows(real_docs):
@@ -98,3 +106,32 @@ def test_likeness_bounds_and_symmetry():
     assert D.likeness(a, a) == 1 and D.likeness(a, b) == D.likeness(b, a) < 0.15
     none = D.chain(np.zeros(0, np.uint64))
     assert D.likeness(none, none) == 1 and D.likeness(none, a) == 0
+
+
+def test_short_texts_are_like_their_edits(spark):
+    rows = [(i, f"a short line number {i * 7919} of some {i} words that ends soon"[: 12 + 4 * i]) for i in range(12)]
+    got = D.digest_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.near_edited > 0.3 for r in got if r.n_chars >= 24)
+
+
+def test_many_rows_of_one_id_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(D, "HOT_ROWS", 3)
+    monkeypatch.setattr(D, "OUT_ROWS", 4)
+    rows = [(None, f"text without an id {i % 9} " * 9) for i in range(40)] + [(7, f"text of seven {i} " * 5) for i in range(40)]
+    rows += [(3, "the same row " * 20)] * 30 + [(4, None)] * 5 + [(9, "the last row " * 9)] * 2
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size in (None, 1, 16):
+        check(d, size)
+
+
+def test_text_ids_and_odd_columns(spark):
+    rows = [(k, f"text of {k} " * 12, 1, 2, 3) for k in ("b", "a", "", "é", "10", "9")] + [(None, "no id " * 30, 1, 2, 3)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, `my col` int, `a-b` int, `a.b` int")
+    got = D.digest_table(d, 2)
+    order = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode()))
+    want = []
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        q = len(a[1]) // 4
+        want.append((a[0], hashlib.sha256((a[1][: len(a[1]) - q] + b[1][:q]).encode()).hexdigest()))
+    assert got.schema["doc_id"].dataType.simpleString() == "string"
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got.collect()), key=str) == sorted(want, key=str)

@@ -7,10 +7,12 @@ new one each time one is full. The likeness of two chains is the mean over the f
 one of the best normalised overlap of set bits with a filter of the other: 0 for what chance explains,
 1 for equal sets.
 
-Defined results: null text counts as empty; a text shorter than a window is one feature as a whole; the
-empty text has no feature and is like itself only; texts are read whole; equal texts have equal
-fingerprints; of rows with equal ids the one with the smaller text comes first; a null id comes before
-all others; a single row is its own next document; an empty table gives an empty result.
+Defined results: null text counts as empty; of a text under ``SHORT_BYTES`` all windows of eight bytes are
+features too, and one shorter than that is one feature as a whole; the empty text has no feature and is
+like itself only; texts are read whole, in pieces; equal texts have equal fingerprints; of rows with
+equal ids the one whose text has the smaller hash comes first; a null id comes before all others; ids that
+are not whole numbers are ordered as text, and all keep their type; a single row is its own next document;
+an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,14 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from trackmill.llm.common import text_buffer
+from trackmill.llm.common import column, keyed_schema, materialize, text_buffer, text_input
 
 WINDOW = 64
 #: Entropy levels: bits per byte of a window, of at most log2(64), in thousandths of that.
 LEVELS = 1000
 #: Windows below this level are never features.
 LEAST_LEVEL = 100
+#: Texts under so many bytes hold few windows; their shorter windows are features too.
+SHORT_BYTES, SHORT_WINDOW = 256, 8
 #: Neighbourhoods in which a window must be the best.
 POPULAR = 16
 FILTER_BITS = 2048
@@ -71,23 +76,29 @@ def entropy_levels(data: np.ndarray) -> np.ndarray:
     return ((full - total) * LEVELS // full).astype(np.int16)
 
 
-def histogram(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """How often each entropy level occurs among all windows of all texts."""
+def survey(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int, int]:
+    """How often each entropy level occurs among all windows of all texts, and the texts' number and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(LEVELS + 1, np.int64)
+        total = np.zeros(LEVELS + 3, np.int64)
         for batch in batches:
             raw, offsets = text_buffer(batch.column(0))
+            total[LEVELS + 1 :] += batch.num_rows, offsets[-1] - offsets[0]
             for level, own in _groups(raw, offsets):
-                total += np.bincount(level[own], minlength=LEVELS + 1)
+                total[: LEVELS + 1] += np.bincount(level[own], minlength=LEVELS + 1)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["level", "n"])
 
-    counts = docs.select(F.col(text).alias("text")).mapInArrow(run, "level int, n long").groupBy("level").agg(F.sum("n").alias("n"))
-    out = np.zeros(LEVELS + 1, np.int64)
-    for level, n in counts.collect():  # at most LEVELS + 1 rows
+    counts = docs.select(column(text).alias("text")).mapInArrow(run, "level int, n long").groupBy("level").agg(F.sum("n").alias("n"))
+    out = np.zeros(LEVELS + 3, np.int64)
+    for level, n in counts.collect():  # at most LEVELS + 3 rows
         out[level] = n
-    return out
+    return out[: LEVELS + 1], int(out[LEVELS + 1]), int(out[LEVELS + 2])
+
+
+def histogram(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """How often each entropy level occurs among all windows of all texts."""
+    return survey(docs, text)[0]
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
@@ -124,8 +135,20 @@ def _inside(bounds: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _short_windows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every window of SHORT_WINDOW bytes in the texts under SHORT_BYTES."""
+    size = np.diff(bounds)
+    own = np.flatnonzero((size >= SHORT_WINDOW) & (size < SHORT_BYTES))
+    count = size[own] - SHORT_WINDOW + 1
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[:-1][own], count)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, SHORT_WINDOW)[at])
+    return np.repeat(own, count), _mixed(windows.view(np.uint64))
+
+
 def _mixed(rows: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of eight 64-bit words."""
+    """A 64-bit hash of each row of 64-bit words."""
     h = np.full(len(rows), 0x243F6A8885A308D3, np.uint64)
     for j in range(rows.shape[1]):
         h = (h ^ rows[:, j]) * np.uint64(0x9E3779B97F4A7C15)
@@ -166,10 +189,12 @@ class Digester:
             text_of = np.searchsorted(bounds, starts, "right") - 1
             own = (chosen < bounds[text_of + 1]) & (best[inside] >> 32 < NO_RANK)
             votes = np.bincount(chosen[own], minlength=n)
-            place = np.flatnonzero(votes >= np.minimum(POPULAR, WINDOW))
+            place = np.flatnonzero(votes >= POPULAR)
             text = np.searchsorted(bounds, place, "right") - 1
             windows = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[place]
             hashes = _mixed(np.ascontiguousarray(windows).view(np.uint64))
+        more, hashes_more = _short_windows(data, bounds)
+        text, hashes = np.r_[text, more], np.r_[hashes, hashes_more]
         short = np.flatnonzero((size > 0) & (np.bincount(text, minlength=n_texts) == 0))
         whole = [int.from_bytes(hashlib.sha1(raw[bounds[i] : bounds[i + 1]]).digest()[:8], "little") for i in short.tolist()]
         text, hashes = np.r_[text, short], np.r_[hashes, np.array(whole, np.uint64)]
@@ -229,42 +254,67 @@ def as_text(digest: np.ndarray) -> str:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint) of every document, ranked by the corpus' own entropy histogram."""
     rank = ranks(histogram(docs, text))
+    narrow, texts_of = text_input(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digester = Digester(rank)
         for batch in batches:
-            found = [as_text(d) for d in digester.digests(*text_buffer(batch.column(1)))]
+            found = [as_text(d) for d in digester.digests(*text_buffer(texts_of(batch)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["key", "fingerprint"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fingerprint string")
+    return narrow.mapInArrow(run, keyed_schema(narrow, "fingerprint string"))
 
 
 # --- each text beside its edited form and its successor ------------------------------------------
 
-#: Buckets of consecutive ids are made to hold about so many documents.
-BUCKET_ROWS = 4000
-FIRST_KEY = -(1 << 63)
+#: Buckets of consecutive rows hold about so many bytes of text, unless there would be too many of them:
+#: a task streams through its bucket, whatever its size.
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 20_000
+#: Rows from which a bucket's bounds are chosen, per bucket.
+SAMPLE_PER_BUCKET = 32
+#: Rows with one id and one text are many, and worked out once, from so many on; at most so many such groups.
+HOT_ROWS, HOT_MOST = 10_000, 100_000
+OUT_ROWS = 20_000
+
+
+class Cuts:
+    """Bounds of buckets in the order of rows: null ids first, then by id, then by the text's hash."""
+
+    def __init__(self, cuts: list[tuple]):
+        """cuts: the smallest (id, hash) of each bucket but the first, ascending."""
+        self.null_hash = np.array([h for k, h in cuts if k is None], np.int64)
+        held = [c for c in cuts if c[0] is not None]
+        self.key = np.array([k for k, _ in held], object if held and isinstance(held[0][0], str) else np.int64)
+        self.hash = np.array([h for _, h in held], np.int64)
+
+    def bucket(self, k: pa.Array, h: np.ndarray) -> np.ndarray:
+        """The number of bounds that are not above each row."""
+        null, v = _values(k)
+        if not len(self.key):
+            out = np.full(len(h), len(self.null_hash))
+        else:
+            low, high = np.searchsorted(self.key, v, "left"), np.searchsorted(self.key, v, "right")
+            out = len(self.null_hash) + low
+            for a in np.unique(low[(high > low) & ~null]).tolist():  # ids that a bound has
+                own = (low == a) & (high > a)
+                out[own] += np.searchsorted(self.hash[a : high[own][0]], h[own], "right")
+        out[null] = np.searchsorted(self.null_hash, h[null], "right")
+        return out
 
 
-def bucket_starts(keys: DataFrame, rows: int) -> list[int]:
-    """The smallest key of each bucket of consecutive keys: one number per bucket of all keys."""
-    n = keys.count()
-    if not n:
-        return []
-    parts = max(1, -(-n // rows))
-    cuts = sorted({int(q) for q in keys.approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    cuts = np.array([FIRST_KEY, *(c for c in cuts if c > FIRST_KEY)], np.int64)
+def _values(k: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each id is null, and the ids as a numpy array without nulls."""
+    null = k.is_null().to_numpy(zero_copy_only=False)
+    return null, k.fill_null("" if pa.types.is_string(k.type) or pa.types.is_large_string(k.type) else 0).to_numpy(zero_copy_only=False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = np.sort(batch.column(0).to_numpy())
-            bucket = np.searchsorted(cuts, k, "right")
-            _, first = np.unique(bucket, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(k[first])], names=["bucket", "k"])
 
-    first = keys.mapInArrow(run, "bucket long, k long").groupBy("bucket").agg(F.min("k").alias("k"))
-    return sorted(r.k for r in first.collect())
+def bucket_cuts(keys: DataFrame, n: int, buckets: int) -> list[tuple]:
+    """Bounds of about equal buckets, from the rows (k, h) whose hashes a divisor keeps."""
+    step = max(1, n // (buckets * SAMPLE_PER_BUCKET))
+    kept = keys.filter(F.pmod(F.xxhash64("h", "k", F.lit(7)), F.lit(step)) == 0).collect()
+    found = sorted(((r.k, r.h) for r in kept), key=lambda x: (x[0] is not None, x[0] if x[0] is not None else 0, x[1]))
+    cuts = [found[len(found) * i // buckets] for i in range(1, buckets)] if found else []
+    return [c for i, c in enumerate(cuts) if not i or c != cuts[i - 1]]
 
 
 def edited(raw: bytes, following: bytes, n_chars: int) -> bytes:
@@ -281,86 +331,132 @@ def edited(raw: bytes, following: bytes, n_chars: int) -> bytes:
     return kept + taken
 
 
+RESULT = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
 def _compare(rank: np.ndarray):
-    """Rows sorted by bucket, own before extra, key: each row with the next one of its bucket."""
+    """Rows (extra, doc_id, copies, text) of one bucket in order, at last the first of the next bucket:
+    each row with its successor, and its further copies with itself."""
 
-    def group(digester: Digester, rows: list[tuple]) -> pa.RecordBatch:
-        """rows: (bucket, extra, id, text) in order; results for all but the last."""
-        now, after = rows[:-1], rows[1:]
-        pairs = [(a, b) for a, b in zip(now, after, strict=True) if not a[1]]
-        if any(a[0] != b[0] for a, b in pairs):
-            raise ValueError("a document's successor is missing from its bucket")
+    def group(digester: Digester, rows: list[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        pairs = [(i, i + 1, 1) for i in range(len(rows) - 1)]
+        pairs += [(i, i, r[2] - 1) for i, r in enumerate(rows[:-1]) if r[2] > 1]
         texts = [r[3] for r in rows]
-        points = [len(a[3]) if a[3].isascii() else len(a[3].decode()) for a, _ in pairs]
-        changed = [edited(a[3], b[3], n) for (a, b), n in zip(pairs, points, strict=True)]
+        points = [len(t) if t.isascii() else len(t.decode()) for t in texts]
+        changed = [edited(texts[i], texts[j], points[i]) for i, j, _ in pairs]
         both = texts + changed
         found = digester.digests(b"".join(both), np.cumsum([0, *map(len, both)]))
-        at = [i for i, a in enumerate(now) if not a[1]]
         own, new = found[: len(texts)], found[len(texts) :]
-        return pa.RecordBatch.from_arrays(
+        batch = pa.RecordBatch.from_arrays(
             [
-                pa.array([a[2] for a, _ in pairs], pa.int64()),
-                pa.array(points, pa.int64()),
+                pa.array([rows[i][1] for i, _, _ in pairs], kind),
+                pa.array([points[i] for i, _, _ in pairs], pa.int64()),
                 pa.array([hashlib.sha256(c).hexdigest() for c in changed], pa.string()),
-                pa.array([as_text(own[i]) for i in at], pa.string()),
+                pa.array([as_text(own[i]) for i, _, _ in pairs], pa.string()),
                 pa.array([as_text(d) for d in new], pa.string()),
-                pa.array([likeness(own[i], d) for i, d in zip(at, new, strict=True)], pa.float64()),
-                pa.array([likeness(own[i], own[i + 1]) for i in at], pa.float64()),
+                pa.array([likeness(own[i], d) for (i, _, _), d in zip(pairs, new, strict=True)], pa.float64()),
+                pa.array([likeness(own[i], own[j]) for i, j, _ in pairs], pa.float64()),
             ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            names=[c.split()[0] for c in RESULT.split(", ")],
         )
+        once = sum(times == 1 for *_, times in pairs)
+        if once == len(pairs):
+            yield batch
+            return
+        yield batch.slice(0, len(rows) - 1)
+        for at in range(len(rows) - 1, len(pairs)):
+            for done in range(0, pairs[at][2], OUT_ROWS):
+                yield batch.take(pa.array([at] * min(OUT_ROWS, pairs[at][2] - done)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digester = Digester(rank)
         rows: list[tuple] = []
-        size = 0
-        done = None  # the bucket whose first extra row has been seen
+        size, ended, kind = 0, False, None
         for batch in batches:
+            if ended:
+                continue  # other rows that equal the first one of the next bucket
             raw, offsets = text_buffer(batch.column(3))
-            edges = offsets.tolist()
-            for i, (bucket, extra, key) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True)):
-                if extra and done == bucket:
-                    continue  # other rows with the first key of the next bucket
-                done = bucket if extra else done
+            edges, kind = offsets.tolist(), batch.column(1).type
+            for i, (extra, key, copies) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True)):
+                if ended:
+                    break
                 text = raw[edges[i] : edges[i + 1]]
-                rows.append((bucket, extra, key, text))
-                size += len(text)
+                rows.append((extra, key, copies, text))
+                size, ended = size + len(text), extra
                 if size > 4 * GROUP_BYTES and len(rows) > 1:
-                    yield group(digester, rows)
+                    yield from group(digester, rows, kind)
                     rows, size = rows[-1:], len(text)
+        if rows and not ended:
+            raise ValueError("a document's successor is missing from its bucket")
         if len(rows) > 1:
-            yield group(digester, rows)
+            yield from group(digester, rows, kind)
 
     return run
 
 
-def digest_table(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
+def digest_table(docs: DataFrame, rows: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Documents are dealt to buckets of consecutive ids, the first of each bucket also to the bucket
-    before, so every document meets its successor in one shuffle of the texts.
+    Rows are dealt to buckets of consecutive ids (``rows`` of them, by default by bytes), one task each,
+    the first row of each bucket also to the bucket before, so every document meets its successor in one
+    shuffle of the texts. The bounds come from (id, hash of the text), so rows of one id are split too;
+    copies with one id and one text beyond ``HOT_ROWS`` travel once, with their number.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_KEY))
-    starts = np.array(bucket_starts(docs.select(key.alias("k")), rows), np.int64)
-
-    @F.arrow_udf("array<struct<bucket: long, extra: boolean>>")
-    def places(k: pa.Array) -> pa.Array:
-        k = k.to_numpy()
-        bucket = np.searchsorted(starts, k, "right") - 1
-        first = starts[bucket] == k
-        count = 1 + first
-        at = np.cumsum(np.r_[0, count])
-        where = np.repeat(bucket, count)
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    counts, n, size = survey(docs)
+    all_ = docs.select(F.col("doc_id").cast("long" if whole else "string").alias("k"), F.xxhash64(text).alias("h"), "doc_id", F.lit(1).cast("long").alias("copies"), text.alias("text"))
+    keys = materialize(all_.select("k", "h"), "keys")
+    hot = keys.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(HOT_ROWS, n // HOT_MOST))
+    hot = materialize(hot.select(F.col("k").alias("hot_k"), F.col("h").alias("hot_h"), "n"), "hot")
+    if not hot.isEmpty():
+        same = F.col("k").eqNullSafe(F.col("hot_k")) & (F.col("h") == F.col("hot_h"))
+        few = F.broadcast(hot)  # at most HOT_MOST rows
+        one = all_.join(few, same).dropDuplicates(["k", "h"]).withColumn("copies", F.col("n"))
+        all_ = all_.join(few, same, "left_anti").unionByName(one.select(*all_.columns))
+        keys = keys.join(few, same, "left_anti").unionByName(hot.select(F.col("hot_k").alias("k"), F.col("hot_h").alias("h")))
+    buckets = -(-n // rows) if rows else min(-(-size // BUCKET_BYTES), MOST_BUCKETS)
+    cuts = Cuts(bucket_cuts(keys, n, max(1, buckets)))
+
+    @F.arrow_udf("int")
+    def bucket(k: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array(cuts.bucket(k, h.to_numpy()), pa.int32())
+
+    firsts = keys.select(bucket("k", "h").alias("bucket"), F.struct("k", "h").alias("first")).groupBy("bucket").agg(F.min("first").alias("first")).collect()
+    firsts = {r["bucket"]: tuple(r["first"]) for r in firsts}  # a row for each bucket
+    order = sorted(firsts)
+    before = {b: order[i - 1] for i, b in enumerate(order)}
+    parts = order[-1] + 1 if order else 1
+    places = _places(cuts, firsts, before)
+    dealt = all_.select(F.explode(places("k", "h")).alias("p"), "*").select("p.bucket", "p.extra", "k", "h", "doc_id", "copies", "text")
+    dealt = dealt.repartitionById(parts, "bucket").sortWithinPartitions("extra", "k", "h", "text").select("extra", "doc_id", "copies", "text")
+    return dealt.mapInArrow(_compare(ranks(counts)), keyed_schema(dealt.select("doc_id"), RESULT.partition(", ")[2]))
+
+
+def _places(cuts: Cuts, firsts: dict[int, tuple], before: dict[int, int]):
+    """A row's bucket and, if it is the first of that, also the bucket before."""
+    most = max(firsts, default=0) + 1
+    hash_, back = np.zeros(most, np.int64), np.zeros(most, np.int64)
+    null = np.zeros(most, bool)
+    key = [None] * most
+    for b, (k, h) in firsts.items():
+        hash_[b], back[b], null[b], key[b] = h, before[b], k is None, k
+    key = np.array(key, object)
+
+    @F.arrow_udf("array<struct<bucket: int, extra: boolean>>")
+    def places(k: pa.Array, h: pa.Array) -> pa.Array:
+        h = h.to_numpy()
+        bucket = cuts.bucket(k, h)
+        none, v = _values(k)
+        first = (hash_[bucket] == h) & (null[bucket] == none)
+        maybe = np.flatnonzero(first & ~none)
+        first[maybe] = key[bucket[maybe]] == v[maybe].astype(object)
+        at = np.cumsum(np.r_[0, 1 + first])
+        where = np.repeat(bucket, 1 + first)
         extra = np.zeros(len(where), bool)
         extra[at[1:][first] - 1] = True
-        where[extra] = (where[extra] - 1) % len(starts)
-        inner = pa.StructArray.from_arrays([pa.array(where, pa.int64()), pa.array(extra)], names=["bucket", "extra"])
+        where[extra] = back[where[extra]]
+        inner = pa.StructArray.from_arrays([pa.array(where, pa.int32()), pa.array(extra)], names=["bucket", "extra"])
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), inner)
 
-    rank = ranks(histogram(docs))
-    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    dealt = docs.select(key.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), text)
-    dealt = dealt.select(F.explode(places("k")).alias("p"), "k", "doc_id", "text").select("p.bucket", "p.extra", "k", "doc_id", "text")
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "extra", "k", "text").select("bucket", "extra", "doc_id", "text")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(_compare(rank), schema)
+    return places
