@@ -61,7 +61,7 @@ def test_made_rows_in_one_and_many_blocks(spark, monkeypatch):
     b = spark.createDataFrame([(*r, "c") for r in bench], "item_id long, text string, key string")
     want = brute(docs, bench)
     assert got(d, b) == want
-    monkeypatch.setattr(D, "BLOCK_CHARS", 40)
+    monkeypatch.setattr(D, "BLOCK_BYTES", 40)
     assert got(d, b) == want
 
 

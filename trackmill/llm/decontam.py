@@ -6,12 +6,15 @@ sorted, and its Burrows-Wheeler transform is kept in a wavelet matrix. All windo
 backwards together through its ranks, occurrences are located through sampled suffix positions, and
 the spans to remove are merged per document. The documents are not shuffled.
 
-The benchmark is handed to tasks in blocks of at most ``BLOCK_CHARS`` characters (a longer item makes
-a block of its own); with more than one block the documents pass through one step for each.
+The benchmark is written to the shared scratch folder, and each task reads it from there in blocks of
+at most ``BLOCK_BYTES`` bytes (a longer item makes a block of its own) against each of its shards, so
+neither the driver nor a task holds more of it than a block.
 
 Defined results: null text has no words, no hits and is clean; benchmark items without words never
 occur; items without an id mark words but are not listed; repeated items count once; repeated
-documents are judged one by one; an empty benchmark leaves everything clean.
+documents are judged one by one; texts are read whole, a very long one in a shard of its own; an empty
+benchmark leaves everything clean, and an empty table gives an empty result; ids keep their type; other
+columns, whatever their names, are not read, or are handed on unchanged.
 """
 
 from __future__ import annotations
@@ -19,18 +22,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.llm.common import text_slices
+from trackmill.llm.common import column, keyed_schema, opened, scratch_path, text_input, text_slices, unpacked, whole_rows
 
 WINDOW = 13
 #: A document is contaminated if at least one of so many of its words is hit.
 SHARE = 20
-BLOCK_CHARS = 4 << 20
+BLOCK_BYTES = 4 << 20
 #: A shard ends at so many bytes of text or indexed words.
 SHARD_BYTES = 24 << 20
 SHARD_WORDS = 400_000
@@ -288,86 +292,110 @@ def text_spans(raw: bytes, spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _step(phrases: Phrases, last: bool):
-    """One block's pass over (key, text, spans, items); the last gives the results instead."""
+def _items(folder: str) -> Iterator[tuple[str | None, bytes]]:
+    """The written benchmark's items, in the order of their files."""
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSelector
 
-    def results(keys, texts, spans, items, counts):
+    store, path = opened(folder)
+    for file in sorted(f.path for f in store.get_file_info(FileSelector(path)) if f.path.endswith(".parquet")):
+        with store.open_input_file(file) as source:
+            for batch in pq.ParquetFile(source).iter_batches(1000):
+                yield from zip(batch.column(0).to_pylist(), text_slices(batch.column(1)), strict=True)
+
+
+def _blocks(folder: str, most: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The items in blocks of ``most`` bytes, a longer item alone; one empty block if there are none."""
+    block: list[tuple[str | None, bytes]] = []
+    size = 0
+    for name, raw in _items(folder):
+        if block and size + len(raw) > most:
+            yield block
+            block, size = [], 0
+        block.append((name, raw))
+        size += len(raw)
+    yield block
+
+
+@lru_cache(1)
+def _only_block(folder: str, width: int, most: int) -> Phrases | None:
+    """The benchmark's phrases if they make one block: a worker keeps them for its later tasks."""
+    blocks = _blocks(folder, most)
+    first = next(blocks)
+    return Phrases(first, width) if next(blocks, None) is None else None
+
+
+def phrase_blocks(folder: str, width: int, most: int) -> Iterator[Phrases]:
+    only = _only_block(folder, width, most)
+    if only is not None:
+        yield only
+    else:
+        yield from (Phrases(block, width) for block in _blocks(folder, most))
+
+
+def shard_hits(phrases: Phrases, batches: list[list[bytes]]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+    """For each text: its number of words, the spans hit, the items that occur."""
+    shard = Shard(phrases)
+    for texts in batches:
+        shard.add(texts)
+        if shard.kept >= SHARD_WORDS:
+            yield from zip(*shard.hits(), strict=True)
+            shard = Shard(phrases)
+    yield from zip(*shard.hits(), strict=True)
+
+
+RESULT = "n_words long, n_hit long, n_items long, items array<string>, contaminated boolean, spans array<bigint>"
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str | None = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW
+) -> DataFrame:
+    """Per document: key, n_words, n_hit, n_items, items, contaminated, and spans: starts and ends in
+    code points, in turn, of the merged text to remove."""
+    narrow, texts_of = text_input(docs, key, text)
+    folder, most = scratch_path(docs.sparkSession, "benchmark"), BLOCK_BYTES
+    benchmark.select(column(item).cast("string").alias("item"), F.coalesce(column(item_text), F.lit("")).alias("text")).write.parquet(folder)
+    schema = keyed_schema(narrow, RESULT)
+
+    def results(keys: pa.Array, texts: list[bytes], found: list[tuple]) -> pa.RecordBatch:
+        counts, spans, items = zip(*found, strict=True) if found else ((), (), ())
         hit = [sum(b - a for a, b in s) for s in spans]
-        n_items = [len(i) for i in items]
         return pa.RecordBatch.from_arrays(
             [
                 keys,
                 pa.array(counts, pa.int64()),
                 pa.array(hit, pa.int64()),
-                pa.array(n_items, pa.int64()),
+                pa.array([len(i) for i in items], pa.int64()),
                 pa.array([sorted(i) for i in items], pa.list_(pa.string())),
                 pa.array([h > 0 and SHARE * h >= n for h, n in zip(hit, counts, strict=True)], pa.bool_()),
                 pa.array([text_spans(t, s) for t, s in zip(texts, spans, strict=True)], pa.list_(pa.int64())),
             ],
-            names=["key", "n_words", "n_hit", "n_items", "items", "contaminated", "spans"],
+            names=schema.names,
         )
 
-    def flush(shard, batches):
-        counts, spans, items = shard.hits()
+    def flush(held: list[tuple[pa.Array, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        for phrases in phrase_blocks(folder, width, most):
+            more = list(shard_hits(phrases, [texts for _, texts in held]))
+            found = [(n, merged([*a, *b]), i | j) for (n, a, i), (_, b, j) in zip(found, more, strict=True)] if found else more
         at = 0
-        for batch, texts in batches:
-            n = batch.num_rows
-            here = [spans[i] for i in range(at, at + n)]
-            which = [items[i] for i in range(at, at + n)]
-            before, named = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            here = [merged([*h, *zip(b[::2], b[1::2], strict=True)]) if b else h for h, b in zip(here, before, strict=True)]
-            which = [w | set(b) if b else w for w, b in zip(which, named, strict=True)]
-            if last:
-                yield results(batch.column(0), texts, here, which, counts[at : at + n])
-            else:
-                flat = pa.array([[x for s in h for x in s] for h in here], pa.list_(pa.int64()))
-                found = pa.array([sorted(w) for w in which], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat, found], names=["key", "text", "spans", "items"])
-            at += n
+        for keys, texts in held:
+            yield results(keys, texts, found[at : at + len(texts)])
+            at += len(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = Shard(phrases), []
+        held, size = [], 0
         for batch in batches:
-            texts = list(text_slices(batch.column(1)))
-            shard.add(texts)
-            held.append((batch, texts))
-            if shard.size >= SHARD_BYTES or shard.kept >= SHARD_WORDS:
-                yield from flush(shard, held)
-                shard, held = Shard(phrases), []
-        yield from flush(shard, held)
-
-    return run
-
-
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The benchmark's items in blocks of bounded size, read to the driver one block at a time."""
-    block, size = [], 0
-    rows = benchmark.select(F.col(item).cast("string"), F.coalesce(F.col(text), F.lit("")))
-    for name, words in rows.toLocalIterator():
-        if block and size + len(words) > BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-        block.append((name, words.encode()))
-        size += len(words)
-    yield block
+            texts = list(text_slices(texts_of(batch)))
+            held.append((batch.column(0), texts))
+            size += sum(map(len, texts))
+            if size >= SHARD_BYTES:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
 
-
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW
-) -> DataFrame:
-    """Per document: key, n_words, n_hit, n_items, items, contaminated, and spans: starts and ends in
-    code points, in turn, of the merged text to remove."""
-    kind = docs.schema[key].dataType.simpleString()
-    empty = F.array().cast("array<bigint>"), F.array().cast("array<string>")
-    df = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), empty[0].alias("spans"), empty[1].alias("items"))
-    between = f"key {kind}, text string, spans array<bigint>, items array<string>"
-    final = f"key {kind}, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean, spans array<bigint>"
-    blocks = benchmark_blocks(benchmark, item, item_text)
-    block = next(blocks)
-    for after in blocks:
-        df = df.mapInArrow(_step(Phrases(block, width), False), between)
-        block = after
-    return df.mapInArrow(_step(Phrases(block, width), True), final)
+    return narrow.mapInArrow(run, schema)
 
 
 def contamination_table(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -379,9 +407,8 @@ def contamination_table(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that the benchmark does not contaminate, whole."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    kept = contamination(packed, benchmark, key="row").filter(~F.col("contaminated"))
-    return kept.select("key.*")
+    kept = contamination(whole_rows(docs), benchmark, key="row", text=None).filter(~F.col("contaminated"))
+    return kept.select(*unpacked(kept, docs, "key"))
 
 
 #: DuckDB SQL for contamination_table over documents and benchmark.
