@@ -8,7 +8,8 @@ like). A sentence ends at a line's end or at a full stop, unless that belongs to
 is decoded whole.
 
 Defined results: null text counts as empty and has no spans; texts are searched whole in time linear in
-their length; repeated rows give repeated results; an empty table gives an empty one.
+their length; repeated rows give repeated results; an empty table gives an empty one; ids keep their
+type, and other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.llm.common import code_points, text_slices
+from trackmill.llm.common import code_points, keyed_schema, text_input, text_slices
 
 KINDS = ("email", "ip", "card", "phone", "contact", "ident")
 #: Words that Viterbi goes through in one piece; results don't depend on it.
@@ -81,23 +83,26 @@ def base_spans(raw: bytes) -> list[tuple[int, int, int]]:
 
 #: Words that lead to or join personal data, by class; compared in lower case without punctuation.
 CUES = {
-    "call": "phone telephone tel telefon teléfono téléphone mobile cell fax call rufnummer appelez llame".split(),
+    "call": "phone telephone tel telefon teléfono téléphone mobile cell fax call rufnummer appelez llame handy mobil móvil portable ring telefonnummer handynummer llámame".split(),
     "mail": "mail email e-mail correo courriel kontakt contact write reach".split(),
     "at": "at (at) [at] arroba arobase".split(),
     "dot": "dot (dot) [dot] punkt punto point".split(),
-    "number": "ssn passport pasaporte passeport reisepass iban konto account licence license insurance versicherungsnummer dni steuernummer".split(),
+    "number": "ssn passport pasaporte passeport reisepass iban konto account licence license insurance versicherungsnummer dni steuernummer tax reisepassnummer kontonummer".split(),
     "no": "no nr num number numero número numéro nummer id is ist es est".split(),
     "tld": "com org net edu io".split(),
 }
 #: Cues that are written with a full stop, which then ends no sentence.
 ABBREVIATIONS = frozenset(b"tel fax no nr num id ssn iban dni".split())
+#: A word of more runs is of one class, as hashes are.
+MOST_RUNS = 12
+_MARKS = b".,;:!?\"'"
 _CUE = {w.encode(): name for name, words in CUES.items() for w in words}
 _RUNS = re.compile(r"[0-9]+|[A-Z]+|[a-z]+|[^\x00-\x7f]+|.", re.S)
 
 
 def shape(word: bytes) -> str:
     """The class of a word: a cue's name, or its runs of digits and letters, digits with their number."""
-    core = word.strip(b".,;:!?\"'")
+    core = word.strip(_MARKS)
     cue = _CUE.get(core.lower())
     if cue:
         return cue
@@ -105,28 +110,53 @@ def shape(word: bytes) -> str:
         return "lower" if not core[:1].isupper() else "upper" if core.isupper() and len(core) > 1 else "title"
     if len(core) > 48:
         return "long"
+    if _IP.fullmatch(core):
+        return "ip"
     out = []
     for run in _RUNS.findall(core.decode("utf-8", "replace")):
         first = run[0]
         out.append(f"d{min(len(run), 17)}" if "0" <= first <= "9" else "A" if "A" <= first <= "Z" else "a" if first.isalpha() else first)
-    return "".join(out)
+    return "".join(out) if len(out) <= MOST_RUNS else "mixed"
+
+
+def digits_in(word: bytes) -> int:
+    return len(_DIGITS.sub(b"", word))
 
 
 def _ends(word: bytes) -> bool:
-    if word.endswith(b".") and word.strip(b".,;:!?\"'").lower() in ABBREVIATIONS:
+    if word.endswith(b".") and word.strip(_MARKS).lower() in ABBREVIATIONS:
         return False
     return word.endswith((b".", b"!", b"?")) and not word[:-1].endswith(b".")
 
 
+def _evident(span: bytes, kind: int) -> bool:
+    """Whether a span that the CRF found can be what it says: a number in words that all hold digits,
+    or for ``contact`` a short run with words for @ and a dot."""
+    words = span.split()
+    if digits_in(span) >= MANY_DIGITS and all(map(digits_in, words)):
+        return True
+    return kind == 4 and len(words) <= ADDRESS_WORDS and {"at", "dot"} <= {_CUE.get(w.strip(_MARKS).lower()) for w in words}
+
+
 # --- the labelled table ------------------------------------------------------------------------
 
-#: One sentence each; {c:...} is contact data, {i:...} an identity number, d a digit, W any word.
+#: One sentence each; {c:...} is contact data, {i:...} an identity number, d a digit, W any word, X a hash.
 LABELLED = [
     "call me at {c:(ddd) ddd-dddd} W W", "W W phone {c:ddd-ddd-dddd} W", "tel {c:ddd.ddd.dddd} W W", "W fax : {c:(ddd) ddd-dddd} W", "mobile {c:ddd ddd dddd} W W W",
     "Telefon {c:0ddd dddddd} W W", "telefon {c:0dd dddd dddd} W", "teléfono {c:ddd ddd ddd} W W", "téléphone {c:0d dd dd dd dd} W W", "W W {c:(ddd) ddd-dddd} W W", "W call {c:ddd-dddd} W W",
     "W W {c:W at W dot com} W W", "mail {c:W (at) W (dot) org} W", "write to {c:W dot W at W dot net} W", "W {c:W [at] W [dot] org} W W", "contact {c:W at W dot W dot com} W W", "email W : {c:W arroba W punto com} W",
     "W ssn {i:ddd-dd-dddd} W W", "W W {i:ddd-dd-dddd} W", "passport no {i:Addddddd} W W", "passport number {i:AAdddddd} W", "Reisepass Nr {i:Adddddddd} W W", "W iban {i:AAdd dddd dddd dddd dddd dd} W", "IBAN {i:AAdddddddddddddddddddd} W W",
     "account number {i:dddddddddd} W W", "Konto Nr {i:dddddddd} W", "account no {i:ddddddddd} W W", "DNI {i:ddddddddA} W W", "pasaporte número {i:AAAdddddd} W", "insurance id {i:dddddddddd} W W",
+    "reach W W on {c:ddd ddd dddd} W W", "W number is {c:ddd ddd dddd} W", "number is {c:ddd-ddd-dddd} W", "W number is {c:ddd ddd ddd} , W W", "call W al {c:ddd ddd ddd} W", "portable W le {c:0d dd dd dd dd}", "W mobil ist {c:0ddd ddddddd} , W W", "Nummer ist {c:0ddd dddddddd} W", "mobile : {c:0dddddddddd}", "cell : {c:dddddddddd} W", "call W {c:0dddddddddd} W",
+    "tel {c:0ddd/dddddd} W", "telefon : {c:0dd/dddddddd} W", "W W {c:ddd.ddd.dddd} W W", "phone W at {c:ddd-ddd-dddd} W", "call W at {c:(ddd) ddd-dddd} W", "fax {c:ddd-dddd} W", "call W on {c:0dddd dddddd} W W",
+    "write W to {c:W dot W at W dot com} W", "mail W W to {c:W dot W at W dot W} W", "W is {c:W (at) W (dot) com} , W", "{c:W at W dot com} is W W", "{c:W [at] W [dot] W} W W", "W W {c:W at W dot W} W", "W a {c:W arroba W punto W} W", "W an {c:W at W punkt W} W", "W W to {c:W at W dot com}", "W : {c:W at W dot W dot com}",
+    "passport : {i:Addddddd} W", "iban : {i:AAdd dddd dddd dddd dddd dd}", "W : {i:AAdd dddd dddd dddd dddd dddd d}", "iban {i:AAdd dddd dddd dddd dddd dddd dddd} W", "W W {i:AAdd dddd dddd dddd dddd dd} W", "ssn : {i:ddd-dd-dddd}", "W W number {i:ddd-dd-dddd} W", "tax number {i:dd/ddd/ddddd} W", "tax id {i:dd-ddddddd} W", "tax id is {i:ddd ddd ddd} W", "passport W {i:ddAAddddd}", "passport is {i:Addddddd} W W",
+    "license {i:Addddddd} W", "license no {i:Addd-dddd-dddd} W", "account is {i:ddddddddd} W", "W account {i:dddddddd} W W", "account : {i:dddddddddddd}", "insurance number {i:AAddddddA} W", "insurance : {i:AAddddddA}", "insurance {i:Addddddddd} W", "DNI : {i:ddddddddA} W", "konto {i:dddddddddd} W",
+    "W W is ddd W W", "W number is dd W", "W number ddd W W", "W tax W dd% W", "W tax of dddd W", "account of dddd W", "license W dddd W W", "W at dd dot W", "W W is dddd-dd-dd W", "number dddd of W W", "W at dd dot", "W W dot", "W W dot W W W", "W ring W W", "W W : dd W", "W : W W W", "W W is ddddd W", "W W to W at W W", "W on dd W dddd W", "W le dd W dddd W", "W al dd W W", "call at dd:dd W", "call W W on dddd-dd-dd W",
+    "W W W W W W W W W W W W W W W W W W", "W W at W W W W W W, W W on W W W W W at W W", "W at W W W W is W W W W W W W W W W no W W", "W W is W W W W W, W W W at W W W W W W W", "W at W W", "W at W, W W W W W W W W W W W W W W", "W W W W W W W W is W W W es W W W W W W",
+    'W W = "X" W W', "W W token = X W W W", '"X" W W', "W : X", "W W X W W", "license , version d.", "W W W W license , version d", "version d. W W", "W%%% dddddddddddddddd### W", "W*** dddddddddddddddd$$$ W***", "W&&& dddddddddddddddd&&& W", "W license version d.d W", "at at at at at at W W W W W W", "at at at at at at at at at W W W", "W W W W at at at at at at at W W W", "about ddddddd W", "W W ddddddd W W", "W dddddd W W W", "W was at dd dot", "W W +d {c:(ddd) ddd-dddd} W W", "W +d {c:(ddd) ddd-dddd} ddd.ddd.ddd.ddd W W", "W. {c:(ddd) ddd-dddd} ddd.dd.ddd.dd W",
+    "W it to {c:W dot W at W dot W} W", "W W W {c:W dot W at W dot com} W W", "W W at dd dot W",
+    "W at W W W at W W W W", "W W le W W W W le W W W W W W W le W W", "W a W W a W W W W a W W W W W", "W to W W at W W to W W W W W W at W W", "W an W W W an W W W W W an W W", "W W dd W dddd W W W W W W W W", "W dddd , ddd W W W W W W W W", "W W dd W dddd W d.d W", "in dddd , W W W W W W W",
     "W W W W W W", "W W , W W W", "W W at W W W", "W W in dddd W W", "W W dd W W", "W d,ddd W W W", "W W dd.dd W W", "W dddd-dddd W W", "W W dd-dd-dddd W", "dddd-dd-dd W W W", "W W dd:dd W W", "W version d.d.d W W",
     "W W d. W W", "W W dd% W W", "W $ddd W W", "W | W | W | W", "W W ddd W ddd W", "W ddd ddd W W", "W W dddddddddddddddd W W", "W W dddddddd W W W", "W W ddddddddddd W", "W W dot W W", "W W at dd W W W", "W point W W is W", "W is W W", "W no W W",
     "W W account W W W", "W the phone W W", "W contact W W W", "W number of W W", "W call W W", "W W A dd W", "W W AAdd W W", "W W dddd W dddd W", "W ISBN ddd-d-dddd-dddd-d W", "W W d-d W W", "W W +d W W", "W W W### W$$$ W%%%",
@@ -135,9 +165,12 @@ LABELLED = [
 ]
 TAGS = ("O", "B-c", "I-c", "B-i", "I-i")
 #: Times each labelled sentence is filled in.
-FILLS = 6
-#: The share of words outside spans that training takes for unknown shapes.
+FILLS = 3
+#: The share of words outside spans, and of those of many digits anywhere, that training takes for unknown shapes.
 UNKNOWN = 0.1
+MANY_DIGITS = 5
+#: Words of the longest spelled-out address that counts.
+ADDRESS_WORDS = 12
 
 
 def labelled_table(seed: int = 7) -> list[tuple[list[str], list[int]]]:
@@ -150,6 +183,7 @@ def labelled_table(seed: int = 7) -> list[tuple[list[str], list[int]]]:
 
     def fill(token: str) -> str:
         token = re.sub("W", lambda _: word(), token) if "W" in token else token
+        token = token.replace("X", "".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(20, 41))))
         if re.fullmatch(r"[^a-ce-zB-Z]*", token):  # made of d, A and signs only
             token = re.sub("[dA]", lambda m: rng.choice("0123456789") if m[0] == "d" else rng.choice("BCDEFG"), token)
         return token
@@ -179,13 +213,17 @@ class CRF:
     """Weights of shape classes at offsets around a word, and of label transitions."""
 
     def __init__(self, shapes: dict[str, int]):
-        self.shapes = shapes  # 0: outside the sentence, 1: a shape of digits or signs not in the table
-        self.emit = np.zeros((len(OFFSETS), len(shapes) + 2, 5))
+        # 0: outside the sentence, 1: a shape of digits or signs not in the table, 2: such a one of many digits
+        self.shapes = shapes
+        self.emit = np.zeros((len(OFFSETS), len(shapes) + 3, 5))
         self.move = np.where(FORBIDDEN, -1e4, 0.0)
         self.start = np.array([0, 0, -1e4, 0, -1e4])
 
+    def class_of(self, word: bytes) -> int:
+        return self.shapes.get(shape(word)) or 1 + (digits_in(word) >= MANY_DIGITS)
+
     def classes(self, words: list[str]) -> np.ndarray:
-        return np.array([self.shapes.get(shape(w.encode()), 1) for w in words])
+        return np.array([self.class_of(w.encode()) for w in words])
 
     def scores(self, cls: np.ndarray, seq: np.ndarray) -> np.ndarray:
         """Emission of each label for each word; seq: the sentence number of each word."""
@@ -208,9 +246,13 @@ class CRF:
         for i, (words, tags) in enumerate(table):
             cls[i, pad : pad + len(words)] = self.classes(words)
             tag[i, : len(words)] = tags
+        many = np.zeros(cls.shape, bool)
+        for i, (words, _) in enumerate(table):
+            many[i, pad : pad + len(words)] = [digits_in(w.encode()) >= MANY_DIGITS for w in words]
         unknown = np.random.default_rng(3).random(cls.shape) < UNKNOWN
-        unknown[:, pad : pad + longest] &= tag == 0
+        unknown[:, pad : pad + longest] &= (tag == 0) | many[:, pad : pad + longest]
         cls[unknown & (cls > 0)] = 1
+        cls[unknown & many] = 2
         inside = np.arange(longest)[None] < size[:, None]
         near = [cls[:, pad + o : pad + o + longest] for o in OFFSETS]
         state = [np.zeros_like(x) for x in (self.emit, self.move) * 2]
@@ -231,9 +273,9 @@ class CRF:
             p = np.exp(fwd + bwd - total[:, None, None]) * inside[..., None]
             pair = fwd[:, :-1, :, None] + self.move + (e + bwd)[:, 1:, None, :] - total[:, None, None, None]
             pair = (np.exp(np.minimum(pair, 0)) * inside[:, 1:, None, None]).sum((0, 1))
-            grads = [np.zeros_like(self.emit), (gold_move - pair) * ~FORBIDDEN - decay * np.where(FORBIDDEN, 0, self.move)]
-            for k in range(len(OFFSETS)):
-                np.add.at(grads[0][k], near[k], gold - p)
+            excess = (gold - p).reshape(-1, 5)
+            by_class = [[np.bincount(near[k].ravel(), excess[:, s], self.emit.shape[1]) for s in range(5)] for k in range(len(OFFSETS))]
+            grads = [np.array(by_class).transpose(0, 2, 1), (gold_move - pair) * ~FORBIDDEN - decay * np.where(FORBIDDEN, 0, self.move)]
             grads[0] -= decay * self.emit
             for i, (weight, g) in enumerate(zip((self.emit, self.move), grads, strict=True)):
                 state[i] = 0.9 * state[i] + 0.1 * g
@@ -320,7 +362,7 @@ class CRF:
 def trained(seed: int = 7) -> CRF:
     table = labelled_table(seed)
     shapes = sorted({shape(w.encode()) for words, _ in table for w in words})
-    return CRF({s: i + 2 for i, s in enumerate(shapes)}).train(table)
+    return CRF({s: i + 3 for i, s in enumerate(shapes)}).train(table)
 
 
 # --- whole texts -------------------------------------------------------------------------------
@@ -338,7 +380,7 @@ class Finder:
         known = self.known
         new = [w for w in set(words) if w not in known]
         for w in new:
-            known[w] = 2 * self.model.shapes.get(shape(w), 1) + _ends(w)
+            known[w] = 2 * self.model.class_of(w) + _ends(w)
         out = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         for w in new:
             if len(w) > 100:
@@ -370,10 +412,12 @@ class Finder:
             base = np.cumsum([0, *(len(t) + 1 for t in texts)])
             for x, y in zip(hit[a].tolist(), hit[b].tolist(), strict=True):
                 s, e = int(starts[x]), int(ends[y])
-                while e - s > 1 and raw[e - 1] in b".,;:!?\"'":
+                while e - s > 1 and raw[e - 1] in _MARKS:
                     e -= 1
                 while e - s > 1 and raw[s] in b",;:!?\"'":
                     s += 1
+                if not _evident(raw[s:e], 4 if label[x] in (1, 2) else 5):
+                    continue
                 d = int(np.searchsorted(base, s, "right")) - 1
                 out[d].append((4 if label[x] in (1, 2) else 5, s - int(base[d]), e - int(base[d])))
         return out
@@ -383,7 +427,12 @@ class Finder:
         found = []
         for raw, more in zip(texts, self.learned(texts), strict=True):
             base = base_spans(raw)
-            found.append(base + sorted(m for m in more if not any(m[1] < b and a < m[2] for _, a, b in base)))
+            starts, reach = [], []  # of the base spans by start; the furthest end up to each
+            for a, b in sorted((a, b) for _, a, b in base) if more else ():
+                starts.append(a)
+                reach.append(max(b, reach[-1]) if reach else b)
+            free = (m for m in more if not (at := bisect_left(starts, m[2])) or reach[at - 1] <= m[1])
+            found.append(base + sorted(free))
         return found
 
 
@@ -396,11 +445,12 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", model: CRF |
     """Per document: key, a count per kind, base_sha256, spans (kind:start:end by kind, then start,
     comma-joined; code points)."""
     model = model or default_model()
+    narrow, texts_of = text_input(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(model)
         for batch in batches:
-            texts = list(text_slices(batch.column(1)))
+            texts = list(text_slices(texts_of(batch)))
             counts, shas, joined = [[] for _ in KINDS], [], []
             for raw, spans in zip(texts, finder.spans(texts), strict=True):
                 points = code_points(raw, [x for _, s, e in spans for x in (s, e)])
@@ -412,11 +462,10 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", model: CRF |
             arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(joined, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    schema = keyed_schema(narrow, ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return narrow.mapInArrow(run, schema)
 
 
 def pii_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document."""
-    return find(docs).select(F.col("key").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_contact, n_ident of every document."""
+    return find(docs).select(F.col("key").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_contact", "n_ident")
