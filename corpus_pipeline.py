@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and all that its predecessor kept; all but the last return the
 columns of documents. Toxic documents go, one document of each near-duplicate group stays, contaminated
 documents go, secrets in what is left are replaced, and the texts are encoded.
+
+Defined results: null texts count as empty and are kept by every filter, except that equal texts, case
+aside, form a group, empty ones too; rows without an id are never dropped as near-duplicates; texts of any
+length are read whole; repeated rows are judged alike; without usable labels no document is toxic, and an
+empty benchmark contaminates none; empty tables give an empty result; ids keep their type, and other
+columns, whatever their names, are handed on unchanged up to the last stage, which does not read them.
 """
 
 from __future__ import annotations
