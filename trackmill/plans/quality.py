@@ -1,6 +1,6 @@
 """Quality checks of annotation datasets: every rule is a DataFrame of findings.
 
-A finding is (severity, kind, group, ord, n). The findings of all rules are one union; counts, bounded
+A finding is (severity, kind, group, ord, n, details): details are what names the row, as JSON. The findings of all rules are one union; counts, bounded
 examples and the report are small aggregates of it. Two profiles: ``protocol-aware`` passes over what
 training would drop or what the reference dataset already had, ``strict-raw`` does not.
 """
@@ -21,9 +21,13 @@ from trackmill.sources.annotations import Dataset
 GROUPS = ("schema", "reference", "bbox", "duplicate", "track_category", "identity", "anchor", "leakage", "split_overlap")
 PROFILES = ("protocol-aware", "strict-raw")
 SPLITS = ("unspecified", "base-only", "base+novel", "validation")
-FINDING = "severity string, kind string, group string, ord long, n long"
+FINDING = "severity string, kind string, group string, ord long, n long, details string"
+#: What names a row, as far as it has it.
+DETAILS = ("section", "id", "name", "file_name", "video_id", "image_id", "track_id", "category_id", "frame_index", "i_frame_index", "bbox", "outcome", "changed")
+#: Earlier spellings of kinds, under which a report can be asked too.
+ALIASES = {"new_category_identity": "new_categorie_identity", "category_identity_modified": "categorie_identity_modified"}
 ANCHOR = ["video_id", "frame_key", "track_id", "category_id"]
-#: Temporal screens and their thresholds.
+#: Temporal screens and their thresholds.
 THRESHOLDS = {
     "track_length_anomaly": 2,
     "temporal_gap": 1,
@@ -37,10 +41,15 @@ THRESHOLDS = {
 }
 
 
+def details(df: DataFrame) -> Column:
+    held = [c for c in DETAILS if c in df.columns]
+    return F.to_json(F.struct(*held)) if held else F.lit(None).cast("string")
+
+
 def found(df: DataFrame, kind: str | Column, group: str, severity: str = "error", n: Column | None = None) -> DataFrame:
     kind = F.lit(kind) if isinstance(kind, str) else kind
     n = F.lit(1) if n is None else n
-    return df.select(F.lit(severity).alias("severity"), kind.alias("kind"), F.lit(group).alias("group"), F.col("ord").cast("long"), n.cast("long").alias("n"))
+    return df.select(F.lit(severity).alias("severity"), kind.alias("kind"), F.lit(group).alias("group"), F.col("ord").cast("long"), n.cast("long").alias("n"), details(df).alias("details"))
 
 
 def flagged(df: DataFrame, rules: list[tuple]) -> DataFrame:
@@ -48,15 +57,19 @@ def flagged(df: DataFrame, rules: list[tuple]) -> DataFrame:
     hit = lambda cond, kind, group, severity="error": F.when(
         cond if isinstance(cond, Column) else F.expr(cond), F.struct(F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), F.lit(group).alias("group"))
     )
-    hits = df.select(F.col("ord").cast("long").alias("ord"), F.explode(F.array_compact(F.array(*[hit(*r) for r in rules]))).alias("f"))
-    return hits.select("f.severity", "f.kind", "f.group", "ord", F.lit(1).cast("long").alias("n"))
+    held = [c for c in DETAILS if c in df.columns]
+    hits = df.select(F.col("ord").cast("long").alias("ord"), *held, F.explode(F.array_compact(F.array(*[hit(*r) for r in rules]))).alias("f"))
+    return hits.select("f.severity", "f.kind", "f.group", "ord", F.lit(1).cast("long").alias("n"), details(hits).alias("details"))
 
 
 def later(keys: list[str], among: Column | None = None) -> Column:
-    """Whether a row repeats the keys of one before it by ord, among the rows of a condition."""
+    """Whether a row repeats the keys of one before it by ord, among the rows of a condition.
+
+    All other rows are spread by ord, however many of them share keys such as null."""
     if among is None:
         return F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) > 1
-    return among & (F.row_number().over(Window.partitionBy(*keys, among).orderBy("ord")) > 1)
+    apart = F.when(among, F.lit(None)).otherwise(F.col("ord"))
+    return F.coalesce(among, F.lit(False)) & (F.row_number().over(Window.partitionBy(*keys, among, apart).orderBy("ord")) > 1)
 
 
 def keyed(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
@@ -361,7 +374,7 @@ class Checks:
         return [found(both, "train_validation_video_overlap", "split_overlap")]
 
     def _counted(self, counts: dict[str, int], group: str, severity: str = "error") -> DataFrame:
-        rows = [(severity, k, group, None, n) for k, n in counts.items() if n]
+        rows = [(severity, k, group, None, n, None) for k, n in counts.items() if n]
         return self.spark.createDataFrame(rows, FINDING)
 
     def findings(self) -> DataFrame:
@@ -394,14 +407,17 @@ class Checks:
         """Status, counts and bounded examples; everything collected here is bounded by the rules."""
         f = self.findings().persist()
         counts = f.groupBy("severity", "group", "kind").agg(F.sum("n").alias("n")).collect()
-        w = Window.partitionBy("severity", "kind").orderBy("ord")
-        some = f.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= examples).filter("ord IS NOT NULL").select("severity", "kind", "ord").collect()
+        w = Window.partitionBy("severity", "kind").orderBy("ord", "details")
+        named = f.filter("ord IS NOT NULL OR details IS NOT NULL")
+        some = named.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= examples).select("severity", "kind", "ord", "details").collect()
         f.unpersist()
         total = lambda s: sum(r["n"] for r in counts if r.severity == s)
         by = lambda s: {r.kind: r["n"] for r in sorted(counts) if r.severity == s}
-        shown: dict[str, dict[str, list[int]]] = {}
-        for r in sorted(some):
-            shown.setdefault(r.severity, {}).setdefault(r.kind, []).append(r.ord)
+        shown: dict[str, dict[str, list[dict]]] = {}
+        for r in sorted(some, key=lambda r: (r.severity, r.kind, r.ord is not None, r.ord or 0, r.details or "")):
+            where = {} if r.ord is None else {"ord": r.ord}
+            shown.setdefault(r.severity, {}).setdefault(r.kind, []).append(where | json.loads(r.details or "{}"))
+        seen = {r.kind for r in counts}
         status = "FAIL" if total("error") else "PASS WITH WARNINGS" if self.strict and total("warning") else "PASS"
         groups = {g: sum(r["n"] for r in counts if r.severity == "error" and r.group == g) for g in GROUPS}
         rows = self.current.rows.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("track_id").alias("t"), F.max(F.col("track_id").isNull().cast("int")).alias("null_t")).collect()
@@ -413,6 +429,8 @@ class Checks:
         leak = self.class_counts() if self.split == "base-only" and self.split_pairs is not None else None
         return {
             "status": status,
+            "examples_are_capped_at": examples,
+            "aliases": {old: kind for kind, old in ALIASES.items() if kind in seen},
             "counts": sizes | {"distinct_annotated_tracks": tracked},
             "hard_errors": {"total": total("error"), "by_type": by("error"), "by_group": groups, "examples": shown.get("error", {})},
             "warnings": {"total": total("warning"), "by_type": by("warning"), "examples": shown.get("warning", {})},

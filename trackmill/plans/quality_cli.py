@@ -46,8 +46,9 @@ def _json(path: str):
         return json.load(f)
 
 
-def training_options(config: str, current: str, categories: list[dict]) -> dict:
-    """What training reads, from a configuration and the class list it names."""
+def training_options(config: str, current: str, categories: list[tuple[str, str | None]]) -> dict:
+    """What training reads, from a configuration and the class list it names; categories: (id, name) as
+    the typed rows hold them."""
     with open(config, encoding="utf-8") as f:
         options = dataset_options(f.read(), os.path.basename(current)) or {}
     classes = options.get("classes")
@@ -60,7 +61,7 @@ def training_options(config: str, current: str, categories: list[dict]) -> dict:
     sampler, refs = options.get("key_img_sampler") or {}, options.get("ref_img_sampler") or {}
     return {
         "confirmed": True,
-        "allowed": [f"i:{c['id']}" if isinstance(c["id"], int) else f"s:{c['id']}" for c in categories if c.get("name") in names],
+        "allowed": [id_ for id_, name in categories if name is not None and name.startswith("s:") and name[2:] in names],
         "interval": sampler.get("interval", 1),
         "scope": refs.get("scope", 0),
         "original_only": bool(options.get("is_select_ori_img")),
@@ -87,11 +88,12 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
             options["split_pairs"], options["split_issues"] = category_split(_json(a.category_split))
         if a.known_filtered_anchors:
             options["manifest"], options["manifest_issues"] = known_filtered(_json(a.known_filtered_anchors))
+        read = lambda p: Dataset.read(spark, p) if p else None
+        current = read(a.current)
         if a.training_config:
-            listed = _json(a.current).get("categories", []) if a.split == "base-only" else []
+            listed = [tuple(c) for c in current.index("categories").select("id", "name").collect()] if a.split == "base-only" else []  # a row per class
             options["training"] = training_options(a.training_config, a.current, listed)
-        read = lambda p: Dataset.read(spark, p) if p else None
-        checks = Checks(read(a.current), read(a.original), read(a.original_full), a.profile, a.split, validation=read(a.validation), verbose=a.verbose, **options)
+        checks = Checks(current, read(a.original), read(a.original_full), a.profile, a.split, validation=read(a.validation), verbose=a.verbose, **options)
         thresholds = {n: getattr(a, f"t_{n}") for n in THRESHOLDS}
         report = checks.report(a.max_examples, a.temporal_diagnostics, thresholds)
         os.makedirs(os.path.dirname(os.path.abspath(a.report)), exist_ok=True)
