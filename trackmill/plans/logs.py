@@ -13,65 +13,72 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.regexp_replace(F.regexp_replace(text, r"[ \t]+(?=\n)", ""), r"^\s+|\s+$", ""), "\n")
+#: What a block of each kind begins with, as patterns.
+TOP_K, CONFIG, EPOCH = r"max_instance_per_cate:", r"work_dirs/", r"epoch\["
+#: Between blocks of the kinds that blank lines part.
+BLANK = r"\n[ \t\r]*\n"
 
 
-def _tokens(line: Column) -> Column:
-    return F.split(F.trim(line), r"\s+")
+def _blocks(logs: DataFrame, mark: str, text: str = "text", keep: tuple[str, ...] = (), apart: str | None = None) -> DataFrame:
+    """(keep, lines): the lines that are not blank of each piece that begins with the mark. Pieces are cut
+    before each mark or, with ``apart``, at what that matches."""
+    cut = logs.select(*keep, F.explode(F.split(text, apart or f"(?={mark})")).alias("block"))
+    trimmed = F.transform(F.split("block", "\n"), lambda line: F.btrim(line, F.lit(" \t\r")))
+    lines = cut.select(*keep, F.filter(trimmed, lambda line: line != "").alias("lines"))
+    return lines.filter(F.get("lines", F.lit(0)).rlike(f"^{mark}"))
 
 
-def _rows(blocks: DataFrame, keys: list[str], body: Column, skip: int = 1, header: bool = True, exact: int | None = None) -> DataFrame:
-    """(keys, category, metric, value as text): a block's lines after its header, named by the header's
-    tokens or, without one, by METRICS. A value that a line does not have is N/A."""
-    lines = blocks.select(*keys, _lines(body).alias("l"))
-    names = F.slice(_tokens(F.element_at("l", 1)), 2, 100) if header else F.array(*[F.lit(m) for m in METRICS])
-    lines = lines.filter(F.size("l") > skip).withColumn("names", names)
-    rows = lines.select(*keys, "names", F.explode(F.slice("l", skip + 1, 10_000)).alias("line")).withColumn("t", _tokens(F.col("line")))
-    rows = rows.filter(F.size("t") == exact) if exact else rows.filter(F.size("t") > 1)
-    rows = rows.withColumn("pairs", F.transform("names", lambda n, i: F.struct(n.alias("metric"), F.coalesce(F.try_element_at("t", i + 2), F.lit("N/A")).alias("value"))))
-    return rows.select(*keys, F.element_at("t", 1).alias("category"), F.explode("pairs").alias("p")).select(*keys, "category", "p.metric", "p.value")
+def _in_brackets(line: Column, *names: str) -> list[Column]:
+    """The values in a line's square brackets, in order, by name."""
+    found = F.regexp_extract_all(line, F.lit(r"\[([^\[\]]*)\]"), 1)
+    return [F.get(found, F.lit(i)).alias(n) for i, n in enumerate(names)]
 
 
-def _blocks(logs: DataFrame, pattern: str, groups: list[str], source: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    found = logs.select(*keep, F.explode(F.regexp_extract_all(source, F.lit(pattern), 0)).alias("block"))
-    return found.select(*keep, *[F.regexp_extract("block", pattern, i + 1).alias(g) for i, g in enumerate(groups)])
+def _rows(blocks: DataFrame, keys: list[Column], named: bool = True, exact: int | None = None) -> DataFrame:
+    """(keys, category, metric, value as text) of blocks of a key line, a header and value lines. Metrics
+    are named by the header's words after its first, or by METRICS; a value that a line lacks is N/A."""
+    words = lambda line: F.split(line, r"[ \t]+")
+    after_first = lambda a: F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
+    names = after_first(words(F.get("lines", F.lit(1)))) if named else F.array(*[F.lit(m) for m in METRICS])
+    values = F.slice("lines", 3, F.greatest(F.size("lines") - 2, F.lit(0)))
+    rows = blocks.filter(F.size("lines") > 2).select(*keys, names.alias("names"), F.explode(F.transform(values, words)).alias("t"))
+    rows = rows.filter(F.size("t") == exact if exact else F.size("t") > 1)
+    cells = F.transform("names", lambda n, i: F.struct(n.alias("metric"), F.coalesce(F.get("t", i + 1), F.lit("N/A")).alias("value")))
+    fixed = rows.columns[: len(keys)]
+    return rows.select(*fixed, F.get("t", F.lit(0)).alias("category"), F.inline(cells))
+
+
+def _key_line() -> Column:
+    return F.get("lines", F.lit(0))
 
 
 def top_k_log(logs: DataFrame) -> DataFrame:
-    """LOG-1: blocks of max_instance_per_cate."""
-    return _rows(_blocks(logs, r"(?s)max_instance_per_cate:\D*?(\d+)[^\n]*\n(.*?)(?=max_instance_per_cate:|\z)", ["max_instance", "body"]), ["max_instance"], F.col("body"))
+    """LOG-1: blocks of max_instance_per_cate, with the first number of their key line."""
+    return _rows(_blocks(logs, TOP_K), [F.regexp_extract(_key_line(), r"(\d+)", 1).alias("max_instance")])
 
 
 def checkpoint_log(logs: DataFrame) -> DataFrame:
     """LOG-2: configuration files, their epochs, three rows each."""
-    configs = _blocks(logs, r"(?s)(work_dirs/[^\n]+\.py)\n(.*?)(?=work_dirs/[^\n]+\.py|\z)", ["config", "epochs"])
-    epochs = _blocks(configs, r"(?s)epoch\[(\d+)\]:(.*?)(?=epoch\[|\z)", ["epoch", "body"], "epochs", ("config",))
-    return _rows(epochs, ["config", "epoch"], F.col("body"), skip=1)
+    configs = _blocks(logs, CONFIG + r"[^\n]+\.py")
+    rest = F.array_join(F.slice("lines", 2, F.size("lines")), "\n")
+    epochs = _blocks(configs.select(_key_line().alias("config"), rest.alias("epochs")), EPOCH, "epochs", ("config",))
+    return _rows(epochs, [F.col("config"), *_in_brackets(_key_line(), "epoch")])
 
 
 def match_score_log(logs: DataFrame) -> DataFrame:
     """LOG-3: blocks of epoch and match score, parted by blank lines; the header names no metric."""
-    blocks = logs.select(F.explode(F.split(F.trim("text"), r"\n\n+")).alias("b"))
-    head = F.element_at(_lines(F.col("b")), 1)
-    keys = blocks.select("b", F.regexp_extract(head, r"epoch\[(\d+)\]", 1).alias("epoch"), F.regexp_extract(head, r"match score thres\[([0-9.]+)\]", 1).alias("match_score"))
-    return _rows(keys.filter("epoch <> ''"), ["epoch", "match_score"], F.col("b"), skip=2, header=False)
+    return _rows(_blocks(logs, EPOCH, apart=BLANK), _in_brackets(_key_line(), "epoch", "match_score"), named=False)
 
 
 def search_log(logs: DataFrame) -> DataFrame:
-    """LOG-4: epoch, match score and box limit; lines of exactly eleven tokens, values as numbers."""
-    blocks = logs.select(F.explode(F.split(F.trim("text"), r"\n\n+")).alias("b"))
-    head = F.element_at(_lines(F.col("b")), 1)
-    pick = lambda pattern: F.regexp_extract(head, pattern, 1)
-    keys = blocks.filter(F.trim("b").startswith("epoch")).select("b", pick(r"epoch\[(\d+)\]").alias("epoch"), pick(r"match score thres\[([0-9.]+)").alias("match_score"), pick(r"max bbox ?\[([0-9.]+)\]").alias("max_bbox"))
-    rows = _rows(keys, ["epoch", "match_score", "max_bbox"], F.col("b"), skip=2, header=False, exact=11)
-    return rows.withColumn("value", F.expr("try_cast(value AS double)"))
+    """LOG-4: epoch, match score and box limit; lines of exactly eleven words, values as numbers."""
+    rows = _rows(_blocks(logs, EPOCH, apart=BLANK), _in_brackets(_key_line(), "epoch", "match_score", "max_bbox"), named=False, exact=1 + len(METRICS))
+    return rows.withColumn("value", F.col("value").try_cast("double"))
 
 
 def threshold_log(logs: DataFrame) -> DataFrame:
     """LOG-5: epoch and threshold; the header names the columns."""
-    blocks = _blocks(logs, r"(?s)epoch\[(\d+)\], match score thres\[([0-9.]+)\]:(.*?)(?=epoch\[|\z)", ["epoch", "match_score", "body"])
-    return _rows(blocks, ["epoch", "match_score"], F.col("body"))
+    return _rows(_blocks(logs, EPOCH), _in_brackets(_key_line(), "epoch", "match_score"))
 
 
 def wide(rows: DataFrame, keys: list[str]) -> DataFrame:
