@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmill.sources.scratch import kept
+
 
 def majority_category(df: DataFrame, track: str = "track_id", category: str = "category_id") -> DataFrame:
     """Every row with its track's most frequent category, the smallest of several; rows without a track go.
@@ -59,10 +63,11 @@ def first_argmax(score: str, index: str) -> Column:
 
 def top_per_category(df: DataFrame, k: Column | int, only: Column | None = None, category: str = "category_id", score: str = "score") -> DataFrame:
     """The k best rows of each category, ties in input order; categories outside ``only`` pass whole."""
+    if only is not None:  # the others are not ranked, so the limit holds inside the window
+        among = F.coalesce(only, F.lit(False))
+        return top_per_category(df.filter(among), k, None, category, score).unionByName(df.filter(~among))
     w = Window.partitionBy(category).orderBy(F.col(score).desc(), "ord")
-    ranked = df.withColumn("_n", F.row_number().over(w))
-    kept = F.col("_n") <= k
-    return ranked.filter(kept if only is None else kept | ~only).drop("_n")
+    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
 
 
 def top_per_frame(df: DataFrame, k: int, frame: list[str], score: str = "score") -> DataFrame:
@@ -73,11 +78,11 @@ def top_per_frame(df: DataFrame, k: int, frame: list[str], score: str = "score")
 def unique_track_ids(df: DataFrame, video: str = "video_id", track: str = "track_id") -> DataFrame:
     """Track ids made unique over videos: each video's are moved past the largest of those before.
 
-    The running offset runs over one row per video, in partitions of consecutive videos: their sums are
-    added up first, so no task sees all videos.
+    The running offset runs over one row per video, in ranges of consecutive videos of about equal
+    numbers: their sums are added up first, so no task sees all videos.
     """
     top = df.groupBy(video).agg(F.coalesce(F.max(track) + 1, F.lit(0)).alias("span"))
-    top = top.withColumn("_block", F.floor(F.col(video) / 1024))
+    top = kept(top.repartitionByRange(video).withColumn("_block", F.spark_partition_id()), "spans")
     blocks = top.groupBy("_block").agg(F.sum("span").alias("_s"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("_block", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
@@ -126,6 +131,51 @@ def contiguous_crop(df: DataFrame, length: int, start: Column, key: str = "video
     return ranked.filter((F.col("_n") >= first) & (F.col("_n") < first + length)).drop("_n", "_room")
 
 
+def two_segments(df: DataFrame, length: int, span: int, start: Column, second: Column, key: str = "video_id", order: str = "frame_id") -> DataFrame:
+    """Two runs of half of ``length`` frames of each sequence within ``span`` frames, with their number:
+    the first from a start, the second from one after it, both taken modulo what fits. Sequences shorter
+    than ``length`` have none."""
+    half = length // 2
+    frames = df.select(key, order).distinct()
+    ranked = frames.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    ranked = ranked.filter(F.col("_all") >= length).withColumn("_a", F.pmod(start, F.col("_all") - length + 1))
+    last = F.least(F.col("_all") - half, F.col("_a") + span - half)
+    ranked = ranked.withColumn("_b", F.col("_a") + half + F.pmod(second, F.greatest(last - F.col("_a") - half + 1, F.lit(1))))
+    inside = lambda at: (F.col("_n") >= F.col(at)) & (F.col("_n") < F.col(at) + half)
+    segments = F.array_compact(F.array(F.when(inside("_a"), F.lit(0)), F.when(inside("_b"), F.lit(1))))
+    return df.join(ranked.select(key, order, F.explode(segments).alias("segment")), [key, order])
+
+
+def uniform_reference(df: DataFrame, scope: int, draw: Column | None = None, keep_self: bool = False, seed: int = 42, key: str = "video_id", order: str = "frame_id") -> DataFrame:
+    """(key, frame, ref): each frame with one of those up to ``scope`` places around it, but itself, each
+    as likely as the others. ``draw`` is a whole number per frame, by default its hash; without frames
+    around it, with ``scope`` 0 or with ``keep_self`` a frame is its own reference."""
+    frames = df.select(key, order).distinct()
+    if scope <= 0 or keep_self:
+        return frames.withColumn("ref", F.col(order))
+    draw = F.xxhash64(key, order, F.lit(seed)) if draw is None else draw
+    near = F.collect_list(order).over(Window.partitionBy(key).orderBy(order).rowsBetween(-scope, scope))  # at most 2 * scope + 1
+    others = F.array_remove(near, F.col(order))
+    chosen = F.get(others, F.pmod(draw, F.greatest(F.size(others), F.lit(1))).cast("int"))
+    return frames.select(key, order, F.coalesce(chosen, F.col(order)).alias("ref"))
+
+
+def redrawn(samples: DataFrame, usable: Column, draw: Column | None = None, seed: int = 42, group: str = "video_id", sample: str = "frame_id") -> DataFrame:
+    """(group, sample, used): each sample with itself if it is usable, else with a usable one of its group,
+    each as likely as the others; samples of groups without any go. ``draw`` is a whole number per sample,
+    by default its hash.
+
+    A place among the usable ones is drawn once, which gives what drawing again until one is usable does.
+    """
+    draw = F.xxhash64(group, sample, F.lit(seed)) if draw is None else draw
+    marked = samples.select(group, sample, F.coalesce(usable, F.lit(False)).alias("_ok"), draw.cast("long").alias("_draw"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(sample)) - 1
+    good = marked.filter("_ok").select(group, F.col(sample).alias("used"), place.cast("long").alias("_at"))
+    sizes = good.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    again = marked.filter("NOT _ok").join(sizes, group).select(group, sample, F.pmod("_draw", "_n").alias("_at"))
+    return marked.filter("_ok").select(group, sample, F.col(sample).alias("used")).unionByName(again.join(good, [group, "_at"]).select(group, sample, "used"))
+
+
 def chunked(df: DataFrame, size: int, min_length: int = 0, key: str = "video_id", order: str = "frame_id") -> DataFrame:
     """Full chunks of ``size`` consecutive frames of sequences longer than ``min_length``; the rest goes."""
     w = Window.partitionBy(key)
@@ -157,19 +207,22 @@ def trident(df: DataFrame, scope: int, key: str = "video_id", frame: str = "fram
     return near.groupBy(key, frame).agg(F.coalesce(F.min("before"), F.col(frame)).alias("before"), F.coalesce(F.max("after"), F.col(frame)).alias("after"))
 
 
-def global_rank(df: DataFrame, order: str, name: str = "rank", block: int = 1 << 20) -> DataFrame:
-    """The 0-based place of each row by a whole-number order column, the row count beside it.
+def global_rank(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
+    """The 0-based place of each row by an order column, the row count beside it; ties by the whole row.
 
-    Rows are ranked inside blocks of the order's range; only the blocks' counts are summed up in one
-    place, so no task sees all rows.
+    Rows are dealt to ranges of about equal numbers and sorted there; a row's place is its place in its
+    range and the rows of the ranges before, of which only the counts meet in one place.
     """
-    marked = df.withColumn("_block", F.floor(F.col(order) / block))
-    counts = marked.groupBy("_block").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counts = counts.select("_block", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"), F.sum("_c").over(all_).alias("_all"))
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy(order)) - 1
-    return marked.join(counts, "_block").withColumn(name, F.col("_base") + inside).withColumn("n_rows", F.col("_all")).drop("_block", "_base", "_all")
+    tie = F.xxhash64(*df.columns)
+    ranged = df.repartitionByRange(F.col(order), tie).sortWithinPartitions(F.col(order), tie)
+    # an increasing id holds the range's number above its 33 low bits and the place in it below
+    ranged = kept(ranged.withColumn("_id", F.monotonically_increasing_id()), "ranges").withColumn("_part", F.shiftright("_id", 33))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = counts.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"), F.sum("_c").over(all_).alias("n_rows"))
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(counts, "_part").select(*df.columns, (F.col("_base") + inside).alias(name), "n_rows")
 
 
 def even_parts(df: DataFrame, x: int, order: str) -> DataFrame:
@@ -216,16 +269,17 @@ def original_frames(frames: DataFrame, ratio: float, seed: int = 42, key: str =
     return frames.groupBy(key).applyInPandas(draw, f"{key} {kinds[key]}, {frame} {kinds[frame]}")
 
 
-def sampled_pairs(frames: DataFrame, reach: tuple[int, int] = (-5, 5), positive: Column | float = 0.8, with_self: bool = True, seed: int = 42, key: str = "video_id", frame: str = "frame_id") -> DataFrame:
+def sampled_pairs(frames: DataFrame, reach: tuple[int, int] = (-5, 5), positive: Column | float = 0.8, with_self: bool = True, seed: int = 42, key: str = "video_id", frame: str = "frame_id", draw: Callable[[str], Column] | None = None) -> DataFrame:
     """(key, frame, pair_key, pair_frame, positive): each frame with one other, picked by hash.
 
     A positive pair's frame is of the same video, from reach[0] places before up to, but without,
     reach[1] places after; without ``with_self`` the frame itself is left out, unless it is the only
     one. Any frame of any other video makes a negative pair. ``positive`` is a probability, or says
     it of each frame; where there is no other video, a negative pair's other side is null. Keys are whole
-    numbers.
+    numbers. ``draw`` gives a whole number per frame for each named choice, by default a hash.
     """
-    pick = lambda name, n: F.pmod(F.xxhash64(key, frame, F.lit(seed), F.lit(name)), n)
+    draw = draw or (lambda name: F.xxhash64(key, frame, F.lit(seed), F.lit(name)))
+    pick = lambda name, n: F.pmod(draw(name), n)
     chance = positive if isinstance(positive, Column) else pick("positive", F.lit(1 << 30)) < positive * (1 << 30)
     place = (F.row_number().over(Window.partitionBy(key).orderBy(frame)) - 1).cast("long")
     placed = frames.select(key, frame, place.alias("_at"), chance.alias("positive"))

@@ -38,7 +38,10 @@ def cosine_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return unit_rows(a) @ unit_rows(b).T
 
 
-def bi_softmax_matrix(s: np.ndarray, same: np.ndarray | None = None) -> np.ndarray:
+def bi_softmax_matrix(s: np.ndarray, same: np.ndarray | None = None, stable: bool = False) -> np.ndarray:
+    """``stable`` takes the largest score off first, so that none overflows."""
+    if stable and s.size:
+        s = s - s.max()
     e = np.exp(s) if same is None else np.exp(s) * same
     return (e / (e.sum(1, keepdims=True) + 1e-6) + e / (e.sum(0, keepdims=True) + 1e-6)) / 2
 
@@ -143,8 +146,17 @@ def without_distractors(boxes: np.ndarray, scores: np.ndarray, labels: np.ndarra
     return ~((scores < score_limit) & m.any(1))
 
 
+def _diagonal(d: np.ndarray) -> np.ndarray:
+    return d[..., None] * np.eye(d.shape[-1])
+
+
+def _turned(m: np.ndarray) -> np.ndarray:
+    return np.swapaxes(m, -1, -2)
+
+
 class BoxKalman:
-    """Constant velocity over (cx, cy, w / h, h); noise in proportion to the height."""
+    """Constant velocity over (cx, cy, w / h, h); noise in proportion to the height. All take one state
+    or, with a leading axis, many."""
 
     POSITION, VELOCITY = 1 / 20, 1 / 160
 
@@ -153,40 +165,41 @@ class BoxKalman:
 
     @staticmethod
     def measure(box: np.ndarray) -> np.ndarray:
-        w, h = box[2] - box[0], box[3] - box[1]
-        return np.array([(box[0] + box[2]) / 2, (box[1] + box[3]) / 2, w / max(h, 1e-9), h])
+        x1, y1, x2, y2 = np.moveaxis(np.asarray(box, float), -1, 0)
+        h = y2 - y1
+        return np.stack([(x1 + x2) / 2, (y1 + y2) / 2, (x2 - x1) / np.maximum(h, 1e-9), h], -1)
 
     @staticmethod
     def box(mean: np.ndarray) -> np.ndarray:
-        cx, cy, ratio, h = mean[:4]
-        return np.array([cx - ratio * h / 2, cy - h / 2, cx + ratio * h / 2, cy + h / 2])
+        cx, cy, ratio, h = np.moveaxis(mean, -1, 0)[:4]
+        return np.stack([cx - ratio * h / 2, cy - h / 2, cx + ratio * h / 2, cy + h / 2], -1)
 
-    def _spread(self, h: float, position: float, velocity: float, ratio: float, turn: float) -> np.ndarray:
-        p, v = position * self.POSITION * h, velocity * self.VELOCITY * h
-        return np.diag(np.array([p, p, ratio, p, v, v, turn, v]) ** 2)
+    def _spread(self, h: np.ndarray, position: float, velocity: float, ratio: float, turn: float) -> np.ndarray:
+        p, v, one = position * self.POSITION * h, velocity * self.VELOCITY * h, np.ones_like(h)
+        return _diagonal(np.stack([p, p, ratio * one, p, v, v, turn * one, v], -1) ** 2)
 
     def initiate(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.r_[z, np.zeros(4)], self._spread(z[3], 2, 10, 1e-2, 1e-5)
+        return np.concatenate([z, np.zeros_like(z)], -1), self._spread(z[..., 3], 2, 10, 1e-2, 1e-5)
 
     def predict(self, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.move @ mean, self.move @ cov @ self.move.T + self._spread(mean[3], 1, 1, 1e-2, 1e-5)
+        return mean @ self.move.T, self.move @ cov @ self.move.T + self._spread(mean[..., 3], 1, 1, 1e-2, 1e-5)
 
     def project(self, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        p = self.POSITION * mean[3]
-        return mean[:4], cov[:4, :4] + np.diag(np.array([p, p, 1e-1, p]) ** 2)
+        p = self.POSITION * mean[..., 3]
+        return mean[..., :4], cov[..., :4, :4] + _diagonal(np.stack([p, p, 1e-1 * np.ones_like(p), p], -1) ** 2)
 
     def update(self, mean: np.ndarray, cov: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         seen, s = self.project(mean, cov)
-        gain = np.linalg.solve(s, cov[:4]).T
-        return mean + gain @ (z - seen), cov - gain @ s @ gain.T
+        gain = _turned(np.linalg.solve(s, cov[..., :4, :]))
+        return mean + (gain @ (z - seen)[..., None])[..., 0], cov - gain @ s @ _turned(gain)
 
     def gating(self, mean: np.ndarray, cov: np.ndarray, z: np.ndarray, position_only: bool = False) -> np.ndarray:
-        """Squared Mahalanobis distance of each measurement."""
+        """Squared Mahalanobis distance of each measurement from one state, or of each from its own."""
         seen, s = self.project(mean, cov)
         if position_only:
-            seen, s, z = seen[:2], s[:2, :2], z[:, :2]
-        white = np.linalg.solve(np.linalg.cholesky(s), (z - seen).T)
-        return (white**2).sum(0)
+            seen, s, z = seen[..., :2], s[..., :2, :2], z[..., :2]
+        off = (z - seen)[..., None]
+        return (off * np.linalg.solve(np.broadcast_to(s, (*off.shape[:-2], *s.shape[-2:])), off)).sum((-1, -2))
 
     @staticmethod
     def gate(position_only: bool = False) -> float:
@@ -255,6 +268,118 @@ class ScoreKalman:
         return np.array([self.x[0] - w / 2, self.x[1] - h / 2, self.x[0] + w / 2, self.x[1] + h / 2])
 
 
+class ScoreKalmans:
+    """Many score-aware filters side by side, each as ``ScoreKalman``, in the order in which they begin."""
+
+    def __init__(self):
+        one = ScoreKalman(np.zeros(5))
+        self.f, self.r, self.q, self.first = one.f, one.r, one.q, one.p
+        self.x, self.p = np.zeros((0, 9)), np.zeros((0, 9, 9))
+        self.saved_x, self.saved_p, self.last = self.x.copy(), self.p.copy(), np.zeros((0, 5))
+        self.missed = np.zeros(0, int)
+
+    def begin(self, z: np.ndarray) -> None:
+        n = len(z)
+        self.x, self.p = np.r_[self.x, np.c_[z, np.zeros((n, 4))]], np.r_[self.p, np.tile(self.first, (n, 1, 1))]
+        self.saved_x, self.saved_p = np.r_[self.saved_x, np.zeros((n, 9))], np.r_[self.saved_p, np.zeros((n, 9, 9))]
+        self.last, self.missed = np.r_[self.last, z], np.r_[self.missed, np.zeros(n, int)]
+
+    def predict(self, at: np.ndarray) -> None:
+        x = self.x[at]
+        x[x[:, 7] + x[:, 2] <= 0, 7] = 0
+        self.x[at] = x @ self.f.T
+        self.p[at] = self.f @ self.p[at] @ self.f.T + self.q
+
+    def _correct(self, at: np.ndarray, z: np.ndarray) -> None:
+        x, p = self.x[at], self.p[at]
+        gain = _turned(np.linalg.solve(p[:, :5, :5] + self.r, p[:, :5]))
+        rest = np.eye(9) - np.concatenate([gain, np.zeros((len(at), 9, 4))], 2)
+        self.x[at] = x + (gain @ (z - x[:, :5])[..., None])[..., 0]
+        self.p[at] = rest @ p @ _turned(rest) + gain @ self.r @ _turned(gain)
+
+    def update(self, at: np.ndarray, z: np.ndarray, seen: np.ndarray) -> None:
+        """Measurements of the filters ``at``; those not seen have none."""
+        lost = at[~seen]
+        fresh = lost[self.missed[lost] == 0]
+        self.saved_x[fresh], self.saved_p[fresh] = self.x[fresh], self.p[fresh]
+        self.missed[lost] += 1
+        at, z = at[seen], z[seen]
+        back = self.missed[at] > 0
+        self.x[at[back]], self.p[at[back]] = self.saved_x[at[back]], self.saved_p[at[back]]
+        gap = self.missed[at] + 1
+        for k in range(1, int(gap.max(initial=1))):
+            own = np.flatnonzero(gap > k)
+            between = [ScoreKalman._between(self.last[at[i]], z[i], k / gap[i]) for i in own]
+            self._correct(at[own], np.array(between))
+            self.predict(at[own])
+        self._correct(at, z)
+        self.last[at], self.missed[at] = z, 0
+
+    def box(self, at: np.ndarray) -> np.ndarray:
+        x = self.x[at]
+        w = np.sqrt(np.maximum(x[:, 2] * x[:, 4], 0))
+        h = np.divide(x[:, 2], w, out=np.zeros_like(w), where=w > 0)
+        return np.stack([x[:, 0] - w / 2, x[:, 1] - h / 2, x[:, 0] + w / 2, x[:, 1] + h / 2], 1)
+
+
+class LinearKalman:
+    """A linear filter: states move by ``f`` with noise ``q`` and show as ``h`` times the state with noise
+    ``r``; ``m`` is the covariance of the two noises."""
+
+    def __init__(self, f: np.ndarray, h: np.ndarray, q: np.ndarray, r: np.ndarray, x: np.ndarray, p: np.ndarray, m: np.ndarray | None = None):
+        self.f, self.h, self.q, self.r, self.x, self.p = f, h, q, r, x, p
+        self.m = np.zeros((len(x), len(h))) if m is None else m
+        self.log_likelihood = 0.0
+
+    def predict(self) -> None:
+        self.x, self.p = self.f @ self.x, self.f @ self.p @ self.f.T + self.q
+
+    def update(self, z: np.ndarray | None) -> None:
+        """Correct by a measurement, if there is one; ``log_likelihood`` is that of the measurement."""
+        if z is None:
+            self.log_likelihood = 0.0
+            return
+        hm = self.h @ self.m
+        s = self.h @ self.p @ self.h.T + hm + hm.T + self.r
+        off = z - self.h @ self.x
+        gain = np.linalg.solve(s, (self.p @ self.h.T + self.m).T).T
+        self.x = self.x + gain @ off
+        self.p = self.p - gain @ (self.h @ self.p + self.m.T)
+        self.log_likelihood = float(-0.5 * (off @ np.linalg.solve(s, off) + np.linalg.slogdet(s)[1] + len(off) * np.log(2 * np.pi)))
+
+    def batch(self, zs: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray, float]:
+        """The states and covariances after each measurement, and the log-likelihood of all of them."""
+        means, covs, total = [], [], 0.0
+        for z in zs:
+            self.predict()
+            self.update(z)
+            means.append(self.x)
+            covs.append(self.p)
+            total += self.log_likelihood
+        return np.array(means), np.array(covs), total
+
+    def steady_gain(self, limit: float = 1e-12, rounds: int = 10_000) -> np.ndarray:
+        """The gain that a long run of measurements comes to, whatever they are."""
+        p, before = self.p, None
+        for _ in range(rounds):
+            p = self.f @ p @ self.f.T + self.q
+            gain = np.linalg.solve(self.h @ p @ self.h.T + self.r, self.h @ p).T
+            p = p - gain @ self.h @ p
+            if before is not None and np.abs(gain - before).max() < limit:
+                break
+            before = gain
+        return gain
+
+    def steady(self, zs: np.ndarray) -> np.ndarray:
+        """States under the steady gain, which needs no covariances."""
+        gain, x, out = self.steady_gain(), self.x, []
+        for z in zs:
+            x = self.f @ x
+            x = x + gain @ (z - self.h @ x)
+            out.append(x)
+        return np.array(out)
+
+
 def smooth(f: np.ndarray, q: np.ndarray, means: np.ndarray, covs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rauch-Tung-Striebel: filtered states corrected by those after them."""
     x, p = means.copy(), covs.copy()

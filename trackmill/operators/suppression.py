@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackmill.operators.groups import Columns, corners, over_groups
 from trackmill.operators.joins import overlaps
 from trackmill.operators.kernels import greedy_nms as nms
 
@@ -19,14 +19,12 @@ def remove_distractors(df: DataFrame, frame: list[str], score_limit: float = 0.5
 
 
 def greedy_nms(df: DataFrame, frame: list[str], overlap: float, by_class: bool = False) -> DataFrame:
-    """Boxes left by greedy suppression, best score first, ties in input order. A group is one frame."""
+    """(frame, ord) of the boxes left by greedy suppression, best score first, ties in input order."""
     columns = [*frame, "ord", "category_id", "score", "x1", "y1", "x2", "y2"]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ord")
-        classes = part["category_id"].to_numpy() if by_class else None
-        kept = nms(part[["x1", "y1", "x2", "y2"]].to_numpy(float), part["score"].to_numpy(float), overlap, classes)
-        return pd.DataFrame({"ord": part["ord"].to_numpy()[np.sort(kept)]})
+    def solve(c: Columns) -> tuple:
+        kept = np.sort(nms(corners(c), c["score"].astype(float), overlap, c["category_id"] if by_class else None))
+        return (*(c[k][kept] for k in frame), c["ord"][kept])
 
-    kept = df.select(*columns).groupBy(*frame).applyInPandas(run, "ord long")
-    return df.join(kept, "ord", "left_semi")
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in (*frame, "ord"))
+    return over_groups(df.select(*columns), frame, ["ord"], solve, schema)

@@ -1,18 +1,22 @@
 """Trackers: one kernel per method, run over sorted frames in batch or from keyed state in streams.
 
-A tracker's ``step`` takes one frame and gives each detection a track id, or -1. In batch, partitions are
-sorted by video and frame and streamed through, so a task holds one frame and one tracker at a time,
+A tracker's ``step`` takes one frame and gives each detection a track id, or -1; ``pause`` takes the frames
+without detections between two steps. In batch, partitions are sorted by video and frame and streamed
+through, so a task holds one tracker and a frame, or the few that the tracker may still mend, at a time,
 however long a video is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trackmill.operators import kernels as K
 from trackmill.registry import build, operator
@@ -42,12 +46,25 @@ class Track:
     motion: tuple | None = None
 
 
+def no_detections(frame_id: int) -> Frame:
+    return Frame(frame_id, np.zeros((0, 4)), np.zeros(0), np.zeros(0, int), np.zeros((0, 1)))
+
+
 class Tracker:
-    """Ids from 0 in order of birth; ``step`` sees every frame once, in order."""
+    """Ids from 0 in order of birth; ``step`` sees every frame with detections once, in order.
+
+    After a step, ``fixes`` holds ids found late: (frames back, row in that frame's step, id), at most
+    ``delay`` frames back."""
+
+    delay = 0
 
     def __init__(self):
         self.tracks: dict[int, Track] = {}
         self.next_id = 0
+        self.fixes: list[tuple[int, int, int]] = []
+
+    def pause(self, frames: Iterable[int]) -> None:
+        """Frames without detections, in order: they leave a memory as it is."""
 
     def born(self, f: Frame, i: int) -> int:
         self.tracks[self.next_id] = Track(f.boxes[i], int(f.labels[i]), f.embeds[i], f.frame_id, float(f.scores[i]))
@@ -65,18 +82,19 @@ class MemoTracker(Tracker):
     method: inter (distractors of any class) or intra (of the same class, and only same-class matches,
     whose score is blended with the remembered one). metric: bisoftmax or cosine. ``motion_weight`` adds
     the overlap with boxes predicted by a Kalman filter; ``fusion`` weighs appearance by how surely
-    detections come back to themselves through the memory.
+    detections come back to themselves through the memory; ``stable`` keeps large embeddings from
+    overflowing.
     """
 
     def __init__(
         self, init_score=0.5, match_score=0.5, obj_score=0.3, memo_frames=10, momentum=0.8, method="inter", metric="bisoftmax", with_cosine=True, distractor_score=0.5,
-        distractor_overlap=0.3, motion_weight=0.0, fusion=0.0, score_momentum=0.5,
+        distractor_overlap=0.3, motion_weight=0.0, fusion=0.0, score_momentum=0.5, stable=False,
     ):
         super().__init__()
         self.init_score, self.match_score, self.obj_score = init_score, match_score, obj_score
         self.memo_frames, self.momentum, self.method, self.metric, self.with_cosine = memo_frames, momentum, method, metric, with_cosine
         self.distractor_score, self.distractor_overlap = distractor_score, distractor_overlap
-        self.motion_weight, self.fusion, self.score_momentum = motion_weight, fusion, score_momentum
+        self.motion_weight, self.fusion, self.score_momentum, self.stable = motion_weight, fusion, score_momentum, stable
         self.kalman = K.BoxKalman()
 
     def _scores(self, f: Frame, memory: list[Track]) -> np.ndarray:
@@ -87,10 +105,10 @@ class MemoTracker(Tracker):
             scores = cos * same
         else:
             dot = f.embeds @ embeds.T
-            scores = K.bi_softmax_matrix(dot, same if self.method == "intra" else None)
+            scores = K.bi_softmax_matrix(dot, same if self.method == "intra" else None, self.stable)
             if self.with_cosine:
                 scores = (scores + (cos * same if self.method == "intra" else cos)) / 2
-        if self.fusion and min(scores.shape) > 1:
+        if self.fusion:
             sure = K.cycle_confidence(cos)[:, None]
             ratio = self.fusion * (1 - sure) ** 2
             scores = (scores + ratio * same * scores) / (1 + ratio)
@@ -142,6 +160,13 @@ class SortTracker(Tracker):
         self.num_samples, self.tentative, self.max_gap = num_samples, tentative, max_gap
         self.kalman = K.BoxKalman()
 
+    def pause(self, frames: Iterable[int]) -> None:
+        """Tracks that may not miss a frame die, and others in time; nothing moves."""
+        for frame_id in frames:
+            if not self.tracks:
+                return
+            self.step(no_detections(frame_id))
+
     def _hit(self, f: Frame, i: int, k: int) -> None:
         t = self.tracks[k]
         t.box, t.label, t.frame, t.hits = f.boxes[i], int(f.labels[i]), f.frame_id, t.hits + 1
@@ -151,7 +176,7 @@ class SortTracker(Tracker):
     def step(self, f: Frame) -> np.ndarray:
         ids = np.full(len(f.scores), -1)
         kept = np.flatnonzero(f.scores > self.score)
-        for t in self.tracks.values():
+        for t in self.tracks.values() if len(kept) else ():
             t.motion = self.kalman.predict(*t.motion)
         sure = [k for k, t in self.tracks.items() if t.hits >= self.tentative]
         if len(kept) and sure:
@@ -184,11 +209,13 @@ class SortTracker(Tracker):
 
 @operator("blend")
 class BlendTracker(MemoTracker):
-    """Appearance and predicted overlap blended into one distance, solved for the least total."""
+    """Appearance and predicted overlap blended into one distance, solved for the least total.
+
+    With ``compat`` a matched track's mean and filter take its detection in twice."""
 
-    def __init__(self, match_distance=0.5, motion_weight=0.4, **options):
+    def __init__(self, match_distance=0.5, motion_weight=0.4, compat=False, **options):
         super().__init__(motion_weight=motion_weight, **options)
-        self.match_distance = match_distance
+        self.match_distance, self.times = match_distance, 2 if compat else 1
 
     def step(self, f: Frame) -> np.ndarray:
         ids = np.full(len(f.scores), -1)
@@ -200,7 +227,7 @@ class BlendTracker(MemoTracker):
         if len(kept) and self.tracks:
             names, memory = list(self.tracks), list(self.tracks.values())
             embeds = np.stack([t.embed for t in memory])
-            look = (K.bi_softmax_matrix(g.embeds @ embeds.T) + (1 + K.cosine_matrix(g.embeds, embeds)) / 2) / 2
+            look = (K.bi_softmax_matrix(g.embeds @ embeds.T, stable=self.stable) + (1 + K.cosine_matrix(g.embeds, embeds)) / 2) / 2
             boxes = np.stack([K.BoxKalman.box(t.motion[0]) for t in memory])
             score = (1 - self.motion_weight) * look + self.motion_weight * K.iou_matrix(g.boxes, boxes)
             for i, j in K.assign(1 - score, self.match_distance):
@@ -209,8 +236,9 @@ class BlendTracker(MemoTracker):
             if found[i] >= 0:
                 t = self.tracks[found[i]]
                 t.box, t.label, t.frame, t.hits = g.boxes[i], int(g.labels[i]), f.frame_id, t.hits + 1
-                t.embed = (1 - self.momentum) * t.embed + self.momentum * g.embeds[i]
-                t.motion = self.kalman.update(*t.motion, K.BoxKalman.measure(g.boxes[i]))
+                for _ in range(self.times):
+                    t.embed = (1 - self.momentum) * t.embed + self.momentum * g.embeds[i]
+                    t.motion = self.kalman.update(*t.motion, K.BoxKalman.measure(g.boxes[i]))
             elif g.scores[i] > self.init_score:
                 found[i] = self.born(g, i)
                 self.tracks[found[i]].motion = self.kalman.initiate(K.BoxKalman.measure(g.boxes[i]))
@@ -279,21 +307,30 @@ class HybridTracker(Tracker):
     """Three rounds: strong detections by overlap, corner directions, score and appearance; weak ones by
     overlap and score; what is left by the last observations.
 
-    A score equal to ``det_thresh`` falls in neither band. Births take the detection's own class. With
-    ``by_class`` only pairs of one class can match."""
+    A score equal to ``det_thresh`` falls in neither band. Births take the detection's own class."""
 
-    def __init__(self, det_thresh=0.6, low_thresh=1e-4, iou=0.15, inertia=0.05, max_age=30, min_hits=3, steps=3, score_weight=1.0, look=4.0, look_low=4.4, by_class=False):
+    def __init__(self, det_thresh=0.6, low_thresh=1e-4, iou=0.15, inertia=0.05, max_age=30, min_hits=3, steps=3, score_weight=1.0, look=4.0, look_low=4.4):
         super().__init__()
         self.det_thresh, self.low_thresh, self.iou, self.inertia = det_thresh, low_thresh, iou, inertia
         self.max_age, self.min_hits, self.steps = max_age, min_hits, steps
-        self.score_weight, self.look, self.look_low, self.by_class = score_weight, look, look_low, by_class
+        self.score_weight, self.look, self.look_low = score_weight, look, look_low
         self.live: dict[int, _Observed] = {}
         self.frames = 0
 
-    def _gate(self, gain: np.ndarray, f: Frame, rows: np.ndarray, tracks: list[int]) -> np.ndarray:
-        if not self.by_class:
-            return gain
-        return np.where(f.labels[rows][:, None] == np.array([self.live[k].label for k in tracks])[None], gain, -K.BIG)
+    def pause(self, frames: Iterable[int]) -> None:
+        """Tracks move on, and die in time."""
+        for frame_id in frames:
+            if not self.live:
+                self.frames += 1
+            else:
+                self.step(no_detections(frame_id))
+
+    def _predicted(self) -> dict[int, tuple]:
+        """The prediction of each live track; tracks without a finite one are dropped."""
+        found = {k: t.predict() for k, t in self.live.items()}
+        for k in [k for k, p in found.items() if not np.isfinite(p[0]).all()]:
+            del self.live[k], found[k]
+        return found
 
     def _turn(self, boxes: np.ndarray, scores: np.ndarray, tracks: list[int]) -> np.ndarray:
         """The agreement of each move from a track's reference with its corner velocities."""
@@ -314,17 +351,14 @@ class HybridTracker(Tracker):
         g = f.take(kept)
         scores = g.scores / g.scores.max() if len(kept) and g.scores.max() > 0 else g.scores
         high, low = np.flatnonzero(scores > self.det_thresh), np.flatnonzero((scores > self.low_thresh) & (scores < self.det_thresh))
-        predicted = {k: t.predict() for k, t in self.live.items()}
-        lost = [k for k, p in predicted.items() if not np.isfinite(p[0]).all()]
-        for k in lost:
-            del self.live[k], predicted[k]
+        predicted = self._predicted()
         tracks = list(self.live)
         owner = np.full(len(kept), -1)
         boxes = np.array([predicted[k][0] for k in tracks]).reshape(-1, 4)
         rest, free = high, tracks
         if len(high) and tracks:
             expect = np.clip([predicted[k][1] for k in tracks], self.det_thresh, 1.0)
-            overlap = self._gate(K.height_iou_matrix(g.boxes[high], boxes), g, high, tracks)
+            overlap = K.height_iou_matrix(g.boxes[high], boxes)
             gap = np.abs(scores[high][:, None] - expect[None]) * self.score_weight
             far = np.maximum(0, 1 - K.cosine_matrix(g.embeds[high], np.stack([self.live[k].embed for k in tracks])))
             cost = -(overlap + self._turn(g.boxes[high], scores[high], tracks) - gap) + self.look * far
@@ -336,14 +370,14 @@ class HybridTracker(Tracker):
         if len(low) and free:
             at = [tracks.index(k) for k in free]
             expect = np.clip([predicted[k][2] for k in free], 0.1, self.det_thresh)
-            overlap = self._gate(K.height_iou_matrix(g.boxes[low], boxes[at]), g, low, free)
+            overlap = K.height_iou_matrix(g.boxes[low], boxes[at])
             if overlap.max() > self.iou:
                 gain = overlap - np.abs(scores[low][:, None] - expect[None]) * self.score_weight
                 far = np.maximum(0, 1 - K.cosine_matrix(g.embeds[low], np.stack([self.live[k].embed for k in free])))
                 free = self._take(g, scores, low, free, K.assign(-gain + self.look_low * far), gain, owner)
         known = [k for k in free if self.live[k].last is not None]
         if len(rest) and known:
-            gain = self._gate(K.height_iou_matrix(g.boxes[rest], np.stack([self.live[k].last for k in known])), g, rest, known)
+            gain = K.height_iou_matrix(g.boxes[rest], np.stack([self.live[k].last for k in known]))
             if gain.max() > self.iou:
                 still = self._take(g, scores, rest, known, K.assign(-gain), gain, owner)
                 free = [k for k in free if k not in known or k in still]
@@ -371,10 +405,86 @@ class HybridTracker(Tracker):
         return [k for k in tracks if k not in gone]
 
 
+class _Centred(_Observed):
+    """A track whose direction is that of its centre; it remembers in which rows it was last seen."""
+
+    def __init__(self, box, embed, label, steps):
+        super().__init__(box, 1.0, embed, label, steps)
+        self.velocity = np.zeros(2)
+        self.rows: list[int] = []
+
+    @classmethod
+    def directions(cls, a, b) -> np.ndarray:
+        """The unit vector (dy, dx) of the centre from a to b, or to each row of b."""
+        b = np.asarray(b)
+        move = np.stack([b[..., 1] + b[..., 3] - a[1] - a[3], b[..., 0] + b[..., 2] - a[0] - a[2]], -1) / 2
+        return move / (np.linalg.norm(move, axis=-1, keepdims=True) + 1e-6)
+
+    def seen_in(self, row: int, box: np.ndarray, keep: int) -> None:
+        before = self.reference()
+        self.update(box, 1.0)
+        self.velocity = np.zeros(2) if before is None else self.directions(before, box)
+        self.rows = [*self.rows, row][-keep:]
+
+
 @operator("hybrid_sort_public")
-def public(**options) -> HybridTracker:
-    """The category-gated variant for given detections."""
-    return HybridTracker(by_class=True, **options)
+class PublicTracker(HybridTracker):
+    """For given detections: two rounds among pairs of one class, by overlap and the direction of the
+    centre, then by the last observations. A track that has its ``min_hits``-th box in a row is followed
+    back over the boxes before it, which were held back until then."""
+
+    def __init__(self, min_hits=3, **options):
+        super().__init__(min_hits=min_hits, **options)
+        self.delay = max(0, min_hits - 1)
+
+    def _same(self, gain: np.ndarray, labels: np.ndarray, tracks: list[int]) -> np.ndarray:
+        return np.where(labels[:, None] == np.array([self.live[k].label for k in tracks])[None], gain, -K.BIG)
+
+    def _heading(self, boxes: np.ndarray, tracks: list[int]) -> np.ndarray:
+        out = np.zeros((len(boxes), len(tracks)))
+        for j, k in enumerate(tracks):
+            ref = self.live[k].reference()
+            if ref is not None:
+                cos = np.clip(_Centred.directions(ref, boxes) @ self.live[k].velocity, -1, 1)
+                out[:, j] = (np.pi / 2 - np.abs(np.arccos(cos))) / np.pi * self.inertia
+        return out
+
+    def step(self, f: Frame) -> np.ndarray:
+        self.frames += 1
+        self.fixes = []
+        ids = np.full(len(f.scores), -1)
+        rows = np.flatnonzero(f.scores > self.det_thresh)
+        predicted = self._predicted()
+        tracks = list(self.live)
+        owner: dict[int, int] = {}
+        rest, free = rows, tracks
+        if len(rows) and tracks:
+            boxes, labels = f.boxes[rows], f.labels[rows]
+            gain = self._same(K.iou_matrix(boxes, np.array([predicted[k][0] for k in tracks])), labels, tracks)
+            pairs, left, unseen = K.associate(gain, self.iou, -(gain + self._heading(boxes, tracks)))
+            owner = {int(rows[i]): tracks[j] for i, j in pairs}
+            rest, free = rows[left], [tracks[j] for j in unseen]
+        known = [k for k in free if self.live[k].last is not None]
+        if len(rest) and known:
+            gain = self._same(K.height_iou_matrix(f.boxes[rest], np.stack([self.live[k].last for k in known])), f.labels[rest], known)
+            if gain.max() > self.iou - 0.1:
+                again = {int(rest[i]): known[j] for i, j in K.assign(-gain) if gain[i, j] >= self.iou - 0.1}
+                owner |= again
+                rest = np.array([i for i in rest.tolist() if i not in again], int)
+        for i, k in owner.items():
+            self.live[k].seen_in(i, f.boxes[i], self.min_hits)
+        for i in rest.tolist():
+            self.live[self.next_id] = _Centred(f.boxes[i], f.embeds[i], int(f.labels[i]), self.steps)
+            owner[i] = self.next_id
+            self.next_id += 1
+        for i, k in owner.items():
+            t = self.live[k]
+            if self.frames <= self.min_hits or t.streak >= self.min_hits:
+                ids[i] = k + 1
+            if t.streak == self.min_hits and t.rows:
+                self.fixes += [(back, t.rows[-1 - back], k + 1) for back in range(1, self.min_hits)]
+        self.live = {k: t for k, t in self.live.items() if t.since <= self.max_age}
+        return ids
 
 
 COLUMNS = ["video_id", "frame_id", "ord", "category_id", "x1", "y1", "x2", "y2", "score", "embedding"]
@@ -386,10 +496,54 @@ def frame_of(rows: pd.DataFrame) -> Frame:
     return Frame(int(rows["frame_id"].iloc[0]), rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows["score"].to_numpy(float).copy(), rows["category_id"].to_numpy(int), embeds)
 
 
+OUT = ["video_id", "frame_id", "ord", "track_id", "category_id", "x1", "y1", "x2", "y2", "score"]
+
+
 def tracked(rows: pd.DataFrame, tracker: Tracker) -> pd.DataFrame:
     """One frame's rows with their track ids."""
     ids = tracker.step(frame_of(rows))
-    return rows.assign(track_id=ids)[["video_id", "frame_id", "ord", "track_id", "category_id", "x1", "y1", "x2", "y2", "score"]]
+    return rows.assign(track_id=ids)[OUT]
+
+
+class Run:
+    """A tracker over the frames of one video, and the results that it may still mend."""
+
+    def __init__(self, config: dict):
+        self.tracker = build(config)
+        self.last: int | None = None
+        self.held: deque[pd.DataFrame | None] = deque()
+
+    def frame(self, frame_id: int, rows: pd.DataFrame | None, fill: bool) -> list[pd.DataFrame]:
+        """The next frame's detections, if any; results that are final. With ``fill`` the frame numbers
+        left out since the last frame count as frames without detections."""
+        missing = range(self.last + 1, frame_id) if fill and self.last is not None else ()
+        out = self._empty(missing)
+        self.last = frame_id
+        if rows is None:
+            return out + self._empty([frame_id])
+        self.held.append(tracked(rows, self.tracker))
+        for back, row, name in self.tracker.fixes:
+            before = self.held[-1 - back]
+            before.iloc[row, OUT.index("track_id")] = name
+        return out + self._final(self.tracker.delay)
+
+    def _empty(self, frames) -> list[pd.DataFrame]:
+        if not len(frames):
+            return []
+        self.tracker.pause(frames)
+        self.held += [None] * min(len(frames), self.tracker.delay)
+        return self._final(self.tracker.delay)
+
+    def _final(self, keep: int) -> list[pd.DataFrame]:
+        out = []
+        while len(self.held) > keep:
+            rows = self.held.popleft()
+            if rows is not None:
+                out.append(rows)
+        return out
+
+    def close(self) -> list[pd.DataFrame]:
+        return self._final(0)
 
 
 def frames_of(batch: pd.DataFrame, keys: list[str]) -> list[pd.DataFrame]:
@@ -404,26 +558,36 @@ def frames_of(batch: pd.DataFrame, keys: list[str]) -> list[pd.DataFrame]:
     return [batch.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def track(detections: DataFrame, config: dict) -> DataFrame:
-    """All detections with track ids, a tracker per video; -1 where none was given."""
+def track(detections: DataFrame, config: dict, frames: DataFrame | None = None) -> DataFrame:
+    """All detections with track ids, a tracker per video; -1 where none was given.
+
+    ``frames`` (video_id, frame_id) names all frames, those without detections too. Without it every
+    number between a video's first and last frame is one."""
+    fill = frames is None
+    rows = detections.select(*COLUMNS, F.lit(True).alias("real"))
+    if frames is not None:
+        empty = frames.select("video_id", "frame_id").distinct().join(rows.select("video_id", "frame_id"), ["video_id", "frame_id"], "left_anti")
+        blank = [F.lit(-1 if c in ("ord", "category_id") else None).cast(detections.schema[c].dataType).alias(c) for c in COLUMNS[2:]]
+        rows = rows.unionByName(empty.select("video_id", "frame_id", *blank, F.lit(False).alias("real")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tracker, video, held = None, None, None
-        for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            frames = frames_of(batch, ["video_id", "frame_id"])
-            held = frames.pop() if frames else None  # the last frame may go on in the next batch
+        now, video, held = None, None, None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+                parts = frames_of(batch, ["video_id", "frame_id"])
+                held = parts.pop() if parts else None  # the last frame may go on in the next batch
+            else:
+                parts = [held] if held is not None and len(held) else []
             out = []
-            for rows in frames:
-                if rows["video_id"].iloc[0] != video:
-                    tracker, video = build(config), rows["video_id"].iloc[0]
-                out.append(tracked(rows, tracker))
+            for part in parts:
+                if part["video_id"].iloc[0] != video:
+                    out += now.close() if now else []
+                    now, video = Run(config), part["video_id"].iloc[0]
+                out += now.frame(int(part["frame_id"].iloc[0]), part if part["real"].iloc[0] else None, fill)
+            if batch is None and now:
+                out += now.close()
             if out:
                 yield pd.concat(out)
-        if held is not None and len(held):
-            if held["video_id"].iloc[0] != video:
-                tracker = build(config)
-            yield tracked(held, tracker)
 
-    ordered = detections.select(*COLUMNS).repartition("video_id").sortWithinPartitions("video_id", "frame_id", "ord")
-    return ordered.mapInPandas(run, RESULT)
+    return rows.repartition("video_id").sortWithinPartitions("video_id", "frame_id", "ord").mapInPandas(run, RESULT)

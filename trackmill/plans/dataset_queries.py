@@ -130,12 +130,26 @@ def smp_3(spark, sf_dir):
     return training_frames(dataset(spark, sf_dir).index("images"), 4, 1).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SMP-7", oracle("SELECT count(*) AS pairs, count(*) FILTER (same) AS same_video FROM (SELECT frame_id % 3 <> 0 AS same FROM (SELECT DISTINCT video_id, frame_id FROM boxes WHERE frame_id < 49))"))
+@query(
+    "SMP-7",
+    oracle(
+        """SELECT d.video_id, d.frame_id, d.pair_key, p.frame_id AS pair_frame, d.positive FROM (
+  SELECT e.*, v.video_id AS pair_key, CASE WHEN positive THEN CASE WHEN high > low THEN low + (draw + 4) % (high - low) ELSE pos END ELSE (draw + 5) % v.n END AS pair
+  FROM (
+    SELECT video_id, frame_id, pos, frame_id % 3 <> 0 AS positive, draw, greatest(pos - 5, 0) AS low, least(pos + 5, n) AS high,
+      CASE WHEN frame_id % 3 <> 0 THEN k WHEN total > 1 THEN (k + 1 + (draw + 5) % greatest(total - 1, 1)) % total END AS other
+    FROM (SELECT *, video_id * 31 + frame_id * 17 AS draw FROM placed) JOIN videos USING (video_id)
+  ) e LEFT JOIN videos v ON v.k = e.other
+) d LEFT JOIN placed p ON p.video_id = d.pair_key AND p.pos = d.pair""",
+        placed="SELECT video_id, frame_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_id) - 1 AS pos FROM (SELECT DISTINCT video_id, frame_id FROM boxes)",
+        videos="SELECT video_id, count(*) AS n, row_number() OVER (ORDER BY video_id) - 1 AS k, count(*) OVER () AS total FROM placed GROUP BY video_id",
+    ),
+)
 def smp_7(spark, sf_dir):
-    """Pairs of a frame with one near it in its video (two thirds), or with one of another video, counted."""
-    f = boxes(spark, sf_dir).select(*FRAME).distinct().filter("frame_id < 49")
-    pairs = A.sampled_pairs(f, positive=F.col("frame_id") % 3 != 0)
-    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("video_id") == F.col("pair_key")).alias("same_video"))
+    """Each frame with one near it in its video (two thirds), or with one of another video, by a known draw."""
+    f = boxes(spark, sf_dir).select(*FRAME).distinct()
+    draw = lambda name: F.col("video_id") * 31 + F.col("frame_id") * 17 + len(name)
+    return A.sampled_pairs(f, positive=F.col("frame_id") % 3 != 0, draw=draw)
 
 
 @query("SMP-7b", None)
@@ -147,45 +161,45 @@ def smp_7b(spark, sf_dir):
 # --- sources ------------------------------------------------------------------------------------
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One small annotation document per customer nation, as text."""
-    n = read(spark, sf_dir, "nation")
-    video = F.array(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit(640).alias("width"), F.lit(480).alias("height")))
-    image = F.array(F.struct((F.col("n_nationkey") * 10).alias("id"), F.col("n_nationkey").alias("video_id"), F.lit(0).alias("frame_index"), F.lit(640).alias("width"), F.lit(480).alias("height")))
-    box = F.transform(F.sequence(F.lit(0), F.col("n_regionkey").cast("int")), lambda k: F.struct((F.col("n_nationkey") * 100 + k).alias("id"), (F.col("n_nationkey") * 10).alias("image_id"), F.array(k * 1.0, k * 2.0, F.lit(9.0), F.lit(8.0)).alias("bbox")))
-    return n.select(F.to_json(F.struct(video.alias("videos"), image.alias("images"), box.alias("annotations"), F.array().cast("array<string>").alias("tracks"), F.array().cast("array<string>").alias("categories"))).alias("text"))
-
-
-def _parsed(spark, sf_dir) -> DataFrame:
-    from trackmill.sources.annotations import RECORD, _rows
-
-    return _documents(spark, sf_dir).mapInArrow(_rows, RECORD)
-
-
-@query("SRC-1", oracle("SELECT 'videos' AS section, count(*) AS n FROM nation UNION ALL SELECT 'images', count(*) FROM nation UNION ALL SELECT 'annotations', sum(n_regionkey + 1)::BIGINT FROM nation"))
+def _documents(spark: SparkSession, sf_dir: str, broken: bool = False) -> str:
+    """A folder with an annotation document per video; with ``broken``, odd videos' documents lack their
+    tracks, and their categories hold a number beside an object."""
+    path = f"{scratch_dir(spark)}/documents-{uuid.uuid4().hex}"
+    b = boxes(spark, sf_dir)
+    image = F.col("video_id") * 50 + F.col("frame_id")
+    rows = b.groupBy("video_id", "frame_id").agg(F.collect_list(F.struct(F.col("ord").alias("id"), image.alias("image_id"), "video_id", "track_id", "category_id", F.array("x1", "y1", "w", "h").alias("bbox"), (F.col("w") * F.col("h")).alias("area"))).alias("a"))
+    picture = F.struct(image.alias("id"), "video_id", F.col("frame_id").alias("frame_index"), "frame_id", F.lit(640).alias("width"), F.lit(480).alias("height"))
+    per = rows.groupBy("video_id").agg(F.collect_list(picture).alias("images"), F.flatten(F.collect_list("a")).alias("annotations"))
+    video = F.array(F.struct(F.col("video_id").alias("id"), F.concat(F.lit("v"), "video_id").alias("name"), F.lit(640).alias("width"), F.lit(480).alias("height")))
+    odd = (F.col("video_id") % 2 == 1) & F.lit(broken)
+    category = F.when(odd, F.lit('{"id": 0}, 7')).otherwise(F.lit('{"id": 0}'))
+    body = F.concat(F.lit('{"videos": '), F.to_json(video), F.lit(', "images": '), F.to_json("images"), F.lit(', "annotations": '), F.to_json("annotations"), F.lit(', "categories": ['), category, F.when(odd, F.lit("]}")).otherwise(F.lit('], "tracks": []}')))
+    per.select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query("SRC-1", oracle("SELECT section, ids, n, area FROM (SELECT 'videos' AS section, count(DISTINCT video_id) AS ids, count(DISTINCT video_id) AS n, 0.0::DOUBLE AS area FROM boxes UNION ALL SELECT 'images', count(DISTINCT (video_id, frame_id)), count(DISTINCT (video_id, frame_id)), 0.0 FROM boxes UNION ALL SELECT 'annotations', count(DISTINCT ord), count(*), sum(w * h) FROM boxes UNION ALL SELECT 'categories', 1, count(DISTINCT video_id), 0.0 FROM boxes)"))
 def src_1(spark, sf_dir):
-    """Annotation documents read into typed rows, by section."""
-    return _parsed(spark, sf_dir).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    """Annotation documents, one per video, read into typed rows: ids, rows and areas by section."""
+    rows = Dataset.read(spark, _documents(spark, sf_dir)).rows
+    return rows.groupBy("section").agg(F.count_distinct("id").alias("ids"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("area"), F.lit(0.0)).alias("area"))
 
 
-@query("SRC-2", oracle("SELECT 'record_not_object' AS kind, count(*) AS n FROM nation WHERE n_regionkey = 1"))
+@query("SRC-2", oracle("SELECT kind, section, n FROM (SELECT 'record_not_object' AS kind, NULL::VARCHAR AS section UNION ALL SELECT 'missing_top_level_field', 'tracks'), (SELECT count(DISTINCT video_id) AS n FROM boxes WHERE video_id % 2 = 1) WHERE n > 0".replace("NULL::VARCHAR", "'categories'")))
 def src_2(spark, sf_dir):
-    """Shape problems of documents whose sections hold what they should not."""
-    from trackmill.sources.annotations import RECORD, _rows
-
-    n = read(spark, sf_dir, "nation")
-    extra = F.when(F.col("n_regionkey") == 1, F.lit("7")).otherwise(F.lit('{"id": 1}'))
-    text = n.select(F.concat(F.lit('{"videos": ['), extra, F.lit('], "images": [], "annotations": [], "tracks": [], "categories": []}')))
-    return Dataset(text.mapInArrow(_rows, RECORD)).issues().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """Shape problems of documents whose sections hold what they should not, or are not there."""
+    issues = Dataset.read(spark, _documents(spark, sf_dir, broken=True)).issues()
+    return issues.groupBy("kind", "section").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SRC-3", oracle("SELECT CAST(n_nationkey * 10 AS BIGINT) AS image, CAST(n_regionkey + 1 AS BIGINT) AS n FROM nation"))
+@query("SRC-3", oracle("SELECT video_id * 50 + frame_id AS image, count(*) AS n, min(ord) AS first FROM boxes GROUP BY ALL"))
 def src_3(spark, sf_dir):
-    """The image-to-annotations index, as a join of the last row of each id."""
-    d = Dataset(_parsed(spark, sf_dir))
+    """The image-to-annotations index of documents, as a join of the last row of each id."""
+    d = Dataset.read(spark, _documents(spark, sf_dir))
+    number = lambda c: F.substring(c, 3, 20).cast("long")
     images = d.index("images", last=True).select(F.col("id").alias("image_id"))
     joined = images.join(d.index("annotations", last=True).select("image_id", F.col("id")), "image_id")
-    return joined.groupBy(F.substring("image_id", 3, 20).cast("long").alias("image")).agg(F.count(F.lit(1)).alias("n"))
+    return joined.groupBy(number("image_id").alias("image")).agg(F.count(F.lit(1)).alias("n"), F.min(number(F.col("id"))).alias("first"))
 
 
 @query("SRC-4", oracle("SELECT frame_id FROM (SELECT DISTINCT frame_id FROM boxes WHERE video_id = 1)"))
@@ -221,10 +235,13 @@ def src_8(spark, sf_dir):
     return training_frames(images, 3).join(images.select("id", "video_id"), "id").groupBy(F.substring("video_id", 3, 20).cast("long").alias("video_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SRC-9", oracle("SELECT * FROM (VALUES (0, 's:c2', 'i:2'), (1, 's:c0', 'i:0')) v(label, name, id)"))
+@query("SRC-9", oracle("SELECT label, 's:c' || k AS name, 'i:' || k AS id, n FROM (VALUES (0, 2), (1, 0)) v(label, k) JOIN (SELECT category_id, count(*) AS n FROM boxes GROUP BY 1) ON category_id = k"))
 def src_9(spark, sf_dir):
-    """Classes in the order asked for."""
-    return dataset(spark, sf_dir).ordered_classes(["c2", "c0"]).withColumn("label", F.col("label").cast("int"))
+    """Classes in the order asked for, with the number of their annotations."""
+    d = dataset(spark, sf_dir)
+    classes = d.ordered_classes(["c2", "c0"]).withColumn("label", F.col("label").cast("int"))
+    sizes = d.section("annotations").groupBy(F.col("category_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return classes.join(sizes, "id").select("label", "name", "id", "n")
 
 
 @query("SRC-10", oracle("SELECT user_id, chunk, count(*) AS n FROM (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 16 AS chunk, count(*) OVER (PARTITION BY user_id) AS a FROM events) WHERE a > 40 AND chunk < a // 16 GROUP BY user_id, chunk"))
@@ -255,26 +272,34 @@ def src_15(spark, sf_dir):
     return read(spark, sf_dir, "part").select(S.class_name(name).alias("name")).distinct()
 
 
-@query("SRC-16", oracle("SELECT * FROM (VALUES ('i:1', FALSE), ('i:2', TRUE), ('s:x', TRUE)) v(category_id, is_novel)"))
+def _nations(spark, sf_dir) -> list:
+    """The rows of a table that does not grow: what a small document on the driver is made of."""
+    return read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+
+
+@query("SRC-16", oracle("SELECT 'i:' || n_nationkey AS category_id, n_regionkey = 3 AS is_novel FROM nation WHERE n_regionkey <> 0"))
 def src_16(spark, sf_dir):
-    """A category split read from frequencies."""
-    pairs, _ = category_split({"categories": [{"id": 1, "frequency": "c"}, {"id": 2, "frequency": "r"}, {"id": "x", "frequency": "r"}, {"id": 3}]})
+    """A category split read from frequencies; categories without one are left out."""
+    frequency = {0: {}, 1: {"frequency": "c"}, 2: {"frequency": "f"}, 3: {"frequency": "r"}, 4: {"frequency": "c"}}
+    pairs, _ = category_split({"categories": [{"id": n.n_nationkey, **frequency[n.n_regionkey]} for n in _nations(spark, sf_dir)]})
     return spark.createDataFrame(pairs, "category_id string, is_novel boolean")
 
 
-@query("SRC-17", oracle("SELECT * FROM (VALUES ('i:1', 'i:0', 'i:7', 'i:2', 'blurred')) v(video_id, frame_key, track_id, category_id, reason)"))
+@query("SRC-17", oracle("SELECT 'i:' || n_regionkey AS video_id, 'i:' || n_nationkey AS frame_key, 's:' || n_name AS track_id, 'i:2' AS category_id, CASE WHEN n_regionkey = 2 THEN 'blurred' ELSE 'declared filter' END AS reason FROM nation WHERE n_regionkey <> 1"))
 def src_17(spark, sf_dir):
-    """A manifest of known filtered anchors."""
-    rows, _ = known_filtered({"filtered_anchors": [{"video_id": 1, "frame_id": 0, "track_id": 7, "category_id": 2, "reason": "blurred"}, {"video_id": 1}]})
+    """A manifest of known filtered anchors; entries without a whole key are left out."""
+    entry = lambda n: {"video_id": n.n_regionkey, "frame_id": n.n_nationkey, "track_id": n.n_name, "category_id": None if n.n_regionkey == 1 else 2, **({"reason": "blurred"} if n.n_regionkey == 2 else {})}
+    rows, _ = known_filtered({"filtered_anchors": [entry(n) for n in _nations(spark, sf_dir)]})
     return spark.createDataFrame(rows, "video_id string, frame_key string, track_id string, category_id string, reason string")
 
 
-@query("SRC-18", oracle("SELECT 'data/train.json' AS ann_file, 2 AS interval"))
+@query("SRC-18", oracle("SELECT n_name AS name, 'data/' || n_name || '.json' AS ann_file, n_nationkey AS interval FROM nation"))
 def src_18(spark, sf_dir):
     """Options of the last matching call in a configuration, which is parsed and never run."""
-    text = "a = dict(ann_file='x/train.json', interval=1)\nb = dict(ann_file='data/train.json', interval=2, f=open('no'))\n"
-    found = S.dataset_options(text, "train.json")
-    return spark.createDataFrame([(found["ann_file"], found["interval"])], "ann_file string, interval int")
+    nations = _nations(spark, sf_dir)
+    calls = [f"a{n.n_nationkey} = dict(ann_file={folder + n.n_name + '.json'!r}, interval={k}, f=open('no'))" for folder, interval in (("old/", "-1"), ("data/", "{}")) for n in nations for k in [interval.format(n.n_nationkey)]]
+    found = [(n.n_name, S.dataset_options("\n".join(calls), f"{n.n_name}.json")) for n in nations]
+    return spark.createDataFrame([(name, o["ann_file"], o["interval"]) for name, o in found], "name string, ann_file string, interval int")
 
 
 @query("SRC-19", oracle("SELECT dataset, copy, count(*) AS n FROM (SELECT 0 AS dataset FROM supplier UNION ALL SELECT 1 FROM nation), range(0, 2) r(copy) GROUP BY ALL"))
@@ -295,15 +320,14 @@ def src_19b(spark, sf_dir):
     return A.balance_factors(e, 0.9).withColumnRenamed("image_id", "user_id")
 
 
-@query("SRC-13", oracle("SELECT corrupt, count(*) AS n FROM (SELECT n_regionkey = 1 AS corrupt FROM nation) GROUP BY corrupt"))
+@query("SRC-13", oracle("SELECT CASE WHEN s_nationkey <> 7 THEN 'frame ' || s_suppkey || '.jpg' END AS file_name, s_nationkey = 7 AS corrupt, count(*) AS n FROM supplier GROUP BY ALL"))
 def src_13(spark, sf_dir):
-    """Detection files, some of which cannot be parsed: kept and marked."""
+    """Detection files, one object each, some of which cannot be parsed: kept and marked."""
     path = f"{scratch_dir(spark)}/detections-{uuid.uuid4().hex}"
-    good = F.to_json(F.struct(F.col("n_name").alias("file_name")))
-    n = read(spark, sf_dir, "nation").select(F.when(F.col("n_regionkey") == 1, "{broken").otherwise(good))
-    n.repartition(25, F.rand(1)).write.text(path)
-    rows = spark.read.text(path).select(F.from_json("value", "file_name string, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    return rows.groupBy(F.col("r._corrupt").isNotNull().alias("corrupt")).agg(F.count(F.lit(1)).alias("n"))
+    name = F.concat(F.lit("frame "), F.col("s_suppkey"), F.lit(".jpg"))
+    text = F.when(F.col("s_nationkey") == 7, F.lit("{broken")).otherwise(F.to_json(F.struct(name.alias("file_name"), F.array().cast("array<double>").alias("boxes"))))
+    read(spark, sf_dir, "supplier").select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return S.detection_manifest(spark, path).groupBy("file_name", "corrupt").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- sinks --------------------------------------------------------------------------------------
@@ -314,12 +338,14 @@ def _predictions(spark, sf_dir) -> DataFrame:
     return b.withColumn("track_id", F.when(F.col("ord") % 6 == 0, -1).otherwise(F.col("track_id") % 50)).withColumn("label", F.col("category_id"))
 
 
-@query("SNK-1", oracle("SELECT 'FAIL' AS status, count(*) AS annotations FROM boxes"))
+@query("SNK-1", oracle(f"SELECT 'FAIL' AS status, (SELECT count(*) FROM boxes) AS annotations, (SELECT sum(n)::BIGINT FROM ({_FINDINGS}) WHERE kind <> 'bbox_boundary_overshoot_within_tolerance') AS errors, (SELECT count(*) FROM boxes WHERE ord % 97 = 0 AND (ord % 101 = 0 OR {_INSIDE})) AS area_mismatch, (SELECT string_agg('i:' || ord, ',' ORDER BY ord) FROM (SELECT ord FROM boxes WHERE ord % 101 = 0 ORDER BY ord LIMIT 20)) AS examples"))
 def snk_1(spark, sf_dir):
-    """The report of the checks, as JSON text."""
+    """The report of the checks, as JSON text: status, counts, and the ids in a kind's examples."""
     report = Checks(dataset(spark, sf_dir)).report()
     text = spark.createDataFrame([(json.dumps(report, sort_keys=True, allow_nan=False),)], "r string")
-    return text.select(F.get_json_object("r", "$.status").alias("status"), F.get_json_object("r", "$.counts.annotations").cast("long").alias("annotations"))
+    at = lambda path, kind="long": F.get_json_object("r", path).cast(kind)
+    ids = F.array_join(F.from_json(at("$.hard_errors.examples.annotation_image_reference_missing[*].id", "string"), "array<string>"), ",")
+    return text.select(at("$.status", "string").alias("status"), at("$.counts.annotations").alias("annotations"), at("$.hard_errors.total").alias("errors"), at("$.hard_errors.by_type.area_mismatch").alias("area_mismatch"), ids.alias("examples"))
 
 
 @query("SNK-2", oracle("SELECT 'low_iou' AS flag_type, '0.9' AS threshold, count(*) AS n FROM steps WHERE " + f"{_I} / ({_A} + {_B} - {_I}) < 0.9"))
@@ -331,13 +357,13 @@ def snk_2(spark, sf_dir):
     return spark.read.option("header", True).csv(path).groupBy("flag_type", "threshold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SNK-10", oracle("SELECT n_nationkey, CAST(2 AS BIGINT) AS n FROM nation"))
+@query("SNK-10", oracle("SELECT s_suppkey, CAST(2 AS BIGINT) AS n FROM supplier"))
 def snk_10(spark, sf_dir):
     """A log table that two writers append to."""
     path = f"{scratch_dir(spark)}/log-{uuid.uuid4().hex}"
     for _ in range(2):
-        K.append_log(read(spark, sf_dir, "nation"), path)
-    return spark.read.parquet(path).groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n"))
+        K.append_log(read(spark, sf_dir, "supplier"), path)
+    return spark.read.parquet(path).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SNK-3", oracle("SELECT video_id * 50 + frame_id AS image_id, [x1, y1, w, h] AS bbox, score, category_id + 1 AS category_id FROM boxes"))
@@ -367,10 +393,32 @@ def snk_5(spark, sf_dir):
     return out.select("image_id", F.size("labels").cast("long").alias("n_labels"), F.round(total, 6).alias("total"))
 
 
-@query("SNK-6", oracle("SELECT video_id * 50 + frame_id AS image_id, CAST(row_number() OVER (ORDER BY ord) AS VARCHAR) AS id, 'c' || category_id AS category, score, x1, y1, x2, y2 FROM boxes"))
+def _class_names(spark) -> DataFrame:
+    return spark.range(5).select(F.col("id").alias("category_id"), F.concat(F.lit("c"), "id").alias("category"))
+
+
+@query("SNK-6", oracle("SELECT video_id * 50 + frame_id AS image_id, CAST(row_number() OVER (ORDER BY video_id * 50 + frame_id, category_id, ord) AS VARCHAR) AS id, 'c' || category_id AS category, score, x1, y1, x2, y2 FROM boxes"))
 def snk_6(spark, sf_dir):
-    categories = spark.range(5).select(F.col("id").alias("category_id"), F.concat(F.lit("c"), "id").alias("category"))
-    return K.export_detections(_predictions(spark, sf_dir), categories)
+    return K.export_all(_predictions(spark, sf_dir), _class_names(spark), ["det"])["det"]
+
+
+@query("SNK-6b", oracle("SELECT video_id * 50 + frame_id AS image_id, CAST(row_number() OVER (ORDER BY video_id * 50 + frame_id, category_id, ord) AS VARCHAR) AS id, row_number() OVER (PARTITION BY video_id, frame_id ORDER BY category_id, ord) AS index, score FROM boxes"))
+def snk_6b(spark, sf_dir):
+    """Instances with their place in their image."""
+    return K.export_all(_predictions(spark, sf_dir), _class_names(spark), ["ins_seg"])["ins_seg"]
+
+
+@query("SNK-6c", oracle("SELECT video_id * 50 + frame_id AS image_id, video_id, frame_id AS frame_index, CAST(track_id % 50 AS VARCHAR) AS id, 'c' || category_id AS category, score, x1, y1, x2, y2 FROM boxes WHERE ord % 6 <> 0"))
+def snk_6c(spark, sf_dir):
+    """Labels of tracks."""
+    return K.export_all(_predictions(spark, sf_dir), _class_names(spark), ["box_track"])["box_track"]
+
+
+@query("SNK-6d", oracle("SELECT video_id * 50 + frame_id AS image_id, ord, row_number() OVER (PARTITION BY video_id, frame_id ORDER BY score, ord) - 1 AS paint, category_id + 1 AS r, track_id % 50 AS a FROM boxes WHERE ord % 6 <> 0"))
+def snk_6d(spark, sf_dir):
+    """Paint order of the masks of tracks."""
+    out = K.export_all(_predictions(spark, sf_dir), _class_names(spark), ["seg_track"])["seg_track"]
+    return out.select("image_id", "ord", F.col("paint").cast("long").alias("paint"), "r", "a")
 
 
 @query("SNK-7", oracle("SELECT video_id * 50 + frame_id AS image_id, ord, row_number() OVER (PARTITION BY video_id, frame_id ORDER BY score, ord) - 1 AS paint, category_id + 1 AS r, (track_id >> 8) & 255 AS b, track_id & 255 AS a FROM boxes"))
@@ -385,10 +433,19 @@ def snk_8(spark, sf_dir):
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("track_id").alias("tracks"))
 
 
-@query("SNK-9", oracle("SELECT n_nationkey, '{\"id\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' AS value FROM nation"))
+@query("SNK-9", oracle("SELECT section, id, image_id, frame_id, place FROM (SELECT 'videos' AS section, 'i:' || video_id AS id, NULL AS image_id, NULL::BIGINT AS frame_id, video_id AS place FROM (SELECT DISTINCT video_id FROM boxes) UNION ALL SELECT 'images', 'i:' || (video_id * 50 + frame_id), NULL, row_number() OVER (PARTITION BY video_id ORDER BY frame_id) - 1, row_number() OVER (ORDER BY video_id, frame_id) - 1 FROM (SELECT DISTINCT video_id, frame_id FROM boxes) UNION ALL SELECT 'annotations', 'i:' || ord, 'i:' || (video_id * 50 + frame_id), NULL, row_number() OVER (ORDER BY ord) - 1 FROM boxes)"))
 def snk_9(spark, sf_dir):
-    """Records as JSON lines."""
-    return read(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).alias("value"))
+    """A converted dataset, its frames numbered anew and its annotations with an instance each, written
+    as one document and read back."""
+    b = boxes(spark, sf_dir)
+    image = F.col("video_id") * 50 + F.col("frame_id")
+    frames = A.dense_frames(b.select(*FRAME).distinct().select(image.alias("id"), "video_id", (F.col("frame_id") * 30).alias("frame_index")))
+    ranges = frames.groupBy(F.col("video_id").alias("id")).agg(F.max("frame_range").alias("frame_range"))
+    annotations = b.select("ord", F.col("ord").alias("id"), image.alias("image_id"), "video_id", "track_id", F.col("track_id").alias("instance_id"), "category_id", F.array("x1", "y1", "w", "h").alias("bbox"))
+    path = f"{scratch_dir(spark)}/converted-{uuid.uuid4().hex}.json"
+    K.write_document({"videos": ranges.orderBy("id"), "images": frames.orderBy("id"), "annotations": annotations.orderBy("ord").drop("ord")}, path)
+    rows = Dataset.read(spark, path).rows.filter("section IN ('videos', 'images', 'annotations')")
+    return rows.select("section", "id", "image_id", "frame_id", F.col("ord").alias("place"))
 
 
 # --- text and logs ------------------------------------------------------------------------------

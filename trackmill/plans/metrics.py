@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.operators import kernels as K
+from trackmill.operators.groups import over_groups
 from trackmill.operators.tracking import frames_of
-from trackmill.sources.scratch import kept
 
 SCOPE = ["video_id", "category_id"]
 EVENT = "video_id long, category_id long, frame_id long, kind string, gt long, pred long, distance double"
@@ -95,16 +95,42 @@ def clear_events(gt: DataFrame, predictions: DataFrame, ignore: DataFrame | None
     return rows.repartition(*SCOPE).sortWithinPartitions(*SCOPE, "frame_id", "side", "track_id").mapInPandas(run, EVENT)
 
 
+def most_explained(gt: np.ndarray, pred: np.ndarray, n: np.ndarray) -> int:
+    """The largest sum of n over pairs that use each gt and each pred at most once.
+
+    Pairs that share neither, directly or through others, don't affect each other, so each component of
+    the pairs is solved alone, and no table of all gt by all pred is made."""
+    _, g = np.unique(gt, return_inverse=True)
+    _, p = np.unique(pred, return_inverse=True)
+    label, least = np.arange(g.max(initial=-1) + 1), np.zeros(p.max(initial=-1) + 1, int)
+    while True:
+        least[:] = len(label)
+        np.minimum.at(least, p, label[g])
+        lower = label.copy()
+        np.minimum.at(lower, g, least[p])
+        if (lower == label).all():
+            break
+        label = lower
+    order = np.argsort(label[g], kind="stable")
+    total = 0
+    for rows in np.split(order, np.flatnonzero(np.diff(label[g][order])) + 1):
+        names_g, i = np.unique(g[rows], return_inverse=True)
+        names_p, j = np.unique(p[rows], return_inverse=True)
+        if min(len(names_g), len(names_p)) < 2:
+            total += int(n[rows].max(initial=0))
+            continue
+        table = np.zeros((len(names_g), len(names_p)))
+        table[i, j] = n[rows]
+        chosen = K.assign(-table)
+        total += int(table[chosen[:, 0], chosen[:, 1]].sum())
+    return total
+
+
 def identity_matches(events: DataFrame) -> DataFrame:
     """(video, class, idtp): the most detections that one-to-one track identities can explain."""
     pairs = events.filter("kind = 'RAW'").groupBy(*SCOPE, "gt", "pred").agg(F.count(F.lit(1)).alias("n"))
-
-    def best(part: pd.DataFrame) -> pd.DataFrame:
-        table = part.pivot(index="gt", columns="pred", values="n").fillna(0).to_numpy(float)
-        chosen = K.assign(-table)
-        return pd.DataFrame([(*(part[c].iloc[0] for c in SCOPE), int(table[chosen[:, 0], chosen[:, 1]].sum()))], columns=[*SCOPE, "idtp"])
-
-    return pairs.groupBy(*SCOPE).applyInPandas(best, "video_id long, category_id long, idtp long")
+    best = lambda c: (*(c[k][:1] for k in SCOPE), np.array([most_explained(c["gt"], c["pred"], c["n"])]))
+    return over_groups(pairs, SCOPE, ["gt", "pred"], best, "video_id long, category_id long, idtp long")
 
 
 COUNTS = ["gt", "pred", "matches", "misses", "fp", "switches", "distance", "idtp", "mt", "pt", "ml", "fragments"]
@@ -142,8 +168,8 @@ def mot_metrics(counts: DataFrame) -> DataFrame:
 
 
 def mot_report(events: DataFrame) -> DataFrame:
-    """Per class, OVERALL (metrics of the summed counts) and AVERAGE (sums of counts, means of ratios)."""
-    events = kept(events, "events")  # the matching is not done again for each of the aggregates
+    """Per class, OVERALL (metrics of the summed counts) and AVERAGE (sums of counts, means of ratios).
+    Events are read several times, so they should be a written table."""
     per = mot_metrics(mot_counts(events, ["category_id"])).withColumn("category_id", F.col("category_id").cast("string"))
     overall = mot_metrics(mot_counts(events, [])).withColumn("category_id", F.lit("OVERALL"))
     whole = {"FP", "FN", "IDSw", "MT", "PT", "ML", "FM"}

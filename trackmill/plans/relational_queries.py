@@ -566,10 +566,10 @@ def smp_1(spark, sf_dir):
     return A.strided(boxes(spark, sf_dir), 4).select("ord")
 
 
-@query("SMP-4", oracle("SELECT a.video_id, a.frame_id, max(b.frame_id) AS last_ref FROM (SELECT DISTINCT video_id, frame_id FROM boxes) a JOIN (SELECT DISTINCT video_id, frame_id FROM boxes) b ON a.video_id = b.video_id AND abs(a.frame_id - b.frame_id) <= 2 AND a.frame_id <> b.frame_id GROUP BY ALL"))
+@query("SMP-4", oracle("SELECT video_id, frame_id, CASE WHEN len(l) = 0 THEN frame_id ELSE l[1 + (video_id * 31 + frame_id * 17) % len(l)] END AS ref FROM (SELECT a.video_id, a.frame_id, coalesce(list(b.frame_id ORDER BY b.frame_id) FILTER (b.frame_id IS NOT NULL), []) AS l FROM (SELECT DISTINCT video_id, frame_id FROM boxes) a LEFT JOIN (SELECT DISTINCT video_id, frame_id FROM boxes) b ON a.video_id = b.video_id AND abs(a.frame_id - b.frame_id) <= 2 AND a.frame_id <> b.frame_id GROUP BY ALL)"))
 def smp_4(spark, sf_dir):
-    """One reference frame of those around each frame: here the last, so that the choice is known."""
-    return J.frame_window(boxes(spark, sf_dir), 2).groupBy(*FRAME).agg(F.max("ref").alias("last_ref"))
+    """One reference frame of those around each frame, by a known draw."""
+    return A.uniform_reference(boxes(spark, sf_dir), 2, F.col("video_id") * 31 + F.col("frame_id") * 17)
 
 
 @query("SMP-5", oracle("SELECT ord FROM boxes WHERE frame_id >= (video_id * 7) % 31 AND frame_id < (video_id * 7) % 31 + 20"))
@@ -577,6 +577,12 @@ def smp_5(spark, sf_dir):
     return A.contiguous_crop(boxes(spark, sf_dir), 20, F.col("video_id") * 7).select("ord")
 
 
+@query("SMP-5b", oracle("SELECT ord, g AS segment FROM (SELECT *, (video_id * 7) % (n - 7) AS a, (video_id * 7) % (n - 7) + 4 + (video_id * 5) % (least(n - 4, (video_id * 7) % (n - 7) + 12) - (video_id * 7) % (n - 7) - 3) AS b FROM (SELECT *, dense_rank() OVER (PARTITION BY video_id ORDER BY frame_id) - 1 AS pos FROM boxes) JOIN (SELECT video_id, count(DISTINCT frame_id) AS n FROM boxes GROUP BY 1) USING (video_id) WHERE n >= 8), (VALUES (0), (1)) v(g) WHERE pos >= CASE WHEN g = 0 THEN a ELSE b END AND pos < CASE WHEN g = 0 THEN a ELSE b END + 4"))
+def smp_5b(spark, sf_dir):
+    """Two runs of four frames within sixteen."""
+    return A.two_segments(boxes(spark, sf_dir), 8, 16, F.col("video_id") * 7, F.col("video_id") * 5).select("ord", "segment")
+
+
 @query("SMP-6", oracle("SELECT video_id, frame_id, greatest(frame_id - 3, 0) AS before, least(frame_id + 3, m) AS after FROM (SELECT DISTINCT video_id, frame_id, max(frame_id) OVER (PARTITION BY video_id) AS m FROM boxes)"))
 def smp_6(spark, sf_dir):
     """Each frame with one before and one after it that share a track."""
@@ -591,16 +597,17 @@ def smp_8(spark, sf_dir):
     return b.withColumn("n", F.row_number().over(w.orderBy(F.col("score").desc(), "ord"))).filter("n <= cap").select("ord")
 
 
-@query("SMP-9", oracle("SELECT video_id, frame_id FROM boxes GROUP BY 1, 2 HAVING max(score) > 0.98"))
+@query("SMP-9", oracle("WITH f AS (SELECT video_id, frame_id, max(score) > 0.98 AS ok FROM boxes GROUP BY 1, 2), g AS (SELECT video_id, list(frame_id ORDER BY frame_id) AS l FROM f WHERE ok GROUP BY 1) SELECT video_id, frame_id, CASE WHEN ok THEN frame_id ELSE l[1 + (frame_id * 13) % len(l)] END AS used FROM f JOIN g USING (video_id)".join(["SELECT * FROM (", ")"])))
 def smp_9(spark, sf_dir):
-    """Samples that have something: empty ones are filtered out instead of drawn again."""
-    return boxes(spark, sf_dir).groupBy(*FRAME).agg(F.max("score").alias("s")).filter("s > 0.98").select(*FRAME)
+    """Samples without a strong box are drawn again among those of their video that have one."""
+    frames = boxes(spark, sf_dir).groupBy(*FRAME).agg(F.max("score").alias("s"))
+    return A.redrawn(frames, F.col("s") > 0.98, F.col("frame_id") * 13)
 
 
 @query("SMP-10", oracle("SELECT shard, arg_min(start, {'gap': abs(start - shard * total / 4.0), 's': start}) AS start FROM (SELECT o_custkey AS v, count(*) AS n, coalesce(sum(count(*)) OVER (ORDER BY o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, (SELECT count(*) FROM orders) AS total FROM orders GROUP BY o_custkey), range(0, 4) r(shard) GROUP BY shard"))
 def smp_10(spark, sf_dir):
     """Contiguous shards that start where a video starts, nearest to even shares."""
-    o = A.global_rank(read(spark, sf_dir, "orders").select("o_custkey", (F.col("o_custkey") * 4294967296 + F.col("o_orderkey")).alias("k")), "k", "rank", block=1 << 42)
+    o = A.global_rank(read(spark, sf_dir, "orders").select("o_custkey", (F.col("o_custkey") * 4294967296 + F.col("o_orderkey")).alias("k")), "k", "rank")
     videos = o.groupBy("o_custkey").agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("size"), F.max("n_rows").alias("total"))
     return A.shard_starts(videos, 4)
 

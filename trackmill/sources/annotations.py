@@ -1,6 +1,7 @@
 """Annotation documents as typed tables.
 
-A document is one JSON object with five arrays. It is read once, one task per document, into rows of
+A document is one JSON object with five arrays. It is read once, one task per document, which holds a
+record and a buffer at a time whatever the document's size, into rows of
 ``RECORD``; all checks and queries run on those rows, or on tables of the same columns that never were
 one document. Ids and other values keep their JSON type in a canonical text: ``i:12`` is not ``s:12``,
 and 1, 1.0 and true are one value, as they are to a dictionary of the documents' usual readers.
@@ -8,15 +9,18 @@ and 1, 1.0 and true are one value, as they are to a dictionary of the documents'
 
 from __future__ import annotations
 
+import codecs
 import json
 import math
+import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackmill.sources.scratch import kept
+from trackmill.sources.scratch import kept, opened
 
 SECTIONS = ("videos", "images", "annotations", "tracks", "categories")
 RECORD = """section string, ord long, n long, id string, id_ok boolean, name string, synset string, frequency string, video string, file_name string,
@@ -89,41 +93,122 @@ def record(section: str, ord_: int, r: dict) -> dict:
     }
 
 
-def records(text: str) -> Iterator[dict]:
+class JsonStream:
+    """Values of a JSON text one after the other, from a buffer that is filled as far as needed."""
+
+    CHUNK = 1 << 20
+    _SPACE = re.compile(r"[ \t\n\r]*")
+
+    def __init__(self, stream: BinaryIO):
+        self.stream, self.decoder = stream, codecs.getincrementaldecoder("utf-8")()
+        self.text, self.at, self.ended = "", 0, False
+        self.scan = json.JSONDecoder().raw_decode
+
+    def _fill(self) -> None:
+        data = self.stream.read(max(self.CHUNK, len(self.text) - self.at))
+        self.ended = not data
+        self.text, self.at = self.text[self.at :] + self.decoder.decode(data, self.ended), 0
+
+    def peek(self) -> str:
+        """The next sign that is not white space, empty at the end."""
+        while True:
+            self.at = self._SPACE.match(self.text, self.at).end()
+            if self.at < len(self.text) or self.ended:
+                return self.text[self.at : self.at + 1]
+            self._fill()
+
+    def take(self, signs: str) -> str:
+        found = self.peek()
+        if not found or found not in signs:
+            raise ValueError(f"expected one of {signs!r} and found {found!r}")
+        self.at += 1
+        return found
+
+    def value(self):
+        self.peek()
+        while True:
+            try:
+                value, end = self.scan(self.text, self.at)
+            except ValueError:
+                if self.ended:
+                    raise
+            else:
+                if end < len(self.text) or self.ended:  # what ends with the buffer may go on
+                    self.at = end
+                    return value
+            self._fill()
+
+    def items(self) -> Iterator:
+        """The elements of the array that comes next."""
+        self.take("[")
+        if self.peek() == "]":
+            self.take("]")
+            return
+        while True:
+            yield self.value()
+            if self.take(",]") == "]":
+                return
+
+    def members(self) -> Iterator[str]:
+        """The names of the object that comes next; each one's value is to be read before the next."""
+        self.take("{")
+        if self.peek() == "}":
+            self.take("}")
+            return
+        while True:
+            name = self.value()
+            if not isinstance(name, str):
+                raise ValueError(f"a member's name must be text, not {name!r}")
+            self.take(":")
+            yield name
+            if self.take(",}") == "}":
+                return
+
+
+def records(stream: BinaryIO) -> Iterator[dict]:
     """The rows of one document; what is wrong with its shape comes as rows of section $issue."""
-    data = json.loads(text)
-    if not isinstance(data, dict):
-        raise ValueError("an annotation document must be one JSON object")
     issue = lambda kind, n=1, section=None: {"section": ISSUE, "name": kind, "n": n, "file_name": section}
-    if bad := nonfinite(data):
-        yield issue("nonfinite_numeric", bad)
+    data, bad, seen = JsonStream(stream), 0, set()
+    if data.peek() != "{":
+        raise ValueError("an annotation document must be one JSON object")
+    for name in data.members():
+        seen.add(name)
+        if name not in SECTIONS or data.peek() != "[":
+            bad += nonfinite(data.value())
+            if name in SECTIONS:
+                yield issue("top_level_not_array", section=name)
+            continue
+        for ord_, r in enumerate(data.items()):
+            bad += nonfinite(r)
+            yield record(name, ord_, r) if isinstance(r, dict) else issue("record_not_object", section=name)
+    if data.peek():
+        raise ValueError("there is something after the document's end")
     for section in SECTIONS:
-        value = data.get(section, [])
-        if section not in data:
+        if section not in seen:
             yield issue("missing_top_level_field", section=section)
-        if not isinstance(value, list):
-            yield issue("top_level_not_array", section=section)
-            continue
-        for ord_, r in enumerate(value):
-            yield record(section, ord_, r) if isinstance(r, dict) else issue("record_not_object", section=section)
+    if bad:
+        yield issue("nonfinite_numeric", bad)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for path in batch.column(0).to_pylist():
+            store, name = opened(path)
             held = []
-            for row in records(text):
-                held.append(row)
-                if len(held) == 10_000:
-                    yield pa.RecordBatch.from_pylist(held, schema=SCHEMA)
-                    held = []
+            with store.open_input_stream(name) as stream:
+                for row in records(stream):
+                    held.append(row)
+                    if len(held) == 10_000:
+                        yield pa.RecordBatch.from_pylist(held, schema=SCHEMA)
+                        held = []
             if held:
                 yield pa.RecordBatch.from_pylist(held, schema=SCHEMA)
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the annotation documents at a path."""
-    return spark.read.text(path, wholetext=True).mapInArrow(_rows, RECORD)
+    """The rows of the annotation documents at a path, each streamed by a task of its own."""
+    files = spark.read.format("binaryFile").load(path).select("path")  # contents are not read
+    return files.repartition(max(1, files.count()), "path").mapInArrow(_rows, RECORD)
 
 
 class Dataset:

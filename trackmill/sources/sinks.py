@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.functions.boxes import Box
 from trackmill.operators.aggregates import majority_category, unique_track_ids
+from trackmill.sources.scratch import opened
 
 
 def bbox_record(extra: list[str] = ()) -> list[Column]:
@@ -39,12 +42,57 @@ def image_labels(images: DataFrame, predictions: DataFrame, categories: DataFram
     return joined.select("image_id", F.col("name"), F.col("video_name").alias("videoName"), F.col("frame_index").alias("frameIndex"), labels.alias("labels"))
 
 
-def export_detections(predictions: DataFrame, categories: DataFrame) -> DataFrame:
-    """Per image and class, labels numbered through all images in order, from 1."""
+#: Order of labels in the exports that number them: by image, class, then as they came.
+_RUNNING = ("image_id", "category_id", "ord")
+
+
+def _numbered(predictions: DataFrame) -> DataFrame:
+    """Predictions with ``id``, their number through all images, classes and rows, from 1."""
     from trackmill.operators.aggregates import global_rank
 
-    ranked = global_rank(predictions, "ord", "_rank").withColumn("id", F.col("_rank") + 1)
-    return ranked.drop("category").join(categories, "category_id").select("image_id", F.col("id").cast("string").alias("id"), "category", "score", *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    ranked = global_rank(predictions.withColumn("_place", F.struct(*_RUNNING)), "_place", "_rank")
+    return ranked.withColumn("id", (F.col("_rank") + 1).cast("string")).drop("_place", "_rank", "n_rows")
+
+
+def _boxes(rows: DataFrame, categories: DataFrame, *keys: str) -> DataFrame:
+    return rows.drop("category").join(categories, "category_id").select(*keys, "id", "category", "score", *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+def export_detections(predictions: DataFrame, categories: DataFrame) -> DataFrame:
+    """det: per image and class, labels numbered through all images in order, from 1."""
+    return _boxes(_numbered(predictions), categories, "image_id")
+
+
+def export_instances(predictions: DataFrame) -> DataFrame:
+    """ins_seg: labels numbered through all images, and their place in their image, from 1, under which
+    the image's mask holds them."""
+    index = F.row_number().over(Window.partitionBy("image_id").orderBy("category_id", "ord"))
+    return _numbered(predictions.withColumn("index", index.cast("long"))).select("image_id", "id", "index", "score")
+
+
+def export_tracks(predictions: DataFrame, categories: DataFrame) -> DataFrame:
+    """box_track: labels of tracks under their track's id, with the frame's place in its video."""
+    tracks = predictions.filter("track_id > -1").withColumn("id", F.col("track_id").cast("string")).withColumn("frame_index", F.col("frame_id"))
+    return _boxes(tracks, categories, "image_id", "video_id", "frame_index")
+
+
+def export_masks(predictions: DataFrame) -> DataFrame:
+    """seg_track: the paint order and channels of each track's mask; the painting is not done here."""
+    return mask_order(predictions.filter("track_id > -1"))
+
+
+def export_all(predictions: DataFrame, categories: DataFrame, tasks: list[str]) -> dict[str, DataFrame]:
+    """The export of each task: det, ins_seg, box_track or seg_track."""
+    known = {
+        "det": lambda: export_detections(predictions, categories),
+        "ins_seg": lambda: export_instances(predictions),
+        "box_track": lambda: export_tracks(predictions, categories),
+        "seg_track": lambda: export_masks(predictions),
+    }
+    unknown = sorted(set(tasks) - set(known))
+    if unknown:
+        raise ValueError(f"no export {', '.join(unknown)}; known: {', '.join(known)}")
+    return {t: known[t]() for t in tasks}
 
 
 def mask_order(predictions: DataFrame) -> DataFrame:
@@ -66,6 +114,21 @@ def write_json_records(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_document(sections: dict[str, DataFrame], path: str) -> None:
+    """One annotation document: an object with an array per section, its rows in their table's order.
+
+    The rows are written out as they come from the tasks, so the driver holds one partition at most."""
+    store, name = opened(path)
+    with store.open_output_stream(name, compression=None) as out:
+        for i, (section, rows) in enumerate(sections.items()):
+            out.write(f"{',' if i else '{'}{json.dumps(section)}:[".encode())
+            lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).toLocalIterator()
+            for k, line in enumerate(lines):
+                out.write(f"{',' if k else ''}\n{line.value}".encode())
+            out.write(b"]")
+        out.write(b"}\n" if sections else b"{}\n")
+
+
 def write_flags(flags: DataFrame, path: str) -> None:
     """Temporal flags as CSV, numbers with up to ten significant digits."""
     short = lambda c: F.regexp_replace(F.regexp_replace(F.format_string("%.10g", c), r"(\.\d*?)0+$", "$1"), r"\.$", "")

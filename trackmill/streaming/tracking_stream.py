@@ -14,35 +14,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trackmill.operators.tracking import COLUMNS, RESULT, tracked
-from trackmill.registry import build
+from trackmill.operators.tracking import COLUMNS, RESULT, Run
 
 LATE = -2
 STATE = "tracker binary, pending binary, last long"
 
 
 def track_stream(detections: DataFrame, config: dict) -> DataFrame:
-    """Like ``track``, for a streaming frame with the column ``complete``."""
+    """Like ``track``, for a streaming frame with the column ``complete``. Frames that the tracker may
+    still mend come out when later ones have settled them, the last ones when the video starts anew."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
             raw, pending, last = state.get
-            tracker, pending = pickle.loads(raw), pickle.loads(pending)
+            now, pending = pickle.loads(raw), pickle.loads(pending)
         else:
-            tracker, pending, last = build(config), [], -1
+            now, pending, last = Run(config), [], -1
         rows = pd.concat([*pending, *batches], ignore_index=True)
         out, kept = [], []
         for frame, part in sorted(rows.groupby("frame_id"), key=lambda x: x[0]):
             if frame == 0 and last > 0 and part["complete"].any():
-                tracker, last = build(config), -1
+                out += now.close()
+                now, last = Run(config), -1
             if frame <= last:
                 out.append(part.assign(track_id=LATE))
             elif part["complete"].any():
-                out.append(tracked(part.sort_values("ord"), tracker))
+                out += now.frame(int(frame), part.sort_values("ord"), True)
                 last = int(frame)
             else:
                 kept.append(part)
-        state.update((pickle.dumps(tracker), pickle.dumps(kept), last))
+        state.update((pickle.dumps(now), pickle.dumps(kept), last))
         names = [c.split()[0] for c in RESULT.split(", ")]
         if out:
             yield pd.concat(out)[names]
