@@ -18,6 +18,7 @@ import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,13 @@ SAMPLE_CHARS = 50_000
 #: Rows with this remainder of crc32(doc_id) are held out from all fitting.
 FOLDS, HELD_OUT = 5, 0
 
-TREES, DEPTH, RATE, BINS, LEAST_LEAF = 60, 3, 0.2, 32, 8
+TREES, DEPTH, RATE, BINS, LEAST_LEAF = 60, 2, 0.2, 32, 8
 TERMS = 500
 #: A lexicon term is in at least so many toxic texts, with at least this log-odds ratio.
 TERM_TEXTS, TERM_ODDS = 4, 2.5
+#: The beginning of several words of a text is a term from two toxic texts on if they hold at least so many
+#: words with it, of which each text counts up to MOST_WORDS, and the words have that log-odds ratio.
+TERM_WORDS, MOST_WORDS = 6, 4
 PREFIXES = (4, 5, 6, 7)
 NEAR_WORDS = 5
 MEMORY_WORDS = 400_000
@@ -47,6 +51,8 @@ SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": None, ".": None, "-": None, "_": None, "+": "t"})
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 FEATURES = ("hit_rate", "hits", "odds_rate", "near_rate", "second_rate", "capital_share", "shout_rate", "mark_rate", "sign_share", "mangled_rate", "mangled_hits", "words")
+#: Features of which more never tells against toxicity: splits that say so are not taken.
+RISING = frozenset(FEATURES.index(f) for f in ("hit_rate", "hits", "odds_rate", "near_rate", "mangled_hits"))
 
 
 def plain(word: str) -> str:
@@ -64,10 +70,11 @@ def words_in(raw: bytes) -> list[bytes]:
     return raw.split()
 
 
-def terms_of(raw: bytes) -> set[str]:
-    """The distinct plain words of a text, and the beginnings of longer ones marked by a last *."""
+def terms_of(raw: bytes) -> Counter[str]:
+    """The distinct plain words of a text, and the beginnings of longer ones marked by a last *, with the
+    number of words that have them."""
     words = {plain(w.decode()) for w in set(words_in(raw))}
-    return {w for w in words if len(w) > 1} | {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n}
+    return Counter([w for w in words if len(w) > 1] + [w[:n] + "*" for w in words for n in PREFIXES if len(w) > n])
 
 
 def _number(term: str) -> int:
@@ -79,37 +86,47 @@ class Terms:
 
     def __init__(self, texts: list[bytes], label: np.ndarray):
         self.of: list[np.ndarray] = []
+        self.words: list[np.ndarray] = []  # how many words have each, up to MOST_WORDS
         self.names: dict[int, str] = {}
         once = np.zeros(1 << 24, bool)
         for raw, toxic in zip(texts, label, strict=True):
-            terms = list(terms_of(raw))
+            counted = terms_of(raw)
+            terms = list(counted)
             numbers = np.fromiter(map(_number, terms), np.uint32, len(terms))
-            self.of.append(np.unique(numbers))
+            own, first = np.unique(numbers, return_index=True)
+            self.of.append(own)
+            self.words.append(np.minimum(np.fromiter(counted.values(), np.int64, len(terms))[first], MOST_WORDS).astype(np.uint8))
             if toxic:
                 place = numbers & np.uint32((1 << 24) - 1)
                 self.names.update((int(numbers[i]), terms[i]) for i in np.flatnonzero(once[place]))
                 once[place] = True
 
-    def texts_with(self, rows: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-        """The number of the given texts that hold each of the terms, which are sorted."""
-        out = np.zeros(len(numbers), np.int64)
+    def texts_with(self, rows: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of the given texts that hold each of the terms, which are sorted, and of their words."""
+        texts, words = np.zeros((2, len(numbers)), np.int64)
         for i in rows:
             own = self.of[i]
             at = np.minimum(np.searchsorted(numbers, own), len(numbers) - 1)
-            out[at[numbers[at] == own]] += 1
-        return out
+            same = numbers[at] == own
+            texts[at[same]] += 1
+            words[at[same]] += self.words[i][same]
+        return texts, words
 
 
 def learn_lexicon(terms: Terms, label: np.ndarray, rows: np.ndarray) -> dict[str, float]:
     """Log-odds of the terms that tell toxic texts among ``rows`` apart, besides the fixed list."""
     bad, good = rows[label[rows] > 0], rows[label[rows] == 0]
     seen, count = np.unique(np.concatenate([terms.of[i] for i in bad]), return_counts=True)
-    numbers = np.union1d(seen[count >= TERM_TEXTS], np.array([_number(w) for w in INSULTS], np.uint32))
-    toxic, other = terms.texts_with(bad, numbers), terms.texts_with(good, numbers)
+    numbers = np.union1d(seen[count >= 2], np.array([_number(w) for w in INSULTS], np.uint32))
+    (toxic, words), (other, other_words) = terms.texts_with(bad, numbers), terms.texts_with(good, numbers)
     odds = np.log((toxic + 0.5) / (len(bad) + 1)) - np.log((other + 0.5) / (len(good) + 1))
+    several = (toxic >= 2) & (words >= TERM_WORDS) & (words >= 2 * toxic)
+    odds_of_words = np.log((words + 0.5) / (len(bad) + 1)) - np.log((other_words + 0.5) / (len(good) + 1))
+    odds = np.where(several, np.maximum(odds, odds_of_words), odds)
     name = {i: terms.names.get(int(n)) for i, n in enumerate(numbers)}
-    telling = [i for i in np.flatnonzero((toxic >= TERM_TEXTS) & (odds >= TERM_ODDS)).tolist() if name[i]]
-    best = sorted(telling, key=lambda i: (-odds[i] * math.sqrt(toxic[i]), name[i]))[:TERMS]
+    often = (toxic >= TERM_TEXTS) | several
+    telling = [i for i in np.flatnonzero(often & (odds >= TERM_ODDS)).tolist() if name[i]]
+    best = sorted(telling, key=lambda i: (-odds[i] * math.sqrt(words[i]), name[i]))[:TERMS]
     common = set(numbers[(toxic + other >= TERM_TEXTS) & (odds <= 0)].tolist())
     return {w: TERM_ODDS for w in INSULTS if _number(w) not in common} | {name[i]: float(min(odds[i], 6.0)) for i in best}
 
@@ -229,6 +246,8 @@ class Trees:
                 gl, hl = np.cumsum(np.bincount(b[rows, j], g[rows], BINS)), np.cumsum(np.bincount(b[rows, j], h[rows], BINS))
                 gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
                 gain[(count < LEAST_LEAF) | (len(rows) - count < LEAST_LEAF)] = 0
+                if j in RISING:
+                    gain[gl / (hl + 1) > (gs - gl) / (hs - hl + 1)] = 0
                 k = int(gain.argmax())
                 if gain[k] > best:
                     best, where = gain[k], (j, k)
