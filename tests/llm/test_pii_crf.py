@@ -125,3 +125,89 @@ def test_spans_across_the_64th_word_and_after_abbreviations():
     assert found("Konto Nr. 12345678") == ["12345678"]
     assert found("Passport No. C1234567 is here") == ["C1234567"]
     assert found("He said no. 12345678 people came.") == []
+
+
+#: Sentences of other forms than the labelled table's: {c:...} and {i:...} are what is to be found, d a digit,
+#: A a letter, W a name inside them and a plain word outside.
+HELD = [
+ "You can reach me on {c:ddd ddd dddd} after six o'clock .", "my phone number is {c:ddd-ddd-dddd} and I sleep late", "The office line , {c:(ddd) ddd-dddd} , is busy", "Ring {c:ddd.ddd.dddd} for a quote", "Meine Nummer ist {c:0ddd dddddddd} , ruf an",
+ "Handy : {c:0dddddddddd}", "Telefonnummer {c:0dd/ddddddd}", "Llámame al {c:ddd ddd ddd} por favor", "Mon portable est le {c:0d dd dd dd dd}", "Fax {c:ddd-dddd} only",
+ "write john {c:smith at gmail dot com}", "send it to {c:W dot W at W dot de} please", "my address is {c:W (at) W (dot) com} , thanks", "{c:W [at] W [dot] net} is best", "e-mail {c:W at W dot org} soon", "escribe a {c:W arroba W punto es} hoy", "schreib an {c:W at W punkt de} bitte",
+ "His social security number {i:ddd-dd-dddd} leaked", "SSN: {i:ddd-dd-dddd}", "passport : {i:Addddddd}", "Passport number {i:AAddddddd} expired", "Reisepassnummer {i:Addddddddd}", "numéro de passeport {i:ddAAddddd}",
+ "IBAN : {i:AAdd dddd dddd dddd dddd dd}", "the IBAN {i:AAdddddddddddddddddddd} belongs to her", "bank account {i:dddddddddd} was closed", "account no. {i:ddddddddd}", "Kontonummer {i:dddddddddd}", "DNI número {i:ddddddddA}", "driver licence {i:Addddddd} renewed", "insurance number {i:AAddddddA} attached", "Steuernummer {i:dd/ddd/ddddd} angeben", "tax id {i:dd-ddddddd} enclosed",
+]
+#: Sentences with numbers and cues in which nothing is to be found.
+CLEAN = [
+ "The meeting of 12 March 1998 lasted 3.5 hours .", "W W bought 1,200 shares at 45.20 each", "Version 2.10.3 of the phone app is out", "In 2004 , 300 people came to the passport office", "page 12 of 340", "call it a day at 10:30", "the account of W W is long", "ISBN 978-3-16-148410-0 is a book", "temperature was at 25 dot", "W W number of W W is 42", "the year 1999-2000 was good", "about 1000000 words", "route 66 to W", "chapter 3 section 12.4", "$4,500 or 12% of it", "flight AB 1234 landed", "model X200 beats Y350", "room no 12 is free",
+]
+FRESH = [
+    "If lost , please phone {c:ddd.ddd.dddd} at once", "Ruf mich an : {c:0ddd dddddd} danke", "our fax number is {c:ddd-ddd-dddd}", "mobile {c:ddd ddd dddd} after lunch", "reach the desk on {c:(ddd) ddd-dddd} , thanks",
+    "her mail is {c:W at W dot net} today", "mail {c:W (at) W (dot) com} for tickets", "kontakt {c:W at W punkt de}", "contact {c:W [at] W [dot] org} first", "correo {c:W arroba W punto com} gracias",
+    "the passport number {i:AAddddddd} was stolen", "Reisepass Nr. {i:Adddddddd} ist weg", "account number {i:ddddddddd} is empty", "IBAN is {i:AAdd dddd dddd dddd dddd dd}", "my ssn {i:ddd-dd-dddd} , yours ?", "licence no {i:Addddddd} expired", "DNI {i:ddddddddA} caducado", "insurance id {i:dddddddddd} please",
+]
+
+
+def filled(line, rng):
+    names, plain = "anna peter schmidt garcia lopez weber martin claire john mary baker cooper fischer".split(), "house garden letter morning river green paper window table music friend".split()
+    words, spans, at = [], set(), 0
+    for part in re.findall(r"\{[ci]:[^}]*\}|\S+", line):
+        held = re.fullmatch(r"\{([ci]):(.*)\}", part)
+        tokens = []
+        for t in (held[2] if held else part).split():
+            if "W" in t:
+                t = re.sub("W", lambda _, held=held: rng.choice(names if held else plain), t)
+            elif held and re.fullmatch(r"[^a-ce-zB-Z]*", t):
+                t = re.sub("[dA]", lambda m: rng.choice("0123456789") if m[0] == "d" else rng.choice("BCDEFGHKLMXYZ"), t)
+            tokens.append(t)
+        text = " ".join(tokens)
+        if held:
+            spans.add((4 + "ci".index(held[1]), len(" ".join([*words, ""]).encode()), len(" ".join([*words, text]).encode())))
+        words.append(text)
+    return " ".join(words).encode(), spans
+
+
+def test_recall_and_precision_on_forms_not_trained_on():
+    assert not set(HELD + FRESH + CLEAN) & set(P.LABELLED)
+    rng, finder = random.Random(17), P.Finder(P.default_model())
+    for forms in (HELD, FRESH):
+        right = wanted = found = 0
+        for line in forms * 6:
+            text, spans = filled(line, rng)
+            got = {m for m in finder.spans([text])[0] if m[0] > 3}
+            right, wanted, found = right + len(got & spans), wanted + len(spans), found + len(got)
+        assert right >= 0.9 * wanted and right >= 0.9 * found, (right, wanted, found)
+    wrong = [line for line in CLEAN if any(k > 3 for k, _, _ in finder.spans([filled(line, rng)[0]])[0])]
+    assert len(wrong) <= 0.1 * len(CLEAN), wrong
+
+
+def test_plain_documents_get_no_learned_spans(spark, sf):
+    """The texts of the table hold no such data but two telephone numbers that the base pattern drops."""
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/documents.parquet")
+    rows = P.pii_table(docs).filter("n_contact + n_ident > 0").join(docs.select("doc_id", "text"), "doc_id").collect()
+    for r in rows:
+        for kind, a, b in (s.split(":") for s in r.spans.split(",")):
+            assert kind not in ("contact", "ident") or re.fullmatch(r"\(\d{3}\) \d{3}-\d{4}", r.text[int(a) : int(b)])
+    assert 0 < len(rows) < 20
+
+
+def test_spans_that_touch_base_spans_are_left_out():
+    finder = P.Finder(P.default_model())
+    text = b"call (555) 123-4567 now or mail bob@example.com, card 4111 1111 1111 1111 or tel 555-123-4567 today " * 40
+    base = P.base_spans(text)
+    got = finder.spans([text])[0]
+    learned = [m for m in got if m[0] > 3]
+    assert got[: len(base)] == base and learned
+    assert not any(a < e and s < b for _, s, e in learned for _, a, b in base)
+    assert [m for m in sorted(finder.learned([text])[0]) if not any(m[1] < b and a < m[2] for _, a, b in base)] == learned
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    finder, took = P.Finder(P.default_model()), []
+    for n in (2000, 16000):
+        text = b"call (555) 123-4567 or bob@example.com now. " * n
+        began = time.perf_counter()
+        finder.spans([text])
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] * 4 + 1

@@ -157,7 +157,9 @@ LABELLED = [
     'W W = "X" W W', "W W token = X W W W", '"X" W W', "W : X", "W W X W W", "license , version d.", "W W W W license , version d", "version d. W W", "W%%% dddddddddddddddd### W", "W*** dddddddddddddddd$$$ W***", "W&&& dddddddddddddddd&&& W", "W license version d.d W", "at at at at at at W W W W W W", "at at at at at at at at at W W W", "W W W W at at at at at at at W W W", "about ddddddd W", "W W ddddddd W W", "W dddddd W W W", "W was at dd dot", "W W +d {c:(ddd) ddd-dddd} W W", "W +d {c:(ddd) ddd-dddd} ddd.ddd.ddd.ddd W W", "W. {c:(ddd) ddd-dddd} ddd.dd.ddd.dd W",
     "W it to {c:W dot W at W dot W} W", "W W W {c:W dot W at W dot com} W W", "W W at dd dot W",
     "W at W W W at W W W W", "W W le W W W W le W W W W W W W le W W", "W a W W a W W W W a W W W W W", "W to W W at W W to W W W W W W at W W", "W an W W W an W W W W W an W W", "W W dd W dddd W W W W W W W W", "W dddd , ddd W W W W W W W W", "W W dd W dddd W d.d W", "in dddd , W W W W W W W",
-    "W W W W W W", "W W , W W W", "W W at W W W", "W W in dddd W W", "W W dd W W", "W d,ddd W W W", "W W dd.dd W W", "W dddd-dddd W W", "W W dd-dd-dddd W", "dddd-dd-dd W W W", "W W dd:dd W W", "W version d.d.d W W",
+    "W W W W W W W W W W W W write to {c:W at W dot com} W", "W W W W W W W W W W W W W W {c:W at W dot org} W", "W W W W W W W W W W mail {c:W (at) W (dot) net}", "W W W W W W W W W W W W {c:W dot W at W dot com} W", "W W W W W W W W W W W call {c:(ddd) ddd-dddd} W",
+    "W W W W W W W W W W W W Konto Nr {i:dddddddd} W", "W W W W W W W W W W W W passport no {i:Addddddd} W", "W W W W W W W W W W W W W W W W W W W W W W", "W, W W W W W W W W, W W W W W W W W W W W W W W",
+    "W W no. dddddddd W W", "W no dddddddd W", "W said no. dddddd W W", "W no ddddddd W W", "W W W W W W", "W W , W W W", "W W at W W W", "W W in dddd W W", "W W dd W W", "W d,ddd W W W", "W W dd.dd W W", "W dddd-dddd W W", "W W dd-dd-dddd W", "dddd-dd-dd W W W", "W W dd:dd W W", "W version d.d.d W W",
     "W W d. W W", "W W dd% W W", "W $ddd W W", "W | W | W | W", "W W ddd W ddd W", "W ddd ddd W W", "W W dddddddddddddddd W W", "W W dddddddd W W W", "W W ddddddddddd W", "W W dot W W", "W W at dd W W W", "W point W W is W", "W is W W", "W no W W",
     "W W account W W W", "W the phone W W", "W contact W W W", "W number of W W", "W call W W", "W W A dd W", "W W AAdd W W", "W W dddd W dddd W", "W ISBN ddd-d-dddd-dddd-d W", "W W d-d W W", "W W +d W W", "W W W### W$$$ W%%%",
     "W*** W&&& W$$$ W### W%%% W&&& W### W", "W,%%% W.### W,&&& is&&& W### W*** W", "W*** is W*** W*** W$$$ W", "W&&& W at W%%% W,*** W", "W!! W!! W!! is!! W!!", "W dot W at W W", "W com W W is W", "W es W is es W W", "W=W <W> W_W W", "W/W W;W {W} W", "https://W.W/W W W", "W #dd @W W-W", "W dxd W dA W", "Addd W ddA W", "W dddddddd-dddd-dddd W", "W dd/dd/dddd W",
@@ -165,7 +167,7 @@ LABELLED = [
 ]
 TAGS = ("O", "B-c", "I-c", "B-i", "I-i")
 #: Times each labelled sentence is filled in.
-FILLS = 3
+FILLS = 6
 #: The share of words outside spans, and of those of many digits anywhere, that training takes for unknown shapes.
 UNKNOWN = 0.1
 MANY_DIGITS = 5
@@ -236,7 +238,7 @@ class CRF:
                 out[a] += self.emit[k][near]
         return out
 
-    def train(self, table: list[tuple[list[str], list[int]]], rounds: int = 200, rate: float = 0.1, decay: float = 0.02) -> CRF:
+    def train(self, table: list[tuple[list[str], list[int]]], rounds: int = 150, rate: float = 0.1, decay: float = 0.02) -> CRF:
         """Adam on the penalised log-likelihood, by forward-backward over the padded table."""
         longest = max(len(w) for w, _ in table)
         n, pad = len(table), max(abs(o) for o in OFFSETS)
