@@ -59,3 +59,40 @@ def test_edge_rows_and_degenerate_labels(spark, tables, model, edge_docs, no_doc
     assert all(0 <= r.score <= 1 for r in Q.scored(no_length, model).collect())
     assert Q.scored(no_docs, model).collect() == []
     assert {r.score for r in Q.quality_table(edge_docs, tables[1].limit(0)).collect()} == {0.5}
+
+
+def plain_statistics(text, declared):
+    """The statistics of one text, counted one by one, and the weight of each hashed word."""
+    raw = text.encode()
+    words = [w.lower() for w in raw.split()]
+    n, size = max(len(words), 1), max(len(raw), 1)
+    share = lambda test: sum(map(test, raw)) / size
+    letter, digit = lambda c: 65 <= c <= 90 or 97 <= c <= 122, lambda c: 48 <= c <= 57
+    lines = raw.count(b"\n") + 1
+    top = max((words.count(w) for w in set(words)), default=0)
+    follows = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    chars = len(text)
+    values = [
+        np.log1p(len(words)), np.log1p(len(raw)), sum(map(len, words)) / n, share(lambda c: 65 <= c <= 90), share(digit), share(lambda c: 32 < c < 128 and not letter(c) and not digit(c)),
+        share(lambda c: c in b"#$%&*|<>=~^{}[]\\_/"), share(lambda c: c in b"!?"), share(lambda c: c >= 128), len(set(words)) / n, follows / n, np.log1p(lines), np.log1p(len(words) / lines), top / n,
+        np.log1p(max(declared, 0)), abs(declared - chars) / max(chars, 1),
+    ]
+    columns = {}
+    for w in words:
+        c = zlib.crc32(w) & ((1 << Q.WORD_BITS) - 1)
+        columns[c] = columns.get(c, 0) + 1
+    norm = np.sqrt(sum(np.log1p(k) ** 2 for k in columns.values()))
+    return values, {c: Q.WORD_WEIGHT * np.log1p(k) / norm for c, k in columns.items()}
+
+
+def test_features_follow_the_definition(tables):
+    rows = tables[0].filter("length(text) < 5000").limit(80).collect()
+    texts = [r.text for r in rows] + ["", " ", "One", "a a a b\n\nc ! ? # é"]
+    declared = np.array([float(r.n_chars) for r in rows] + [0.0, 7.0, -3.0, 20.0])
+    f = Q.Features([t.encode() for t in texts], declared)
+    for i, (t, d) in enumerate(zip(texts, declared, strict=True)):
+        values, words = plain_statistics(t, d)
+        assert np.allclose(f.statistics[i], values), t
+        own = f.row == i
+        got = dict(zip(f.column[own].tolist(), f.weight[own].tolist(), strict=True))
+        assert got.keys() == words.keys() and all(np.isclose(got[c], words[c]) for c in got)

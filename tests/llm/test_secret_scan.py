@@ -95,3 +95,34 @@ def test_every_long_string_near_a_sensitive_word_is_measured():
         assert [v for v in values if found.count(v) != text.count(v)] == [], text
         if not values:
             assert found == []
+
+
+def planted(rng, kind):
+    """(sentence, secret): a random string near a sensitive word, in a place that no fixed pattern reads."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secret = "".join(rng.choice(letters + ("+/" if kind % 2 else "")) for _ in range(rng.randrange(20, 60)))
+    forms = [
+        "the credential for the build server is {} and expires soon", "Authorization: Bearer {}", "use passphrase {} to open the vault", "signature {} was appended", "our private key {} must be rotated",
+        "session id {} belongs to the admin", "send pwd {} over the channel", "{} is the access key of the bucket", "credentials\n  {}\n for staging", "auth header <{}> for the proxy",
+    ]
+    return forms[kind % len(forms)].format(secret), secret
+
+
+def test_recall_and_precision_of_the_novel_spans(real_docs):
+    """Random strings in sensitive places amid the table's prose, and beside them names that are none."""
+    rng = random.Random(21)
+    prose = [r.text for r in real_docs.filter("length(text) between 300 and 4000").limit(60).collect()]
+    prose = [t for t in prose if not base(t)[1]]
+    scanner, hit = S.Scanner(), 0
+    for n in range(200):
+        before, after = rng.choice(prose), rng.choice(prose)
+        sentence, secret = planted(rng, n)
+        raw = f"{before} {sentence} {after}".encode()
+        hit += secret.encode() in {raw[a:b] for _, k, _, a, b in scanner.spans(raw) if k == 3}
+    assert hit >= 0.9 * 200, hit
+    names = ["get_user_session_token_from_request", "authorization_header_value", "PRIVATE_KEY_STORAGE_DIRECTORY", "validateAccessTokenSignature", "resetPasswordNotificationService", "secret_manager_client_factory"]
+    wrong = 0
+    for n in range(200):
+        raw = f"{rng.choice(prose)} the auth call {rng.choice(names)} needs a token and {rng.choice(names)} returns a signature {rng.choice(prose)}".encode()
+        wrong += any(k == 3 for _, k, *_ in scanner.spans(raw))
+    assert wrong <= 0.1 * 200, wrong

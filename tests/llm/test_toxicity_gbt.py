@@ -80,3 +80,80 @@ def test_isotonic_is_the_best_rising_fit():
     order = np.argsort(s)
     want = [max(min(y[order][a : b + 1].mean() for b in range(i, 60)) for a in range(i + 1)) for i in range(60)]
     assert np.allclose(sorted(set(np.round(want, 9))), np.round(p, 9))
+
+
+def plain_features(text, lexicon):
+    """The features of one text, word by word."""
+    words = text.split()  # of these texts white space is ASCII
+    n, second = max(len(words), 1), set(T.SECOND_PERSON)
+    def look(w):
+        core = T.plain(w)
+        odds = max([lexicon.get(core, 0.0), *(lexicon.get(core[:k] + "*", 0.0) for k in T.PREFIXES if len(core) > k)])
+        inner = w.strip(".,;:!?\"'()[]|#$%&*")
+        mangled = bool(inner) and not inner.isalpha() and any(c.isalpha() for c in inner)
+        repeated = any(core[i] == core[i + 1] == core[i + 2] for i in range(len(core) - 2))
+        hidden = lexicon.get(T.revealed(w), 0.0) if not odds and (mangled or repeated) else 0.0
+        return odds or hidden, core in second, len(core) > 1 and inner.isupper(), mangled, hidden > 0
+
+    seen = [look(w) for w in words]
+    hits = [i for i, s in enumerate(seen) if s[0] > 0]
+    near = sum(any(s[1] for s in seen[max(0, i - T.NEAR_WORDS) : i + T.NEAR_WORDS + 1]) for i in hits)
+    raw = text.encode()
+    size = max(len(raw), 1)
+    capital = sum(65 <= c <= 90 for c in raw)
+    marks = sum(c in b"!?" for c in raw)
+    signs = sum(32 < c < 128 and not chr(c).isalnum() and c not in b"!?" for c in raw)
+    count = lambda k: sum(s[k] for s in seen)
+    return [len(hits) / n, np.log1p(len(hits)), sum(s[0] for s in seen) / n, near / n, count(1) / n, capital / size, count(2) / n, marks / size, signs / size, count(3) / n, np.log1p(count(4)), np.log1p(len(words))]
+
+
+def test_features_follow_the_definition(tables, model):
+    texts = [r.text for r in tables[0].filter("length(text) < 4000").limit(150).collect()]
+    texts += ["", "You 1d10t, YOU stuuupid i-d-i-o-t!", "x" * 50 + "i.d.i.o.t", "A" * 60, "dumb " * 3 + "your fool?"]
+    texts = [t for t in texts if t.split() == [w.decode() for w in t.encode().split()]]
+    got = T.Featurizer(model.lexicon).batch([t.encode() for t in texts])
+    assert len(texts) > 100 and np.allclose(got, [plain_features(t, model.lexicon) for t in texts])
+
+
+def test_long_words_are_unmasked():
+    x = T.Featurizer({"donaudampferkapitaensgesellschaftsidiot": 3.0}).batch([b"d0naudampferkapitaensgesellschafts-1d10t"])
+    assert x[0, T.FEATURES.index("mangled_hits")] > 0
+
+
+def test_trees_follow_their_nodes(model):
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.normal(0, 0.3, (200, len(T.FEATURES))))
+    want = []
+    for row in x:
+        total = model.trees.base
+        bins = [int(np.searchsorted(e, v, "left")) for e, v in zip(model.trees.edges, row, strict=True)]
+        for tree in model.trees.trees:
+            at = 0
+            while tree["feature"][at] >= 0:
+                at = 2 * at + 1 + (bins[tree["feature"][at]] > tree["cut"][at])
+            total += tree["value"][at]
+        want.append(total)
+    assert np.allclose(model.trees.raw(x), want)
+
+
+def test_splits_on_evidence_rise(model):
+    """No tree takes a split in which more of a feature of toxicity has the lower value right below."""
+    for tree in model.trees.trees:
+        for at in np.flatnonzero(np.isin(tree["feature"], list(T.RISING))).tolist():
+            if tree["feature"][2 * at + 1] < 0 and tree["feature"][2 * at + 2] < 0:
+                assert tree["value"][2 * at + 1] <= tree["value"][2 * at + 2] + 1e-9
+
+
+def test_held_out_recall_with_few_labels(spark, sf):
+    """Every fold of the small table held out in turn."""
+    d = sf.replace("sf0.001", "sf0.01")
+    rows = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id").collect()
+    caught = toxic = wrong = 0
+    for k in range(5):
+        held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == k]
+        rest = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 != k]
+        m = T.ToxicityModel([r.text.encode() for r in rest], np.array([float(r.toxic) for r in rest]))
+        p = m.score(m.featurizer(), [r.text.encode() for r in held]) >= 0.5
+        y = np.array([r.toxic for r in held]) > 0
+        caught, toxic, wrong = caught + int((p & y).sum()), toxic + int(y.sum()), wrong + int((p & ~y).sum())
+    assert caught >= 0.9 * toxic and wrong <= 0.01 * len(rows)

@@ -42,8 +42,9 @@ WRAP = re.compile(rb"\x20*\r?\n[\x20\t]*")
 #: A run is measured within so many bytes before or after a sensitive word or after a reported value.
 REACH = 64
 CONTEXT_BYTES = 512
-#: Marginal compressed bytes per byte from which a candidate is reported.
-NOVELTY = 0.7
+#: Marginal compressed bytes per byte from which a candidate is reported, beyond the bytes that any string
+#: costs, whatever its length.
+NOVELTY, STRING_BYTES = 0.66, 2
 #: Words that identifiers are made of; the dictionary holds them in the usual joined forms.
 IDENTIFIER_WORDS = """
 access account action active add address admin alias allow api app application array async auth author authorization
@@ -83,10 +84,10 @@ class Scanner:
         self.novelty = novelty
 
     def marginal(self, raw: bytes, start: int, end: int, after: int = CONTEXT_BYTES // 2) -> float:
-        """Compressed bytes that raw[start:end] adds to its surroundings, per byte."""
+        """Compressed bytes that raw[start:end] adds to its surroundings, less those of any string, per byte."""
         around = raw[end : end + after] + b"\n" + raw[max(0, start - CONTEXT_BYTES) : start]
         size = lambda x: len(self.compressor.compress(x))
-        return (size(around + raw[start:end]) - size(around)) / (end - start)
+        return (size(around + raw[start:end]) - size(around) - STRING_BYTES) / (end - start)
 
     def spans(self, raw: bytes) -> list[tuple[int, int, int, int, int]]:
         """(start, kind, end, value start, value end) in bytes, sorted by start, then kind."""
