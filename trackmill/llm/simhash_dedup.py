@@ -285,7 +285,8 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row (key, fp, component) per document; component is the smallest key reachable."""
+    """One row (key, fp, component, root) per document; component is the smallest key reachable, root
+    names the group."""
     prints = materialize(fingerprints(docs, key, text), "fingerprints")
     reps = prints.groupBy("fp").agg(F.min("key").alias("rep"))
     star = connected(shard_links(shard_entries(reps.select("fp"), radius), radius))
@@ -294,8 +295,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     linked = materialize(linked.select("fp", "rep", F.coalesce("root", "fp").alias("root")), "classes")
     # written, so that the join below has plain exchanges on both sides and a huge group can be split
     least = materialize(linked.groupBy("root").agg(F.min("rep").alias("component")), "components")
-    named = linked.join(least, "root").select("fp", "component")
-    return prints.join(named, "fp").select("key", "fp", "component")
+    named = linked.join(least, "root").select("fp", "component", "root")
+    return prints.join(named, "fp").select("key", "fp", "component", "root")
 
 
 def dedup_table(docs: DataFrame) -> DataFrame:
@@ -306,13 +307,23 @@ def dedup_table(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those whose group holds a smaller doc_id.
+    """One document of each group, that with the smallest doc_id.
 
     A row goes by its doc_id and fingerprint together: other rows with its doc_id are judged by their own
-    groups. Rows of a group that share its smallest doc_id all stay, as do rows without a doc_id.
+    groups. Of several rows with the smallest doc_id that with the smallest fingerprint stays, then that
+    whose text has the smallest hash. Rows without a doc_id all stay.
     """
-    gone = near_duplicates(docs).filter("key <> component").select("key", "fp").distinct()
+    found = materialize(near_duplicates(docs), "found")
+    first = found.filter("key = component")
+    several = first.groupBy("root").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
+    later = first.join(several, "root").filter("fp <> low").select("key", "fp")
+    gone = found.filter("key <> component").select("key", "fp").unionByName(later).distinct()
     rows = fingerprints(whole_rows(docs), key="row", text=None)
     keyed = rows.select(F.col("key").alias("row"), F.col("key.doc_id").alias("key"), "fp")
     kept = keyed.join(gone, ["key", "fp"], "left_anti")
+    again = first.groupBy("key", "fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "fp")
+    again = materialize(again, "again")
+    if not again.isEmpty():
+        one = kept.join(again, ["key", "fp"], "left_semi").groupBy("key", "fp").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), "row.text")).alias("row"))
+        kept = kept.join(again, ["key", "fp"], "left_anti").select("row").unionByName(one.select("row"))
     return kept.select(*unpacked(kept, docs))
