@@ -1,7 +1,9 @@
+import io
 import json
 
 import pytest
-from test_quality import base
+from pyspark.sql import functions as F
+from test_quality import Survey
 
 from trackmill.operators import aggregates as A
 from trackmill.plans import quality_cli
@@ -9,7 +11,7 @@ from trackmill.plans.logs import checkpoint_log, match_score_log, read_logs, sea
 from trackmill.registry import build
 from trackmill.sources import files as S
 from trackmill.sources import sinks as K
-from trackmill.sources.annotations import canonical, nonfinite, read_document, valid_id
+from trackmill.sources.annotations import Dataset, JsonStream, canonical, nonfinite, read_document, records, valid_id
 
 
 def test_canonical_values():
@@ -124,29 +126,81 @@ def cli(spark, tmp_path):
     return go
 
 
+def survey(change=lambda s: None):
+    s = Survey()
+    change(s)
+    return s.doc
+
+
 def test_command_line(cli, tmp_path):
-    jump = base()
-    jump["annotations"][1]["bbox"] = [80, 80, 10, 10]
+    leap = survey(lambda s: s.seen(32, 3).update(bbox=[20, 20, 24, 30]))
     flags = str(tmp_path / "flags")
-    code, report = cli(jump, "--temporal-diagnostics", "--temporal-flags", flags, "--fail-on-warnings")
+    code, report = cli(leap, "--temporal-diagnostics", "--temporal-flags", flags, "--fail-on-warnings")
     assert code == 0 and report["status"] == "PASS" and report["diagnostics"]["total"] > 0
-    assert cli(base(), "--temporal-diagnostics")[0] == 2
-    assert cli(base(), "--report", str(tmp_path / "current.json"))[0] == 2
-    assert cli(base(), "--profile", "none")[0] == 2
-    bad = base()
-    bad["annotations"][0]["image_id"] = 999
-    assert cli(bad)[0] == 1
+    assert cli(survey(), "--temporal-diagnostics")[0] == 2
+    assert cli(survey(), "--report", str(tmp_path / "current.json"))[0] == 2
+    assert cli(survey(), "--profile", "none")[0] == 2
+    assert cli(survey(lambda s: s.seen(41, 0).update(image_id=4711)))[0] == 1
 
 
 def test_command_line_reads_class_lists_from_a_configuration(cli, tmp_path):
-    data = base()
-    for section in ("annotations", "tracks"):
-        for x in data[section]:
-            x["category_id"] = 2
-    (tmp_path / "classes.txt").write_text("base_object\n")
+    def rare(s):
+        for row in (*s.doc["tracks"], *s.doc["annotations"]):
+            row["category_id"] = 6 if row["category_id"] == 5 else row["category_id"]
+
+    data = survey(rare)
+    (tmp_path / "classes.txt").write_text("ferry\n")
     (tmp_path / "config.py").write_text("d = dict(ann_file='x/current.json', classes='classes.txt')")
     (tmp_path / "split.json").write_text(json.dumps({"categories": data["categories"]}))
     split = ["--split", "base-only", "--category-split", str(tmp_path / "split.json")]
     code, report = cli(data, *split, "--training-config", str(tmp_path / "config.py"))
-    assert code == 0 and report["leakage"]["novel_annotations"] == 2
+    assert code == 0 and report["leakage"]["novel_annotations"] == 4
     assert cli(data, *split)[0] == 1
+
+
+def test_logs_of_any_length(spark, tmp_path):
+    """More lines and columns than any block of the published logs has."""
+    names = [f"m{k}" for k in range(150)]
+    lines = [f"class{i} " + " ".join(str(i + k) for k in range(150)) for i in range(10_500)]
+    (tmp_path / "long.txt").write_text("epoch[3], match score thres[0.5]:\nTETA50: " + " ".join(names) + "\n" + "\n".join(lines) + "\n")
+    out = threshold_log(read_logs(spark, str(tmp_path / "long.txt")))
+    assert out.count() == 150 * 10_500
+    assert out.filter("category = 'class10499' AND metric = 'm149'").first().value == str(10_499 + 149)
+    few = [f"class{i} " + " ".join(str(k) for k in range(10)) for i in range(10_500)]
+    (tmp_path / "many.txt").write_text("\n\n  \nepoch[3], match score thres[0.5]:\nhead\n" + "\n".join(few) + "\n \t\nepoch[4], match score thres[0.6]:\nhead\n" + few[0])
+    assert match_score_log(read_logs(spark, str(tmp_path / "many.txt"))).count() == 10 * 10_501
+
+
+def test_documents_are_streamed(tmp_path):
+    """Records come out of a stream whatever its buffers cut apart."""
+    doc = survey()
+    doc["info"] = {"note": 'brackets ]}, quotes \\" and é 漢 😀', "n": [1.5, -2e3, float("nan")], "deep": {"annotations": [1]}}
+    text = json.dumps(doc, ensure_ascii=False).encode()
+    want = list(records(io.BytesIO(text)))
+    assert sum(r["section"] == "annotations" for r in want) == 12 and [r["n"] for r in want if r.get("name") == "nonfinite_numeric"] == [1]
+    chunk = JsonStream.CHUNK
+    try:
+        for JsonStream.CHUNK in (1, 7, 100):
+            assert str(list(records(io.BytesIO(text)))) == str(want)
+    finally:
+        JsonStream.CHUNK = chunk
+    for broken in (b"[]", b"", b'{"videos": [1 2]}', b'{"videos": []} x', b'{"videos": [', b'{1: 2}'):
+        with pytest.raises(ValueError):
+            list(records(io.BytesIO(broken)))
+
+
+def test_written_documents_read_back(spark, tmp_path):
+    videos = spark.createDataFrame([(2, "b"), (1, "a")], "id long, name string")
+    K.write_document({"videos": videos.orderBy("id"), "images": videos.limit(0)}, str(tmp_path / "d.json"))
+    assert json.loads((tmp_path / "d.json").read_text()) == {"videos": [{"id": 1, "name": "a"}, {"id": 2, "name": "b"}], "images": []}
+    rows = Dataset.read(spark, str(tmp_path / "d.json")).rows.filter("section = 'videos'").orderBy("ord").collect()
+    assert [(r.ord, r.id, r.name) for r in rows] == [(0, "i:1", "s:a"), (1, "i:2", "s:b")]
+
+
+def test_exports_by_task(spark):
+    p = spark.createDataFrame([(1, 1, 0, 5, 7, 0.5, *[0.0] * 4)], "image_id long, video_id long, frame_id long, ord long, track_id long, score double, x1 double, y1 double, x2 double, y2 double").withColumn("category_id", F.lit(0).cast("long"))
+    names = spark.createDataFrame([(0, "boat")], "category_id long, category string")
+    out = K.export_all(p, names, ["det", "ins_seg", "box_track", "seg_track"])
+    assert {k: df.count() for k, df in out.items()} == {"det": 1, "ins_seg": 1, "box_track": 1, "seg_track": 1}
+    with pytest.raises(ValueError, match="no export drawing"):
+        K.export_all(p, names, ["drawing"])
