@@ -133,7 +133,7 @@ def smp_3(spark, sf_dir):
 @query(
     "SMP-7",
     oracle(
-        """SELECT d.video_id, d.frame_id, d.pair_key, p.frame_id AS pair_frame, d.positive FROM (
+        """SELECT d.video_id, d.frame_id, coalesce(d.pair_key, -1) AS pair_key, coalesce(p.frame_id, -1) AS pair_frame, d.positive FROM (
   SELECT e.*, v.video_id AS pair_key, CASE WHEN positive THEN CASE WHEN high > low THEN low + (draw + 4) % (high - low) ELSE pos END ELSE (draw + 5) % v.n END AS pair
   FROM (
     SELECT video_id, frame_id, pos, frame_id % 3 <> 0 AS positive, draw, greatest(pos - 5, 0) AS low, least(pos + 5, n) AS high,
@@ -149,7 +149,7 @@ def smp_7(spark, sf_dir):
     """Each frame with one near it in its video (two thirds), or with one of another video, by a known draw."""
     f = boxes(spark, sf_dir).select(*FRAME).distinct()
     draw = lambda name: F.col("video_id") * 31 + F.col("frame_id") * 17 + len(name)
-    return A.sampled_pairs(f, positive=F.col("frame_id") % 3 != 0, draw=draw)
+    return A.sampled_pairs(f, positive=F.col("frame_id") % 3 != 0, draw=draw).fillna(-1, ["pair_key", "pair_frame"])
 
 
 @query("SMP-7b", None)
@@ -433,7 +433,7 @@ def snk_8(spark, sf_dir):
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("track_id").alias("tracks"))
 
 
-@query("SNK-9", oracle("SELECT section, id, image_id, frame_id, place FROM (SELECT 'videos' AS section, 'i:' || video_id AS id, NULL AS image_id, NULL::BIGINT AS frame_id, video_id AS place FROM (SELECT DISTINCT video_id FROM boxes) UNION ALL SELECT 'images', 'i:' || (video_id * 50 + frame_id), NULL, row_number() OVER (PARTITION BY video_id ORDER BY frame_id) - 1, row_number() OVER (ORDER BY video_id, frame_id) - 1 FROM (SELECT DISTINCT video_id, frame_id FROM boxes) UNION ALL SELECT 'annotations', 'i:' || ord, 'i:' || (video_id * 50 + frame_id), NULL, row_number() OVER (ORDER BY ord) - 1 FROM boxes)"))
+@query("SNK-9", oracle("SELECT section, id, image_id, coalesce(frame_id, -1) AS frame_id, place FROM (SELECT 'videos' AS section, 'i:' || video_id AS id, NULL AS image_id, NULL::BIGINT AS frame_id, video_id AS place FROM (SELECT DISTINCT video_id FROM boxes) UNION ALL SELECT 'images', 'i:' || (video_id * 50 + frame_id), NULL, row_number() OVER (PARTITION BY video_id ORDER BY frame_id) - 1, row_number() OVER (ORDER BY video_id, frame_id) - 1 FROM (SELECT DISTINCT video_id, frame_id FROM boxes) UNION ALL SELECT 'annotations', 'i:' || ord, 'i:' || (video_id * 50 + frame_id), NULL, row_number() OVER (ORDER BY ord) - 1 FROM boxes)"))
 def snk_9(spark, sf_dir):
     """A converted dataset, its frames numbered anew and its annotations with an instance each, written
     as one document and read back."""
@@ -445,7 +445,7 @@ def snk_9(spark, sf_dir):
     path = f"{scratch_dir(spark)}/converted-{uuid.uuid4().hex}.json"
     K.write_document({"videos": ranges.orderBy("id"), "images": frames.orderBy("id"), "annotations": annotations.orderBy("ord").drop("ord")}, path)
     rows = Dataset.read(spark, path).rows.filter("section IN ('videos', 'images', 'annotations')")
-    return rows.select("section", "id", "image_id", "frame_id", F.col("ord").alias("place"))
+    return rows.select("section", "id", "image_id", F.coalesce("frame_id", F.lit(-1)).alias("frame_id"), F.col("ord").alias("place"))
 
 
 # --- text and logs ------------------------------------------------------------------------------
