@@ -19,7 +19,6 @@ columns, whatever their names, are not read, or are handed on unchanged.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
