@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackmill.llm import bpe_codec, decontam, feature_digest, pii_crf, quality_fm, secret_scan, simhash_dedup, token_counts, toxicity_gbt, warc
+from trackmill.llm import bpe_codec, decontam, feature_digest, pii_crf, prefix_trie, quality_fm, secret_scan, simhash_dedup, token_counts, toxicity_gbt, warc
 from trackmill.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_gbt.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_table(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -69,8 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_pii": op9_pii,
         "op10_toxicity": op10_toxicity,
+        "op11_prefix_trie": op11_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op7_decontamination": decontam.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op7_decontamination": decontam.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
