@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackmill.llm import bpe_codec, centroid_clustering, decontam, feature_digest, pii_crf, prefix_trie, quality_fm, secret_scan, simhash_dedup, token_counts, toxicity_gbt, warc
+from trackmill.llm import bpe_codec, centroid_clustering, decontam, feature_digest, html_wrapper, pii_crf, prefix_trie, quality_fm, secret_scan, simhash_dedup, token_counts, toxicity_gbt, warc
 from trackmill.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie_table(table(spark, sf_dir, "conversations"))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clustering.clusters(table(spark, sf_dir, "embeddings"))
 
@@ -78,9 +82,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": op9_pii,
         "op10_toxicity": op10_toxicity,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_html_text": op12_html_text,
         "op13_centroids": op13_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op7_decontamination": decontam.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op13_centroids": centroid_clustering.ORACLE}
+    return {
+        "op4_warc": warc.ORACLE,
+        "op7_decontamination": decontam.ORACLE,
+        "op11_prefix_trie": prefix_trie.ORACLE,
+        "op12_html_text": html_wrapper.ORACLE,
+        "op13_centroids": centroid_clustering.ORACLE,
+    }
