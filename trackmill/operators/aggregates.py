@@ -225,6 +225,26 @@ def global_rank(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
     return ranged.join(counts, "_part").select(*df.columns, (F.col("_base") + inside).alias(name), "n_rows")
 
 
+def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Each row with the sums, up to it, of columns (``sums`` names column and sum) over the rows with its
+    keys, in order; ties by the whole row.
+
+    Rows are dealt to ranges by keys and order, so a key of any size is spread over tasks; of each range and
+    key only the sums meet.
+    """
+    tie = F.xxhash64(*df.columns)
+    place = [*map(F.col, keys), *map(F.col, order), tie]
+    ranged = df.repartitionByRange(*place).sortWithinPartitions(*place)
+    ranged = kept(ranged.withColumn("_id", F.monotonically_increasing_id()), "ranges").withColumn("_part", F.shiftright("_id", 33))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    base = base.select("_part", *keys, *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums])
+    inside = Window.partitionBy("_part", *keys).orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    run = ranged.select("*", *[F.sum(c).over(inside).alias(f"_to_{c}") for c in sums])
+    joined = run.join(base, ["_part", *keys])
+    return joined.select(*df.columns, *[(F.col(f"_{c}") + F.col(f"_to_{c}")).alias(name) for c, name in sums.items()])
+
+
 def even_parts(df: DataFrame, x: int, order: str) -> DataFrame:
     """Parts 0 .. x-1 of almost equal size in order; the first ones are larger by one row."""
     ranked = global_rank(df, order, "_rank")

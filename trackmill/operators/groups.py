@@ -7,7 +7,6 @@ collected or copied per group.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,24 +33,34 @@ def over_groups(df: DataFrame, keys: list[str], order: list[str], solve: Callabl
     names = df.columns
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    def solved(columns: Columns, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        found = [solve({c: v[a:b] for c, v in columns.items()}) for a, b in zip(cuts, cuts[1:], strict=False)]
+        found = [f for f in found if f is not None]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
+
+    def joined(pieces: list[Columns]) -> Columns:
+        return pieces[0] if len(pieces) == 1 else {c: np.concatenate([p[c] for p in pieces]) for c in names}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Columns | None = None
-        for batch in chain(batches, [None]):
-            if batch is None:
-                columns, cuts = held or {}, bounds(held, keys) if held else [0]
-                held = None
-            else:
-                columns = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
+        held: list[Columns] = []  # pieces of the group that the last batch ended in, joined once it is whole
+        for batch in batches:
+            columns = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
+            cuts = bounds(columns, keys)
+            if len(cuts) < 2:
+                continue
+            if held and all(held[-1][k][-1] == columns[k][0] for k in keys):
+                held.append({c: v[: cuts[1]] for c, v in columns.items()})
+                cuts = cuts[1:]
+            if len(cuts) > 1:
                 if held:
-                    columns = {c: np.concatenate([held[c], v]) for c, v in columns.items()}
-                cuts = bounds(columns, keys)
-                if len(cuts) > 1:  # the last group may go on in the next batch
-                    held = {c: v[cuts[-2] :] for c, v in columns.items()}
-                    cuts.pop()
-            found = [solve({c: v[a:b] for c, v in columns.items()}) for a, b in zip(cuts, cuts[1:], strict=False)]
-            found = [f for f in found if f is not None]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
+                    whole = joined(held)
+                    yield from solved(whole, [0, len(whole[names[0]])])
+                yield from solved(columns, cuts[:-1])
+                held = [{c: v[cuts[-2] :] for c, v in columns.items()}]
+        if held:
+            whole = joined(held)
+            yield from solved(whole, [0, len(whole[names[0]])])
 
     return df.repartition(*(by or keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
