@@ -1,8 +1,7 @@
 """Annotation documents as typed tables.
 
-A document is one JSON object with five arrays. It is read once, one task per document, which holds a
-record and a buffer at a time whatever the document's size, into rows of
-``RECORD``; all checks and queries run on those rows, or on tables of the same columns that never were
+A document is one JSON object with five arrays. It is cut into ranges of bytes, which tasks parse (see
+``split_json``), into rows of ``RECORD``; all checks and queries run on those rows, or on tables of the same columns that never were
 one document. Ids and other values keep their JSON type in a canonical text: ``i:12`` is not ``s:12``,
 and 1, 1.0 and true are one value, as they are to a dictionary of the documents' usual readers.
 """
@@ -20,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackmill.sources.scratch import kept, opened
+from trackmill.sources.scratch import kept
+from trackmill.sources.split_json import RANGE, elements, parsed, split
 
 SECTIONS = ("videos", "images", "annotations", "tracks", "categories")
 RECORD = """section string, ord long, n long, id string, id_ok boolean, name string, synset string, frequency string, video string, file_name string,
@@ -190,25 +190,37 @@ def records(stream: BinaryIO) -> Iterator[dict]:
         yield issue("nonfinite_numeric", bad)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path in batch.column(0).to_pylist():
-            store, name = opened(path)
-            held = []
-            with store.open_input_stream(name) as stream:
-                for row in records(stream):
-                    held.append(row)
-                    if len(held) == 10_000:
-                        yield pa.RecordBatch.from_pylist(held, schema=SCHEMA)
-                        held = []
-            if held:
-                yield pa.RecordBatch.from_pylist(held, schema=SCHEMA)
-
-
-def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the annotation documents at a path, each streamed by a task of its own."""
-    files = spark.read.format("binaryFile").load(path).select("path")  # contents are not read
-    return files.repartition(max(1, files.count()), "path").mapInArrow(_rows, RECORD)
+def _range_rows(file, other, start: int, stop: int, state: int, depth: int, members: list[dict]) -> Iterator[dict]:
+    """The rows of a range: records that begin in it, and what is wrong with members that do."""
+    bad = 0
+    for m in members:
+        if start <= m["place"] < stop and m["opens"] != ord("["):
+            other.seek(m["place"] + 1)
+            value = JsonStream(other)
+            bad += nonfinite(value.value())
+            if value.peek() not in (",", "}"):
+                raise ValueError(f"there is something after the value of {m['name']!r}")
+            if m["name"] in SECTIONS:
+                yield {"section": ISSUE, "name": "top_level_not_array", "n": 1, "file_name": m["name"]}
+    for m, values in elements(file, start, stop, state, depth, members):
+        for r in values:
+            bad += nonfinite(r)
+            if m["name"] in SECTIONS:
+                yield record(m["name"], m["first"], r) if isinstance(r, dict) else {"section": ISSUE, "name": "record_not_object", "n": 1, "file_name": m["name"]}
+            m["first"] += 1
+    if bad:
+        yield {"section": ISSUE, "name": "nonfinite_numeric", "n": bad}
+
+
+def read_document(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """The rows of the annotation documents at a path, parsed by a task per range of ``size`` bytes. They
+    are those of ``records``, but numbers that are not finite are counted per range."""
+    ranges, members = split(spark, path, size)
+    rows = ranges.mapInArrow(parsed(_range_rows, SCHEMA), RECORD)
+    present = ranges.select("path").distinct().withColumn("section", F.explode(F.array(*map(F.lit, SECTIONS))))
+    missing = present.join(members.select("path", F.col("name").alias("section")), ["path", "section"], "left_anti")
+    found = {"section": F.lit(ISSUE), "name": F.lit("missing_top_level_field"), "n": F.lit(1).cast("long"), "file_name": F.col("section")}
+    return rows.unionByName(missing.select(*[found.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in _FIELDS]))
 
 
 class Dataset:

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.functions.boxes import Box
 from trackmill.operators.aggregates import majority_category, unique_track_ids
-from trackmill.sources.scratch import opened
+from trackmill.sources.scratch import opened, scratch_dir
+
+#: Between the records of a document, and bytes copied at a time when its parts are joined.
+SEPARATOR, COPIED = ",\n", 8 << 20
 
 
 def bbox_record(extra: list[str] = ()) -> list[Column]:
@@ -117,18 +122,32 @@ def write_json_records(df: DataFrame, path: str) -> None:
 def write_document(sections: dict[str, DataFrame], path: str) -> None:
     """One annotation document: an object with an array per section, its rows in their table's order.
 
-    The rows are written out as they come from the tasks, so the driver holds one partition at most."""
+    Tasks write the rows as text parts; the driver copies whole parts one after the other, a block at a time."""
     store, name = opened(path)
     with store.open_output_stream(name, compression=None) as out:
         for i, (section, rows) in enumerate(sections.items()):
-            out.write(f"{',' if i else '{'}{json.dumps(section)}:[".encode())
-            lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).toLocalIterator()
-            for k, line in enumerate(lines):
-                out.write(f"{',' if k else ''}\n{line.value}".encode())
+            out.write(f"{',' if i else '{'}{json.dumps(section)}:[\n".encode())
+            parts = f"{scratch_dir(rows.sparkSession)}/parts-{uuid.uuid4().hex}"
+            rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.option("lineSep", SEPARATOR).text(parts)
+            _joined(parts, out)
             out.write(b"]")
         out.write(b"}\n" if sections else b"{}\n")
 
 
+def _joined(folder: str, out) -> None:
+    """Copy a folder's parts in order, without the separator after the last row."""
+    store, name = opened(folder)
+    files = sorted((f.path, f.size) for f in store.get_file_info(fs.FileSelector(name)) if f.base_name.startswith("part-") and f.size)
+    for k, (file, size) in enumerate(files):
+        left = size - (len(SEPARATOR) if k == len(files) - 1 else 0)
+        with store.open_input_stream(file) as part:
+            while left:
+                block = part.read(min(left, COPIED))
+                out.write(block)
+                left -= len(block)
+    store.delete_dir(name)
+
+
 def write_flags(flags: DataFrame, path: str) -> None:
     """Temporal flags as CSV, numbers with up to ten significant digits."""
     short = lambda c: F.regexp_replace(F.regexp_replace(F.format_string("%.10g", c), r"(\.\d*?)0+$", "$1"), r"\.$", "")
