@@ -26,7 +26,7 @@ def brute_features(raw, rank):
     if not raw:
         return []
     level = D.entropy_levels(data)
-    r = [int(rank[v]) for v in level]
+    r = [int(rank[0][v]) for v in level]
     votes = Counter()
     for i in range(len(r)):
         j = min(range(i, min(i + 64, len(r))), key=lambda x: (r[x], x))
@@ -35,6 +35,17 @@ def brute_features(raw, rank):
     return [j for j in sorted(votes) if votes[j] >= D.POPULAR]
 
 
+def brute_short(raw, rank):
+    """The hashes of the rarest windows of eight bytes, sorted by rank of entropy, then hash."""
+    found = set()
+    for i in range(len(raw) - 7):
+        h = sum(int(D._COUNT_LOG[c]) for c in Counter(raw[i : i + 8]).values())
+        level = (int(D._COUNT_LOG[8]) - h) * D.LEVELS // int(D._COUNT_LOG[8])
+        if rank[1][level] < D.NO_RANK:
+            found.add((int(rank[1][level]), int(D._mixed(np.frombuffer(raw[i : i + 8], np.uint64)[None])[0])))
+    return [h for _, h in sorted(found)[: D.SHORT_FEATURES]]
+
+
 def signed(text):
     h = xxhash.xxh64_intdigest((text or "").encode(), 42)
     return h - (1 << 64) if h >> 63 else h
@@ -84,19 +95,18 @@ def test_features_follow_the_definition(real_docs):
     digester = D.Digester(rank)
     texts = [r.text.encode() for r in real_docs.limit(12).collect()]
     offsets = np.cumsum([0, *map(len, texts)])
+    texts += [t[:n] for t in texts for n in (9, 60, 100, 250, 256, 260)] + [b"ab" * 500, b"abcdefgh" * 40 + b"x"]
+    offsets = np.cumsum([0, *map(len, texts)])
     for raw, got in zip(texts, digester.features(b"".join(texts), offsets), strict=True):
-        places = [(p, 64) for p in brute_features(raw, rank)]
-        if 8 <= len(raw) < 256:
-            places += [(p, 8) for p in range(len(raw) - 7)]
-        if places:
-            hashes = [D._mixed(np.frombuffer(raw[p : p + n], np.uint64)[None])[0] for p, n in places]
-            assert got.tolist() == list(dict.fromkeys(map(int, hashes)))
+        hashes = [int(D._mixed(np.frombuffer(raw[p : p + 64], np.uint64)[None])[0]) for p in brute_features(raw, rank)] + brute_short(raw, rank)
+        assert len(hashes) and got.tolist() == list(dict.fromkeys(hashes))
 
 
 def test_histogram_counts_all_windows(real_docs):
-    want = np.zeros(D.LEVELS + 1, np.int64)
+    want = np.zeros((2, D.LEVELS + 1), np.int64)
     for r in real_docs.collect():
-        want += np.bincount(D.entropy_levels(np.frombuffer(r.text.encode(), np.uint8)), minlength=D.LEVELS + 1)
+        for i, n in enumerate((64, 8)):
+            want[i] += np.bincount(D.entropy_levels(np.frombuffer(r.text.encode(), np.uint8), n), minlength=D.LEVELS + 1)
     assert (D.histogram(real_docs) == want).all()
 
 
@@ -114,6 +124,21 @@ def test_short_texts_are_like_their_edits(spark):
     assert all(r.near_edited > 0.3 for r in got if r.n_chars >= 24)
 
 
+def test_likeness_does_not_break_off_at_any_length(real_docs):
+    """Texts of nearly one length, and their edits, are about equally alike, whatever the length."""
+    digester = D.Digester(D.ranks(D.histogram(real_docs)))
+    texts = [r.text for r in real_docs.filter("length(text) > 1200").limit(60).collect()]
+    mean = {}
+    for n in (60, 90, 128, 200, 250, 256, 262, 320, 600, 1100):
+        pairs = [(t[:n], t[: n - n // 4] + u[: n // 4]) for t, u in zip(texts, texts[1:] + texts[:1], strict=True)]
+        one = lambda t: digester.digests(t.encode(), np.array([0, len(t.encode())]))[0]
+        mean[n] = np.mean([D.likeness(one(a), one(b)) for a, b in pairs])
+    assert min(mean.values()) > 0.55, mean
+    steps = [abs(mean[a] - mean[b]) for a, b in ((250, 256), (256, 262), (128, 200), (60, 90))]
+    assert max(steps) < 0.1, mean
+    print(mean)
+
+
 def test_many_rows_of_one_id_and_copies(spark, monkeypatch):
     monkeypatch.setattr(D, "HOT_ROWS", 3)
     monkeypatch.setattr(D, "OUT_ROWS", 4)

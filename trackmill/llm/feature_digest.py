@@ -2,14 +2,16 @@
 
 Every 64-byte window of a text is ranked by how rare its entropy is in the whole corpus (the rarer, the
 better; windows of almost no entropy never count). A window is a feature if it is the best of many of
-the 64 windows-wide neighbourhoods it stands in. Features are hashed into a chain of Bloom filters, a
+the 64 windows-wide neighbourhoods it stands in; besides, the same number of eight-byte windows of every
+text are, those of the rarest entropies, and of one entropy those with the smallest hashes. Of a long text
+they are few among many, of a short one, which holds few long windows, they are most. Features are hashed into a chain of Bloom filters, a
 new one each time one is full. The likeness of two chains is the mean over the filters of the shorter
 one of the best normalised overlap of set bits with a filter of the other: 0 for what chance explains,
 1 for equal sets.
 
-Defined results: null text counts as empty; of a text under ``SHORT_BYTES`` all windows of eight bytes are
-features too, and one shorter than that is one feature as a whole; the empty text has no feature and is
-like itself only; texts are read whole, in pieces; equal texts have equal fingerprints; of rows with
+Defined results: null text counts as empty; a text without a window that counts (of less than eight bytes,
+or of one byte over and over) is one feature as a whole; the empty text has no feature and is like itself
+only; texts are read whole, in pieces; equal texts have equal fingerprints; of rows with
 equal ids the one whose text has the smaller hash comes first; a null id comes before all others; ids that
 are not whole numbers are ordered as text, and all keep their type; a single row is its own next document;
 an empty table gives an empty result; other columns, whatever their names, are not read.
@@ -34,8 +36,8 @@ WINDOW = 64
 LEVELS = 1000
 #: Windows below this level are never features.
 LEAST_LEVEL = 100
-#: Texts under so many bytes hold few windows; their shorter windows are features too.
-SHORT_BYTES, SHORT_WINDOW = 256, 8
+#: Of its shorter windows so many are features of every text, if it has as many that differ.
+SHORT_WINDOW, SHORT_FEATURES = 8, 32
 #: Neighbourhoods in which a window must be the best.
 POPULAR = 16
 FILTER_BITS = 2048
@@ -50,62 +52,69 @@ _COUNT_LOG = np.zeros(WINDOW + 1, np.int64)
 _COUNT_LOG[1:] = np.round(np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1)) * (1 << 16))
 
 
-def entropy_levels(data: np.ndarray) -> np.ndarray:
+def entropy_levels(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """The entropy level of the window that starts at each byte, as far as windows fit.
 
     The sum of c log c over a window's byte counts changes only by the byte that leaves and the one that
     enters, so all windows follow from counts of equal bytes within reach, without a loop over them.
     """
     n = len(data)
-    if n < WINDOW:
+    if n < window:
         return np.zeros(0, np.int16)
     ahead, behind = np.ones(n, np.uint8), np.ones(n, np.uint8)
-    for k in range(1, WINDOW):
+    for k in range(1, window):
         same = (data[k:] == data[:-k]).view(np.uint8)
         ahead[:-k] += same
         behind[k:] += same
-    first = _COUNT_LOG[np.bincount(data[:WINDOW], minlength=256)].sum()
-    leave = (_COUNT_LOG - np.r_[0, _COUNT_LOG[:-1]])[ahead[: n - WINDOW]]
-    enter = (_COUNT_LOG - np.r_[0, _COUNT_LOG[:-1]])[behind[WINDOW:]]
-    # the entering byte's count is taken with the leaving byte gone: behind reaches WINDOW - 1 back
-    total = np.empty(n - WINDOW + 1, np.int64)
+    first = _COUNT_LOG[np.bincount(data[:window], minlength=256)].sum()
+    leave = (_COUNT_LOG - np.r_[0, _COUNT_LOG[:-1]])[ahead[: n - window]]
+    enter = (_COUNT_LOG - np.r_[0, _COUNT_LOG[:-1]])[behind[window:]]
+    # the entering byte's count is taken with the leaving byte gone: behind reaches window - 1 back
+    total = np.empty(n - window + 1, np.int64)
     total[0] = first
     np.cumsum(enter - leave, out=total[1:])
     total[1:] += first
-    full = int(_COUNT_LOG[WINDOW])
+    full = int(_COUNT_LOG[window])
     return ((full - total) * LEVELS // full).astype(np.int16)
 
 
 def survey(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int, int]:
-    """How often each entropy level occurs among all windows of all texts, and the texts' number and bytes."""
+    """How often each entropy level occurs among all long and all short windows of all texts, as two rows,
+    and the texts' number and bytes."""
+    size = 2 * (LEVELS + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(LEVELS + 3, np.int64)
+        total = np.zeros(size + 2, np.int64)
         for batch in batches:
             raw, offsets = text_buffer(batch.column(0))
-            total[LEVELS + 1 :] += batch.num_rows, offsets[-1] - offsets[0]
-            for level, own in _groups(raw, offsets):
-                total[: LEVELS + 1] += np.bincount(level[own], minlength=LEVELS + 1)
+            total[size:] += batch.num_rows, offsets[-1] - offsets[0]
+            for a, b in _pieces(offsets):
+                data = np.frombuffer(raw, np.uint8)[offsets[a] : offsets[b]]
+                for i, window in enumerate((WINDOW, SHORT_WINDOW)):
+                    level = entropy_levels(data, window)
+                    own = level[_inside(offsets[a : b + 1] - offsets[a], window)[: len(level)]]
+                    total[i * (LEVELS + 1) : (i + 1) * (LEVELS + 1)] += np.bincount(own, minlength=LEVELS + 1)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["level", "n"])
 
     counts = docs.select(column(text).alias("text")).mapInArrow(run, "level int, n long").groupBy("level").agg(F.sum("n").alias("n"))
-    out = np.zeros(LEVELS + 3, np.int64)
-    for level, n in counts.collect():  # at most LEVELS + 3 rows
+    out = np.zeros(size + 2, np.int64)
+    for level, n in counts.collect():  # at most size + 2 rows
         out[level] = n
-    return out[: LEVELS + 1], int(out[LEVELS + 1]), int(out[LEVELS + 2])
+    return out[:size].reshape(2, -1), int(out[size]), int(out[size + 1])
 
 
 def histogram(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """How often each entropy level occurs among all windows of all texts."""
+    """How often each entropy level occurs among all long and all short windows of all texts, as two rows."""
     return survey(docs, text)[0]
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
-    """The place of each level among the levels from rare to common."""
-    out = np.empty(LEVELS + 1, np.int64)
-    out[np.lexsort((np.arange(LEVELS + 1), counts))] = np.arange(LEVELS + 1)
-    out[:LEAST_LEVEL] = NO_RANK
+    """The place of each level among the levels from rare to common, for long and for short windows."""
+    out = np.empty((2, LEVELS + 1), np.int64)
+    for row, n in zip(out, counts, strict=True):
+        row[np.lexsort((np.arange(LEVELS + 1), n))] = np.arange(LEVELS + 1)
+    out[:, :LEAST_LEVEL] = NO_RANK
     return out
 
 
@@ -118,33 +127,32 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _groups(raw: bytes, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For pieces of a batch: the level at each byte, and whether a window of one text starts there."""
-    for a, b in _pieces(offsets):
-        data = np.frombuffer(raw, np.uint8)[offsets[a] : offsets[b]]
-        level = entropy_levels(data)
-        yield level, _inside(offsets[a : b + 1] - offsets[a])[: len(level)]
-
-
-def _inside(bounds: np.ndarray) -> np.ndarray:
+def _inside(bounds: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Whether a whole window of one text starts at each byte; bounds: the texts' n + 1 offsets."""
     size = np.diff(bounds)
     edge = np.zeros(int(bounds[-1]) + 1, np.int32)
-    np.add.at(edge, bounds[:-1][size >= WINDOW], 1)
-    np.add.at(edge, bounds[1:][size >= WINDOW] - WINDOW + 1, -1)
+    np.add.at(edge, bounds[:-1][size >= window], 1)
+    np.add.at(edge, bounds[1:][size >= window] - window + 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def _short_windows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of every window of SHORT_WINDOW bytes in the texts under SHORT_BYTES."""
-    size = np.diff(bounds)
-    own = np.flatnonzero((size >= SHORT_WINDOW) & (size < SHORT_BYTES))
-    count = size[own] - SHORT_WINDOW + 1
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[:-1][own], count)
-    if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, SHORT_WINDOW)[at])
-    return np.repeat(own, count), _mixed(windows.view(np.uint64))
+def _short_features(data: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The hashes of one text's rarest short windows, of SHORT_FEATURES that differ if it has as many."""
+    rank = rank[entropy_levels(data, SHORT_WINDOW)].astype(np.int32)
+    places = np.flatnonzero(rank < NO_RANK)
+    rank = rank[places]
+    views = np.lib.stride_tricks.sliding_window_view(data, SHORT_WINDOW) if len(places) else None
+    wanted = 4 * SHORT_FEATURES
+    while len(places):
+        # windows up to the rank that so many have; only they are hashed
+        most = np.partition(rank, wanted - 1)[wanted - 1] if wanted < len(rank) else NO_RANK
+        near = rank <= most
+        hashes = _mixed(np.ascontiguousarray(views[places[near]]).view(np.uint64))
+        hashes, first = np.unique(hashes, return_index=True)
+        if len(hashes) >= SHORT_FEATURES or near.all():
+            return hashes[np.lexsort((hashes, rank[near][first]))[:SHORT_FEATURES]]
+        wanted *= 4
+    return np.zeros(0, np.uint64)
 
 
 def _mixed(rows: np.ndarray) -> np.ndarray:
@@ -158,13 +166,14 @@ def _mixed(rows: np.ndarray) -> np.ndarray:
 
 
 class Digester:
-    """Fingerprints of texts for one table of level ranks."""
+    """Fingerprints of texts for the level ranks of long and short windows."""
 
     def __init__(self, rank: np.ndarray):
         self.rank = rank
 
     def features(self, raw: bytes, offsets: np.ndarray) -> list[np.ndarray]:
-        """The hashes of each text's features, in the order in which they first stand there."""
+        """The hashes of each text's features: long windows in the order in which they first stand there, then
+        short ones from rare to common."""
         out: list[np.ndarray] = []
         for a, b in _pieces(offsets):
             out += self._piece(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -178,7 +187,7 @@ class Digester:
         n = len(level)
         inside = _inside(bounds)[:n]
         if inside.any():
-            best = np.where(inside, self.rank[level], NO_RANK) << 32 | np.arange(n)
+            best = np.where(inside, self.rank[0][level], NO_RANK) << 32 | np.arange(n)
             # the leftmost best of the next WINDOW windows; other texts' windows lie WINDOW - 1 bytes off
             best = np.r_[best, np.full(WINDOW - 1, NO_RANK << 32)]
             for k in (1, 2, 4, 8, 16, 32):
@@ -193,8 +202,9 @@ class Digester:
             text = np.searchsorted(bounds, place, "right") - 1
             windows = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[place]
             hashes = _mixed(np.ascontiguousarray(windows).view(np.uint64))
-        more, hashes_more = _short_windows(data, bounds)
-        text, hashes = np.r_[text, more], np.r_[hashes, hashes_more]
+        rare = [_short_features(data[a:b], self.rank[1]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        text = np.r_[text, np.repeat(np.arange(n_texts), [len(h) for h in rare])]
+        hashes = np.concatenate([hashes, *rare])
         short = np.flatnonzero((size > 0) & (np.bincount(text, minlength=n_texts) == 0))
         whole = [int.from_bytes(hashlib.sha1(raw[bounds[i] : bounds[i + 1]]).digest()[:8], "little") for i in short.tolist()]
         text, hashes = np.r_[text, short], np.r_[hashes, np.array(whole, np.uint64)]
