@@ -96,3 +96,15 @@ def test_features_follow_the_definition(tables):
         own = f.row == i
         got = dict(zip(f.column[own].tolist(), f.weight[own].tolist(), strict=True))
         assert got.keys() == words.keys() and all(np.isclose(got[c], words[c]) for c in got)
+
+
+@pytest.mark.parametrize("n, good", [(2, 1), (5, 4), (29, 14), (30, 15), (29, 1)])
+def test_few_labels_still_make_a_model(n, good):
+    """Nothing but a missing class gives a constant."""
+    texts = [(f"The harbour opened its gates at dawn, and boats came in on day {i}." if i < good else f"$$$ ### {i} &&& *** %%% $$$ ###").encode() for i in range(n)]
+    label = np.array([i < good for i in range(n)], float)
+    declared = np.array([float(len(t)) for t in texts])
+    m = Q.FactorisationMachine(Q.Features.gathered(texts, declared), label)
+    a, b = m.score([b"The boats left the harbour at noon, and its gates closed.", b"### $$$ &&& 7 %%% ***"], np.array([56.0, 21.0]))
+    assert m.w is not None and a > b
+    assert Q.FactorisationMachine(Q.Features.gathered(texts, declared), np.ones(n)).w is None

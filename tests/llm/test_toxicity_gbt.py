@@ -157,3 +157,15 @@ def test_held_out_recall_with_few_labels(spark, sf):
         y = np.array([r.toxic for r in held]) > 0
         caught, toxic, wrong = caught + int((p & y).sum()), toxic + int(y.sum()), wrong + int((p & ~y).sum())
     assert caught >= 0.9 * toxic and wrong <= 0.01 * len(rows)
+
+
+@pytest.mark.parametrize("n, toxic", [(2, 1), (3, 2), (8, 1), (16, 4), (29, 15), (29, 2), (30, 3), (400, 2), (400, 1)])
+def test_few_labels_still_make_a_model(n, toxic):
+    """Nothing but a missing class gives a constant, and clean texts stay clean."""
+    texts = [(f"you are a stupid idiot and worthless scum number {i}" if i < toxic else f"the harbour opened its gates at dawn on day {i}").encode() for i in range(n)]
+    label = np.array([i < toxic for i in range(n)], float)
+    m = T.ToxicityModel(texts, label)
+    bad, good = m.score(m.featurizer(), [b"you stupid idiot, worthless scum", b"the ferry left the harbour at noon"])
+    assert m.trees is not None and bad > good and good < 0.5
+    none = T.ToxicityModel(texts, np.zeros(n))
+    assert none.trees is None and none.constant == 0

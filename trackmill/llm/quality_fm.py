@@ -121,7 +121,7 @@ class FactorisationMachine:
     def __init__(self, features: Features, label: np.ndarray, seed: int = 1):
         self.constant = float(label.mean()) if len(label) else 0.5
         self.w = None
-        if len(label) < 30 or not 0 < label.sum() < len(label):
+        if not 0 < label.sum() < len(label):
             return
         values = features.statistics
         inside = [values[~np.isnan(values[:, j]), j] for j in range(values.shape[1])]

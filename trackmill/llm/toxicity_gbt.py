@@ -4,7 +4,8 @@ Features of a text: density of lexicon words, their nearness to the second perso
 punctuation and obfuscation rates. The lexicon is learned from a bounded sample of labelled rows: words,
 and beginnings of words, that toxic texts hold far more often than others, besides a short fixed list.
 Features for training come from lexicons that have not seen their rows, and so do the predictions that
-the calibration is fitted on.
+the calibration is fitted on; of a class with two rows there are two such folds, of one with a single row
+none, and the model is fitted and calibrated on rows that it has seen.
 
 Defined results: null text counts as empty and is scored like any other; texts are read whole; repeated
 rows give repeated scores; without usable labels of both classes every score is the share of label 1
@@ -34,7 +35,9 @@ SAMPLE_CHARS = 50_000
 #: Rows with this remainder of crc32(doc_id) are held out from all fitting.
 FOLDS, HELD_OUT = 5, 0
 
-TREES, DEPTH, RATE, BINS, LEAST_LEAF = 60, 2, 0.2, 32, 8
+TREES, DEPTH, RATE, BINS = 60, 2, 0.2, 32
+#: Rows of a leaf: as many, or as the rarer class has.
+LEAF = 8
 TERMS = 500
 #: A lexicon term is in at least so many toxic texts, with at least this log-odds ratio.
 TERM_TEXTS, TERM_ODDS = 4, 2.5
@@ -218,6 +221,7 @@ class Trees:
         n, d = x.shape
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(d)]
         b = np.stack([np.searchsorted(self.edges[j], x[:, j], "left") for j in range(d)], axis=1)
+        self.leaf = max(1, min(LEAF, int(y.sum()), int(n - y.sum())))
         rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
         self.base = math.log(rate / (1 - rate))
         f = np.full(n, self.base)
@@ -237,7 +241,7 @@ class Trees:
         node = np.zeros(n, int)
         for parent in range(2**DEPTH - 1):
             rows = np.flatnonzero(node == parent)
-            if len(rows) < 2 * LEAST_LEAF:
+            if len(rows) < 2 * self.leaf:
                 continue
             gs, hs = g[rows].sum(), h[rows].sum()
             best, where = 1e-6, None
@@ -245,7 +249,7 @@ class Trees:
                 count = np.cumsum(np.bincount(b[rows, j], minlength=BINS))
                 gl, hl = np.cumsum(np.bincount(b[rows, j], g[rows], BINS)), np.cumsum(np.bincount(b[rows, j], h[rows], BINS))
                 gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-                gain[(count < LEAST_LEAF) | (len(rows) - count < LEAST_LEAF)] = 0
+                gain[(count < self.leaf) | (len(rows) - count < self.leaf)] = 0
                 if j in RISING:
                     gain[gl / (hl + 1) > (gs - gl) / (hs - hl + 1)] = 0
                 k = int(gain.argmax())
@@ -287,8 +291,10 @@ class ToxicityModel:
     def __init__(self, texts: list[bytes], label: np.ndarray, parts: int = 3):
         self.constant = float(label.mean()) if len(label) else 0.0
         self.trees = None
-        if len(label) < 30 or not parts <= label.sum() < len(label):
+        rarer = int(min(label.sum(), len(label) - label.sum()))
+        if not rarer:
             return
+        parts = min(parts, rarer)
         terms = Terms(texts, label)
         part = np.empty(len(texts), int)
         for y in (0, 1):  # each fold has its share of either class
@@ -296,13 +302,15 @@ class ToxicityModel:
             part[own] = np.arange(len(own)) % parts
         x = np.zeros((len(texts), len(FEATURES)))
         for k in range(parts):
-            rest, own = np.flatnonzero(part != k), np.flatnonzero(part == k)
+            own = np.flatnonzero(part == k)
+            rest = np.flatnonzero(part != k) if parts > 1 else own
             seen = Featurizer(learn_lexicon(terms, label, rest))
             for at in range(0, len(own), 200):
                 x[own[at : at + 200]] = seen.batch([texts[i] for i in own[at : at + 200]])
         unseen = np.zeros(len(texts))
         for k in range(parts):
-            unseen[part == k] = Trees().fit(x[part != k], label[part != k]).raw(x[part == k])
+            rest = part != k if parts > 1 else part == k
+            unseen[part == k] = Trees().fit(x[rest], label[rest]).raw(x[part == k])
         self.knots = isotonic(unseen, label)
         self.trees = Trees().fit(x, label)
         self.lexicon = learn_lexicon(terms, label, np.arange(len(texts)))
