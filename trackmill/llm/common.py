@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PySparkAttributeError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -112,6 +113,60 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a file whose results are sent back in one small file.
+BLOCK_ROWS = 20_000
+
+
+def parquet_table(docs: DataFrame) -> bool:
+    """Whether the rows are those of a Parquet table as it lies, so that file and row number name them."""
+    try:
+        plan = docs._jdf.queryExecution().analyzed()
+        return plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.relation().toString().lower() and "_metadata" not in docs.columns
+    except (AttributeError, PySparkAttributeError):  # a session that does not show its plans
+        return False
+
+
+def with_places(docs: DataFrame) -> DataFrame:
+    """(file, row, data): each row as one struct, and its place in a Parquet table; what is none is written."""
+    if not parquet_table(docs):
+        docs = materialize(docs, "rows")
+    file = F.sha1(F.col("_metadata.file_path").cast("binary"))
+    return docs.select(file.alias("file"), F.col("_metadata.row_index").alias("row"), F.struct(*columns(docs)).alias("data"))
+
+
+def write_places(rows: DataFrame, path: str) -> None:
+    """Write (file, row, ...) in small files by file and block of rows, for ``place_rows``."""
+    block = F.floor(F.col("row") / BLOCK_ROWS).alias("block")
+    rows.select("*", block).repartition("file", "block").write.partitionBy("file", "block").parquet(path)
+
+
+def place_rows(folder: str, name: str) -> Callable[[pa.Array, pa.Array], list]:
+    """A look-up for tasks: the values of a column that ``write_places`` has for the rows given by file and
+    row number, None for others. One block is held at a time."""
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSelector
+
+    store, path = opened(folder)
+    here: tuple[str, int] | None = None
+    held: dict[int, object] = {}
+
+    def look(files: pa.Array, rows: pa.Array) -> list:
+        nonlocal here, held
+        out = []
+        for file, row in zip(files.to_pylist(), rows.to_pylist(), strict=True):
+            if (file, row // BLOCK_ROWS) != here:
+                here, held = (file, row // BLOCK_ROWS), {}
+                for info in store.get_file_info(FileSelector(f"{path}/file={file}/block={here[1]}", allow_not_found=True)):
+                    if info.path.endswith(".parquet"):
+                        with store.open_input_file(info.path) as source:
+                            found = pq.ParquetFile(source).read()
+                        held.update(zip(found["row"].to_pylist(), found[name].to_pylist(), strict=True))
+            out.append(held.get(row))
+        return out
+
+    return look
+
+
 def text_slices(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of each text of an Arrow string column; null counts as empty."""
     raw, offsets = text_buffer(column)
