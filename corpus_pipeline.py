@@ -1,12 +1,13 @@
 """A training-data pipeline over documents: filter, deduplicate, decontaminate, redact, encode.
 
 Every stage takes (spark, docs, sf_dir) and all that its predecessor kept; all but the last return the
-columns of documents. Toxic documents go, one document of each near-duplicate group stays, contaminated
-documents go, secrets in what is left are replaced, and the texts are encoded.
+columns of documents. Toxic documents go, one document of each near-duplicate group stays (SimHash and its
+BK-trees beside MinHash buckets find candidates; four fifths of five-word shingles in common make a link),
+contaminated documents go, secrets in what is left are replaced, and the texts are encoded.
 
-Defined results: null texts count as empty and are kept by every filter, except that equal texts, case
-aside, form a group, empty ones too; rows without an id are never dropped as near-duplicates; texts of any
-length are read whole; repeated rows are judged alike; without usable labels no document is toxic, and an
+Defined results: null texts count as empty and are kept by every filter, except that texts of equal
+shingles, case aside, form a group, empty ones too; of a group the row with the smallest id stays, one
+without an id only where no other has one; texts of any length are read whole; repeated rows are judged alike; without usable labels no document is toxic, and an
 empty benchmark contaminates none; empty tables give an empty result; ids keep their type, and other
 columns, whatever their names, are handed on unchanged up to the last stage, which does not read them.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackmill.llm import bpe_codec, decontam, secret_scan, simhash_dedup, toxicity_gbt
+from trackmill.llm import bpe_codec, decontam, near_texts, secret_scan, toxicity_gbt
 from trackmill.llm.common import bound_batches, materialize, table
 from trackmill.llm.queries import tokenizer_path
 
@@ -26,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_batches(spark)
-    return simhash_dedup.keep_one(docs)
+    return near_texts.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
