@@ -4,8 +4,8 @@ import struct
 import public_tokenizers
 import pytest
 from test_decontam import brute as contamination
+from test_near_texts import plain_groups
 from test_secret_scan import base as secret_spans
-from test_simhash_dedup import plain_components, plain_fingerprint
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
@@ -43,9 +43,10 @@ def test_toxicity(spark, stages):
 
 
 def test_near_duplicates(stages):
+    """One document of each group of all pairs that share four fifths of their five-word shingles."""
     given, out = stages[1]["near_duplicates"]
-    prints = [(i, plain_fingerprint(r.text)) for i, r in rows(given).items()]
-    assert sorted(rows(out)) == sorted({c for _, _, c in plain_components(prints)})
+    groups = plain_groups([(i, r.text) for i, r in rows(given).items()])
+    assert sorted(rows(out)) == sorted({c for _, c in groups}) and len(rows(out)) < len(rows(given))
 
 
 def test_decontamination(spark, stages):

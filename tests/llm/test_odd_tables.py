@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from trackmill.llm import bpe_codec, common, decontam, feature_digest, pii_crf, quality_fm, secret_scan, simhash_dedup, token_counts, toxicity_gbt, warc
+from trackmill.llm import bpe_codec, common, decontam, feature_digest, near_texts, pii_crf, quality_fm, secret_scan, simhash_dedup, token_counts, toxicity_gbt, warc
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 EXTRA = "`my col` string, `a-b` int, `a.b` int, `key` string, `row` string, `score` string, `spans` array<int>, `label` string, `we``ird` int"
@@ -50,7 +50,7 @@ def test_empty_tables(tables):
 
 def test_stages_hand_rows_on_whole(tables):
     docs, labels, benchmark = tables
-    kept = [toxicity_gbt.drop_toxic(docs, labels), decontam.drop_contaminated(docs, benchmark), secret_scan.redact_secrets(docs), simhash_dedup.keep_one(docs)]
+    kept = [toxicity_gbt.drop_toxic(docs, labels), decontam.drop_contaminated(docs, benchmark), secret_scan.redact_secrets(docs), near_texts.keep_one(docs)]
     for out in kept:
         assert out.schema.simpleString() == docs.schema.simpleString()
         rest = [c for c in docs.columns if c not in ("text", "n_chars")]  # a secret in a text is replaced

@@ -91,29 +91,3 @@ def test_forest_matches_all_pairs():
     gap = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3
     a, b = np.nonzero(gap & (shard[:, None] == shard[None, :]))
     assert (lab == S.components(len(prints), a, b)).all()
-
-
-def test_one_of_each_group_stays(spark):
-    rows = [(5, "one two three four"), (2, "One two three four"), (9, "something else here now"), (None, "one two three four")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(str(r.doc_id) for r in S.keep_one(df).collect()) == ["2", "9", "None"]
-
-
-def test_a_repeated_id_goes_only_with_its_own_group(spark):
-    first, other = "one two three four five", "something else stands here instead of it"
-    df = spark.createDataFrame([(3, first), (5, first), (5, other)], "doc_id long, text string")
-    assert sorted(map(tuple, S.keep_one(df).collect())) == [(3, first), (5, other)]
-
-
-def test_exactly_one_row_of_a_group_stays(spark):
-    first, same, near = "one two three four five", "One Two three four five", "something else stands here instead of it"
-    rows = [(3, first), (3, first), (3, same), (3, near), (3, near), (8, first), (8, near), (None, first), (None, first), (9, "a third text of its own")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = S.keep_one(df).collect()
-    assert sorted(str(r.doc_id) for r in got) == ["3", "3", "9", "None", "None"]
-    assert sorted(S.simhash(r.text.encode()) for r in got if r.doc_id == 3) == sorted({S.simhash(first.encode()), S.simhash(near.encode())})
-    base = " ".join(f"word{i}" for i in range(300))
-    far = lambda t: (S.simhash(base.encode()) ^ S.simhash(t.encode())).bit_count()
-    edits = [base, next(t for i in range(300) if 0 < far(t := base.replace(f"word{i} ", f"other{i} ")) <= 3)]
-    df = spark.createDataFrame([(4, t) for t in edits], "doc_id long, text string")
-    assert S.keep_one(df).count() == 1

@@ -169,3 +169,9 @@ def test_few_labels_still_make_a_model(n, toxic):
     assert m.trees is not None and bad > good and good < 0.5
     none = T.ToxicityModel(texts, np.zeros(n))
     assert none.trees is None and none.constant == 0
+
+
+def test_labels_that_texts_do_not_explain_reject_nothing():
+    texts = [b"the harbour", b"gates at dawn"] * 20
+    m = T.ToxicityModel(texts, np.arange(40) // 2 % 2.0)
+    assert (m.score(m.featurizer(), [*texts[:2], b""]) < 0.5).all()

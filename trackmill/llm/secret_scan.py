@@ -47,6 +47,8 @@ SENSITIVE = re.compile(
     rb"|(?i:credential|passphrase|private.?key|session.?id|signature|passw|api.?key|access.?key|encryption.?key)"
     rb"|://[^\s/:@]*:(?=[^\s/@]+@)"
 )
+#: One of these is in every match, in lower case.
+HINTS = (b"auth", b"pwd", b"bearer", b"secret", b"token", b"credential", b"passphrase", b"private", b"session", b"signature", b"passw", b"key", b"://")
 VALUE = re.compile(rb"[A-Za-z0-9+/_=!@#$%^&*~?-]{12,}")
 LETTERS = re.compile(rb"[A-Za-z]")
 #: One side of an equals sign in a run; signs at the end are padding.
@@ -187,13 +189,15 @@ class Scanner:
         out += [(m.start(), 1, m.end(), m.start(), m.end()) for m in ACCESS.finditer(raw) if m.end() - m.start() >= LEAST["access"]]
         out += [(m.start(), 2, m.end(), m.start(), m.end()) for m in HEX.finditer(raw)]
         out.sort()
-        return sorted(out + self._novel(raw, out)) if SENSITIVE.search(raw) else out
+        return sorted(out + self._novel(raw, out)) if any(h in lowered for h in HINTS) else out
 
     def _novel(self, raw: bytes, base: list) -> list[tuple[int, int, int, int, int]]:
         masked = bytearray(raw)
         for s, _, e, *_ in base:
             masked[s:e] = b"\0" * (e - s)
         words = [m.span() for m in SENSITIVE.finditer(raw)]
+        if not words:
+            return []
         ends = [e for _, e in words]
         blocks: list[list[tuple[int, int]]] = []
         for run in VALUE.finditer(masked):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.llm.common import keyed_schema, materialize, text_input, text_slices, unpacked, whole_rows
+from trackmill.llm.common import keyed_schema, materialize, text_input, text_slices
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -304,26 +304,3 @@ def dedup_table(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.select(F.col("key").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, that with the smallest doc_id.
-
-    A row goes by its doc_id and fingerprint together: other rows with its doc_id are judged by their own
-    groups. Of several rows with the smallest doc_id that with the smallest fingerprint stays, then that
-    whose text has the smallest hash. Rows without a doc_id all stay.
-    """
-    found = materialize(near_duplicates(docs), "found")
-    first = found.filter("key = component")
-    several = first.groupBy("root").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
-    later = first.join(several, "root").filter("fp <> low").select("key", "fp")
-    gone = found.filter("key <> component").select("key", "fp").unionByName(later).distinct()
-    rows = fingerprints(whole_rows(docs), key="row", text=None)
-    keyed = rows.select(F.col("key").alias("row"), F.col("key.doc_id").alias("key"), "fp")
-    kept = keyed.join(gone, ["key", "fp"], "left_anti")
-    again = first.groupBy("key", "fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "fp")
-    again = materialize(again, "again")
-    if not again.isEmpty():
-        one = kept.join(again, ["key", "fp"], "left_semi").groupBy("key", "fp").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), "row.text")).alias("row"))
-        kept = kept.join(again, ["key", "fp"], "left_anti").select("row").unionByName(one.select("row"))
-    return kept.select(*unpacked(kept, docs))

@@ -38,6 +38,9 @@ FOLDS, HELD_OUT = 5, 0
 TREES, DEPTH, RATE, BINS = 60, 2, 0.2, 32
 #: Rows of a leaf: as many, or as the rarer class has.
 LEAF = 8
+#: Rows that each step of the calibration counts besides its own, and the toxic share of them: without
+#: evidence a text is clean, whatever the share of toxic ones among a few labels.
+PRIOR_ROWS, PRIOR_SHARE = 1.0, 0.05
 TERMS = 500
 #: A lexicon term is in at least so many toxic texts, with at least this log-odds ratio.
 TERM_TEXTS, TERM_ODDS = 4, 2.5
@@ -275,8 +278,9 @@ class Trees:
         return f
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots (score, probability) of the rising step fit, by pooling adjacent violators."""
+def isotonic(score: np.ndarray, y: np.ndarray, prior: float = 0.0, share: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (score, probability) of the rising step fit, by pooling adjacent violators; each step counts
+    ``prior`` further rows, of which ``share`` are toxic."""
     order = np.argsort(score, kind="stable")
     blocks: list[list[float]] = []  # sum of y, count, sum of scores
     for s, t in zip(score[order].tolist(), y[order].tolist(), strict=True):
@@ -284,7 +288,8 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
-    return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
+    likely = [(b[0] + prior * share) / (b[1] + prior) for b in blocks]
+    return np.array([b[2] / b[1] for b in blocks]), np.maximum.accumulate(likely)
 
 
 class ToxicityModel:
@@ -311,7 +316,7 @@ class ToxicityModel:
         for k in range(parts):
             rest = part != k if parts > 1 else part == k
             unseen[part == k] = Trees().fit(x[rest], label[rest]).raw(x[part == k])
-        self.knots = isotonic(unseen, label)
+        self.knots = isotonic(unseen, label, PRIOR_ROWS, PRIOR_SHARE)
         self.trees = Trees().fit(x, label)
         self.lexicon = learn_lexicon(terms, label, np.arange(len(texts)))
 
