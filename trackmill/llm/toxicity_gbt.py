@@ -38,9 +38,9 @@ FOLDS, HELD_OUT = 5, 0
 TREES, DEPTH, RATE, BINS = 60, 2, 0.2, 32
 #: Rows of a leaf: as many, or as the rarer class has.
 LEAF = 8
-#: Rows that each step of the calibration counts besides its own, and the toxic share of them: without
-#: evidence a text is clean, whatever the share of toxic ones among a few labels.
-PRIOR_ROWS, PRIOR_SHARE = 1.0, 0.05
+#: Rows that each step of the calibration counts besides its own, by the number n of labels, and the toxic
+#: share of them: without evidence a text is clean, whatever the share of toxic ones among a few labels.
+PRIOR_ROWS, PRIOR_SHARE = lambda n: 1 + 60 / n, 0.05
 TERMS = 500
 #: A lexicon term is in at least so many toxic texts, with at least this log-odds ratio.
 TERM_TEXTS, TERM_ODDS = 4, 2.5
@@ -316,7 +316,7 @@ class ToxicityModel:
         for k in range(parts):
             rest = part != k if parts > 1 else part == k
             unseen[part == k] = Trees().fit(x[rest], label[rest]).raw(x[part == k])
-        self.knots = isotonic(unseen, label, PRIOR_ROWS, PRIOR_SHARE)
+        self.knots = isotonic(unseen, label, PRIOR_ROWS(len(label)), PRIOR_SHARE)
         self.trees = Trees().fit(x, label)
         self.lexicon = learn_lexicon(terms, label, np.arange(len(texts)))
 
