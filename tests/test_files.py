@@ -1,5 +1,7 @@
+import hashlib
 import io
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,6 +160,35 @@ def test_command_line_reads_class_lists_from_a_configuration(cli, tmp_path):
     assert cli(data, *split)[0] == 1
 
 
+def test_command_line_tolerances_references_and_digests(cli, tmp_path):
+    off = survey()
+    for i, a in enumerate(off["annotations"]):
+        a["area"] = a["bbox"][2] * a["bbox"][3] * (1 + (2e-4 if i == 0 else 5e-5 if i == 1 else 0))
+    kinds = lambda *more: cli(off, *more)[1]["hard_errors"]["by_type"].get("area_mismatch", 0)
+    assert kinds() == 1 and kinds("--area-tolerance", "1e-3") == 0 and kinds("--area-tolerance", "1e-5") == 2
+    assert cli(off, "--area-tolerance", "-1")[0] == 2
+    moved = survey()
+    moved["annotations"][0]["bbox"][0] += 0.5
+    (tmp_path / "refs").mkdir()
+    (tmp_path / "refs" / "a_train_base.json").write_text(json.dumps(survey()))
+    (tmp_path / "refs" / "a_train.json").write_text(json.dumps(moved))
+    refs = ["--reference-dir", str(tmp_path / "refs"), "--split", "base-only"]
+    code, report = cli(moved, *refs)
+    assert report["anchors"]["modified"] == 1 and [os.path.basename(p) for p in report["reference_selection"]["candidates"]] == ["a_train_base.json", "a_train.json"]
+    code, report = cli(moved, *refs, "--bbox-tolerance", "1", "--sha256")
+    assert report["anchors"]["modified"] == 0 and report["parameters"]["bbox_tolerance"] == 1
+    want = hashlib.sha256((tmp_path / "current.json").read_bytes()).hexdigest()
+    assert report["inputs"]["current"] == {"path": os.path.realpath(tmp_path / "current.json"), "size_bytes": os.path.getsize(tmp_path / "current.json"), "sha256": want}
+    assert "sha256" not in cli(moved)[1]["inputs"]["current"]
+
+
+def test_loader_source_must_filter_by_class(tmp_path):
+    (tmp_path / "loader.py").write_text("ids = self.get_ann_ids(cat_ids=self.cat_ids)")
+    assert not S.filters_classes(str(tmp_path / "loader.py"))
+    (tmp_path / "other.py").write_text('if ann["category_id"] not in self.cat_ids: pass')
+    assert S.filters_classes(str(tmp_path / "loader.py")) and S.filters_classes(str(tmp_path))
+
+
 def test_logs_of_any_length(spark, tmp_path):
     """More lines and columns than any block of the published logs has."""
     names = [f"m{k}" for k in range(150)]

@@ -99,7 +99,7 @@ class Checks:
         training: dict | None = None,
         verbose: bool = False,
         tolerance: float = 1e-4,
-        area_tolerance: float = 1e-3,
+        area_tolerance: float = 1e-4,
     ):
         if profile not in PROFILES or split not in SPLITS:
             raise ValueError(f"profile must be one of {PROFILES} and split one of {SPLITS}")

@@ -7,6 +7,7 @@ Exit codes: 0 passed, 1 hard errors, 2 wrong arguments or unreadable input, 3 wa
 from __future__ import annotations
 
 import argparse
+import glob
 import json
 import os
 import sys
@@ -15,10 +16,14 @@ from pyspark.sql import SparkSession
 
 from trackmill.plans.quality import PROFILES, SPLITS, THRESHOLDS, Checks, temporal_screens, write_report
 from trackmill.sources.annotations import Dataset, category_split, known_filtered
-from trackmill.sources.files import dataset_options
+from trackmill.sources.files import dataset_options, file_digests, filters_classes
 from trackmill.sources.sinks import write_flags
 
 
+#: Options that name inputs.
+INPUTS = ("current", "original", "original_full", "validation", "category_split", "known_filtered_anchors", "training_config", "dataloader_source")
+
+
 def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quality")
     p.add_argument("current")
@@ -29,6 +34,11 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--category-split")
     p.add_argument("--known-filtered-anchors")
     p.add_argument("--training-config")
+    p.add_argument("--reference-dir", help="folder in which references are looked for by name")
+    p.add_argument("--dataloader-source", help="source that must filter by the class list")
+    p.add_argument("--bbox-tolerance", type=float, default=1e-4, help="pixels by which boxes may differ")
+    p.add_argument("--area-tolerance", type=float, default=1e-4, help="share by which areas may differ")
+    p.add_argument("--sha256", action="store_true", help="digests of all inputs in the report")
     p.add_argument("--temporal-flags")
     p.add_argument("--temporal-diagnostics", action="store_true")
     p.add_argument("--fail-on-warnings", action="store_true")
@@ -46,6 +56,21 @@ def _json(path: str):
         return json.load(f)
 
 
+def described(spark: SparkSession, inputs: dict[str, str], digests: bool) -> dict[str, dict]:
+    """Path and size of each input, and its digest where asked for."""
+    out = {n: {"path": os.path.realpath(p), "size_bytes": os.path.getsize(p)} for n, p in inputs.items() if os.path.isfile(p)}
+    if digests and out:
+        found = {r.path: r.sha256 for r in file_digests(spark, sorted({d["path"] for d in out.values()})).collect()}  # a row per input
+        out = {n: d | {"sha256": found[d["path"]]} for n, d in out.items()}
+    return out
+
+
+def found_references(folder: str | None) -> list[str]:
+    """Documents of a folder that may be references, by name: those of training, base ones first."""
+    listed = sorted(glob.glob(os.path.join(glob.escape(folder), "*train*.json"))) if folder else []
+    return sorted(listed, key=lambda p: "base" not in os.path.basename(p).split("train", 1)[1])
+
+
 def training_options(config: str, current: str, categories: list[tuple[str, str | None]]) -> dict:
     """What training reads, from a configuration and the class list it names; categories: (id, name) as
     the typed rows hold them."""
@@ -77,8 +102,14 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
     if (a.temporal_diagnostics or a.profile == "strict-raw") and not a.temporal_flags:
         print("--temporal-flags is needed for temporal screens", file=sys.stderr)
         return 2
-    inputs = {os.path.realpath(p) for p in (a.current, a.original, a.original_full, a.validation, a.category_split, a.known_filtered_anchors, a.training_config) if p}
-    if {os.path.realpath(p) for p in (a.report, a.temporal_flags) if p} & inputs:
+    if min(a.bbox_tolerance, a.area_tolerance) < 0:
+        print("tolerances must not be negative", file=sys.stderr)
+        return 2
+    references = found_references(a.reference_dir)
+    if a.split == "base-only" and not a.original:
+        a.original = next((p for p in references if "base" in os.path.basename(p)), a.original_full)
+    inputs = {n: getattr(a, n) for n in INPUTS if getattr(a, n)}
+    if {os.path.realpath(p) for p in (a.report, a.temporal_flags) if p} & {os.path.realpath(p) for p in inputs.values()}:
         print("an output would overwrite an input", file=sys.stderr)
         return 2
     spark = spark or SparkSession.builder.appName("quality").getOrCreate()
@@ -90,12 +121,15 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
             options["manifest"], options["manifest_issues"] = known_filtered(_json(a.known_filtered_anchors))
         read = lambda p: Dataset.read(spark, p) if p else None
         current = read(a.current)
-        if a.training_config:
+        if a.training_config and (not a.dataloader_source or filters_classes(a.dataloader_source)):
             listed = [tuple(c) for c in current.index("categories").select("id", "name").collect()] if a.split == "base-only" else []  # a row per class
             options["training"] = training_options(a.training_config, a.current, listed)
-        checks = Checks(current, read(a.original), read(a.original_full), a.profile, a.split, validation=read(a.validation), verbose=a.verbose, **options)
+        checks = Checks(current, read(a.original), read(a.original_full), a.profile, a.split, validation=read(a.validation), verbose=a.verbose, tolerance=a.bbox_tolerance, area_tolerance=a.area_tolerance, **options)
         thresholds = {n: getattr(a, f"t_{n}") for n in THRESHOLDS}
         report = checks.report(a.max_examples, a.temporal_diagnostics, thresholds)
+        report["inputs"] = described(spark, inputs, a.sha256)
+        report["reference_selection"] = {"selected": a.original, "full": a.original_full, "candidates": references}
+        report["parameters"] = {"split": a.split, "profile": a.profile, "bbox_tolerance": a.bbox_tolerance, "area_tolerance": a.area_tolerance, "sha256": a.sha256}
         os.makedirs(os.path.dirname(os.path.abspath(a.report)), exist_ok=True)
         write_report(report, a.report)
         if a.temporal_flags and (a.temporal_diagnostics or a.profile == "strict-raw"):

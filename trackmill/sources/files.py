@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import ast
+import hashlib
+import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackmill.operators.aggregates import chunked
+from trackmill.sources.scratch import opened
 
 
 def frame_files(spark: SparkSession, path: str, pattern: str = "*.jpg") -> DataFrame:
@@ -59,6 +64,41 @@ def dataset_options(source: str, annotation_file: str) -> dict | None:
     return found
 
 
+#: What a loader's source holds if it reads the annotations of the listed classes only: fixed values.
+FILTER_SIGNS = ("get_ann_ids", "cat_ids=self.cat_ids", 'ann["category_id"] not in self.cat_ids')
+
+
+def filters_classes(path: str) -> bool:
+    """Whether a loader's source, a file with its folder's other sources or a folder, filters by class."""
+    folder = path if os.path.isdir(path) else os.path.dirname(os.path.abspath(path))
+    text = ""
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".py"):
+            with open(os.path.join(folder, name), encoding="utf-8") as f:
+                text += f.read() + "\n"
+    return all(sign in text for sign in FILTER_SIGNS)
+
+
+def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, size_bytes, sha256) of files, each read by one task, a block at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                store, name = opened(path)
+                digest, size = hashlib.sha256(), 0
+                with store.open_input_stream(name, compression=None) as stream:
+                    while block := stream.read(8 << 20):
+                        digest.update(block)
+                        size += len(block)
+                found.append((path, size, digest.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["path", "size_bytes", "sha256"])
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path")
+    return listed.mapInArrow(run, "path string, size_bytes long, sha256 string")
+
+
 def concatenated(*datasets: DataFrame) -> DataFrame:
     """Datasets one after the other, each row with its dataset's number."""
     out = None
