@@ -245,6 +245,22 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
     return joined.select(*df.columns, *[(F.col(f"_{c}") + F.col(f"_to_{c}")).alias(name) for c, name in sums.items()])
 
 
+def value_ranks(df: DataFrame, value: str) -> DataFrame:
+    """Every row with rank, dense_rank, percent_rank and cume_dist of its value among all rows (nulls first).
+
+    Rows are counted by value before they are ranked, and only values meet in order, in ranges of them.
+    """
+    counts = df.groupBy(value).agg(F.count("*").alias("_n")).withColumns({"_one": F.lit(1).cast("long"), "_all": F.lit(0)})
+    run = running_sums(counts, ["_all"], [value], {"_n": "_upto", "_one": "dense_rank"})
+    total = counts.agg(F.sum("_n").alias("_rows"))
+    before = F.col("_upto") - F.col("_n")
+    ranks = run.crossJoin(F.broadcast(total)).select(  # one row
+        F.col(value).alias("_value"), (before + 1).alias("rank"), "dense_rank",
+        F.coalesce(F.try_divide(before, F.col("_rows") - 1), F.lit(0.0)).alias("percent_rank"), (F.col("_upto") / F.col("_rows")).alias("cume_dist"),
+    )
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")
+
+
 def even_parts(df: DataFrame, x: int, order: str) -> DataFrame:
     """Parts 0 .. x-1 of almost equal size in order; the first ones are larger by one row."""
     ranked = global_rank(df, order, "_rank")

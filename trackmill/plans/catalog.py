@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackmill.plans import dataset_queries, event_time_queries, geometry_queries, loss_queries, precision_queries, relational_queries, tracking_queries  # noqa: F401
+from trackmill.plans import dataset_queries, event_time_queries, geometry_queries, loss_queries, precision_queries, relational_queries, scale_queries, tracking_queries  # noqa: F401
 from trackmill.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
