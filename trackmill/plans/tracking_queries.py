@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackmill.functions.boxes import ASSOCIATIONS, Box
+from trackmill.functions.sql import register
 from trackmill.operators import kernels as K
 from trackmill.operators.aggregates import majority_category, split_means
 from trackmill.operators.groups import Columns, corners, over_groups
@@ -344,6 +345,37 @@ _MEASURES = {
 }
 
 
+@query("UDX-3", oracle("SELECT video_id, count(*) AS n, count(*) AS same FROM boxes GROUP BY 1"))
+def udx_3(spark, sf_dir):
+    """A tracker called from SQL as a table function, beside the same tracker over the table."""
+    register(spark)
+    d = kept(detections(spark, sf_dir), "detections")
+    found = spark.sql("SELECT ord, track_id FROM track_objects(TABLE(SELECT * FROM {d}), 'sort', '{{\"tentative\": 2}}')", d=d)
+    plain = track(d, {"type": "sort", "tentative": 2}).select("ord", "video_id", F.col("track_id").alias("plain"))
+    return plain.join(found, "ord", "left").groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("track_id").eqNullSafe(F.col("plain"))).alias("same"))
+
+
+_WH = "(ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1)"
+_SHARED = "greatest(0.0, least(ax2, bx2) - greatest(ax1, bx1)) * greatest(0.0, least(ay2, by2) - greatest(ay1, by1))"
+_HULL = "(greatest(ax2, bx2) - least(ax1, bx1)) * (greatest(ay2, by2) - least(ay1, by1))"
+
+
+@query("UDX-3b", oracle(f"SELECT ord, round(s / (wh - s), 9) AS iou, round(s / (wh - s) - (hull - (wh - s)) / hull, 9) AS giou FROM (SELECT ord, {_SHARED} AS s, {_WH} AS wh, {_HULL} AS hull FROM steps)"))
+def udx_3b(spark, sf_dir):
+    """Measures of boxes as functions of SQL."""
+    register(spark)
+    corners_ = ", ".join(f"{p}{c}" for p in "ab" for c in ("x1", "y1", "x2", "y2"))
+    return spark.sql(f"SELECT ord, round(box_iou({corners_}), 9) AS iou, round(box_giou({corners_}), 9) AS giou FROM {{s}}", s=steps(spark, sf_dir))
+
+
+@query("UDX-3c", oracle("SELECT track_id, median(x1) AS x1, median(y2) AS y2 FROM boxes GROUP BY 1"))
+def udx_3c(spark, sf_dir):
+    """An aggregate over boxes as a function of SQL."""
+    register(spark)
+    found = spark.sql("SELECT track_id, consensus_box(array(x1, y1, x2, y2)) AS box FROM {b} GROUP BY track_id", b=boxes(spark, sf_dir))
+    return found.select("track_id", F.col("box")[0].alias("x1"), F.col("box")[3].alias("y2"))
+
+
 @query("UDX-2", oracle(" UNION ALL ".join(f"SELECT '{n}' AS measure, round(min({m}), 6) AS least, round(max({m}), 6) AS most, count(*) FILTER ({m} > 0.7) AS close FROM steps" for n, m in _MEASURES.items())))
 def udx_2(spark, sf_dir):
     """All association measures by name over neighbouring boxes."""
