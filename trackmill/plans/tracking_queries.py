@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -292,14 +291,15 @@ def sta_2(spark, sf_dir):
     return out.groupBy("video_id").agg(F.count_if(F.col("n") <= 2).alias("tentative"), F.count(F.lit(1)).alias("tracks"))
 
 
-@query("STA-3")
+@query("STA-3", oracle("SELECT DISTINCT video_id, TRUE AS consecutive, TRUE AS some FROM boxes"))
 def sta_3(spark, sf_dir):
     """New ids are consecutive from 0 in each video: their number is the largest plus one."""
     out = track(detections(spark, sf_dir), {"type": "memo"}).filter("track_id > -1")
-    return out.groupBy("video_id").agg(F.count_distinct("track_id").alias("ids"), (F.max("track_id") + 1).alias("next_id"))
+    ids, next_id = F.count_distinct("track_id"), F.max("track_id") + 1
+    return out.groupBy("video_id").agg((ids == next_id).alias("consecutive"), (next_id > 1).alias("some"))
 
 
-@query("STA-4")
+@query("STA-4", oracle("SELECT DISTINCT video_id, 0::BIGINT AS first_id FROM boxes"))
 def sta_4(spark, sf_dir):
     """Ids start anew with each video."""
     out = track(detections(spark, sf_dir), {"type": "memo"}).filter("track_id > -1")
@@ -321,13 +321,12 @@ def clu_1(spark, sf_dir):
 def clu_2(spark, sf_dir):
     """Density clusters of the box centres of each frame, and whether a box is in the largest one."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ord")
-        label = K.dbscan(part[["x1", "y1"]].to_numpy() / 640.0, 0.12)
+    def run(c: Columns) -> tuple:
+        label = K.dbscan(np.stack([c["x1"], c["y1"]], axis=1) / 640.0, 0.12)
         best = np.bincount(label[label >= 0]).argmax() if (label >= 0).any() else -1
-        return pd.DataFrame({"ord": part["ord"], "cluster": label, "largest": (label == best) & (label >= 0)})
+        return c["ord"], label, (label == best) & (label >= 0)
 
-    return boxes(spark, sf_dir).select(*FRAME, "ord", "x1", "y1").groupBy(*FRAME).applyInPandas(run, "ord long, cluster long, largest boolean")
+    return over_groups(boxes(spark, sf_dir).select(*FRAME, "ord", "x1", "y1"), FRAME, ["ord"], run, "ord long, cluster long, largest boolean")
 
 
 @query("CLU-3")
@@ -385,13 +384,13 @@ def udx_2(spark, sf_dir):
     return rows.groupBy("measure").agg(F.round(F.min("v"), 6).alias("least"), F.round(F.max("v"), 6).alias("most"), F.count_if(F.col("v") > 0.7).alias("close"))
 
 
-@query("UDX-1", oracle("SELECT name, count(*) AS n, count(DISTINCT ord) AS boxes FROM boxes, (SELECT unnest(['blend', 'hybrid_sort', 'hybrid_sort_public', 'memo', 'sort']) AS name) WHERE video_id = 0 GROUP BY name"))
+@query("UDX-1", oracle("SELECT name, count(*) AS n, count(DISTINCT ord) AS boxes FROM boxes, (SELECT unnest(['blend', 'hybrid_sort', 'hybrid_sort_public', 'memo', 'sort']) AS name) GROUP BY name"))
 def udx_1(spark, sf_dir):
-    """The registered trackers, each built by its name and run over the first video's boxes."""
-    first = detections(spark, sf_dir).filter("video_id = 0")
+    """The registered trackers, each built by its name and run over all boxes."""
+    every = kept(detections(spark, sf_dir), "detections")
     out = None
     for name in sorted(OPERATORS):
-        found = track(first, {"type": name}).select(F.lit(name).alias("name"), "ord")
+        found = track(every, {"type": name}).select(F.lit(name).alias("name"), "ord")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ord").alias("boxes"))
 
@@ -434,6 +433,43 @@ def evl_2b(spark, sf_dir):
     return m.select(F.round("IDF1", 9).alias("IDF1"), F.round("MOTA", 9).alias("MOTA"), "MOTP", "FP", "FN", "IDSw", "MT", "PT")
 
 
+@query("EVL-1b", oracle("SELECT kind, n::BIGINT AS n FROM (SELECT 'RAW' AS kind, sum(h) AS n FROM hits UNION ALL SELECT 'SWITCH', count(*) FILTER (a > 0 AND b > 0) FROM hits UNION ALL SELECT 'MATCH', sum(h) - count(*) FILTER (a > 0 AND b > 0) FROM hits UNION ALL SELECT 'MISS', sum(n - h) FROM hits) WHERE n > 0", hits=_HITS))
+def evl_1b(spark, sf_dir):
+    """Events of a result with known faults, by kind."""
+    gt = boxes(spark, sf_dir).withColumn("category_id", F.col("track_id") % 2)
+    return M.clear_events(gt, _faulty(gt), limit=SAME).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BY = "SELECT {key}, round(2 * sum(greatest(a, b)) / (sum(n) + sum(h))::DOUBLE, 9) AS \"IDF1\", {mota} AS \"MOTA\", sum(n - h)::BIGINT AS \"FN\", count(*) FILTER (a > 0 AND b > 0) AS \"IDSw\", round(sum(h) / sum(n)::DOUBLE, 9) AS \"Rcll\" FROM hits GROUP BY 1"
+
+
+def _faulty_counts(spark, sf_dir, by: list[str]) -> DataFrame:
+    gt = boxes(spark, sf_dir).withColumn("category_id", F.col("track_id") % 2)
+    m = M.mot_metrics(M.mot_counts(kept(M.clear_events(gt, _faulty(gt), limit=SAME), "events"), by))
+    return m.select(*by, F.round("IDF1", 9).alias("IDF1"), F.round("MOTA", 9).alias("MOTA"), "FN", "IDSw", F.round("Rcll", 9).alias("Rcll"))
+
+
+@query("EVL-4b", oracle(_BY.format(key="track_id // 50 AS video_id", mota=_MOTA), hits=_HITS))
+def evl_4b(spark, sf_dir):
+    """Metrics of a result with known faults per video."""
+    return _faulty_counts(spark, sf_dir, ["video_id"])
+
+
+@query("EVL-6b", oracle(_BY.format(key="CASE WHEN track_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category", mota=_MOTA), hits=_HITS))
+def evl_6b(spark, sf_dir):
+    """Metrics of a result with known faults by names of classes."""
+    names = spark.createDataFrame([(0, "even"), (1, "odd")], "category_id long, category string")
+    return _faulty_counts(spark, sf_dir, ["category_id"]).join(F.broadcast(names), "category_id").drop("category_id")
+
+
+@query("AGG-10b", oracle("SELECT 'AVERAGE' AS category_id, round(avg(\"IDF1\"), 9) AS \"IDF1\", round(avg(\"MOTA\"), 9) AS \"MOTA\", sum(\"FN\")::BIGINT AS \"FN\" FROM (" + _BY.format(key="track_id % 2", mota=_MOTA.replace(", 9)", ", 15)")).replace(", 9)", ", 15)") + ") UNION ALL SELECT 'OVERALL', \"IDF1\", \"MOTA\", \"FN\" FROM (" + _BY.format(key="1 AS one", mota=_MOTA) + ")", hits=_HITS))
+def agg_10b(spark, sf_dir):
+    """The OVERALL and AVERAGE rows of a result with known faults."""
+    gt = boxes(spark, sf_dir).withColumn("category_id", F.col("track_id") % 2)
+    report = M.mot_report(kept(M.clear_events(gt, _faulty(gt), limit=SAME), "events")).filter("category_id IN ('OVERALL', 'AVERAGE')")
+    return report.select("category_id", F.round("IDF1", 9).alias("IDF1"), F.round("MOTA", 9).alias("MOTA"), "FN")
+
+
 @query("EVL-3")
 def evl_3(spark, sf_dir):
     """The summary as text lines, one per class and two over all."""
@@ -464,13 +500,13 @@ def evl_7(spark, sf_dir):
     return split_means(split, ["MOTA"]).withColumn("MOTA", F.round("MOTA", 9))
 
 
-@query("EVL-8")
+@query("EVL-8", oracle("SELECT run, round(avg(recall), 9) AS recall, sum(missed)::BIGINT AS missed FROM (SELECT run, video_id, avg(CASE WHEN run = 1 AND ord % 10 = 0 THEN 0.0 ELSE 1.0 END) AS recall, count(*) FILTER (run = 1 AND ord % 10 = 0) AS missed FROM boxes, (VALUES (0::BIGINT), (1)) v(run) GROUP BY ALL) GROUP BY run"))
 def evl_8(spark, sf_dir):
     """Two result sets evaluated in one job: runs are told apart by the video number."""
     gt = boxes(spark, sf_dir).withColumn("category_id", F.lit(0).cast("long")).withColumn("run", F.explode(F.array(F.lit(0), F.lit(1))))
     gt = gt.withColumn("video_id", F.col("video_id") * 2 + F.col("run"))
-    events = M.clear_events(gt, gt.filter("run = 0 OR ord % 10 <> 0"))
-    return M.mot_metrics(M.mot_counts(events, ["video_id"])).groupBy((F.col("video_id") % 2).alias("run")).agg(F.avg("Rcll").alias("recall"), F.sum("FN").alias("missed"))
+    events = kept(M.clear_events(gt, gt.filter("run = 0 OR ord % 10 <> 0"), limit=SAME), "events")
+    return M.mot_metrics(M.mot_counts(events, ["video_id"])).groupBy((F.col("video_id") % 2).alias("run")).agg(F.round(F.avg("Rcll"), 9).alias("recall"), F.sum("FN").alias("missed"))
 
 
 _TETA = """WITH c AS (
