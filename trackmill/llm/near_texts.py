@@ -6,8 +6,8 @@ two texts of similarity 0.8 meet with a probability of 0.99; every candidate is
 hashes of all its shingles, so that nothing else is ever linked. Groups are what the links connect.
 
 A bucket is not compared pair by pair: its texts are compared with its hub, the text that meets most others
-in all its buckets, then those that are not in one group yet with its next two hubs, the next four and so on.
-A bucket of near copies is done after one round, and every pair of a bucket is either compared or connected.
+in all its buckets, then those that are not in one group yet with its next six hubs, the next 24 and so on. A
+bucket of near copies is done after one round, and every pair of a bucket is either compared or connected.
 
 Only signatures, candidates' shingles and places are shuffled, no texts: rows are known by their place in a
 Parquet table (file and row), and those to go are sent back there in small files that a second scan reads.
@@ -91,14 +91,15 @@ def signatures(placed: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def _buckets(texts: DataFrame) -> DataFrame:
-    """(band, hash, id, degree) of buckets with several texts; the fingerprint is a band too. degree: texts
-    met in all of a text's buckets."""
+    """(band, hash, id, place) of buckets with several texts; the fingerprint is a band too. Places in a bucket
+    go by the texts that each meets in all of its buckets, most first."""
     names = F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "hash")
     entries = texts.select("id", names)
     sizes = entries.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1")
     entries = materialize(entries.join(materialize(sizes, "sizes"), ["band", "hash"]), "entries")
     degree = entries.groupBy("id").agg(F.sum("n").alias("degree"))
-    return entries.join(degree, "id").select("band", "hash", "id", "degree")
+    order = Window.partitionBy("band", "hash").orderBy(F.desc("degree"), "id")
+    return entries.join(degree, "id").select("band", "hash", "id", F.row_number().over(order).alias("place"))
 
 
 def _shingles(wanted: str):
@@ -154,24 +155,25 @@ def groups(signed: DataFrame, placed: DataFrame, text: str = "text", similarity:
     write_places(places, wanted)
     sets = placed.select("file", "row", F.col(f"data.`{text}`").alias("text")).mapInArrow(_shingles(wanted), "id binary, shingles binary")
     sets = materialize(sets, "shingles")
-    found = materialize(_alike(near, sets, similarity), "links")
-    star, hubs = connected(found), 1
+    links, star, hubs, upto = None, None, 1, 2
     while True:
-        star = materialize(star, "star")
-        rows = entries.join(star.select(F.col("node").alias("id"), "root"), "id", "left").select("band", "hash", "id", "degree", F.coalesce("root", "id").alias("root"))
-        order = Window.partitionBy("band", "hash").orderBy(F.desc("degree"), "id")
-        rows = rows.withColumn("place", F.row_number().over(order))
-        first = rows.filter((F.col("place") >= hubs) & (F.col("place") < 2 * hubs)).select("band", "hash", F.col("id").alias("a"), F.col("root").alias("a_root"), F.col("place").alias("a_place"))
-        pairs = rows.filter(F.col("place") > hubs).join(first, ["band", "hash"]).filter("root <> a_root AND place > a_place")
-        pairs = materialize(pairs.select("a", F.col("id").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            left = rows.filter(F.col("place") > 2 * hubs).groupBy("band", "hash").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-            if left.filter("low <> high").isEmpty():
-                return star.select(F.col("node").alias("id"), "root")
-        else:
-            found = materialize(found.unionByName(_alike(pairs, sets, similarity)), "links")
-            star = connected(found)
-        hubs *= 2
+        root = F.col("id")
+        if star is not None:
+            entries = entries.drop("root").join(star.select(F.col("node").alias("id"), "root"), "id", "left")
+            root = F.coalesce("root", "id")
+        entries = entries.filter(F.col("place") >= hubs).select("band", "hash", "id", "place", root.alias("root"))
+        live = entries.groupBy("band", "hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+        entries = materialize(entries.join(live.select("band", "hash"), ["band", "hash"]), "buckets")
+        if star is not None and entries.isEmpty():
+            return star.select(F.col("node").alias("id"), "root")
+        first = entries.filter(F.col("place") < upto).select("band", "hash", F.col("id").alias("a"), F.col("root").alias("a_root"), F.col("place").alias("a_place"))
+        pairs = entries.join(first, ["band", "hash"]).filter("place > a_place AND root <> a_root").select("a", F.col("id").alias("b"))
+        if star is None:
+            pairs = pairs.unionByName(near)
+        found = _alike(pairs.distinct(), sets, similarity)
+        links = materialize(found if links is None else links.unionByName(found), "links")
+        star = materialize(connected(links), "star")
+        hubs, upto = upto, 4 * upto
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
