@@ -68,11 +68,20 @@ def test_bounds_are_below_the_distances_and_prune():
     rng = np.random.default_rng(0)
     centres = rng.integers(-2000, 2000, (20, 64))
     v = (centres[rng.integers(0, 20, 500)] + rng.integers(-150, 150, (500, 64))).astype(np.int64)
-    got = K.assign(v, K.segments(v), centres)
+    q, norms = K.compressed(v)
+    got = K.assign(v, q, norms, centres)
     every = ((v[:, None, :] - centres[None]) ** 2).sum(axis=2)
-    assert (K.lower_bounds(K.segments(v), K.segments(centres)) <= every).all()
+    assert np.abs(q).max() <= K.LEVELS and (K.lower_bounds(q, norms, centres) <= every).all()
     assert (got.cluster == every.argmin(axis=1)).all() and (got.distance == every.min(axis=1)).all()
-    assert got.pairs < 0.2 * every.size
+    assert got.pairs < 0.1 * every.size
+    huge = rng.integers(-K.LIMIT, K.LIMIT, (300, 64))
+    assert (K.lower_bounds(*K.compressed(huge), huge[:50]) <= ((huge[:, None, :] - huge[None, :50]) ** 2).sum(axis=2)).all()
+
+
+def test_most_centroids_of_the_table_are_pruned(spark, sf):
+    fitted = K.fit(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    n = fitted.vectors.count()
+    assert len(fitted.pairs) == K.ROUNDS and max(fitted.pairs) < 0.5 * n * len(fitted.centroids)
 
 
 def test_text_ids(spark):

@@ -1,11 +1,12 @@
 """Exact integer k-means with block-norm screening.
 
-A vector is kept once as integers and once compressed: each segment of its components as the mean and the
-norm of what the mean leaves (two numbers for eight components). For a segment of b components with means m,
-n and remainders of norms r, s, Cauchy-Schwarz gives |x - c|^2 >= b (m - n)^2 + (r - s)^2, so the compressed
-vectors and centroids bound every distance from below. A vector's distance to the centroid of the smallest
-bound is worked out; centroids whose bound is above it are pruned, all others get their exact integer
-distance. Bounds are lowered by more than floating point can be off, so the result does not depend on them.
+A vector is kept once as integers and once compressed to whole steps of at most LEVELS either way, with the
+norm of what the compression leaves of each segment of its components. By Cauchy-Schwarz the product of vector
+and centroid is at most that of the compressed vector and the centroid, plus the product of both norms for each
+segment, so the compressed vectors and the segment norms bound every distance from below. A vector's distance
+to the centroid of the smallest bound is worked out; centroids whose bound is above it are pruned, all others
+get their exact integer distance. Bounds are lowered by more than floating point can be off, so the result does
+not depend on them.
 
 Vectors are written once to the shared folder. Each round broadcasts the centroids (as many as asked for, of
 fixed length) and adds up integer sums per task and cluster before any shuffle; the driver sees one row per
@@ -33,8 +34,8 @@ from pyspark.sql.types import LongType
 from trackmill.llm.common import keyed_schema, materialize
 
 DIMENSIONS, SCALE, CENTROIDS, ROUNDS, SEED = 64, 256, 40, 5, 2
-#: Components of one segment.
-SEGMENT = 8
+#: Components of one segment, and steps either way of a compressed component.
+SEGMENT, LEVELS = 8, 31
 LIMIT = 1 << 27
 #: Pairs whose exact distances are worked out at a time.
 PAIRS = 1 << 15
@@ -48,23 +49,26 @@ def quantised(vectors: DataFrame, dimensions: int = DIMENSIONS, scale: int = SCA
     return vectors.filter((F.size(x) == dimensions) & usable).select("vec_id", whole.alias("v"))
 
 
-def segments(v: np.ndarray) -> np.ndarray:
-    """Means and norms of the remainders of each row's segments, (n, 2 * segments), means times sqrt(b)."""
-    n, d = v.shape
-    cuts = np.arange(0, d, SEGMENT)
-    width = np.diff(np.r_[cuts, d]).astype(float)
+def segment_norms(x: np.ndarray) -> np.ndarray:
+    """(n, segments) norms of the rows' segments."""
+    return np.sqrt(np.add.reduceat(x.astype(float) ** 2, np.arange(0, x.shape[1], SEGMENT), axis=1))
+
+
+def compressed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole steps of each row's components, and per row: the step, its squared norm, the norms of what is left
+    of its segments."""
     x = v.astype(float)
-    mean = np.add.reduceat(x, cuts, axis=1) / width
-    rest = np.sqrt(np.add.reduceat((x - np.repeat(mean, width.astype(int), axis=1)) ** 2, cuts, axis=1))
-    return np.hstack([mean * np.sqrt(width), rest])
+    step = np.maximum(1.0, np.ceil(np.abs(x).max(axis=1, initial=0) / LEVELS))
+    q = np.rint(x / step[:, None])
+    return q.astype(np.int8), np.hstack([step[:, None], (x**2).sum(axis=1)[:, None], segment_norms(x - q * step[:, None])])
 
 
-def lower_bounds(compressed: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+def lower_bounds(q: np.ndarray, norms: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """(n, k) bounds below the squared distances, lowered by more than rounding can have raised them."""
-    out = np.empty((len(compressed), len(centroids)))
-    for j, c in enumerate(centroids):
-        out[:, j] = ((compressed - c) ** 2).sum(axis=1)
-    return out * (1 - 1e-9) - 1
+    c = centroids.astype(float)
+    sizes = norms[:, 1:2] + (c**2).sum(axis=1)
+    most = norms[:, :1] * (q.astype(float) @ c.T) + norms[:, 2:] @ segment_norms(c).T
+    return sizes - 2 * most - 1e-9 * (sizes + 2 * np.abs(most)) - 1
 
 
 def exact(v: np.ndarray, centroids: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -83,10 +87,10 @@ class Assigned:
     pairs: int  # that got an exact distance
 
 
-def assign(v: np.ndarray, compressed: np.ndarray, centroids: np.ndarray) -> Assigned:
+def assign(v: np.ndarray, q: np.ndarray, norms: np.ndarray, centroids: np.ndarray) -> Assigned:
     """Nearest centroid of each row, the smaller number of equally near ones."""
     n = len(v)
-    bounds = lower_bounds(compressed, segments(centroids))
+    bounds = lower_bounds(q, norms, centroids)
     nearest = bounds.argmin(axis=1)
     every = np.arange(n)
     first = exact(v, centroids, every, nearest)
@@ -104,17 +108,25 @@ def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.ravel()))
+
+
 def _compress(dimensions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            norms = segments(_matrix(batch.column(1), dimensions))
-            width = norms.shape[1]
-            column = pa.ListArray.from_arrays(pa.array(np.arange(0, norms.size + 1, width), pa.int32()), pa.array(norms.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column], names=["vec_id", "v", "norms"])
+            q, norms = compressed(_matrix(batch.column(1), dimensions))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(q), _lists(norms)], names=["vec_id", "v", "q", "norms"])
 
     return run
 
 
+def _of_batch(batch: pa.RecordBatch, centroids: np.ndarray) -> tuple[np.ndarray, Assigned]:
+    d = centroids.shape[1]
+    v = _matrix(batch.column(1), d)
+    return v, assign(v, _matrix(batch.column(2), d), _matrix(batch.column(3), 2 + -(-d // SEGMENT)), centroids)
+
+
 def _sums(centroids: np.ndarray):
     """Per task and cluster: number of vectors, their sum, and how many exact distances were needed."""
 
@@ -122,8 +134,7 @@ def _sums(centroids: np.ndarray):
         k, d = centroids.shape
         sums, counts, pairs = np.zeros((k, d), np.int64), np.zeros(k, np.int64), 0
         for batch in batches:
-            v = _matrix(batch.column(1), d)
-            got = assign(v, np.stack(batch.column(2).to_numpy(zero_copy_only=False)) if len(v) else np.empty((0, 1)), centroids)
+            v, got = _of_batch(batch, centroids)
             np.add.at(sums, got.cluster, v.astype(np.int64))
             counts += np.bincount(got.cluster, minlength=k)
             pairs += got.pairs
@@ -136,10 +147,8 @@ def _sums(centroids: np.ndarray):
 def _assigned(centroids: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column(1), centroids.shape[1])
-            if len(v):
-                got = assign(v, np.stack(batch.column(2).to_numpy(zero_copy_only=False)), centroids)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.cluster, pa.int32()), pa.array(got.distance)], names=["vec_id", "cluster", "distance"])
+            _, got = _of_batch(batch, centroids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.cluster, pa.int32()), pa.array(got.distance)], names=["vec_id", "cluster", "distance"])
 
     return run
 
@@ -153,14 +162,14 @@ def first_centroids(whole: DataFrame, k: int = CENTROIDS, seed: int = SEED) -> n
 
 @dataclass
 class Clustering:
-    vectors: DataFrame  # vec_id, v, norms
+    vectors: DataFrame  # vec_id, v, q, norms
     centroids: np.ndarray
     pairs: list[int]  # exact distances of each round
 
 
 def fit(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, seed: int = SEED, dimensions: int = DIMENSIONS, scale: int = SCALE) -> Clustering:
     whole = quantised(vectors, dimensions, scale)
-    schema = keyed_schema(whole, "v array<int>, norms array<double>")
+    schema = keyed_schema(whole, "v array<int>, q array<byte>, norms array<double>")
     held = materialize(whole.mapInArrow(_compress(dimensions), schema), "vectors")
     centroids, pairs = first_centroids(held, k, seed), []
     for _ in range(rounds if len(centroids) else 0):
