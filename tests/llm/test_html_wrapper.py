@@ -125,6 +125,12 @@ def test_articles_keep_what_their_host_repeats(spark):
     assert many[2, "http://a.x/2"] == "One title\ntext 2\nlicence line"
 
 
+def test_a_host_of_one_article_keeps_it(spark):
+    """Pages that differ in their menus and adverts only are copies of an article, not its template."""
+    rows = site("a.x", 12, lambda i: f"<nav><ul><li><a href=/{i}>menu {i}</a></ul></nav><div class=ad>buy {i}</div><article><h1>One title</h1><p>The only text.</article>")
+    assert set(extracted(spark, rows).values()) == {"One title\nThe only text."}
+
+
 def test_odd_rows(spark, edge_texts):
     rows = [(i, [None, "", "no host", "http://h.x/1", "//u:p@H.X:80/2"][i % 5], t, 1, "s", [1]) for i, t in enumerate(edge_texts)]
     rows += [(None, "http://h.x/3", "<p>no id", 1, "s", [1])] * 2

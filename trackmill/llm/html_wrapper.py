@@ -8,8 +8,9 @@ hold, apart from parts that HTML or their names mark as no part of the article (
 sidebars, notices, adverts, forms, scripts, comments), and within its ``article`` or ``main`` where it has one.
 
 Copies of a page count once, so that they don't make their own text a template. A slot needs LEAST pages to
-be template; headings need HEADING pages, and within a marked article IN_ARTICLE, and headings there are never
-taken off: a few pages that are versions of one article share its title.
+be template; headings need HEADING pages. Within a marked article only slots of elements that do not stand for
+running text can be template, from IN_ARTICLE pages on: a host may hold many copies of one article, and versions
+of it share its title.
 
 Only trees' shapes and hashes of texts are shuffled to find the wrappers; votes are added up per task before
 they meet, and each distinct shape of a host is aligned once. Wrappers are written, so their size is known
@@ -39,6 +40,8 @@ from trackmill.llm.html_tree import HEADINGS, Block, Page
 LEAST, HEADING, IN_ARTICLE = 3, 5, 8
 #: Share of the pages with a node that agree on a template's text.
 AGREE = 0.9
+#: Elements of running text.
+RUNNING = HEADINGS | frozenset("p li dt dd blockquote pre td th caption figcaption".split())
 HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -184,7 +187,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def _needed(block: Block) -> int | None:
     """Pages on which a block's slot must be constant to be template; None: it is never template."""
     if block.article or block.main:
-        return None if block.tag in HEADINGS else IN_ARTICLE
+        return None if block.tag in RUNNING else IN_ARTICLE
     return HEADING if block.tag in HEADINGS else LEAST
 
 
