@@ -15,9 +15,10 @@ from trackmill.plans.quality import Checks, temporal_screens, training_frames
 from trackmill.registry import query
 from trackmill.sources import detections as detection_files
 from trackmill.sources import files as S
+from trackmill.sources import side_inputs as X
 from trackmill.sources import sinks as K
 from trackmill.sources.adapters import boxes, oracle
-from trackmill.sources.annotations import Dataset, category_split, known_filtered, still_image_name
+from trackmill.sources.annotations import Dataset, still_image_name
 from trackmill.sources.scratch import kept, opened, scratch_dir
 
 FRAME = ["video_id", "frame_id"]
@@ -287,34 +288,47 @@ def src_15(spark, sf_dir):
     return read(spark, sf_dir, "part").select(S.class_name(name).alias("name")).distinct()
 
 
-def _nations(spark, sf_dir) -> list:
-    """The rows of a table that does not grow: what a small document on the driver is made of."""
-    return read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
-
-
-@query("SRC-16", oracle("SELECT 'i:' || n_nationkey AS category_id, n_regionkey = 3 AS is_novel FROM nation WHERE n_regionkey <> 0"))
+@query("SRC-16", oracle("SELECT layout, 'i:' || id AS category_id, novel AS is_novel FROM (SELECT 'a' AS layout, n_nationkey AS id, n_regionkey = 3 AS novel FROM nation WHERE n_regionkey <> 0 UNION ALL SELECT 'b', n_nationkey, n_regionkey = 3 FROM nation UNION ALL SELECT 'c', n_nationkey, n_regionkey = 3 FROM nation)"))
 def src_16(spark, sf_dir):
-    """A category split read from frequencies; categories without one are left out."""
-    frequency = {0: {}, 1: {"frequency": "c"}, 2: {"frequency": "f"}, 3: {"frequency": "r"}, 4: {"frequency": "c"}}
-    pairs, _ = category_split({"categories": [{"id": n.n_nationkey, **frequency[n.n_regionkey]} for n in _nations(spark, sf_dir)]})
-    return spark.createDataFrame(pairs, "category_id string, is_novel boolean")
+    """Category splits in three layouts; categories without a frequency are left out."""
+    n = read(spark, sf_dir, "nation")
+    path = f"{scratch_dir(spark)}/splits-{uuid.uuid4().hex}"
+    frequency = F.element_at(F.array(F.lit(None).cast("string"), F.lit("c"), F.lit("f"), F.lit("r"), F.lit("c")), (F.col("n_regionkey") + 1).cast("int"))
+    novel = F.col("n_regionkey") == 3
+    ids = lambda of: F.to_json(F.collect_list(F.when(of, F.col("n_nationkey"))))
+    texts = n.agg(
+        F.concat(F.lit('{"categories": '), F.to_json(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), frequency.alias("frequency")))), F.lit("}")).alias("a"),
+        F.concat(F.lit('{"base_category_ids": '), ids(~novel), F.lit(', "novel_category_ids": '), ids(novel), F.lit("}")).alias("b"),
+        F.concat(F.lit('{"base": '), ids(~novel), F.lit(', "novel": '), ids(novel), F.lit("}")).alias("c"),
+    )
+    texts.unpivot([], ["a", "b", "c"], "layout", "value").write.partitionBy("layout").text(path)
+    rows, _ = X.category_splits(X.documents(spark, f"{path}/*"))
+    return rows.select(F.regexp_extract("path", "layout=([a-c])", 1).alias("layout"), "category_id", "is_novel")
 
 
 @query("SRC-17", oracle("SELECT 'i:' || n_regionkey AS video_id, 'i:' || n_nationkey AS frame_key, 's:' || n_name AS track_id, 'i:2' AS category_id, CASE WHEN n_regionkey = 2 THEN 'blurred' ELSE 'declared filter' END AS reason FROM nation WHERE n_regionkey <> 1"))
 def src_17(spark, sf_dir):
-    """A manifest of known filtered anchors; entries without a whole key are left out."""
-    entry = lambda n: {"video_id": n.n_regionkey, "frame_id": n.n_nationkey, "track_id": n.n_name, "category_id": None if n.n_regionkey == 1 else 2, **({"reason": "blurred"} if n.n_regionkey == 2 else {})}
-    rows, _ = known_filtered({"filtered_anchors": [entry(n) for n in _nations(spark, sf_dir)]})
-    return spark.createDataFrame(rows, "video_id string, frame_key string, track_id string, category_id string, reason string")
+    """Manifests of known filtered anchors, one per region; entries without a whole key are left out."""
+    n = read(spark, sf_dir, "nation")
+    path = f"{scratch_dir(spark)}/manifests-{uuid.uuid4().hex}"
+    entry = F.struct(F.col("n_regionkey").alias("video_id"), F.col("n_nationkey").alias("frame_id"), F.col("n_name").alias("track_id"), F.when(F.col("n_regionkey") != 1, 2).alias("category_id"), F.when(F.col("n_regionkey") == 2, "blurred").alias("reason"))
+    listed = n.groupBy("n_regionkey").agg(F.to_json(F.collect_list(entry)).alias("value"))
+    value = F.when(F.col("n_regionkey") % 2 == 0, F.concat(F.lit('{"filtered_anchors": '), "value", F.lit("}"))).otherwise(F.col("value"))
+    listed.select("n_regionkey", value.alias("value")).write.partitionBy("n_regionkey").text(path)
+    return X.known_anchors(X.documents(spark, f"{path}/*"))[0].drop("path")
 
 
 @query("SRC-18", oracle("SELECT n_name AS name, 'data/' || n_name || '.json' AS ann_file, n_nationkey AS interval FROM nation"))
 def src_18(spark, sf_dir):
     """Options of the last matching call in a configuration, which is parsed and never run."""
-    nations = _nations(spark, sf_dir)
-    calls = [f"a{n.n_nationkey} = dict(ann_file={folder + n.n_name + '.json'!r}, interval={k}, f=open('no'))" for folder, interval in (("old/", "-1"), ("data/", "{}")) for n in nations for k in [interval.format(n.n_nationkey)]]
-    found = [(n.n_name, S.dataset_options("\n".join(calls), f"{n.n_name}.json")) for n in nations]
-    return spark.createDataFrame([(name, o["ann_file"], o["interval"]) for name, o in found], "name string, ann_file string, interval int")
+    n = read(spark, sf_dir, "nation")
+    path = f"{scratch_dir(spark)}/configurations-{uuid.uuid4().hex}"
+    call = lambda folder, interval: F.concat(F.lit("a"), "n_nationkey", F.lit(f" = dict(ann_file='{folder}/"), "n_name", F.lit(".json', interval="), interval, F.lit(", f=open('no'))"))
+    calls = n.select(F.explode(F.array(F.struct(F.lit(0).alias("k"), call("old", F.lit("-1")).alias("line")), F.struct(F.lit(1).alias("k"), call("data", F.col("n_nationkey").cast("string")).alias("line")))).alias("c"))
+    calls.agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c.line), "\n").alias("value")).write.text(path)
+    asked = X.documents(spark, path, "part-*").filter("text <> ''").crossJoin(n.select("n_name", F.concat("n_name", F.lit(".json")).alias("file")))  # one configuration
+    found = X.configured(asked.select("path", "text", "file"))
+    return found.select(F.regexp_replace("file", ".json$", "").alias("name"), "ann_file", "interval")
 
 
 @query("SRC-19", oracle("SELECT dataset, copy, count(*) AS n FROM (SELECT 0 AS dataset FROM supplier UNION ALL SELECT 1 FROM nation), range(0, 2) r(copy) GROUP BY ALL"))
