@@ -9,6 +9,7 @@ from trackmill.operators import join_plans as J
 from trackmill.operators import sketches as S
 from trackmill.operators.aggregates import value_ranks
 from trackmill.operators.calendars import local_days
+from trackmill.plans.catalog import QUERIES
 
 
 def plan(df):
@@ -45,6 +46,15 @@ def test_cubes_add_sketches_up(visits):
     assert all(sum(r["n"] for r in cube if r["level"] == level) == 30_000 for level in range(4))
 
 
+def test_a_cube_over_more_users_than_a_sketch_holds_counts_its_most_frequent_one(spark, tmp_path):
+    n = 9000  # a sketch counts about 6,000 exactly and names none of more that are equally frequent
+    e = spark.range(2 * n + 3).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz '2024-01-02 00:00:00'").alias("ts"), (F.col("id") % n).alias("user_id"), F.when(F.col("id") < 20, "view").otherwise("click").alias("event_type"), F.when(F.col("id") % 7 > 0, F.col("id").cast("double")).alias("value"))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.week, r.event_type): r for r in QUERIES["AGG-18"](spark, str(tmp_path)).collect()}
+    assert {k: (r.n, r.users, r.most) for k, r in got.items()} == {(w, t): v for w in (-1, 0) for t, v in {"all": (2 * n + 3, n, 3), "view": (20, 20, 1), "click": (2 * n - 17, n, 2)}.items()}
+    assert all(r.users_ok and r.median_ok and r.high_ok for r in got.values())
+
+
 def pairs(df):
     return sorted(map(str, df.collect()))
 

@@ -4,7 +4,8 @@ A sketch table has a row per key (a day and a type, say) with sketches of fixed
 rows. Coarser keys, roll-ups and cubes are made of those rows alone, without the data. What the estimates are
 off by is bounded: ``DISTINCT_ERROR`` is the standard error of a merged distinct count as a share of it,
 ``RANK_ERROR`` that of a quantile's place among all rows, and an item's count is too low or high by the number
-of rows over ``ITEMS`` at most (exact while there are fewer different items).
+of rows over ``ITEMS`` at most (exact while there are fewer different items). Items that may owe their place
+to that error are not named, so the list of a table with many equally frequent items can be empty.
 """
 
 from __future__ import annotations
