@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from trackmill.operators import kernels as K
-from trackmill.operators.tracking import COLUMNS, track
+from trackmill.operators.tracking import COLUMNS, Frame, Run, track
 from trackmill.plans.metrics import most_explained
 
 
@@ -337,3 +337,16 @@ def test_stream_with_gaps_equals_batch(spark, tmp_path):
     held_back = set(want) - set(got)
     assert {o: k for o, k in want.items() if o in got} == got
     assert held_back <= set(rows[rows["frame_id"] >= sorted(set(rows["frame_id"]))[-2]]["ord"])
+
+
+@pytest.mark.parametrize("config", [{"type": "sort"}, {"type": "blend"}, {"type": "memo", "motion_weight": 0.3, "match_score": 0.3}, {"type": "hybrid_sort"}, {"type": "hybrid_sort_public"}], ids=lambda c: c["type"])
+def test_filters_of_a_frame_take_their_steps_together(config, monkeypatch):
+    calls, solve = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda *a: calls.append(1) or solve(*a))
+    tracker, n = Run(config).tracker, 30
+    x, look = np.arange(n) * 100.0, np.eye(n) * 5
+    for t in range(12):
+        boxes = np.stack([x + t, np.zeros(n), x + t + 40, np.full(n, 50.0)], 1)
+        ids = tracker.step(Frame(t, boxes, np.full(n, 0.9), np.zeros(n, int), look))
+    assert len(set(ids.tolist())) == n and min(ids) >= 0  # all objects are followed
+    assert len(calls) <= 3 * 12

@@ -201,6 +201,12 @@ class BoxKalman:
         off = (z - seen)[..., None]
         return (off * np.linalg.solve(np.broadcast_to(s, (*off.shape[:-2], *s.shape[-2:])), off)).sum((-1, -2))
 
+    def gating_matrix(self, means: np.ndarray, covs: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """The distance of each measurement (columns) from each state (rows)."""
+        seen, s = self.project(means, covs)
+        off = _turned(z[None] - seen[:, None])
+        return (off * np.linalg.solve(s, off)).sum(1)
+
     @staticmethod
     def gate(position_only: bool = False) -> float:
         return CHI2_95[2 if position_only else 4]
@@ -249,6 +255,41 @@ class ScoreKalman:
         self._correct(z)
         self.last, self.missed, self.saved = z, 0, None
 
+    @staticmethod
+    def predict_all(filters: list[ScoreKalman]) -> np.ndarray:
+        """Different filters predict side by side; their states."""
+        one = filters[0]
+        x, p = np.array([f.x for f in filters]), np.array([f.p for f in filters])
+        x[x[:, 7] + x[:, 2] <= 0, 7] = 0
+        x, p = x @ one.f.T, one.f @ p @ one.f.T + one.q
+        for f, state, cov in zip(filters, x, p, strict=True):
+            f.x, f.p = state, cov
+        return x
+
+    @staticmethod
+    def update_all(filters: list[ScoreKalman], z: np.ndarray) -> None:
+        """Different filters take in a measurement each; those after a gap one by one."""
+        for f, m in zip(filters, z, strict=True):
+            if f.missed:
+                f.update(m)
+                f.last = None
+        at = [i for i, f in enumerate(filters) if f.last is not None]
+        if at:
+            one, x, p, m = filters[0], np.array([filters[i].x for i in at]), np.array([filters[i].p for i in at]), z[at]
+            gain = _turned(np.linalg.solve(p[:, :5, :5] + one.r, p[:, :5]))
+            rest = np.eye(9) - np.concatenate([gain, np.zeros((len(at), 9, 4))], 2)
+            x, p = x + (gain @ (m - x[:, :5])[..., None])[..., 0], rest @ p @ _turned(rest) + gain @ one.r @ _turned(gain)
+            for i, state, cov in zip(at, x, p, strict=True):
+                filters[i].x, filters[i].p = state, cov
+        for f, m in zip(filters, z, strict=True):
+            f.last, f.missed, f.saved = m, 0, None
+
+    @staticmethod
+    def boxes(x: np.ndarray) -> np.ndarray:
+        w = np.sqrt(np.maximum(x[:, 2] * x[:, 4], 0))
+        h = np.divide(x[:, 2], w, out=np.zeros_like(w), where=w > 0)
+        return np.stack([x[:, 0] - w / 2, x[:, 1] - h / 2, x[:, 0] + w / 2, x[:, 1] + h / 2], 1)
+
     @staticmethod
     def _between(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
         """Widths, heights, centres and scores on the line between two measurements."""
@@ -316,10 +357,7 @@ class ScoreKalmans:
         self.last[at], self.missed[at] = z, 0
 
     def box(self, at: np.ndarray) -> np.ndarray:
-        x = self.x[at]
-        w = np.sqrt(np.maximum(x[:, 2] * x[:, 4], 0))
-        h = np.divide(x[:, 2], w, out=np.zeros_like(w), where=w > 0)
-        return np.stack([x[:, 0] - w / 2, x[:, 1] - h / 2, x[:, 0] + w / 2, x[:, 1] + h / 2], 1)
+        return ScoreKalman.boxes(self.x[at])
 
 
 class LinearKalman:

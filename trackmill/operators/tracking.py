@@ -46,6 +46,34 @@ class Track:
     motion: tuple | None = None
 
 
+def moved(kalman: K.BoxKalman, tracks: Iterable[Track]) -> None:
+    """The filters of many tracks predict, side by side."""
+    tracks = list(tracks)
+    if tracks:
+        _filtered(tracks, kalman.predict(*_motions(tracks)))
+
+
+def corrected(kalman: K.BoxKalman, tracks: list[Track], boxes: np.ndarray) -> None:
+    """The filters of different tracks take in a box each."""
+    if tracks:
+        _filtered(tracks, kalman.update(*_motions(tracks), K.BoxKalman.measure(boxes)))
+
+
+def begun(kalman: K.BoxKalman, tracks: list[Track], boxes: np.ndarray) -> None:
+    """Filters of new tracks from a box each."""
+    if tracks:
+        _filtered(tracks, kalman.initiate(K.BoxKalman.measure(boxes)))
+
+
+def _motions(tracks: list[Track]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([t.motion[0] for t in tracks]), np.array([t.motion[1] for t in tracks])
+
+
+def _filtered(tracks: list[Track], states: tuple[np.ndarray, np.ndarray]) -> None:
+    for t, mean, cov in zip(tracks, *states, strict=True):
+        t.motion = mean, cov
+
+
 def no_detections(frame_id: int) -> Frame:
     return Frame(frame_id, np.zeros((0, 4)), np.zeros(0), np.zeros(0, int), np.zeros((0, 1)))
 
@@ -113,17 +141,25 @@ class MemoTracker(Tracker):
             ratio = self.fusion * (1 - sure) ** 2
             scores = (scores + ratio * same * scores) / (1 + ratio)
         if self.motion_weight:
-            boxes = np.stack([K.BoxKalman.box(t.motion[0]) for t in memory])
+            boxes = K.BoxKalman.box(np.array([t.motion[0] for t in memory]))
             scores = (1 - self.motion_weight) * scores + self.motion_weight * K.iou_matrix(f.boxes, boxes)
         return scores
 
+    def _filter(self, g: Frame, found: np.ndarray, times: int = 1) -> None:
+        """The detections go into their tracks' filters, or begin them; each track has one at most."""
+        rows = np.flatnonzero(found >= 0)
+        tracks = [self.tracks[k] for k in found[rows].tolist()]
+        new = np.array([t.motion is None for t in tracks], bool)
+        begun(self.kalman, [t for t in tracks if t.motion is None], g.boxes[rows[new]])
+        for _ in range(times):
+            corrected(self.kalman, [t for t, fresh in zip(tracks, new.tolist(), strict=True) if not fresh], g.boxes[rows[~new]])
+
     def step(self, f: Frame) -> np.ndarray:
         ids = np.full(len(f.scores), -1)
         kept = np.flatnonzero(K.without_distractors(f.boxes, f.scores, f.labels, self.distractor_score, self.distractor_overlap, self.method == "intra"))
         g = f.take(kept)
         if self.motion_weight:
-            for t in self.tracks.values():
-                t.motion = self.kalman.predict(*t.motion)
+            moved(self.kalman, self.tracks.values())
         found = np.full(len(kept), -1)
         if len(kept) and self.tracks:
             names, memory = list(self.tracks), list(self.tracks.values())
@@ -137,12 +173,10 @@ class MemoTracker(Tracker):
                 t = self.tracks[found[i]]
                 t.box, t.label, t.frame, t.score, t.hits = g.boxes[i], int(g.labels[i]), f.frame_id, float(g.scores[i]), t.hits + 1
                 t.embed = (1 - self.momentum) * t.embed + self.momentum * g.embeds[i]
-                if self.motion_weight:
-                    t.motion = self.kalman.update(*t.motion, K.BoxKalman.measure(g.boxes[i]))
             elif g.scores[i] > self.init_score:
                 found[i] = self.born(g, i)
-                if self.motion_weight:
-                    self.tracks[found[i]].motion = self.kalman.initiate(K.BoxKalman.measure(g.boxes[i]))
+        if self.motion_weight:
+            self._filter(g, found)
         self.tracks = {k: t for k, t in self.tracks.items() if f.frame_id - t.frame < self.memo_frames}
         ids[kept] = found
         return ids
@@ -171,20 +205,26 @@ class SortTracker(Tracker):
         t = self.tracks[k]
         t.box, t.label, t.frame, t.hits = f.boxes[i], int(f.labels[i]), f.frame_id, t.hits + 1
         t.history = [*t.history, f.embeds[i]][-self.num_samples :]
-        t.motion = self.kalman.update(*t.motion, K.BoxKalman.measure(f.boxes[i]))
+
+    def _means(self, tracks: list[int]) -> np.ndarray:
+        """The mean of each track's remembered embeddings."""
+        held = [self.tracks[k].history for k in tracks]
+        size = np.array([len(h) for h in held])
+        out = np.zeros((len(held), len(held[0][0])))
+        for n in np.unique(size):
+            at = np.flatnonzero(size == n)
+            out[at] = np.array([held[i] for i in at]).mean(1)
+        return out
 
     def step(self, f: Frame) -> np.ndarray:
         ids = np.full(len(f.scores), -1)
         kept = np.flatnonzero(f.scores > self.score)
-        for t in self.tracks.values() if len(kept) else ():
-            t.motion = self.kalman.predict(*t.motion)
+        if len(kept):
+            moved(self.kalman, self.tracks.values())
         sure = [k for k, t in self.tracks.items() if t.hits >= self.tentative]
         if len(kept) and sure:
-            z = np.stack([K.BoxKalman.measure(b) for b in f.boxes[kept]])
-            means = np.stack([np.mean(self.tracks[k].history, axis=0) for k in sure])
-            cost = np.sqrt(((means[:, None] - f.embeds[kept][None]) ** 2).sum(-1))
-            for r, k in enumerate(sure):
-                cost[r, self.kalman.gating(*self.tracks[k].motion, z) > K.BoxKalman.gate()] = np.inf
+            cost = np.sqrt(((self._means(sure)[:, None] - f.embeds[kept][None]) ** 2).sum(-1))
+            cost[self.kalman.gating_matrix(*_motions([self.tracks[k] for k in sure]), K.BoxKalman.measure(f.boxes[kept])) > K.BoxKalman.gate()] = np.inf
             for r, c in K.assign(cost, self.match_distance):
                 ids[kept[c]] = sure[r]
         seen = set(ids.tolist())
@@ -195,13 +235,14 @@ class SortTracker(Tracker):
             for r, c in K.assign(cost):
                 if cost[r, c] < 1 - self.match_iou:
                     ids[left[c]] = recent[r]
-        for i in kept:
-            if ids[i] >= 0:
-                self._hit(f, i, ids[i])
-            else:
-                ids[i] = self.born(f, i)
-                t = self.tracks[ids[i]]
-                t.history, t.motion = [f.embeds[i]], self.kalman.initiate(K.BoxKalman.measure(f.boxes[i]))
+        hit, new = kept[ids[kept] >= 0], kept[ids[kept] < 0]
+        for i in hit:
+            self._hit(f, i, ids[i])
+        for i in new:
+            ids[i] = self.born(f, i)
+            self.tracks[ids[i]].history = [f.embeds[i]]
+        corrected(self.kalman, [self.tracks[k] for k in ids[hit].tolist()], f.boxes[hit])
+        begun(self.kalman, [self.tracks[k] for k in ids[new].tolist()], f.boxes[new])
         alive = lambda t: t.frame == f.frame_id or (t.hits >= self.tentative and f.frame_id - t.frame < self.max_gap)
         self.tracks = {k: t for k, t in self.tracks.items() if alive(t)}
         return ids
@@ -221,14 +262,13 @@ class BlendTracker(MemoTracker):
         ids = np.full(len(f.scores), -1)
         kept = np.flatnonzero(K.without_distractors(f.boxes, f.scores, f.labels, self.distractor_score, self.distractor_overlap))
         g = f.take(kept)
-        for t in self.tracks.values():
-            t.motion = self.kalman.predict(*t.motion)
+        moved(self.kalman, self.tracks.values())
         found = np.full(len(kept), -1)
         if len(kept) and self.tracks:
             names, memory = list(self.tracks), list(self.tracks.values())
             embeds = np.stack([t.embed for t in memory])
             look = (K.bi_softmax_matrix(g.embeds @ embeds.T, stable=self.stable) + (1 + K.cosine_matrix(g.embeds, embeds)) / 2) / 2
-            boxes = np.stack([K.BoxKalman.box(t.motion[0]) for t in memory])
+            boxes = K.BoxKalman.box(np.array([t.motion[0] for t in memory]))
             score = (1 - self.motion_weight) * look + self.motion_weight * K.iou_matrix(g.boxes, boxes)
             for i, j in K.assign(1 - score, self.match_distance):
                 found[i] = names[j]
@@ -238,10 +278,9 @@ class BlendTracker(MemoTracker):
                 t.box, t.label, t.frame, t.hits = g.boxes[i], int(g.labels[i]), f.frame_id, t.hits + 1
                 for _ in range(self.times):
                     t.embed = (1 - self.momentum) * t.embed + self.momentum * g.embeds[i]
-                    t.motion = self.kalman.update(*t.motion, K.BoxKalman.measure(g.boxes[i]))
             elif g.scores[i] > self.init_score:
                 found[i] = self.born(g, i)
-                self.tracks[found[i]].motion = self.kalman.initiate(K.BoxKalman.measure(g.boxes[i]))
+        self._filter(g, found, self.times)
         self.tracks = {k: t for k, t in self.tracks.items() if f.frame_id - t.frame < self.memo_frames}
         ids[kept] = found
         return ids
@@ -261,15 +300,13 @@ class _Observed:
         self.velocity = np.zeros((4, 2))
         self.score, self.before = score, None
 
-    def predict(self) -> tuple[np.ndarray, float, float]:
-        """Box, filtered score, and the last score moved on by its last change."""
-        x = self.filter.predict()
+    def predict(self) -> float:
+        """A step on; the last score moved on by its last change. The filter is predicted with all others."""
         self.age += 1
         if self.since:
             self.streak = 0
         self.since += 1
-        simple = self.score if not self.before else 2 * self.score - self.before
-        return self.filter.box(), float(x[3]), float(simple)
+        return float(self.score if not self.before else 2 * self.score - self.before)
 
     def reference(self) -> np.ndarray | None:
         """The observation some steps back: the oldest within reach, else the newest."""
@@ -278,28 +315,47 @@ class _Observed:
                 return self.seen[self.age - back]
         return self.last
 
-    def update(self, box, score, embed=None) -> None:
-        if box is None:
-            self.filter.update(None)
-            self.before = None
+    def missed(self) -> None:
+        self.filter.update(None)
+        self.before = None
+
+    @classmethod
+    def turned(cls, tracks: list, boxes: np.ndarray) -> None:
+        """The velocities of tracks seen before: the sum of the directions from their last few boxes."""
+        near = [[t.seen[t.age - k] for k in range(1, t.steps + 1) if t.age - k in t.seen] or [t.last] for t in tracks]
+        most = max(map(len, near), default=0)
+        if not most:
+            return
+        held = np.array([[*n, *[n[0]] * (most - len(n))] for n in near])
+        real = np.arange(most)[None] < np.array([len(n) for n in near])[:, None]
+        moves = np.where(real[..., None, None], cls.directions(held, boxes[:, None]), 0.0).sum(1)
+        for t, velocity in zip(tracks, moves, strict=True):
+            t.velocity = velocity
+
+    @classmethod
+    def found(cls, tracks: list, boxes: np.ndarray, scores: np.ndarray, embeds: np.ndarray | None = None) -> None:
+        """Different tracks take in a box each."""
+        if not tracks:
             return
-        if self.last is not None:
-            near = [self.seen[self.age - k] for k in range(1, self.steps + 1) if self.age - k in self.seen] or [self.last]
-            self.velocity = sum(self.directions(b, box) for b in near)
-        self.last = self.seen[self.age] = box
-        self.seen = {k: b for k, b in self.seen.items() if k >= self.age - self.steps}
-        self.since, self.streak = 0, self.streak + 1
-        self.filter.update(K.ScoreKalman.measure(box, score))
-        if embed is not None:
-            self.embed = K.unit_rows(0.8 * self.embed + 0.2 * K.unit_rows(embed))
-        self.before, self.score = self.score, score
+        before = [i for i, t in enumerate(tracks) if t.last is not None]
+        cls.turned([tracks[i] for i in before], boxes[before])
+        K.ScoreKalman.update_all([t.filter for t in tracks], np.array([K.ScoreKalman.measure(b, s) for b, s in zip(boxes, scores, strict=True)]))
+        if embeds is not None:
+            looks = K.unit_rows(0.8 * np.array([t.embed for t in tracks]) + 0.2 * K.unit_rows(embeds))
+        for i, t in enumerate(tracks):
+            t.last = t.seen[t.age] = boxes[i]
+            t.seen = {k: b for k, b in t.seen.items() if k >= t.age - t.steps}
+            t.since, t.streak = 0, t.streak + 1
+            if embeds is not None:
+                t.embed = looks[i]
+            t.before, t.score = t.score, scores[i]
 
     @classmethod
     def directions(cls, a, b) -> np.ndarray:
-        """Unit vectors (dy, dx) of the four corners from a to b, or to each row of b."""
-        b = np.asarray(b)
-        out = np.stack([np.stack([b[..., y] - a[y], b[..., x] - a[x]], -1) for x, y in cls.CORNERS], -2)
-        return out / (np.linalg.norm(out, axis=-1, keepdims=True) + 1e-6)
+        """Unit vectors (dy, dx) of the four corners from each row of a to that of b."""
+        a, b = np.asarray(a), np.asarray(b)
+        out = np.stack([np.stack([b[..., y] - a[..., y], b[..., x] - a[..., x]], -1) for x, y in cls.CORNERS], -2)
+        return out / (np.sqrt((out * out).sum(-1, keepdims=True)) + 1e-6)
 
 
 @operator("hybrid_sort")
@@ -327,7 +383,11 @@ class HybridTracker(Tracker):
 
     def _predicted(self) -> dict[int, tuple]:
         """The prediction of each live track; tracks without a finite one are dropped."""
-        found = {k: t.predict() for k, t in self.live.items()}
+        if not self.live:
+            return {}
+        states = K.ScoreKalman.predict_all([t.filter for t in self.live.values()])
+        boxes = K.ScoreKalman.boxes(states)
+        found = {k: (box, float(x[3]), t.predict()) for (k, t), box, x in zip(self.live.items(), boxes, states, strict=True)}
         for k in [k for k, p in found.items() if not np.isfinite(p[0]).all()]:
             del self.live[k], found[k]
         return found
@@ -335,13 +395,12 @@ class HybridTracker(Tracker):
     def _turn(self, boxes: np.ndarray, scores: np.ndarray, tracks: list[int]) -> np.ndarray:
         """The agreement of each move from a track's reference with its corner velocities."""
         out = np.zeros((len(boxes), len(tracks)))
-        for j, k in enumerate(tracks):
-            t = self.live[k]
-            ref = t.reference()
-            if ref is None:
-                continue
-            cos = np.clip((_Observed.directions(ref, boxes) * t.velocity).sum(-1), -1, 1)
-            out[:, j] = ((np.pi / 2 - np.abs(np.arccos(cos))) / np.pi).sum(-1) * self.inertia * scores
+        refs = [self.live[k].reference() for k in tracks]
+        known = [j for j, ref in enumerate(refs) if ref is not None]
+        if known:
+            velocity = np.array([self.live[tracks[j]].velocity for j in known])
+            cos = np.clip((_Observed.directions(np.array([refs[j] for j in known]), boxes[:, None]) * velocity).sum(-1), -1, 1)
+            out[:, known] = ((np.pi / 2 - np.abs(np.arccos(cos))) / np.pi).sum(-1) * self.inertia * scores[:, None]
         return out
 
     def step(self, f: Frame) -> np.ndarray:
@@ -363,9 +422,9 @@ class HybridTracker(Tracker):
             far = np.maximum(0, 1 - K.cosine_matrix(g.embeds[high], np.stack([self.live[k].embed for k in tracks])))
             cost = -(overlap + self._turn(g.boxes[high], scores[high], tracks) - gap) + self.look * far
             pairs, left, unseen = K.associate(overlap - gap, self.iou, cost)
-            for i, j in pairs:
-                owner[high[i]] = tracks[j]
-                self.live[tracks[j]].update(g.boxes[high[i]], scores[high[i]], g.embeds[high[i]])
+            rows = high[pairs[:, 0]]
+            owner[rows] = [tracks[j] for j in pairs[:, 1]]
+            _Observed.found([self.live[k] for k in owner[rows].tolist()], g.boxes[rows], scores[rows], g.embeds[rows])
             rest, free = high[left], [tracks[j] for j in unseen]
         if len(low) and free:
             at = [tracks.index(k) for k in free]
@@ -383,7 +442,7 @@ class HybridTracker(Tracker):
                 free = [k for k in free if k not in known or k in still]
                 rest = rest[owner[rest] < 0]
         for k in free:
-            self.live[k].update(None, None)
+            self.live[k].missed()
         for i in rest:
             self.live[self.next_id] = _Observed(g.boxes[i], scores[i], g.embeds[i], int(g.labels[i]), self.steps)
             owner[i] = self.next_id
@@ -396,13 +455,11 @@ class HybridTracker(Tracker):
 
     def _take(self, g, scores, rows, tracks, pairs, gain, owner) -> list[int]:
         """Apply matches from the threshold up; the tracks still free."""
-        gone = set()
-        for i, j in pairs:
-            if gain[i, j] >= self.iou:
-                owner[rows[i]] = tracks[j]
-                self.live[tracks[j]].update(g.boxes[rows[i]], scores[rows[i]])
-                gone.add(tracks[j])
-        return [k for k in tracks if k not in gone]
+        pairs = pairs[gain[pairs[:, 0], pairs[:, 1]] >= self.iou]
+        taken, gone = rows[pairs[:, 0]], [tracks[j] for j in pairs[:, 1]]
+        owner[taken] = gone
+        _Observed.found([self.live[k] for k in gone], g.boxes[taken], scores[taken])
+        return [k for k in tracks if k not in set(gone)]
 
 
 class _Centred(_Observed):
@@ -415,16 +472,23 @@ class _Centred(_Observed):
 
     @classmethod
     def directions(cls, a, b) -> np.ndarray:
-        """The unit vector (dy, dx) of the centre from a to b, or to each row of b."""
-        b = np.asarray(b)
-        move = np.stack([b[..., 1] + b[..., 3] - a[1] - a[3], b[..., 0] + b[..., 2] - a[0] - a[2]], -1) / 2
-        return move / (np.linalg.norm(move, axis=-1, keepdims=True) + 1e-6)
+        """The unit vector (dy, dx) of the centre from each row of a to that of b."""
+        a, b = np.asarray(a), np.asarray(b)
+        move = np.stack([b[..., 1] + b[..., 3] - a[..., 1] - a[..., 3], b[..., 0] + b[..., 2] - a[..., 0] - a[..., 2]], -1) / 2
+        return move / (np.sqrt((move * move).sum(-1, keepdims=True)) + 1e-6)
+
+    @classmethod
+    def turned(cls, tracks: list, boxes: np.ndarray) -> None:
+        """The velocities of tracks seen before: the direction from the reference."""
+        if tracks:
+            for t, velocity in zip(tracks, cls.directions(np.array([t.reference() for t in tracks]), boxes), strict=True):
+                t.velocity = velocity
 
-    def seen_in(self, row: int, box: np.ndarray, keep: int) -> None:
-        before = self.reference()
-        self.update(box, 1.0)
-        self.velocity = np.zeros(2) if before is None else self.directions(before, box)
-        self.rows = [*self.rows, row][-keep:]
+    @classmethod
+    def seen_in(cls, tracks: list, rows: list[int], boxes: np.ndarray, keep: int) -> None:
+        cls.found(tracks, boxes, np.ones(len(rows)))
+        for t, row in zip(tracks, rows, strict=True):
+            t.rows = [*t.rows, row][-keep:]
 
 
 @operator("hybrid_sort_public")
@@ -442,11 +506,12 @@ class PublicTracker(HybridTracker):
 
     def _heading(self, boxes: np.ndarray, tracks: list[int]) -> np.ndarray:
         out = np.zeros((len(boxes), len(tracks)))
-        for j, k in enumerate(tracks):
-            ref = self.live[k].reference()
-            if ref is not None:
-                cos = np.clip(_Centred.directions(ref, boxes) @ self.live[k].velocity, -1, 1)
-                out[:, j] = (np.pi / 2 - np.abs(np.arccos(cos))) / np.pi * self.inertia
+        refs = [self.live[k].reference() for k in tracks]
+        known = [j for j, ref in enumerate(refs) if ref is not None]
+        if known:
+            velocity = np.array([self.live[tracks[j]].velocity for j in known])
+            cos = np.clip((_Centred.directions(np.array([refs[j] for j in known]), boxes[:, None]) * velocity).sum(-1), -1, 1)
+            out[:, known] = (np.pi / 2 - np.abs(np.arccos(cos))) / np.pi * self.inertia
         return out
 
     def step(self, f: Frame) -> np.ndarray:
@@ -471,8 +536,7 @@ class PublicTracker(HybridTracker):
                 again = {int(rest[i]): known[j] for i, j in K.assign(-gain) if gain[i, j] >= self.iou - 0.1}
                 owner |= again
                 rest = np.array([i for i in rest.tolist() if i not in again], int)
-        for i, k in owner.items():
-            self.live[k].seen_in(i, f.boxes[i], self.min_hits)
+        _Centred.seen_in([self.live[k] for k in owner.values()], list(owner), f.boxes[list(owner)], self.min_hits)
         for i in rest.tolist():
             self.live[self.next_id] = _Centred(f.boxes[i], f.embeds[i], int(f.labels[i]), self.steps)
             owner[i] = self.next_id
