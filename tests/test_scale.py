@@ -81,6 +81,13 @@ def test_buckets_meet_without_a_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_buckets_grow_in_number_with_the_tables(spark, monkeypatch):
+    small, large = spark.range(3), spark.range(1001)
+    assert J.buckets_for(small, large) == 8
+    monkeypatch.setattr(J, "BUCKET_ROWS", 100)
+    assert J.buckets_for(small, large) == J.buckets_for(large, small) == 11
+
+
 def test_filters_before_a_join_keep_all_partners_and_little_else(spark):
     left, right = tables(spark)
     kept = J.prefiltered(left, right, ["k"])

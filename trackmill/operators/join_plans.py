@@ -16,6 +16,13 @@ from trackmill.sources.scratch import scratch_dir
 
 #: Bits of a filter at most (8 MB on each executor), bits and hashes per key: one key in 120 passes by chance.
 MOST_BITS, KEY_BITS, HASHES = 1 << 26, 10, 5
+#: Rows of a bucket, which a task sorts, about.
+BUCKET_ROWS = 2_000_000
+
+
+def buckets_for(*tables: DataFrame, least: int = 8) -> int:
+    """A number of buckets for tables that are to be joined: about BUCKET_ROWS rows of the largest in each."""
+    return max(least, -(-max(t.count() for t in tables) // BUCKET_ROWS))
 
 
 def bucketed(df: DataFrame, keys: list[str], buckets: int, name: str, path: str | None = None) -> DataFrame:

@@ -59,7 +59,8 @@ def jon_21(spark, sf_dir):
     """Two tables in buckets of their key, joined without a shuffle."""
     lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), "l_returnflag", "l_quantity")
     orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_orderstatus")
-    return _summed(J.bucketed(lines, ["key"], 8, "lines").join(J.bucketed(orders, ["key"], 8, "orders"), "key"))
+    buckets = J.buckets_for(lines, orders)
+    return _summed(J.bucketed(lines, ["key"], buckets, "lines").join(J.bucketed(orders, ["key"], buckets, "orders"), "key"))
 
 
 @query("JON-21b", _JOINED.format(more="WHERE o_custkey % 50 = 7 "))
