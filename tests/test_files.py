@@ -9,7 +9,7 @@ from test_quality import Survey
 
 from trackmill.operators import aggregates as A
 from trackmill.plans import quality_cli
-from trackmill.plans.logs import checkpoint_log, match_score_log, read_logs, search_log, threshold_log, top_k_log, wide
+from trackmill.plans.logs import checkpoint_log, match_score_log, read_logs, search_log, threshold_lines, threshold_log, top_k_log, wide, wide_lines
 from trackmill.registry import build
 from trackmill.sources import files as S
 from trackmill.sources import sinks as K
@@ -82,6 +82,18 @@ def test_logs(spark, tmp_path):
     assert wide(out, ["epoch", "match_score"]).filter("category = 'Base'").first().TETA == "2.000"
 
 
+def test_wide_logs_meet_as_lines(spark, tmp_path):
+    text = block("epoch[7], match score thres[0.4]:", 1) + block("epoch[8], match score thres[0.4]:", 5).replace(f"{15:<10.3f}", "").replace("AssocS", "Other")
+    (tmp_path / "log.txt").write_text(text)
+    logs, keys = read_logs(spark, str(tmp_path / "log.txt")), ["epoch", "match_score"]
+    lines = wide_lines(threshold_lines(logs), keys)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan[plan.index("Exchange") :]  # rows are shuffled before they are sorted
+    assert sorted(map(str, lines.collect())) == sorted(map(str, wide(threshold_log(logs), keys).collect()))
+    got = {(r.epoch, r.category): r for r in lines.collect()}
+    assert got["8", "Combined"].AssocS is None and got["8", "Novel"].ClsPr == "N/A" and got["8", "Combined"].ClsPr == "14.000" and got["8", "Combined"].TETA == "5.000"
+
+
 def test_sinks_write_and_read_back(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
     K.write_json_records(df, str(tmp_path / "j"))

@@ -574,15 +574,19 @@ def log_4(spark, sf_dir):
     return G.search_log(_log(spark, sf_dir, lambda k: F.concat(F.lit("epoch["), k, F.lit("], match score thres[0.37], max bbox [80]:"))))
 
 
+def _threshold_text(spark, sf_dir) -> DataFrame:
+    return _log(spark, sf_dir, lambda k: F.concat(F.lit("epoch["), k, F.lit("], match score thres[0.5]:")))
+
+
 @query("LOG-5", oracle(_log_oracle("p_partkey::VARCHAR AS epoch, '0.5' AS match_score", _TEXT)))
 def log_5(spark, sf_dir):
-    return G.threshold_log(_log(spark, sf_dir, lambda k: F.concat(F.lit("epoch["), k, F.lit("], match score thres[0.5]:"))))
+    return G.threshold_log(_threshold_text(spark, sf_dir))
 
 
 @query("SNK-11", oracle("SELECT p_partkey::VARCHAR AS epoch, '0.5' AS match_score, category, " + ", ".join(f"format('{{:.3f}}', p_size / 8.0::DOUBLE + {k} + a) AS \"{m}\"" for k, m in enumerate(G.METRICS)) + " FROM part, (VALUES ('Combined', 0), ('Base', 1), ('Novel', 2)) c(category, a)"))
 def snk_11(spark, sf_dir):
     """A log as one wide row per line, ready for a CSV file."""
-    return G.wide(log_5(spark, sf_dir), ["epoch", "match_score"])
+    return G.wide_lines(G.threshold_lines(_threshold_text(spark, sf_dir)), ["epoch", "match_score"])
 
 
 @query("EVL-9", oracle("SELECT k, category_id, count(*) AS n FROM (SELECT category_id, row_number() OVER (PARTITION BY category_id ORDER BY score DESC, ord) AS r FROM boxes), (SELECT unnest([50, 100, 500]) AS k) WHERE r <= k GROUP BY ALL"))

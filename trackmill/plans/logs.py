@@ -34,15 +34,20 @@ def _in_brackets(line: Column, *names: str) -> list[Column]:
     return [F.get(found, F.lit(i)).alias(n) for i, n in enumerate(names)]
 
 
-def _rows(blocks: DataFrame, keys: list[Column], named: bool = True, exact: int | None = None) -> DataFrame:
-    """(keys, category, metric, value as text) of blocks of a key line, a header and value lines. Metrics
-    are named by the header's words after its first, or by METRICS; a value that a line lacks is N/A."""
+def _lines(blocks: DataFrame, keys: list[Column], named: bool = True, exact: int | None = None) -> DataFrame:
+    """(keys, names, t) of blocks of a key line, a header and value lines: the words of each value line, a
+    category and its values. Metrics are named by the header's words after its first, or by METRICS."""
     words = lambda line: F.split(line, r"[ \t]+")
     after_first = lambda a: F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
     names = after_first(words(F.get("lines", F.lit(1)))) if named else F.array(*[F.lit(m) for m in METRICS])
     values = F.slice("lines", 3, F.greatest(F.size("lines") - 2, F.lit(0)))
     rows = blocks.filter(F.size("lines") > 2).select(*keys, names.alias("names"), F.explode(F.transform(values, words)).alias("t"))
-    rows = rows.filter(F.size("t") == exact if exact else F.size("t") > 1)
+    return rows.filter(F.size("t") == exact if exact else F.size("t") > 1)
+
+
+def _rows(blocks: DataFrame, keys: list[Column], named: bool = True, exact: int | None = None) -> DataFrame:
+    """(keys, category, metric, value as text) of such blocks; a value that a line lacks is N/A."""
+    rows = _lines(blocks, keys, named, exact)
     cells = F.transform("names", lambda n, i: F.struct(n.alias("metric"), F.coalesce(F.get("t", i + 1), F.lit("N/A")).alias("value")))
     fixed = rows.columns[: len(keys)]
     return rows.select(*fixed, F.get("t", F.lit(0)).alias("category"), F.inline(cells))
@@ -81,9 +86,23 @@ def threshold_log(logs: DataFrame) -> DataFrame:
     return _rows(_blocks(logs, EPOCH), _in_brackets(_key_line(), "epoch", "match_score"))
 
 
+def threshold_lines(logs: DataFrame) -> DataFrame:
+    """The lines of such a log, for ``wide_lines``."""
+    return _lines(_blocks(logs, EPOCH), _in_brackets(_key_line(), "epoch", "match_score"))
+
+
 def wide(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One column per metric, for a CSV file."""
-    return rows.groupBy(*keys, "category").pivot("metric", METRICS).agg(F.first("value"))
+    return rows.repartition(*keys, "category").groupBy(*keys, "category").pivot("metric", METRICS).agg(F.first("value"))
+
+
+def wide_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of the lines of a log: each line's values are put in columns where
+    it lies, and only whole lines meet by their keys, shuffled before they are sorted."""
+    at = lambda m: F.array_position("names", F.lit(m)).cast("int")
+    value = lambda m: F.when(at(m) > 0, F.coalesce(F.get("t", at(m)), F.lit("N/A"))).alias(m)
+    rows = lines.select(*keys, F.get("t", F.lit(0)).alias("category"), *map(value, METRICS)).repartition(*keys, "category")
+    return rows.groupBy(*keys, "category").agg(*[F.first(m, ignorenulls=True).alias(m) for m in METRICS])
 
 
 def log_block(title: Column, values: dict[str, Column]) -> Column:
