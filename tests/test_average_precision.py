@@ -174,3 +174,12 @@ def test_summary(spark):
     got = {r.name: round(r.value, 9) for r in A.ap_summary(per, names).collect()}
     assert got == {"AP": 0.2, "AP50": 0.2, "AP75": 0.2, "AP_small": 0.2, "AP_f": 0.1, "AP_r": 0.2}
     assert A.ap_summary(per.withColumn("ap", F.lit(1.0))).count() == 4
+
+
+def test_the_summary_of_a_result_evaluates_it_once(spark, sf, monkeypatch):
+    from trackmill.plans import precision_queries as Q
+
+    calls, box_ap = [], Q.A.box_ap
+    monkeypatch.setattr(Q.A, "box_ap", lambda *a, **k: calls.append(1) or box_ap(*a, **k))
+    Q.evl_5d(spark, sf)
+    assert len(calls) == 1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackmill.plans import average_precision as A
 from trackmill.registry import query
 from trackmill.sources.adapters import boxes, oracle
+from trackmill.sources.scratch import kept
 
 #: Boxes of a frame lie apart, so each overlaps its own copies only.
 APART = "SELECT *, track_id % 50 * 200.0::DOUBLE AS left_, video_id * 50 + frame_id AS image_id FROM boxes"
@@ -105,6 +106,7 @@ def evl_5c(spark, sf_dir):
 @query("EVL-5d", oracle("SELECT CASE WHEN area = 'all' THEN 'AP' ELSE 'AP_' || area END AS name, round(avg(ap), 9) AS value FROM (WITH judged AS (SELECT * FROM judged_)" + _AP + ") GROUP BY 1 UNION ALL SELECT 'AP' || (threshold * 100)::INT, round(avg(ap), 9) FROM (WITH judged AS (SELECT * FROM judged_)" + _AP + ") WHERE area = 'all' GROUP BY threshold UNION ALL SELECT 'AP_' || CASE WHEN category_id = 4 THEN 'r' WHEN category_id = 3 THEN 'c' ELSE 'f' END, round(avg(ap), 9) FROM (WITH judged AS (SELECT * FROM judged_)" + _AP + ") WHERE area = 'all' GROUP BY 1", **{("judged_" if k == "judged" else k): v for k, v in _BOXES.items()}))
 def evl_5d(spark, sf_dir):
     """Means over categories: overall, per threshold, per area range, for rare, common and frequent ones."""
-    frequency = evl_5b(spark, sf_dir).select("category_id").distinct()
+    per_category = kept(evl_5b(spark, sf_dir), "precision")  # a few rows, read twice
+    frequency = per_category.select("category_id").distinct()
     frequency = frequency.withColumn("frequency", F.when(F.col("category_id") == 4, "r").when(F.col("category_id") == 3, "c").otherwise("f"))
-    return A.ap_summary(evl_5b(spark, sf_dir), frequency).withColumn("value", F.round("value", 9))
+    return A.ap_summary(per_category, frequency).withColumn("value", F.round("value", 9))
