@@ -70,7 +70,7 @@ class TrackObjects:
         self.rows.append(tuple(row[c] for c in COLUMNS))
 
     def _frame(self) -> Iterator[tuple]:
-        rows, self.rows = pd.DataFrame(self.rows, columns=COLUMNS), []
+        rows, self.rows = pd.DataFrame(dict(zip(COLUMNS, map(list, zip(*self.rows, strict=True)), strict=True))), []
         yield from self._out(self.run.frame(int(rows["frame_id"].iloc[0]), rows, True))
 
     def terminate(self) -> Iterator[tuple]:
@@ -83,8 +83,7 @@ class TrackObjects:
     def _out(parts: list[pd.DataFrame]) -> Iterator[tuple]:
         names = [c.split()[0] for c in RESULT.split(", ")]
         for part in parts:
-            for row in part[names].astype(object).itertuples(index=False, name=None):
-                yield tuple(v.item() if hasattr(v, "item") else v for v in row)
+            yield from zip(*[part[n].tolist() for n in names], strict=True)
 
 
 def register(spark: SparkSession) -> None:
