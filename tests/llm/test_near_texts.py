@@ -155,3 +155,31 @@ def test_a_hub_joins_copies_that_are_not_alike(spark):
     rows = [(50, " ".join(words))] + [(i, " ".join(edited(rng, words, 4))) for i in range(100) if i != 50]
     got = {r.component for r in N.near_groups(frame(spark, rows)).collect()}
     assert got == {c for _, c in plain_groups(rows)} == {0}
+
+
+def test_texts_with_a_common_passage_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Most of each text is the passage, which is too little to be alike; some have a near copy."""
+    rng = random.Random(9)
+    make = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    passage = make(60)
+    words = [[*make(rng.choice([9, 12, 15])), *passage, *make(6)] for _ in range(150)]
+    words += [[*w[:-1], "other"] for w in words[::15]]
+    compared, alike = [], N._alike
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(N, "_alike", counted)
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)]
+    got = sorted((str(r.key), r.component) for r in N.near_groups(frame(spark, rows)).collect())
+    assert got == plain_groups(rows) and len({c for _, c in got}) == 150
+    assert sum(compared) <= 2 * len(rows)
+
+
+def test_parities_never_show_more_than_the_sets_differ_in():
+    rng = np.random.default_rng(1)
+    for n, m in ((0, 3), (5, 1), (150, 20), (3000, 400)):
+        common, a, b = (rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (n, m, m // 2))
+        one, other = N.parities(np.r_[common, a]), N.parities(np.r_[common, b])
+        assert len(one) == N.SKETCH // 64 and np.bitwise_count((one ^ other).view(np.uint64)).sum() <= m + m // 2
