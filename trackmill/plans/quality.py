@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import math
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ FINDING = "severity string, kind string, group string, ord long, n long, details
 DETAILS = ("section", "id", "name", "file_name", "video_id", "image_id", "track_id", "category_id", "frame_index", "i_frame_index", "bbox", "outcome", "changed")
 #: Earlier spellings of kinds, under which a report can be asked too.
 ALIASES = {"new_category_identity": "new_categorie_identity", "category_identity_modified": "categorie_identity_modified"}
+#: Annotations that a task holds in memory for the windows over them, about.
+PART_ROWS = 100_000
 ANCHOR = ["video_id", "frame_key", "track_id", "category_id"]
 #: Temporal screens and their thresholds.
 THRESHOLDS = {
@@ -163,8 +165,14 @@ class Checks:
         """All annotations with what they refer to."""
         a = self.current.section("annotations")
         a = self._with(a, "images", "image_id", ["video_id", "frame_index", "frame_key", "width", "height"])
-        a = self._with(a, "tracks", "track_id", ["video_id", "category_id"])
-        return self._with(self._with(a, "videos", "video_id", []), "categories", "category_id", [])
+        a = self._with(self._with(a, "videos", "video_id", []), "categories", "category_id", [])
+        # last, so that its parts also serve windows over tracks
+        return self._with(a.repartition(self.parts, "track_id"), "tracks", "track_id", ["video_id", "category_id"])
+
+    @cached_property
+    def parts(self) -> int:
+        """Parts of about PART_ROWS annotations, so that a task's memory does not grow with the dataset."""
+        return max(8, -(-self.current.section("annotations").count() // PART_ROWS))
 
     def annotations(self) -> list[DataFrame]:
         """All rules on single annotations, in one pass over them."""
@@ -177,9 +185,10 @@ class Checks:
                 "_before": F.last("i_frame_index", ignorenulls=True).over(first.rowsBetween(Window.unboundedPreceding, -1)),
                 "_same_image": later(["track_id", "image_id"]),
                 "_same_frame": later(["track_id", "i_frame_index"], framed),
-                "_same_row": later(["image_id", "video_id", "track_id", "category_id", "bbox"], F.col("bbox_ok")),
             }
         )
+        box = ["image_id", "video_id", "track_id", "category_id", "bbox"]
+        a = a.repartition(self.parts, *box[:-1]).withColumn("_same_row", later(box, F.col("bbox_ok")))
         unsorted = ("track_frames_not_strictly_sorted", "track_category", "error") if self.strict else ("annotations_not_sorted_in_json", "track_category", "info")
         rules = [
             *[(f"NOT {letter}_there", f"annotation_{section}_reference_missing", "reference") for section, letter in (("image", "i"), ("video", "v"), ("category", "c"), ("track", "t"))],
