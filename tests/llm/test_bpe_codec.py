@@ -1,7 +1,9 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -130,3 +132,23 @@ def test_breaks_are_where_the_library_breaks():
         for at in B.breaks(np.frombuffer(raw, np.uint8)).tolist():
             a, b = raw[:at].decode(), raw[at:].decode()
             assert t.encode(a, add_special_tokens=False).ids + t.encode(b, add_special_tokens=False).ids == ids, (text, at)
+
+
+def test_a_large_batch_takes_the_memory_of_a_slice(plain):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(rng.choices(letters, k=6)) for _ in range(600)) for _ in range(1200)]
+    raw = "".join(texts).encode()
+    offsets = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
+    own = B.codec(PATH)
+    own.forget()
+    tracemalloc.start()
+    try:
+        found = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()) for i, d in own.encode_batch(raw, offsets)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 16 * len(raw)
+    own.forget()
+    assert not own.chunks and not own.windows and not own.held
+    assert found[::100] == [plain(t) for t in texts[::100]]

@@ -38,6 +38,9 @@ from trackmill.llm.common import keyed_schema, text_buffer, text_input
 #: The low bits of the rolling hash that are zero at a cut: one byte in 256 on average.
 CUT_BITS = 8
 CACHE_BYTES = 48 << 20
+#: Texts are encoded in slices of so many bytes, since chunks, ids and windows of a slice take many times as much; a
+#: longer text is a slice of its own.
+SLICE_BYTES = 1 << 20
 #: Code points below this are probed; in UTF-8 all bytes of their texts are below PROVED_BYTE.
 PROVED, PROVED_BYTE = 0x3000, 0xE3
 #: Fixed value: the published pre-tokenizer pattern of byte-level BPE files.
@@ -183,6 +186,17 @@ class ChunkCodec:
     def encode_batch(self, raw: bytes, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids as little-endian uint32 and its decoded bytes."""
         offsets = offsets.astype(np.int64)
+        start, n = 0, len(offsets) - 1
+        while start < n:
+            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, "right")) - 1)
+            yield from self._encode_slice(raw, offsets[start : end + 1])
+            start = end
+
+    def forget(self) -> None:
+        """Drop what is kept of chunks and windows."""
+        self.chunks, self.windows, self.held = {}, {}, 0
+
+    def _encode_slice(self, raw: bytes, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
         base = int(offsets[0])
         raw, offsets = raw[base : int(offsets[-1])], offsets - base
         data = np.frombuffer(raw, np.uint8)
@@ -190,7 +204,7 @@ class ChunkCodec:
         edges = bounds.tolist()
         pieces = [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
         if self.held > CACHE_BYTES:
-            self.chunks, self.windows, self.held = {}, {}, 0
+            self.forget()
         self._learn_chunks(pieces, bounds, breaks(data))
         at = np.searchsorted(bounds, offsets).tolist()
         plans = [self._plan(pieces[a:b]) for a, b in zip(at, at[1:], strict=False)]
@@ -303,6 +317,7 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 arrays += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        own.forget()  # the worker may serve other stages next
 
     rest = "n_tokens long, ids_sha256 string, decoded_sha256 string"
     return narrow.mapInArrow(run, keyed_schema(narrow, rest + (", ids array<int>, decoded string" if outputs else "")))
