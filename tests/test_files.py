@@ -9,11 +9,13 @@ from test_quality import Survey
 
 from trackmill.operators import aggregates as A
 from trackmill.plans import quality_cli
+from trackmill.plans.catalog import QUERIES
 from trackmill.plans.logs import checkpoint_log, match_score_log, read_logs, search_log, threshold_lines, threshold_log, top_k_log, wide, wide_lines
 from trackmill.registry import build
 from trackmill.sources import files as S
 from trackmill.sources import sinks as K
 from trackmill.sources.annotations import Dataset, JsonStream, canonical, nonfinite, read_document, records, valid_id
+from trackmill.sources.scratch import scratch_dir
 
 
 def test_canonical_values():
@@ -49,6 +51,28 @@ def test_detection_manifest_survives_broken_files(spark, tmp_path):
     assert rows == {"a.json": ("x.jpg", False), "b.json": (None, True)}
 
 
+def test_many_detection_files_are_written_by_many_tasks(spark, tmp_path):
+    suppliers = spark.range(2500).select(F.col("id").alias("s_suppkey"), (F.col("id") % 25).alias("s_nationkey"))
+    for name, rows in (("many", suppliers), ("none", suppliers.limit(0))):
+        rows.coalesce(1).write.parquet(str(tmp_path / name / "supplier.parquet"))
+    scratch = scratch_dir(spark).removeprefix("file:")
+    before = set(os.listdir(scratch))
+    got = QUERIES["SRC-13"](spark, str(tmp_path / "many")).collect()
+    assert sorted(r.n for r in got) == [1] * 2400 + [100] and [r.n for r in got if r.corrupt] == [100]
+    (own,) = [d for d in set(os.listdir(scratch)) - before if d.startswith("detections-")]
+    sizes = [len([f for f in names if f.endswith(".json")]) for _, _, names in os.walk(os.path.join(scratch, own))]
+    assert sum(sizes) == 2500 and max(sizes) <= S.FILES_PER_TASK
+    assert QUERIES["SRC-13"](spark, str(tmp_path / "none")).collect() == []
+
+
+def test_files_written_again_replace_their_own(spark, tmp_path):
+    rows = spark.createDataFrame([("v1", "a"), ("v1", "a"), ("v2", "b"), (None, "c"), ("v1", None)], "folder string, value string")
+    for _ in range(2):
+        S.write_files(rows, str(tmp_path))
+        texts = sorted((os.path.basename(d), open(os.path.join(d, f)).read()) for d, _, names in os.walk(tmp_path) for f in names)
+        assert texts == [("000000", "c"), ("v1", ""), ("v1", "a"), ("v1", "a"), ("v2", "b")]
+
+
 def test_dataset_options_are_literal_and_last():
     text = "x = 3\ntrain = dict(ann_file='a/t.json', classes='c.txt', n=x)\nval = dict(ann_file='b/v.json')\nbest = dict(ann_file='z/t.json', n=5)"
     assert S.dataset_options(text, "t.json") == {"ann_file": "z/t.json", "n": 5}

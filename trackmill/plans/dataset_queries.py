@@ -355,8 +355,8 @@ def src_13(spark, sf_dir):
     path = f"{scratch_dir(spark)}/detections-{uuid.uuid4().hex}"
     name = F.concat(F.lit("frame "), F.col("s_suppkey"), F.lit(".jpg"))
     text = F.when(F.col("s_nationkey") == 7, F.lit("{broken")).otherwise(F.to_json(F.struct(name.alias("file_name"), F.array().cast("array<double>").alias("boxes"))))
-    read(spark, sf_dir, "supplier").select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return S.detection_manifest(spark, path).groupBy("file_name", "corrupt").agg(F.count(F.lit(1)).alias("n"))
+    S.write_files(read(spark, sf_dir, "supplier").select(F.lit(None).alias("folder"), text.alias("value")), path)
+    return S.detection_manifest(spark, f"{path}/*").groupBy("file_name", "corrupt").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SRC-21", oracle("SELECT 'v' || (s_nationkey % 5) AS video, count(*) AS files, count(*) FILTER (s_suppkey % 9 = 0) AS corrupt, sum(CASE WHEN s_suppkey % 9 <> 0 THEN s_suppkey % 4 ELSE 0 END)::BIGINT AS boxes FROM supplier WHERE s_nationkey % 5 IN (1, 3) GROUP BY 1"))
@@ -367,19 +367,7 @@ def src_21(spark, sf_dir):
     corner = F.transform(F.sequence(F.lit(1), F.col("s_suppkey") % 4), lambda k: F.array(k.cast("double"), F.lit(0.0), k + 1.0, F.lit(1.0), F.lit(0.5), F.lit(0.0)))
     some = F.when(F.col("s_suppkey") % 4 == 0, F.array().cast("array<array<double>>")).otherwise(corner)
     text = F.when(F.col("s_suppkey") % 9 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.concat(F.lit("frame "), "s_suppkey", F.lit(".jpg")).alias("file_name"), some.alias("boxes"))))
-    files = read(spark, sf_dir, "supplier").select(F.concat(F.lit("v"), F.col("s_nationkey") % 5).alias("video"), text.alias("value"))
-
-    def write(batches):
-        """Each row as a file of its own."""
-        store, folder = opened(path)
-        for batch in batches:
-            for video, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                store.create_dir(f"{folder}/{video}", recursive=True)
-                with store.open_output_stream(f"{folder}/{video}/{uuid.uuid4().hex}.json", compression=None) as out:
-                    out.write(value.encode())
-            yield batch.slice(0, 0)
-
-    kept(files.mapInArrow(write, "video string, value string"), "written")
+    S.write_files(read(spark, sf_dir, "supplier").select(F.concat(F.lit("v"), F.col("s_nationkey") % 5).alias("folder"), text.alias("value")), path)
     rows = spark.read.format("detections").option("files_per_task", 50).load(path).filter("video IN ('v1', 'v3')")
     return rows.groupBy("video").agg(F.count("*").alias("files"), F.count_if("corrupt").alias("corrupt"), F.sum(F.coalesce(F.size("boxes"), F.lit(0)).cast("long")).alias("boxes"))
 

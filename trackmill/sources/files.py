@@ -8,6 +8,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,37 @@ def clips(files: DataFrame, size: int, min_length: int = 0) -> DataFrame:
     return chunked(files, size, min_length, "video", "file_name")
 
 
+#: Rows that a task writes as files of their own.
+FILES_PER_TASK = 1000
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """Write the text of each row (folder, value) as a JSON file of its own below ``path``, in its folder or,
+    where that is null, in one of its task's. Rows are dealt to as many tasks as their number asks for, and a
+    task that is repeated writes its files over again."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = opened(path)
+        part, made, n = f"{TaskContext.get().partitionId():06}", set(), 0
+        for batch in batches:
+            for folder, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = f"{top}/{part if folder is None else folder}"
+                if own not in made:
+                    store.create_dir(own, recursive=True)
+                    made.add(own)
+                with store.open_output_stream(f"{own}/{part}-{n:06}.json", compression=None) as out:
+                    out.write((value or "").encode())
+                n += 1
+            yield batch.slice(0, 0)
+
+    tasks = -(-files.count() // FILES_PER_TASK)
+    if not tasks:
+        store, top = opened(path)
+        store.create_dir(f"{top}/{0:06}", recursive=True)  # an empty folder can be read, none can't
+    dealt = files.select(F.col("folder").cast("string"), "value").repartition(max(1, tasks))
+    dealt.mapInArrow(write, "folder string, value string").write.format("noop").mode("overwrite").save()
+
+
 def detection_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, json_name, corrupt) of detection files, one object each; what cannot be parsed is
     kept and marked, not fatal."""
